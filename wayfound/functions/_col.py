@@ -42,9 +42,22 @@ def any_word(values) -> str:
     return "|".join(re.escape(v) for v in values)
 
 
-def chain(c, steps) -> Column:
-    """Apply (pattern, replacement) steps in order."""
+def chain(c, rules) -> Column:
+    """Apply (pattern, replacement) rules in order."""
     out = col(c)
-    for pattern, replacement in steps:
+    for pattern, replacement in rules:
         out = F.regexp_replace(out, pattern, replacement)
     return out
+
+
+def let(value, body) -> Column:
+    """``body(v)`` with ``value`` computed once: keeps long rule chains linear in size."""
+    return F.element_at(F.transform(F.array(col(value)), body), 1)
+
+
+def steps(value, *bodies) -> Column:
+    """Nested :func:`let`: each body gets the result of the one before."""
+    out = col(value)
+    for body in bodies:
+        out = let(out, body)
+    return out

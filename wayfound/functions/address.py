@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import vocab as V
-from ._col import chain, col, lookup, squeeze, text, words
+from ._col import chain, let, lookup, squeeze, text, words
 
 _UNIT = (r"\s(?:(?:STE|SUITE|UNIT|APT|PMB|DEPT|TRLR)\b|#|(?:BLDG|BLD|BUILDING|SPACE|SP|SPC|BAY|LOT|KIOSK|FLOOR|FL|FLR|RM|ROOM|STALL|"
          r"SHOP|BOOTH)\s*#?\s*[A-Z]?-?\d).*$")
@@ -41,15 +41,19 @@ def _street_words(street) -> Column:
     return F.transform(words(squeeze(s)), lambda w: F.regexp_replace(lookup(table, w, w), r"^(\d+)(?:ST|ND|RD|TH)$", "$1"))
 
 
+def _cut_after_type(w) -> Column:
+    """Street words up to the first street type that is not the first word, with one direction after it; at most six."""
+    def cut(at):
+        after = F.try_element_at(w, at + 1)
+        keep = F.when(at.isNull(), F.size(w)).when(after.isin(*V.DIRECTIONS), at + 1).otherwise(at)
+        return F.array_join(F.slice(w, F.lit(1), F.greatest(F.least(keep, F.lit(6)), F.lit(0))), " ")
+    return let(F.array_min(F.filter(F.transform(w, lambda x, i: F.when(x.isin(*V.STREET_TYPES) & (i > 0), i + 1)), lambda i: i.isNotNull())), cut)
+
+
 def street_key(c) -> Column:
     """struct(num, street): house number and normalised street, cut after the street type (one trailing direction kept)."""
-    base = split_house_number(c)
-    w = _street_words(base["street"])
-    type_at = F.array_min(F.filter(F.transform(w, lambda x, i: F.when(x.isin(*V.STREET_TYPES) & (i > 0), i + 1)), lambda i: i.isNotNull()))
-    after = F.try_element_at(w, type_at + 1)
-    keep = F.when(type_at.isNull(), F.size(w)).when(after.isin(*V.DIRECTIONS), type_at + 1).otherwise(type_at)
-    name = F.array_join(F.slice(w, F.lit(1), F.greatest(F.least(keep, F.lit(6)), F.lit(0))), " ")
-    return F.struct(base["num"].alias("num"), F.when(base["num"].isNotNull() & (name != ""), name).alias("street"))
+    return let(split_house_number(c), lambda base: F.struct(base["num"].alias("num"), F.when(base["num"].isNotNull(), F.nullif(
+        let(_street_words(base["street"]), _cut_after_type), F.lit(""))).alias("street")))
 
 
 def _core(street) -> Column:
@@ -64,8 +68,7 @@ def core_street(street) -> Column:
 
 def core_key(c) -> Column:
     """struct(num, street) with the core street."""
-    k = street_key(c)
-    return F.struct(F.when(k["street"].isNotNull(), k["num"]).alias("num"), core_street(k["street"]).alias("street"))
+    return let(street_key(c), lambda k: F.struct(F.when(k["street"].isNotNull(), k["num"]).alias("num"), core_street(k["street"]).alias("street")))
 
 
 def street_number_range(c) -> Column:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 from . import vocab as V
-from ._col import any_word, chain, col, lookup, squeeze, str_array, text, words
+from ._col import any_word, chain, col, let, lookup, squeeze, steps, str_array, text, words
 
 ACCENTS, PLAIN = "ÁÀÂÄÉÈÊËÍÌÎÏÓÒÔÖÚÙÛÜÑÇ", "AAAAEEEEIIIIOOOOUUUUNC"
 
@@ -47,13 +47,11 @@ def _relatin(c) -> Column:
 
 def repair_mojibake(c) -> Column:
     """Listing name as meant: encoding repaired, entities decoded, keyword tails, former names and corporate suffixes cut."""
-    s = _unescape(_relatin(c))
-    s = chain(s, [(r"\s*\|.*$", ""), (r"(?i)\s+f/?k/?a\s+.*$", "")])
-    trade = F.regexp_extract(s, r"(?i)\bd/?b/?a\.?\s+(.+)$", 1)
-    s = F.when(trade != "", trade).otherwise(s)
-    s = chain(s, [(r"(?i)(?:,?\s+(?:Inc|LLC|L\.L\.C|Corp|Corporation|Ltd)\.?)+\s*$", ""),
-                  (r"(?<![&\s])(?<!\b[Aa]nd)(?<!\bAND),?\s+Co\.?\s*$", "")])
-    return squeeze(s)
+    cuts = lambda s: chain(s, [(r"\s*\|.*$", ""), (r"(?i)\s+f/?k/?a\s+.*$", "")])
+    trade = lambda s: F.coalesce(F.nullif(F.regexp_extract(s, r"(?i)\bd/?b/?a\.?\s+(.+)$", 1), F.lit("")), s)
+    tails = lambda s: squeeze(chain(s, [(r"(?i)(?:,?\s+(?:Inc|LLC|L\.L\.C|Corp|Corporation|Ltd)\.?)+\s*$", ""),
+                                        (r"(?<![&\s])(?<!\b[Aa]nd)(?<!\bAND),?\s+Co\.?\s*$", "")]))
+    return steps(_unescape(_relatin(c)), cuts, trade, tails)
 
 
 def _capital(w) -> Column:
@@ -69,8 +67,11 @@ def _rejoin_capitals(t) -> Column:
 
 
 def _case_word(w, first, addr: bool) -> Column:
-    low = F.lower(w)
-    core = F.regexp_replace(low, "[^a-z']", "")
+    return let(F.struct(F.lower(w).alias("low"), F.regexp_replace(F.lower(w), "[^a-z']", "").alias("core")),
+               lambda p: _cased(w, p["low"], p["core"], first, addr))
+
+
+def _cased(w, low, core, first, addr: bool) -> Column:
     always = (r"^(?:bbq|ii|iii|iv|usa|jj|kfc|ihop|tgi|atm|llc|bp|dj|pb|vfw|amvets|ymca|uf|fsu|ucf|usf|fiu|fau|[a-z])$")
     out = F.when(w == "", w)
     if not addr:
@@ -87,19 +88,25 @@ def _case_word(w, first, addr: bool) -> Column:
               .otherwise(_rejoin_capitals(_capital(low)))
 
 
+def _without_unit(s) -> Column:
+    """The address up to its street type when only a unit follows."""
+    def cut(h):
+        rest = F.substr(s, F.length(h) + 1)
+        unit = rest.rlike(r"(?i)(\s+(BLDG|BLD|STE|SUITE|FL|FLR|FLOOR|UNIT|RM|LOWER LEVEL|LL|APT|SPACE|SP|BAY|STALL|KIOSK|#)\b.*$)|"
+                          r"(\s+#?\d+[A-Z]?\s*$)")
+        numbered = h.rlike(r"(?i)\b(?:HWY|HIGHWAY|US|SR|CR|RTE|ROUTE|ROAD|RD)\s*$") & rest.rlike(r"^\s*\d")
+        return F.when((h != "") & unit & ~numbered, h).otherwise(s)
+    return let(F.regexp_extract(s, r"(?i)^(\d+[A-Z]?(?:\s*-\s*\d+)?\s+.+?\b(?:ST|AVE|BLVD|DR|RD|PL|CT|PKWY|TER|WAY|LN|HWY|PLZ|SQ|CIR|"
+                                   r"TRL|CSWY|PIKE|LOOP)\b(?:\s+(?:N|S|E|W|NE|NW|SE|SW)\b)?)", 1), cut)
+
+
 def nice_case(c, addr: bool = False) -> Column:
     """Display casing of an all-capitals name, or (``addr``) of a street address without its dangling unit."""
     s = chain(squeeze(text(c)), [(r"(?i)\b(\w+)IES'S\b", "$1IE'S"), (r"(?i)'S\s+'S\b", "'S"), (r"(?i)\bMC\s+([A-Z]{2,})", "MC$1")])
     if addr:
         s = chain(s, [(r"[\s,]+$", ""), (r"(?i)\b(\w{3,})\s+\1\b", "$1"),
                       (r"(?i)(?<=\S)\s+(?:STE|SUITE|UNIT|APT|#)\s*[\w-]*$", "")])
-        head = F.regexp_extract(s, r"(?i)^(\d+[A-Z]?(?:\s*-\s*\d+)?\s+.+?\b(?:ST|AVE|BLVD|DR|RD|PL|CT|PKWY|TER|WAY|LN|HWY|PLZ|SQ|CIR|"
-                                   r"TRL|CSWY|PIKE|LOOP)\b(?:\s+(?:N|S|E|W|NE|NW|SE|SW)\b)?)", 1)
-        rest = F.substr(s, F.length(head) + 1)
-        unit = rest.rlike(r"(?i)(\s+(BLDG|BLD|STE|SUITE|FL|FLR|FLOOR|UNIT|RM|LOWER LEVEL|LL|APT|SPACE|SP|BAY|STALL|KIOSK|#)\b.*$)|"
-                          r"(\s+#?\d+[A-Z]?\s*$)")
-        numbered = head.rlike(r"(?i)\b(?:HWY|HIGHWAY|US|SR|CR|RTE|ROUTE|ROAD|RD)\s*$") & rest.rlike(r"^\s*\d")
-        s = F.when((head != "") & unit & ~numbered, head).otherwise(s)
+        s = let(s, _without_unit)
 
     def spaced(w, i):
         pieces = F.regexp_extract_all(w, F.lit("([^/@&]+|[/@&])"), F.lit(1))
@@ -129,9 +136,8 @@ def canon_city(c, fixes=V.TOWN_FIXES) -> Column:
         up = F.array_join(F.transform(pieces, lambda p: F.when(
             p.rlike("^[-'][a-z]"), F.concat(F.substring(p, 1, 1), _capital(F.substring(p, 2, 1000)))).otherwise(_capital(p))), "")
         return F.when((i > 0) & low.isin("of", "the", "by", "in", "on", "de", "del", "la"), low).when(w == "ST.", F.lit("St.")).otherwise(up)
-    titled = F.array_join(F.transform(F.split(u, " "), cased), " ")
-    fixed = lookup(fixes, F.regexp_replace(u, "[^A-Z]", ""))
-    return F.when(F.trim(text(c)) == "", F.lit(None).cast("string")).otherwise(F.coalesce(fixed, titled))
+    town = let(u, lambda v: F.coalesce(lookup(fixes, F.regexp_replace(v, "[^A-Z]", "")), F.array_join(F.transform(F.split(v, " "), cased), " ")))
+    return F.when(F.trim(text(c)) != "", town)
 
 
 def town_key(c) -> Column:
@@ -171,19 +177,19 @@ def clean_listing_name(name, city, brand, is_town=None) -> Column:
     is_town = is_town or (lambda c: F.lit(False))
     n0, town = F.trim(text(name)), F.trim(text(city))
     has_town, chain_ = town != "", F.coalesce(F.trim(col(brand)) != "", F.lit(False))
-    n = F.regexp_replace(n0, F.concat(F.lit(r"(?i)(?:\s*[-–|,:]\s*|\s(?:of|in|at)\s+|\s|^)"), _quoted(town),
-                                      F.lit(r",?\s*(?:FL|Florida)\.?\s*$")), F.lit(""))
-    n = F.regexp_replace(n, F.concat(F.lit(r"(?i)\s*[-–|:]\s*"), _quoted(town), F.lit(r"\s*$")), F.lit(""))
-    bare = F.regexp_extract(n, F.concat(F.lit(r"(?i)^(.*\S)\s+"), _quoted(town), F.lit("$")), 1)
-    drop_bare = (bare != "") & ~bare.rlike(r"(?i)\b(?:of|in|at|de|del|la|el|the|and|&|du|on)$") & (F.size(name_stems(norm_name(bare))) > 0) & chain_
-    n = F.when(drop_bare, bare).otherwise(n)
-    n = F.when(has_town, F.when(F.lower(F.trim(n)) == F.lower(town), F.lit("")).otherwise(n)).otherwise(n0)
-    n = F.when(is_town(F.lower(F.trim(n))), F.lit("")).otherwise(n)
-    n = F.regexp_replace(n, r"\s*(?:[-–|,:]\s*|\s(?:of|in|at)\s+)[A-Z][A-Za-z.' ]{1,30},\s*(?:FL|Florida)\.?\s*$", "")
-    n = F.regexp_replace(n, r"^[ \-–|,]+|[ \-–|,]+$", "")
+    cut = lambda n, head, tail: F.regexp_replace(n, F.concat(F.lit(head), _quoted(town), F.lit(tail)), F.lit(""))
+
+    def bare_town(n):
+        bare = F.call_function("regexp_extract", n, F.concat(F.lit(r"(?i)^(.*\S)\s+"), _quoted(town), F.lit("$")), F.lit(1))
+        return let(bare, lambda b: F.when((b != "") & ~b.rlike(r"(?i)\b(?:of|in|at|de|del|la|el|the|and|&|du|on)$")
+                                          & (F.size(name_stems(norm_name(b))) > 0) & chain_, b).otherwise(n))
+    own_town = steps(cut(cut(n0, r"(?i)(?:\s*[-–|,:]\s*|\s(?:of|in|at)\s+|\s|^)", r",?\s*(?:FL|Florida)\.?\s*$"), r"(?i)\s*[-–|:]\s*", r"\s*$"), bare_town,
+                     lambda n: F.when(F.lower(F.trim(n)) == F.lower(town), F.lit("")).otherwise(n))
+    n = steps(F.when(has_town, own_town).otherwise(n0), lambda n: F.when(is_town(F.lower(F.trim(n))), F.lit("")).otherwise(n),
+              lambda n: chain(n, [(r"\s*(?:[-–|,:]\s*|\s(?:of|in|at)\s+)[A-Z][A-Za-z.' ]{1,30},\s*(?:FL|Florida)\.?\s*$", ""), (r"^[ \-–|,]+|[ \-–|,]+$", "")]))
     only_town = F.regexp_extract(n0, r"^([A-Za-z.' ]+),\s*(?:FL|Florida)$", 1)
-    gone = (n == "") | ((only_town != "") & is_town(F.lower(F.trim(only_town))))
-    return F.when(gone, F.when(chain_, col(brand))).otherwise(n)
+    nothing = (only_town != "") & is_town(F.lower(F.trim(only_town)))
+    return let(n, lambda v: F.when((v == "") | nothing, F.when(chain_, col(brand))).otherwise(v))
 
 
 def split_trade_names(*cols) -> Column:
@@ -220,26 +226,28 @@ def strip_official(c) -> Column:
     x = chain(x, [(r"(?i)\s*\((?:MOBILE|CATERING|CP|INSIDE [^)]*|AT [^)]*)\)\s*$", ""),
                   (r"\s*#\s*\d+\w*.*$|\s*\(#?[A-Z]?\d+\)|\s+(?:STORE|UNIT|NO\.?)\s*\d+\s*$|\s+\d{3,}\s*$", ""),
                   (r"(?i)(?:(?:,?\s+|\.)(?:INC|LLC|L\.L\.C|L L C|CORP|CORPORATION|LTD|LLP|PLLC|P\.A)\.?)+\s*$", "")])
-    civic = F.regexp_replace(x, r"(?i)^(?:THE\s+)?(?:CITY|TOWN|COUNTY|VILLAGE) OF\s+.*$", "")
-    x = F.regexp_replace(F.when(civic == "", x).otherwise(civic), r"(?i)\s+DBA\s+", " / ")
-    parts = F.split(x, r"\s*/\s*")
-    legal_head = x.contains("/") & F.element_at(F.split(x, "/"), 1).rlike(r"(?i)\b(?:INC|LLC|CORP)\b")
-    x = F.when(legal_head, F.element_at(parts, -1)).otherwise(x)
+    def place(x):
+        civic = F.regexp_replace(x, r"(?i)^(?:THE\s+)?(?:CITY|TOWN|COUNTY|VILLAGE) OF\s+.*$", "")
+        return F.coalesce(F.nullif(civic, F.lit("")), x)
+
+    def trade(x):
+        legal_head = x.contains("/") & F.element_at(F.split(x, "/"), 1).rlike(r"(?i)\b(?:INC|LLC|CORP)\b")
+        return F.when(legal_head, F.element_at(F.split(x, r"\s*/\s*"), -1)).otherwise(x)
+    x = steps(x, place, lambda v: F.regexp_replace(v, r"(?i)\s+DBA\s+", " / "), trade)
     return F.regexp_replace(x, r"^[ \-,&/.]+|[ \-,&/.]+$", "")
 
 
 def clean_official_name(name, trade_names, brand=None) -> Column:
     """Name to show for a registered business; a legal-entity name yields to the first plain trade name, else to the brand."""
     brand = F.lit(None).cast("string") if brand is None else col(brand)
-    n0 = strip_official(name)
-    usable = F.filter(F.coalesce(col(trade_names), F.array().cast("array<string>")), lambda d: (strip_official(d) != "")
-                      & ~d.rlike(LEGAL_END) & ~strip_official(d).rlike(LEGALISH) & (norm_name(strip_official(d)) != ""))
-    weak = (n0 == "") | text(name).rlike(LEGAL_END) | n0.rlike(LEGALISH)
-    n1 = F.when(weak & (F.size(usable) > 0), strip_official(F.try_element_at(usable, F.lit(1)))).otherwise(n0)
-    take_brand = brand.isNotNull() & ((n1 == "") | n1.rlike(LEGALISH) | F.startswith(norm_name(n1), norm_name(brand)))
-    n2 = F.when(take_brand, brand).otherwise(n1)
-    one_case = ((n2 == F.upper(n2)) | (n2 == F.lower(n2))) & n2.rlike("[A-Za-z]")
-    return F.when(one_case, nice_case(n2)).otherwise(n2)
+    plain = F.filter(F.transform(F.coalesce(col(trade_names), F.array().cast("array<string>")),
+                                 lambda d: F.struct(strip_official(d).alias("s"), d.rlike(LEGAL_END).alias("legal"))),
+                     lambda d: (d["s"] != "") & ~d["legal"] & ~d["s"].rlike(LEGALISH) & (norm_name(d["s"]) != ""))
+    weak = lambda n: (n == "") | text(name).rlike(LEGAL_END) | n.rlike(LEGALISH)
+    by_trade = lambda n: F.when(weak(n), F.coalesce(F.get(plain, 0)["s"], n)).otherwise(n)
+    by_brand = lambda n: F.when(brand.isNotNull() & ((n == "") | n.rlike(LEGALISH) | F.startswith(norm_name(n), norm_name(brand))), brand).otherwise(n)
+    cased = lambda n: F.when(((n == F.upper(n)) | (n == F.lower(n))) & n.rlike("[A-Za-z]"), nice_case(n)).otherwise(n)
+    return steps(strip_official(name), by_trade, by_brand, cased)
 
 
 # fixed values: marketing tails and scripts
@@ -254,31 +262,37 @@ _TAIL = (r"(?i)^(?:best|award|voted|magazine|official|order|delivery|takeout|tak
 
 def tidy_display_name(name, brand=None) -> Column:
     """Name as shown: NFKC, no emoji, no second script, no LLC in the middle, no marketing or notes at the end."""
-    n = _relatin(_nfkc(text(name)))
-    n = F.regexp_replace(F.regexp_replace(n, _EMOJI, ""), "[®™©℠]", "")
-    latin_only = F.regexp_replace(n, _CJK, "")
-    n = F.when(latin_only.rlike("[A-Za-z]{3,}"), F.regexp_replace(n, rf"\s*\([^()]*{_CJK}[^()]*\)", "")).otherwise(n)
-    latin = F.regexp_replace(n, _CJK + "+", " ")
-    n = F.when(latin.rlike("[A-Za-z]{3,}") & n.rlike(_CJK), F.regexp_replace(latin, r"\(\s*\)", "")).otherwise(n)
-    llc = r"(?i)^(.*?)[,\s]+(?:LLC|Inc)\.?\s*-{1,2}\s*(.+)$"
-    head, tail = F.regexp_extract(n, llc, 1), F.regexp_extract(n, llc, 2)
-    n = F.when(n.rlike(llc), F.when((F.size(words(squeeze(tail))) >= 2) & (F.size(words(squeeze(head))) <= 2), tail).otherwise(head)).otherwise(n)
-    n = F.regexp_replace(n, r"(?i)[,\s.]+(?:LLC|L\.L\.C|LLP|L\.L\.P|Inc|Corp)\.?(?=\s|$|,)", "")
-    bare = F.regexp_replace(n, r"\s*\([^()]*\)\s*$", "")
-    n = F.when(F.trim(bare) != "", bare).otherwise(n)
-    n = F.regexp_replace(n, r",?\s+(?:FL|Fla\.?|Florida)\s*$", "")
-    parts = F.split(n, r"\s+[-–]{1,2}\s+|--")
-    rest = F.array_join(F.slice(parts, 2, 1000), " ")
-    promo = F.trim(rest).rlike(_TAIL) | rest.rlike(r"\b(?:Best|Award|Magazine|Voted|20\d\d)\b")
-    n = F.when((F.size(parts) > 1) & promo, F.element_at(parts, 1)).otherwise(n)
+    def one_script(n):
+        latin = F.regexp_replace(n, _CJK + "+", " ")
+        return F.when(latin.rlike("[A-Za-z]{3,}") & n.rlike(_CJK), F.regexp_replace(latin, r"\(\s*\)", "")).otherwise(n)
+
+    def legal_middle(n):
+        llc = r"(?i)^(.*?)[,\s]+(?:LLC|Inc)\.?\s*-{1,2}\s*(.+)$"
+        head, tail = F.regexp_extract(n, llc, 1), F.regexp_extract(n, llc, 2)
+        pick = F.when((F.size(words(squeeze(tail))) >= 2) & (F.size(words(squeeze(head))) <= 2), tail).otherwise(head)
+        return F.regexp_replace(F.when(n.rlike(llc), pick).otherwise(n), r"(?i)[,\s.]+(?:LLC|L\.L\.C|LLP|L\.L\.P|Inc|Corp)\.?(?=\s|$|,)", "")
+
+    def unless_empty(pattern, replacement=""):
+        def rule(n):
+            cut = F.regexp_replace(n, pattern, replacement)
+            return F.when(F.trim(cut) != "", cut).otherwise(n)
+        return rule
+
+    def no_promo(n):
+        parts = F.split(n, r"\s+[-–]{1,2}\s+|--")
+        rest = F.array_join(F.slice(parts, 2, 1000), " ")
+        promo = F.trim(rest).rlike(_TAIL) | rest.rlike(r"\b(?:Best|Award|Magazine|Voted|20\d\d)\b")
+        return F.when((F.size(parts) > 1) & promo, F.element_at(parts, 1)).otherwise(n)
+
+    rules = [_relatin, lambda n: chain(n, [(_EMOJI, ""), ("[®™©℠]", "")]),
+             lambda n: F.when(F.regexp_replace(n, _CJK, "").rlike("[A-Za-z]{3,}"), F.regexp_replace(n, rf"\s*\([^()]*{_CJK}[^()]*\)", "")).otherwise(n),
+             one_script, legal_middle, unless_empty(r"\s*\([^()]*\)\s*$"), lambda n: F.regexp_replace(n, r",?\s+(?:FL|Fla\.?|Florida)\s*$", ""), no_promo]
     if brand is not None:
-        n = F.when(col(brand).isNotNull(), F.regexp_replace(n, r"\s*#\s*\d+\s*$", "")).otherwise(n)
-    trimmed = F.regexp_replace(squeeze(n), r"^[ \-–,]+|[ \-–,]+$", "")
-    n = F.when(trimmed != "", trimmed).otherwise(n)
-    n = F.regexp_replace(n, r"^(.+?),?\s+(?:THE|The|the)$", "The $1")
-    cut = F.regexp_replace(n, r"(?:\s+(?:of|OF|Of|and|AND|And|&|at|AT|At|de|DE|De|the|THE))+$", "")
-    n = F.when(cut != "", cut).otherwise(n)
-    return F.when((n == F.upper(n)) & n.rlike("[A-Z]") & (F.length(n) > 4), nice_case(n)).otherwise(n)
+        rules.append(lambda n: F.when(col(brand).isNotNull(), F.regexp_replace(n, r"\s*#\s*\d+\s*$", "")).otherwise(n))
+    rules += [squeeze, unless_empty(r"^[ \-–,]+|[ \-–,]+$"), lambda n: F.regexp_replace(n, r"^(.+?),?\s+(?:THE|The|the)$", "The $1"),
+              unless_empty(r"(?:\s+(?:of|OF|Of|and|AND|And|&|at|AT|At|de|DE|De|the|THE))+$"),
+              lambda n: F.when((n == F.upper(n)) & n.rlike("[A-Z]") & (F.length(n) > 4), nice_case(n)).otherwise(n)]
+    return steps(_nfkc(text(name)), *rules)
 
 
 # --- P26, P27, P31 -----------------------------------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from .scale import ranked, running_total
+from .scale import cut_lineage, ranked, running_total
 
 
 def dictionary(df: DataFrame, column: str, code: str) -> DataFrame:
@@ -24,8 +24,8 @@ def dictionary_encode(df: DataFrame, columns) -> DataFrame:
 
 
 def row_index(df: DataFrame, order, out: str = "row") -> DataFrame:
-    """0-based index along the (unique, ascending) order."""
-    return ranked(df, [], order, "_rn").withColumn(out, F.col("_rn") - 1).drop("_rn")
+    """0-based index along the (unique, ascending) order; the numbered table is a stage of its own (written once, read by each encoder)."""
+    return cut_lineage(ranked(df, [], order, "_rn").withColumn(out, F.col("_rn") - 1).drop("_rn"))
 
 
 def scaled(c, scale: int):

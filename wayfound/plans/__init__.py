@@ -1,6 +1,6 @@
 """All registered queries."""
-from . import visit_queries
+from . import match_queries, text_queries, visit_queries
 
 CATALOG: dict = {}
-for _module in (visit_queries,):
+for _module in (visit_queries, text_queries, match_queries):
     CATALOG.update(_module.C)
