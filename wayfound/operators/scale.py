@@ -85,7 +85,7 @@ def exact_median(df: DataFrame, by, cols) -> DataFrame:
     by = list(by)
     long = df.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("dim"), F.col(c).cast("double").alias("v")) for c in cols])).alias("_e")) \
              .select(*by, "_e.dim", "_e.v").filter(F.col("v").isNotNull())
-    counts = long.groupBy(*by, "dim", "v").agg(F.count("*").alias("n"))
+    counts = cut_lineage(long.groupBy(*by, "dim", "v").agg(F.count("*").alias("n")))
     run = running_total(counts, [*by, "dim"], ["v", "dim", *by], "n", "upto")
     total = counts.groupBy(*by, "dim").agg(F.sum("n").alias("total"))
     on = [run[k].eqNullSafe(total[k]) for k in [*by, "dim"]]

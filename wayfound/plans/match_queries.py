@@ -35,9 +35,9 @@ def distinct_key_join(spark, sf):
     return J.distinct_key_join(want, table(spark, sf, "orders").select("o_orderkey", "o_custkey"), ["o_custkey"])
 
 
-@C.add("anti_unmatched", "select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@C.add("anti_unmatched", "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderstatus='F')")
 def anti_unmatched(spark, sf):
-    return J.anti_unmatched(table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"))
+    return J.anti_unmatched(table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").filter("o_orderstatus = 'F'"), F.col("c_custkey") == F.col("o_custkey"))
 
 
 @C.add("semi_coverage", "select s_suppkey from supplier where s_suppkey in (select l_suppkey from lineitem where l_returnflag='R' and l_quantity>45)")
@@ -55,9 +55,9 @@ _STREET = "case lic%6 when 0 then 'NW 27 AVE' when 1 then 'NW 27 AVE' when 2 the
 _AD = f"ad as (select lic, cast(lic%900+1 as varchar) as num, {_STREET} as street, zip, lat, lon from fx_address)"
 
 
-@C.add("group_median_spread", f"with {_AD} select street, zip, round(median(lat),6) as lat, round(median(lon),6) as lon from ad group by street, zip having max(lat)-min(lat)<2.0", ["fx_address"])
+@C.add("group_median_spread", f"with {_AD} select street, zip, round(median(lat),6) as lat, round(median(lon),6) as lon from ad group by street, zip having max(lat)-min(lat)<4.0", ["fx_address"])
 def group_median_spread(spark, sf):
-    m = J.address_medians(_addr(spark, sf), ["street", "zip"], 2.0)
+    m = J.address_medians(_addr(spark, sf), ["street", "zip"], 4.0)
     return m.select("street", "zip", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
@@ -80,11 +80,11 @@ def geocode_cascade(spark, sf):
     return got.select("id", "method", F.round("lat", 6).alias("lat"))
 
 
-@C.add("address_unique_match", f"""with {_AD}, l as (select num, street, zip, min(lic) as lid, count(*) as n from ad where lic%2=0 group by 1,2,3), r as (select num, street, zip, min(lic) as rid, count(*) as n from ad where lic%2=1 group by 1,2,3)
+@C.add("address_unique_match", f"""with {_AD.replace("street, zip, lat", "street, substr(zip,1,2) as zip, lat")}, l as (select num, street, zip, min(lic) as lid, count(*) as n from ad where lic<1000 group by 1,2,3), r as (select num, street, zip, min(lic) as rid, count(*) as n from ad where lic>=1000 group by 1,2,3)
  select lid, rid from l join r using (num, street, zip) where l.n=1 and r.n=1 and street not like 'US %' and street not like 'SR %'""", ["fx_address"])
 def address_unique_match(spark, sf):
-    a = _addr(spark, sf).withColumn("name", F.lit("SHOP"))
-    return J.address_unique_match(a.filter("lic % 2 = 0").withColumnRenamed("lic", "lid"), a.filter("lic % 2 = 1").withColumnRenamed("lic", "rid"),
+    a = _addr(spark, sf).withColumn("name", F.lit("SHOP")).withColumn("zip", F.substring("zip", 1, 2))
+    return J.address_unique_match(a.filter("lic < 1000").withColumnRenamed("lic", "lid"), a.filter("lic >= 1000").withColumnRenamed("lic", "rid"),
                                   ["num", "street", "zip"], lid="lid", rid="rid", agree=S.same_business)
 
 
