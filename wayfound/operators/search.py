@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions._col import lookup
 from ..functions.text import SEARCH_SYNONYMS, TYPE_SYNONYMS, search_normalize, search_normalize_address
 from .directory import Filters, RANKED_GUIDES, TAG_BITS, guide_filter, sort_order, with_sort_columns
-from .scale import top_rows
+from .scale import cut_lineage, top_rows
 
 PREFIX = 4
 # fixed values: phrases that name a guide, in the order they are looked for; words that carry no meaning
@@ -45,7 +45,8 @@ def _words_before(text_, phrase) -> Column:
 
 
 def parse_queries(queries: DataFrame, towns: DataFrame, *, phrases=TAG_PHRASES, synonyms=None, types=None, stop=STOP_WORDS) -> DataFrame:
-    """(query_id, text, tag, tag_stem, town, town_needle, tokens array<array<string>>, typed): what each typed text asks for."""
+    """(query_id, text, tag, tag_stem, town, town_needle, tokens array<array<string>>, typed): what each typed text asks for. The parsed table
+    is a stage of its own, so the searches that use it do not parse again."""
     syn = SEARCH_SYNONYMS if synonyms is None else synonyms
     typ = TYPE_SYNONYMS if types is None else types
     type_abbr, abbr = sorted(set(typ.values())), sorted(set(syn.values()))
@@ -88,7 +89,7 @@ def parse_queries(queries: DataFrame, towns: DataFrame, *, phrases=TAG_PHRASES,
     a, b = F.get("_w", m - 2), F.get("_w", m - 1)
     glue = F.array(F.concat(F.lit(" "), a["mapped"], F.lit(" "), b["mapped"], F.lit(" ")), F.concat(F.lit(" "), a["raw"], F.lit(" "), b["raw"]))
     q = q.withColumn("tokens", F.when((m >= 2) & b["mapped"].isin(*type_abbr), F.concat(F.slice(tokens, F.lit(1), m - 2), F.array(glue))).otherwise(tokens))
-    return q.select("query_id", "text", "tag", "tag_stem", "town", "town_needle", "tokens", (F.trim("text") != "").alias("typed"))
+    return cut_lineage(q.select("query_id", "text", "tag", "tag_stem", "town", "town_needle", "tokens", (F.trim("text") != "").alias("typed")))
 
 
 def nothing_searchable(parsed: DataFrame) -> DataFrame:
@@ -141,7 +142,7 @@ def guide_query(places: DataFrame, guide: str, filters: Filters, text: str, orde
     if not text.strip():
         out = base.orderBy(*keys)
         return out.limit(limit) if limit is not None else out
-    parsed = parse_queries(spark.range(1).select(F.lit(1).alias("query_id"), F.lit(text).alias("text")), towns if towns is not None else town_lookup(places))
+    parsed = parse_queries(spark.createDataFrame([(1, text)], "query_id int, text string"), towns if towns is not None else town_lookup(places))
     hits = search_match(base, parsed)
     hits = hits.withColumn("lead", F.lit(1)) if guide in RANKED_GUIDES else name_first(hits)
     out = base.join(hits.select("place_id", "lead"), F.col("id") == F.col("place_id")).orderBy("lead", *keys).drop("place_id", "lead")
