@@ -79,7 +79,7 @@ def chain_size(df: DataFrame, *, id: str, brand: str, domain: str, first_word: s
 
 def crosstab(df: DataFrame, by: str, column: str, values) -> DataFrame:
     """Counts per row key with the given values as columns."""
-    return df.groupBy(by).pivot(column, list(values)).agg(F.count("*")).fillna(0)
+    return df.groupBy(by).pivot(column, list(values)).agg(F.count(F.lit(1))).fillna(0)
 
 
 def city_dashboard(df: DataFrame, *, city="city", guides: dict[str, Column], group="insp_group", cuisine="cuisine", default_cuisine="", top=10, listed: Column | None = None) -> DataFrame:

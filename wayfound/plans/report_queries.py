@@ -45,13 +45,13 @@ def coverage_report(spark, sf):
     return S.coverage_report(lic, lst, "area", found=F.col("c_acctbal") > 0, placed=F.col("c_custkey") % 4 > 0, matched=F.col("s_acctbal") > 5000)
 
 
-_WORDS = {"data": r"\bdata\b", "price": r"\bprices?\b", "water": r"\bwater\b"}
+_WORDS = {"this": r"\bthis\b", "thed": r"\bthe(?:d|s)\b", "erin": r"\berin\b"}
 _MC = "select gmap_id, " + ", ".join(f"count(*) filter (regexp_matches(t,'{rx}')) as n_{k}, round(avg(rating) filter (regexp_matches(t,'{rx}')),3) as r_{k}" for k, rx in _WORDS.items()) + \
     " from (select gmap_id, lower(text) as t, rating from fx_review) where " + " or ".join(f"regexp_matches(t,'{rx}')" for rx in _WORDS.values()) + " group by gmap_id"
 
 
 def _mentions(spark, sf):
-    return S.mention_counts(view(spark, sf, "fx_review"), _WORDS, by="gmap_id", prefilter="data|price|water")
+    return S.mention_counts(view(spark, sf, "fx_review"), _WORDS, by="gmap_id", prefilter="this|the|erin")
 
 
 @C.add("mention_counts", _MC, ["fx_review"])
@@ -59,10 +59,10 @@ def mention_counts(spark, sf):
     return _mentions(spark, sf)
 
 
-@C.add("mention_strength", f"select m.gmap_id as gmap_id, n_data+n_water as n, n_data+n_water>=3 and n_data+n_water>=0.02*t.reviews as strong from ({_MC}) m join (select gmap_id, count(*) as reviews from fx_review group by 1) t on m.gmap_id=t.gmap_id", ["fx_review"])
+@C.add("mention_strength", f"select m.gmap_id as gmap_id, n_this+n_erin as n, n_this+n_erin>=3 and n_this+n_erin>=0.02*t.reviews as strong from ({_MC}) m join (select gmap_id, count(*) as reviews from fx_review group by 1) t on m.gmap_id=t.gmap_id", ["fx_review"])
 def mention_strength(spark, sf):
     totals = view(spark, sf, "fx_review").groupBy("gmap_id").agg(F.count("*").alias("reviews"))
-    return S.mention_strength(_mentions(spark, sf), totals, "gmap_id", ["n_data", "n_water"]).select("gmap_id", (F.col("n_data") + F.col("n_water")).alias("n"), "strong")
+    return S.mention_strength(_mentions(spark, sf), totals, "gmap_id", ["n_this", "n_erin"]).select("gmap_id", (F.col("n_this") + F.col("n_erin")).alias("n"), "strong")
 
 
 @C.add("chain_size", """with s as (select id, case when id%3=0 then brand end as b, case when id%5<>0 then 'site'||(id%40)||'.com' end as dom, split_part(name,' ',1) as w from fx_place), t as (select *, case when b is null and dom is not null and dom<>'site3.com' then dom||'|'||w end as g from s)
