@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import vocab as V
-from ._col import col, text
+from ._col import col, let, text
 
 
 def url_host(c) -> Column:
@@ -17,11 +17,11 @@ def url_host(c) -> Column:
 
 def registrable_domain(host, second_level=V.CC_SECOND_LEVEL) -> Column:
     """Last two labels of a host, three for names like x.co.uk; null without a dot."""
-    parts = F.split(host, r"\.")
-    n = F.size(parts)
-    wide = (n >= 3) & F.try_element_at(parts, F.lit(-2)).isin(*second_level) & (F.length(F.try_element_at(parts, F.lit(-1))) == 2)
-    take = F.when(wide, F.lit(3)).otherwise(F.lit(2))
-    return F.when(n >= 2, F.array_join(F.slice(parts, n - take + 1, take), "."))
+    def last(parts):
+        n = F.size(parts)
+        wide = (n >= 3) & F.try_element_at(parts, F.lit(-2)).isin(*second_level) & (F.length(F.try_element_at(parts, F.lit(-1))) == 2)
+        return F.when(n >= 2, F.array_join(F.slice(parts, n - F.when(wide, 2).otherwise(1), F.lit(3)), "."))
+    return let(F.split(host, r"\."), last)
 
 
 def url_registrable_domain(c, aggregators=V.AGGREGATORS, second_level=()) -> Column:

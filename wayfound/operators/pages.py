@@ -22,11 +22,27 @@ def domain_of(url) -> Column:
 
 
 def page_links(html, own: Column) -> Column:
-    """array<struct<href, text, host, away>> of the absolute links; ``own`` is the array of the site's own domains."""
+    """array<struct<href, text, host, domain, away>> of the absolute links; ``own`` is the array of the site's own domains."""
     h, t = F.regexp_extract_all(html, F.lit(_LINK), F.lit(1)), F.regexp_extract_all(html, F.lit(_LINK), F.lit(2))
-    return F.transform(F.arrays_zip(h.alias("href"), t.alias("text")), lambda x: F.struct(
-        x["href"].alias("href"), F.regexp_replace(x["text"], "<[^>]+>", " ").alias("text"), url_host(x["href"]).alias("host"),
-        (~F.array_contains(own, F.coalesce(domain_of(x["href"]), F.lit("")))).alias("away")))
+    parts = F.transform(F.arrays_zip(h.alias("href"), t.alias("text")), lambda x: F.struct(
+        x["href"].alias("href"), F.regexp_replace(x["text"], "<[^>]+>", " ").alias("text"), url_host(x["href"]).alias("host")))
+    named = F.transform(parts, lambda x: F.struct(x["href"].alias("href"), x["text"].alias("text"), x["host"].alias("host"),
+                                                  F.coalesce(registrable_domain(x["host"], CC_SECOND_LEVEL), F.lit("")).alias("domain")))
+    return F.transform(named, lambda x: F.struct(x["href"].alias("href"), x["text"].alias("text"), x["host"].alias("host"), x["domain"].alias("domain"),
+                                                 (~F.array_contains(own, x["domain"])).alias("away")))
+
+
+def _judged(links) -> Column:
+    """Links away with what their host and text say, each tested once."""
+    flags = {"exempt": ("host", (P.CASINO_HOSTS_OK, P.REAL_CASINO_PLACE)), "bet_host": ("host", (P.GAMBLING_HOST,)), "bet_text": ("text", (P.BETTING,)), "casino_word": ("text", (P.FOREIGN_CASINO,)),
+             "casino_link": ("text", (P.FOREIGN_CASINO_LINK,)), "adult_host": ("host", (P.ADULT_HOST,)), "adult_text": ("text", (P.ADULT_TEXT,)), "pharma_host": ("host", (P.PHARMA_HOST,)),
+             "pharma_text": ("text", (P.PHARMA_TEXT,)), "farm": ("text", (P.FARM_TEXT,)), "lot_host": ("host", (P.HOST_4D,)), "lot_text": ("text", (P.CJK_GAMBLING, P.INDO_GAMING)), "benign": ("host", (P.BENIGN_HOST,))}
+
+    def judge(l):
+        test = lambda field, rxs: F.greatest(*[l[field].rlike(rx) for rx in rxs]) if len(rxs) > 1 else l[field].rlike(rxs[0])
+        said = F.concat(l["href"], F.lit(" :: "), F.substring(F.trim(F.regexp_replace(l["text"], r"\s+", " ")), 1, 120))
+        return F.struct(l["href"].alias("href"), l["domain"].alias("domain"), said.alias("said"), *[test(f, rxs).alias(n) for n, (f, rxs) in flags.items()])
+    return F.transform(F.filter(links, lambda l: l["away"]), judge)
 
 
 def extract_links(pages: DataFrame, *, id="page_id", url="url", html="html") -> DataFrame:
@@ -40,15 +56,22 @@ def page_text(html) -> Column:
     return F.lower(F.regexp_replace(text(html), P.BLOBS, " "))
 
 
+def _visible_of(t) -> Column:
+    return F.regexp_replace(F.regexp_replace(t, r"(?s)<script\b.*?</script>|<style\b.*?</style>", " "), "<[^>]+>", " ")
+
+
 def visible_text(html) -> Column:
     """Lower-case text without scripts, styles and tags."""
-    return F.regexp_replace(F.regexp_replace(page_text(html), r"(?s)<script\b.*?</script>|<style\b.*?</style>", " "), "<[^>]+>", " ")
+    return _visible_of(page_text(html))
+
+
+def _head_of(t) -> Column:
+    return F.concat_ws(" ", F.regexp_extract_all(t, F.lit(_TITLE), F.lit(1)), F.regexp_extract_all(t, F.lit(_DESCRIPTION), F.lit(1)))
 
 
 def page_head(html) -> Column:
     """Titles and descriptions in lower case."""
-    t = page_text(html)
-    return F.concat_ws(" ", F.regexp_extract_all(t, F.lit(_TITLE), F.lit(1)), F.regexp_extract_all(t, F.lit(_DESCRIPTION), F.lit(1)))
+    return _head_of(page_text(html))
 
 
 def _element_body(rest, tag) -> Column:
@@ -80,8 +103,13 @@ def hidden_block_rows(pages: DataFrame, *, id="page_id", url="url", html="html")
     return d.select(id, "b.kind", F.transform(F.filter(page_links(F.col("b.html"), F.col("own")), lambda l: l["away"]), lambda l: l["href"]).alias("links"))
 
 
-def _context(hay, pattern, width=150) -> Column:
-    hit = F.regexp_substr(hay, F.lit(pattern))
+def _low(pattern: str) -> str:
+    """The pattern for text that is lower case already (much cheaper than ignoring case)."""
+    return pattern[4:] if pattern.startswith("(?i)") else pattern
+
+
+def _around(hay, hit, width=150) -> Column:
+    """The hit with some text on both sides; null without a hit."""
     return F.trim(F.regexp_replace(F.substring(hay, F.greatest(F.call_function("locate", hit, hay) - width, F.lit(1)), F.length(hit) + 2 * width), r"\s+", " "))
 
 
@@ -89,66 +117,66 @@ def _rule(name, fires, evidence) -> Column:
     return F.when(F.coalesce(fires, F.lit(False)), F.struct(F.lit(name).alias("rule"), F.substring(evidence, 1, 360).alias("evidence")))
 
 
+RULE_ORDER = ("spam-text", "betting-words", "injected", "adult-link", "pharma-link", "lottery-link", "farm-link-text", "gambling-link", "foreign-gambling-text", "keyword-spam", "spam-title",
+              "hidden-anchor", "cjk-gambling", "indonesian-gaming", "lottery-4d", "pharma-text", "adult-text", "hidden-block", "hidden-noscript", "offpage-link")
+
+
 def page_spam_reasons(pages: DataFrame, *, id="page_id", url="url", html="html", final: str | None = None, name: str | None = None, casino: Column | None = None) -> DataFrame:
     """(page_id, rule, evidence): every rule a page breaks, one row per rule with its first evidence. A clean page has no row."""
     p = pages.select(F.col(id), F.col(url).alias("u"), F.coalesce(F.col(final or url), F.col(url)).alias("f"), text(html).alias("html"), (text(name) if name else F.lit("")).alias("name"),
                      (casino if casino is not None else F.lit(False)).alias("given"))
-    p = p.withColumn("own", F.array(F.coalesce(domain_of("u"), F.lit("")), F.coalesce(domain_of("f"), F.lit("")))).withColumn("t", page_text("html"))
-    p = p.withColumn("head", page_head("html")).withColumn("vis", visible_text("html")).withColumn("links", F.filter(page_links(F.col("html"), F.col("own")), lambda l: l["away"]))
-    host = url_host("u")
-    p = p.withColumn("casino", F.coalesce(F.col("given"), F.lit(False)) | F.col("name").rlike(P.CASINO_PLACE) | host.rlike(P.CASINO_HOSTS_OK) | host.rlike(P.REAL_CASINO_PLACE))
-    p = p.withColumn("blocks", F.filter(F.transform(hidden_blocks(F.col("html")), lambda b: F.struct(b["kind"].alias("kind"), F.filter(page_links(b["html"], F.col("own")), lambda l: l["away"]).alias("links"))),
-                                        lambda b: F.size(b["links"]) > 0))
-    t, head, vis, links, ok = F.col("t"), F.col("head"), F.col("vis"), F.col("links"), ~F.col("casino")
-    exempt = lambda l: l["host"].rlike(P.CASINO_HOSTS_OK) | l["host"].rlike(P.REAL_CASINO_PLACE)
-    gambles = lambda l, rx=P.FOREIGN_CASINO_LINK: l["host"].rlike(P.GAMBLING_HOST) | l["text"].rlike(P.BETTING) | l["text"].rlike(rx)
-    show = lambda l: F.concat(l["href"], F.lit(" :: "), F.substring(F.trim(F.regexp_replace(l["text"], r"\s+", " ")), 1, 120))
-
-    def link_rule(rule, cond, when=None):
-        hits = F.filter(links, cond)
-        fires = (F.size(hits) > 0) if when is None else when & (F.size(hits) > 0)
-        return _rule(rule, fires, show(F.get(hits, 0)))
-    twice = lambda hay, rx: F.regexp_count(hay, F.lit(rx)) >= 2
-    either = lambda rx: head.rlike(rx) | vis.rlike(rx)
-    shown = lambda rx: F.when(vis.rlike(rx), _context(vis, rx)).otherwise(F.substring(head, 1, 200))
-    injected = F.filter(links, lambda l: ~exempt(l) & gambles(l, P.FOREIGN_CASINO))
-    anchors = F.filter(F.transform(F.regexp_extract_all("html", F.lit(_STYLED_LINK), F.lit(1)), lambda a: F.struct(
-        F.regexp_extract(a, r"""(?is)\bstyle\s*=\s*(["'])(.*?)\1""", 2).alias("style"), F.regexp_extract(a, r"""(?i)\bhref=["'](https?://[^"']+)["']""", 1).alias("href"))),
-        lambda a: a["style"].rlike(P.OFFSCREEN_POS) & ~F.array_contains(F.col("own"), F.coalesce(domain_of(a["href"]), F.lit(""))) & ~url_host(a["href"]).rlike(P.BENIGN_HOST))
-    spammy = lambda l: (((l["host"].rlike(P.GAMBLING_HOST) | l["text"].rlike(P.BETTING)) & ok) | l["host"].rlike(P.ADULT_HOST) | l["host"].rlike(P.PHARMA_HOST)
-                        | (l["text"].rlike(P.FOREIGN_CASINO_LINK) | l["text"].rlike(P.ADULT_TEXT) | l["text"].rlike(P.PHARMA_TEXT) | l["text"].rlike(P.FARM_TEXT))
-                        & (ok | ~(l["host"].rlike(P.GAMBLING_HOST) | l["text"].rlike(P.BETTING))))
-    odd = lambda b: F.filter(b["links"], lambda l: ~l["host"].rlike(P.BENIGN_HOST))
-    off_ui = lambda b: ~F.startswith(b["kind"], F.lit("ui:")) & (b["kind"] != "noscript")
-    farm = lambda b: (F.size(F.array_distinct(F.transform(odd(b), lambda l: domain_of(l["href"])))) >= 3) & off_ui(b)
-    bad_block = lambda b: F.exists(b["links"], spammy) | farm(b)
-    block = lambda want: F.filter(F.col("blocks"), lambda b: bad_block(b) & ((b["kind"] == "noscript") if want == "noscript" else (b["kind"] != "noscript")))
-    told = lambda b: F.concat(F.lit("["), b["kind"], F.lit("] "), F.array_join(F.transform(F.slice(b["links"], 1, 5), show), "; "))
-    far = F.filter(F.col("blocks"), lambda b: ~bad_block(b) & (F.size(odd(b)) > 0) & off_ui(b) & b["kind"].rlike(P.OFFSCREEN_FAR))
-    rules = [
-        _rule("spam-text", t.rlike(P.SPAM) | F.col("f").rlike(P.SPAM), F.when(t.rlike(P.SPAM), _context(t, P.SPAM)).otherwise(F.col("f"))),
-        _rule("betting-words", ok & (head.rlike(P.BETTING) | twice(t, P.BETTING_PROSE)), F.coalesce(_context(t, P.BETTING), head)),
-        _rule("injected", ok & ((F.size(injected) > 0) | t.rlike(P.FOREIGN_CASINO)), F.coalesce(show(F.get(injected, 0)), _context(t, P.FOREIGN_CASINO))),
-        link_rule("adult-link", lambda l: l["host"].rlike(P.ADULT_HOST) | l["text"].rlike(P.ADULT_TEXT)),
-        link_rule("pharma-link", lambda l: l["host"].rlike(P.PHARMA_HOST) | l["text"].rlike(P.PHARMA_TEXT)),
-        link_rule("lottery-link", lambda l: l["host"].rlike(P.HOST_4D) | l["text"].rlike(P.CJK_GAMBLING) | l["text"].rlike(P.INDO_GAMING), ok),
-        link_rule("farm-link-text", lambda l: l["text"].rlike(P.FARM_TEXT) & ~l["host"].rlike(P.BENIGN_HOST)),
-        link_rule("gambling-link", lambda l: ~exempt(l) & gambles(l), ok),
-        _rule("foreign-gambling-text", ok & vis.rlike(P.FOREIGN_EXT), _context(vis, P.FOREIGN_EXT)),
-        _rule("keyword-spam", twice(vis, P.JP_SPAM), _context(vis, P.JP_SPAM)),
-        _rule("spam-title", ok & (head.rlike(P.SPAM) | head.rlike(P.BETTING_PROSE) | head.rlike(P.FOREIGN_CASINO) | head.rlike(P.FOREIGN_EXT) | head.rlike(P.CJK_GAMBLING) | head.rlike(P.PHARMA_TEXT) | head.rlike(P.JP_SPAM)),
-              F.substring(head, 1, 200)),
-        _rule("hidden-anchor", F.size(anchors) > 0, F.concat(F.lit("["), F.get(anchors, 0)["style"], F.lit("] "), F.get(anchors, 0)["href"])),
-        _rule("cjk-gambling", ok & either(P.CJK_GAMBLING), shown(P.CJK_GAMBLING)),
-        _rule("indonesian-gaming", ok & either(P.INDO_GAMING), shown(P.INDO_GAMING)),
-        _rule("lottery-4d", ok & either(P.LOTTERY_4D), shown(P.LOTTERY_4D)),
-        _rule("pharma-text", twice(vis, P.PHARMA_TEXT), _context(vis, P.PHARMA_TEXT)),
-        _rule("adult-text", twice(vis, P.ADULT_TEXT), _context(vis, P.ADULT_TEXT)),
-        _rule("hidden-block", F.size(block("block")) > 0, told(F.get(block("block"), 0))),
-        _rule("hidden-noscript", F.size(block("noscript")) > 0, told(F.get(block("noscript"), 0))),
-        _rule("offpage-link", F.size(far) > 0, told(F.get(far, 0))),
-    ]
-    return p.select(id, F.explode(F.array_compact(F.array(*rules))).alias("r")).select(id, "r.rule", "r.evidence")
+    p = p.withColumn("own", F.array(F.coalesce(domain_of("u"), F.lit("")), F.coalesce(domain_of("f"), F.lit("")))).withColumn("t", page_text("html")).withColumn("h", url_host("u"))
+    p = p.withColumn("head", _head_of(F.col("t"))).withColumn("vis", _visible_of(F.col("t"))).withColumn("links", _judged(page_links(F.col("html"), F.col("own"))))
+    p = p.withColumn("ok", ~(F.coalesce(F.col("given"), F.lit(False)) | F.col("name").rlike(P.CASINO_PLACE) | F.col("h").rlike(P.CASINO_HOSTS_OK) | F.col("h").rlike(P.REAL_CASINO_PLACE)))
+    t, head, vis, ok = F.col("t"), F.col("head"), F.col("vis"), F.col("ok")
+    # hidden blocks with links away, each judged once
+    p = p.withColumn("blocks", F.filter(F.transform(hidden_blocks(F.col("html")), lambda b: F.struct(b["kind"].alias("kind"), _judged(page_links(b["html"], F.col("own"))).alias("links"))), lambda b: F.size(b["links"]) > 0))
+    spammy = lambda l: (((l["bet_host"] | l["bet_text"]) & ok) | ((l["adult_host"] | l["pharma_host"] | l["casino_link"] | l["adult_text"] | l["pharma_text"] | l["farm"]) & (ok | ~(l["bet_host"] | l["bet_text"]))))
+
+    def weigh(b):
+        open_ui = F.startswith(b["kind"], F.lit("ui:")) | (b["kind"] == "noscript")
+        odd = F.filter(b["links"], lambda l: ~l["benign"])
+        farm = (F.size(F.array_distinct(F.transform(odd, lambda l: l["domain"]))) >= 3) & ~open_ui
+        told = F.concat(F.lit("["), b["kind"], F.lit("] "), F.array_join(F.transform(F.slice(b["links"], 1, 5), lambda l: l["said"]), "; "))
+        return F.struct(b["kind"].alias("kind"), told.alias("told"), (F.exists(b["links"], spammy) | farm).alias("bad"), ((F.size(odd) > 0) & ~open_ui & b["kind"].rlike(P.OFFSCREEN_FAR)).alias("far"))
+    p = p.withColumn("blocks", F.transform("blocks", weigh))
+    # links that are themselves hidden off the page
+    styled = F.transform(F.regexp_extract_all("html", F.lit(_STYLED_LINK), F.lit(1)), lambda a: F.struct(
+        F.regexp_extract(a, r"""(?is)\bstyle\s*=\s*(["'])(.*?)\1""", 2).alias("style"), F.regexp_extract(a, r"""(?i)\bhref=["'](https?://[^"']+)["']""", 1).alias("href")))
+    p = p.withColumn("anchors", F.filter(styled, lambda a: a["style"].rlike(P.OFFSCREEN_POS) & ~F.array_contains(F.col("own"), F.coalesce(domain_of(a["href"]), F.lit(""))) & ~url_host(a["href"]).rlike(P.BENIGN_HOST)))
+    firsts = {"adult-link": (None, lambda l: l["adult_host"] | l["adult_text"]), "pharma-link": (None, lambda l: l["pharma_host"] | l["pharma_text"]), "lottery-link": (ok, lambda l: l["lot_host"] | l["lot_text"]),
+              "farm-link-text": (None, lambda l: l["farm"] & ~l["benign"]), "gambling-link": (ok, lambda l: ~l["exempt"] & (l["bet_host"] | l["bet_text"] | l["casino_link"])),
+              "injected": (ok, lambda l: ~l["exempt"] & (l["bet_host"] | l["bet_text"] | l["casino_word"]))}
+    p = p.withColumn("first", F.struct(*[F.get(F.filter("links", cond), 0)["said"].alias(n) for n, (_, cond) in firsts.items()],
+                                       *[F.get(F.filter("blocks", cond), 0)["told"].alias(n) for n, cond in {"hidden-block": lambda b: b["bad"] & (b["kind"] != "noscript"), "hidden-noscript": lambda b: b["bad"] & (b["kind"] == "noscript"),
+                                                                                                        "offpage-link": lambda b: ~b["bad"] & b["far"]}.items()]))
+    # words of the page, each pattern tried once
+    hits = {"spam": (t, P.SPAM), "foreign": (t, P.FOREIGN_CASINO), "betting": (t, P.BETTING), "ext": (vis, P.FOREIGN_EXT), "jp": (vis, P.JP_SPAM), "cjk": (vis, P.CJK_GAMBLING), "indo": (vis, P.INDO_GAMING),
+            "lot": (vis, P.LOTTERY_4D), "pharma": (vis, P.PHARMA_TEXT), "adult": (vis, P.ADULT_TEXT)}
+    p = p.withColumn("hit", F.struct(*[F.regexp_substr(hay, F.lit(_low(rx))).alias(n) for n, (hay, rx) in hits.items()]))
+    p = p.withColumn("head_hit", F.struct(*[head.rlike(_low(rx)).alias(n) for n, rx in {"spam": P.SPAM, "betting": P.BETTING, "prose": P.BETTING_PROSE, "foreign": P.FOREIGN_CASINO, "ext": P.FOREIGN_EXT, "cjk": P.CJK_GAMBLING,
+                                                                                        "pharma": P.PHARMA_TEXT, "jp": P.JP_SPAM, "indo": P.INDO_GAMING, "lot": P.LOTTERY_4D}.items()]))
+    hit, hh, first = (lambda n: F.col("hit." + n)), (lambda n: F.col("head_hit." + n)), (lambda n: F.col("first.`" + n + "`"))
+    ctx = lambda hay, n: _around(hay, hit(n))
+    title = F.substring(head, 1, 200)
+    twice = lambda n, hay, rx: hit(n).isNotNull() & (F.regexp_count(hay, F.lit(_low(rx))) >= 2)
+    link_rule = lambda n: _rule(n, first(n).isNotNull() if firsts[n][0] is None else firsts[n][0] & first(n).isNotNull(), first(n))
+    block_rule = lambda n: _rule(n, first(n).isNotNull(), first(n))
+    rules = {
+        "spam-text": _rule("spam-text", hit("spam").isNotNull() | F.col("f").rlike(P.SPAM), F.coalesce(ctx(t, "spam"), F.col("f"))),
+        "betting-words": _rule("betting-words", ok & (hh("betting") | (hit("betting").isNotNull() & (F.regexp_count(t, F.lit(_low(P.BETTING_PROSE))) >= 2))), F.coalesce(ctx(t, "betting"), title)),
+        "injected": _rule("injected", ok & (first("injected").isNotNull() | hit("foreign").isNotNull()), F.coalesce(first("injected"), ctx(t, "foreign"))),
+        "adult-link": link_rule("adult-link"), "pharma-link": link_rule("pharma-link"), "lottery-link": link_rule("lottery-link"), "farm-link-text": link_rule("farm-link-text"), "gambling-link": link_rule("gambling-link"),
+        "foreign-gambling-text": _rule("foreign-gambling-text", ok & hit("ext").isNotNull(), ctx(vis, "ext")),
+        "keyword-spam": _rule("keyword-spam", twice("jp", vis, P.JP_SPAM), ctx(vis, "jp")),
+        "spam-title": _rule("spam-title", ok & F.greatest(*[hh(n) for n in ("spam", "prose", "foreign", "ext", "cjk", "pharma", "jp")]), title),
+        "hidden-anchor": _rule("hidden-anchor", F.size("anchors") > 0, F.concat(F.lit("["), F.get("anchors", 0)["style"], F.lit("] "), F.get("anchors", 0)["href"])),
+        "cjk-gambling": _rule("cjk-gambling", ok & (hh("cjk") | hit("cjk").isNotNull()), F.coalesce(ctx(vis, "cjk"), title)),
+        "indonesian-gaming": _rule("indonesian-gaming", ok & (hh("indo") | hit("indo").isNotNull()), F.coalesce(ctx(vis, "indo"), title)),
+        "lottery-4d": _rule("lottery-4d", ok & (hh("lot") | hit("lot").isNotNull()), F.coalesce(ctx(vis, "lot"), title)),
+        "pharma-text": _rule("pharma-text", twice("pharma", vis, P.PHARMA_TEXT), ctx(vis, "pharma")), "adult-text": _rule("adult-text", twice("adult", vis, P.ADULT_TEXT), ctx(vis, "adult")),
+        "hidden-block": block_rule("hidden-block"), "hidden-noscript": block_rule("hidden-noscript"), "offpage-link": block_rule("offpage-link")}
+    return p.select(id, F.explode(F.array_compact(F.array(*[rules[n] for n in RULE_ORDER]))).alias("r")).select(id, "r.rule", "r.evidence")
 
 
 def obfuscated_script(html) -> Column:
@@ -158,9 +186,10 @@ def obfuscated_script(html) -> Column:
 
 def parked_rule(html, final) -> Column:
     """Name of the rule when the page is parked, for sale, expired, a default server page or a builder's 'not found'; else null."""
-    t, vis = page_text(html), F.regexp_replace(visible_text(html), r"\s+", " ")
+    t = page_text(html)
+    vis = F.regexp_replace(_visible_of(t), r"\s+", " ")
     return F.when(url_host(final).rlike(P.PARKING_HOSTS), "parking-host").when(t.rlike(P.HOSTING_PLACEHOLDER), "hosting-placeholder") \
-        .when(t.rlike(P.PARKED), "parked-words").when(vis.rlike(P.PARKED_EXTRA) & (F.length(vis) < 8000), "parked")
+        .when(t.rlike(_low(P.PARKED)), "parked-words").when((F.length(vis) < 8000) & vis.rlike(_low(P.PARKED_EXTRA)), "parked")
 
 
 def page_norm(c) -> Column:
@@ -222,7 +251,7 @@ def listed_host(url, hosts) -> Column:
 def link_verdict(pages: DataFrame, spam: DataFrame, *, id="page_id", directories=(), news=(), aliases: dict | None = None, common_towns=()) -> DataFrame:
     """(page_id, ok, why, ship, where_): ordered verdict of a crawled link. Pages carry (page_id, url, final, status, error, html, name, towns, zips,
     phones, streets); ``spam`` is the result of :func:`page_spam_reasons` for the same pages."""
-    first = keep_first(spam, [id], [F.asc("rule")]).select(F.col(id).alias("_s"), F.col("rule").alias("spam_rule"))
+    first = keep_first(spam, [id], [F.array_position(F.array(*[F.lit(r) for r in RULE_ORDER]), F.col("rule")).asc()]).select(F.col(id).alias("_s"), F.col("rule").alias("spam_rule"))
     p = pages.join(first, F.col(id) == F.col("_s"), "left")
     url_d, fin_d = domain_of("url"), domain_of("final")
     is_news = lambda c: (domain_of(c).isin(*news) if news else F.lit(False)) | F.regexp_replace(F.col(c), r"^(?:[a-z]+://)?[^/?#]*", "").rlike(P.ARTICLE)
