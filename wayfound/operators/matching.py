@@ -101,21 +101,16 @@ def one_to_one_classes(pairs: DataFrame, l_members: DataFrame, r_members: DataFr
 def suppress(edges: DataFrame) -> DataFrame:
     """Ranked suppression over conflict edges (hi, lo, hi_rank): scanning by rank, a row goes when an already kept row conflicts with it.
     Returns (loser, survivor), the survivor being the best-ranked kept row in conflict. ``hi_rank`` orders rows, smallest first."""
-    rest, parts = cut_lineage(edges.select("hi", "lo", "hi_rank").distinct()), []
+    edges = cut_lineage(edges.select("hi", "lo", "hi_rank").distinct())
+    rest, lost = edges, None
     while not rest.isEmpty():
         kept = rest.select("hi").distinct().join(rest.select(F.col("lo").alias("hi")).distinct(), "hi", "left_anti")
-        gone = rest.join(kept, "hi", "left_semi").groupBy(F.col("lo").alias("loser")).agg(F.min(F.struct("hi_rank", "hi")).alias("m")) \
-            .select("loser", F.col("m.hi").alias("survivor"))
-        gone = cut_lineage(gone)
-        parts.append(gone)
-        out = gone.select("loser")
-        rest = cut_lineage(rest.join(out, rest["lo"] == out["loser"], "left_anti").join(out, rest["hi"] == out["loser"], "left_anti"))
-    if not parts:
-        return rest.select(F.col("lo").alias("loser"), F.col("hi").alias("survivor"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        gone = cut_lineage(rest.join(kept, "hi", "left_semi").select(F.col("lo").alias("loser")).distinct())
+        lost = gone if lost is None else lost.unionByName(gone)
+        rest = cut_lineage(rest.join(gone, rest["lo"] == gone["loser"], "left_anti").join(gone, rest["hi"] == gone["loser"], "left_anti"))
+    if lost is not None:
+        edges = edges.join(lost, edges["hi"] == lost["loser"], "left_anti")
+    return edges.groupBy(F.col("lo").alias("loser")).agg(F.min(F.struct("hi_rank", "hi")).alias("m")).select("loser", F.col("m.hi").alias("survivor"))
 
 
 def _conflicts(df: DataFrame, radius: float, block: str, extra: Callable | None = None) -> DataFrame:
