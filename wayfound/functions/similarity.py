@@ -109,11 +109,12 @@ def _none(town_words) -> Column:
     return str_array(()) if town_words is None else town_words
 
 
-def name_sim(a, b, town_words: Column | None = None) -> Column:
-    """Composite similarity of two name keys. ``town_words`` is an array column of words that name places, not businesses."""
+def name_sim(a, b, town_words: Column | None = None, stems_a=None, stems_b=None) -> Column:
+    """Composite similarity of two name keys. ``town_words`` is an array column of words that name places, not businesses; stems may be
+    passed in where they are already columns."""
     a, b, town = col(a), col(b), _none(town_words)
     joined_a, joined_b = F.replace(a, F.lit(" "), F.lit("")), F.replace(b, F.lit(" "), F.lit(""))
-    sa, sb = name_stems(a), name_stems(b)
+    sa, sb = (name_stems(a) if stems_a is None else col(stems_a)), (name_stems(b) if stems_b is None else col(stems_b))
     shared = F.array_intersect(sa, sb)
     ratio = _ratio(a, b)
     ours, theirs = F.array_distinct(words(a)), F.array_distinct(words(b))
@@ -121,7 +122,7 @@ def name_sim(a, b, town_words: Column | None = None) -> Column:
     small, large = F.least(F.size(ours), F.size(theirs)), F.greatest(F.size(ours), F.size(theirs))
     tset = sim_token_set(a, b)
     tset = F.when((n_both < 0.5 * small + 0.5) | (n_both < 0.4 * large), F.least(tset, F.lit(72.0))).otherwise(tset)
-    bare = lambda s: F.array_sort(F.array_except(s, str_array(V.FILLER)))
+    bare = lambda s: F.array_sort(F.filter(s, lambda w: ~w.isin(*V.FILLER)))
     town_only = (F.size(F.array_except(shared, town)) == 0) & (F.array_join(bare(sa), " ") != F.array_join(bare(sb), " ")) & (ratio < 95)
     return F.when((joined_a == joined_b) | (_ratio(joined_a, joined_b) >= 92), F.lit(96.0)) \
             .when((F.size(shared) == 0) & (ratio < 95), F.lit(60.0)).when(town_only, F.lit(60.0)) \
@@ -130,8 +131,7 @@ def name_sim(a, b, town_words: Column | None = None) -> Column:
 
 def real_share(stems_a, stems_b, town_words: Column | None = None) -> Column:
     """Do two stem sets share a distinctive word? A town's name counts only when it is the whole name on both sides."""
-    filler = str_array(V.FILLER)
-    a, b = F.array_except(col(stems_a), filler), F.array_except(col(stems_b), filler)
+    a, b = (F.filter(col(s), lambda w: ~w.isin(*V.FILLER)) for s in (stems_a, stems_b))
     both = F.array_intersect(a, b)
     whole = (F.size(both) == F.size(F.array_distinct(a))) & (F.size(both) == F.size(F.array_distinct(b)))
     return (F.size(both) > 0) & ((F.size(F.array_except(both, _none(town_words))) > 0) | whole)
@@ -152,8 +152,12 @@ _NOTE = r"(?i)\s*\((?!\s*(?:formerly|fka|f/k/a|was)\b)[^)]*\)"
 
 def same_business(a, b, town_words: Column | None = None, brand_a=None, brand_b=None) -> Column:
     """Are two names one business? An empty name key agrees with everything; names that say different things served never agree."""
-    ka = norm_name(F.regexp_replace(text(a), _NOTE, " "))
-    kb = norm_name(F.regexp_replace(text(b), _NOTE, " "))
+    return same_key(norm_name(F.regexp_replace(text(a), _NOTE, " ")), norm_name(F.regexp_replace(text(b), _NOTE, " ")), town_words, brand_a, brand_b)
+
+
+def same_key(ka, kb, town_words: Column | None = None, brand_a=None, brand_b=None) -> Column:
+    """:func:`same_business` for name keys."""
+    ka, kb = col(ka), col(kb)
     fa, fb = F.replace(ka, F.lit(" "), F.lit("")), F.replace(kb, F.lit(" "), F.lit(""))
     town = _none(town_words)
     wa, wb = F.array_except(name_stems(ka), town), F.array_except(name_stems(kb), town)

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 from . import vocab as V
-from ._col import any_word, chain, col, let, lookup, squeeze, steps, str_array, text, words
+from ._col import any_word, chain, col, let, lookup, squeeze, steps, text, words
 
 ACCENTS, PLAIN = "ÁÀÂÄÉÈÊËÍÌÎÏÓÒÔÖÚÙÛÜÑÇ", "AAAAEEEEIIIIOOOOUUUUNC"
 
@@ -150,9 +150,9 @@ def town_key(c) -> Column:
 
 def name_stems(key, generic=V.GENERIC) -> Column:
     """Distinctive words of a name key: no generic words, plural S dropped from longer words."""
-    own = F.array_except(words(key), str_array(generic))
+    own = F.filter(words(key), lambda w: ~w.isin(*generic))
     stems = F.transform(own, lambda w: F.when((F.length(w) > 3) & w.endswith("S"), F.substring(w, F.lit(1), F.length(w) - 1)).otherwise(w))
-    return F.array_except(stems, str_array(generic))
+    return F.array_distinct(F.filter(stems, lambda w: ~w.isin(*generic)))
 
 
 def name_kinds(key, kinds=V.KINDS) -> Column:

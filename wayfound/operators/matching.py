@@ -11,10 +11,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.address import core_street, street_compat
-from ..functions.similarity import close_words, name_sim, real_share, same_business, sim_ratio, sim_token_set
+from ..functions.similarity import close_words, name_sim, real_share, same_business, same_key, sim_ratio, sim_token_set
 from ..functions.text import kind_conflict, name_stems
 from .fuzzy import near_text_pairs
-from .scale import cut_lineage, keep_first, ranked, top_rows
+from .scale import cut_lineage, keep_first, on_distinct, ranked, top_rows
 from .spatial import proximity_join
 
 TAIL_ROUNDS, TAIL_EDGES = 8, 100_000
@@ -202,10 +202,11 @@ def similar_name_pairs(left: DataFrame, right: DataFrame, *, block: str, town_wo
         .select(F.col("l_lid").alias("lid"), F.col("r_rid").alias("rid"), F.col("l_lk").alias("lk"), F.col("r_keys").alias("keys"), F.lit(False).alias("same_addr"), F.col("dist_m").alias("dist"))
     cand = by_addr.unionByName(near).groupBy("lid", "rid").agg(F.first("lk").alias("lk"), F.first("keys").alias("keys"), F.max("same_addr").alias("same_addr"), F.min("dist").alias("dist"))
     one = cand.withColumn("rk", F.explode("keys"))
-    one = one.withColumn("_tw", tw) if tw is not None else one.withColumn("_tw", F.array().cast("array<string>"))
-    sl, sr, t = name_stems("lk"), name_stems("rk"), F.col("_tw")
-    one = one.select("lid", "rid", "same_addr", "dist", name_sim("lk", "rk", t).alias("s"), kind_conflict("lk", "rk").alias("conflict"), same_business("lk", "rk", t).alias("same"),
-                     (real_share(sl, sr, t) | close_words(F.array_except(sl, t), F.array_except(sr, t))).alias("share"))
+    t = tw if tw is not None else F.array().cast("array<string>")
+    one = on_distinct(one, ["lk", "rk"], {
+        "s": name_sim("lk", "rk", F.col("_tw"), "_sl", "_sr"), "conflict": kind_conflict("lk", "rk"), "same": same_key("lk", "rk", F.col("_tw")),
+        "share": real_share("_sl", "_sr", F.col("_tw")) | close_words(F.array_except("_sl", "_tw"), F.array_except("_sr", "_tw"))},
+        prepare={"_tw": t, "_sl": name_stems("lk"), "_sr": name_stems("rk")})
     best = one.groupBy("lid", "rid").agg(F.max("same_addr").alias("same_addr"), F.min("dist").alias("dist"), F.max("s").alias("s"),
                                          F.bool_and("conflict").alias("all_conflict"), F.bool_or("same").alias("same"), F.bool_or("share").alias("share"))
     shared = F.col("share") & ~F.col("all_conflict")
@@ -251,14 +252,17 @@ def hand_checked_twin(unlicensed: DataFrame, licensed: DataFrame, *, near_m=150.
     business by name; the closest name wins. Both carry (id, name, k, num, street, county, lat, lon)."""
     l, r = (d.select("id", "name", "k", "num", "street", "county", "lat", "lon") for d in (unlicensed, licensed))
     pre = lambda d, p: d.select(*[F.col(c).alias(p + c) for c in d.columns])
-    at = pre(l, "l_").join(pre(r, "r_"), (F.col("l_num") == F.col("r_num")) & (F.col("l_street") == F.col("r_street")))
-    near = proximity_join(l, r, radius_m=near_m).drop("dist_m")
-    cand = at.unionByName(near).distinct().filter(F.col("l_county").isNull() | (F.col("l_county") == F.col("r_county")))
+    here = F.col("l_county").isNull() | (F.col("l_county") == F.col("r_county"))
+    at = pre(l, "l_").join(pre(r, "r_"), (F.col("l_num") == F.col("r_num")) & (F.col("l_street") == F.col("r_street")) & here)
+    near = proximity_join(l, r, radius_m=near_m).drop("dist_m").filter(here)
+    cand = at.unionByName(near)
     gap = F.abs(F.col("l_num").try_cast("bigint") - F.col("r_num").try_cast("bigint"))
     cand = cand.filter(~F.coalesce(street_compat("l_street", "r_street") & (gap > max_number_gap), F.lit(False)))
     tw = town_words if town_words is not None else F.array().cast("array<string>")
-    cand = cand.withColumn("_tw", tw).withColumn("same", same_business("l_name", "r_name", F.col("_tw"))).withColumn("s", sim_ratio("l_k", "r_k")).filter("same")
-    return top_rows(cand, ["l_id"], [F.desc("s"), F.asc("r_id")]).select(F.col("l_id").alias("id"), F.col("r_id").alias("twin"))
+    cand = on_distinct(cand, ["l_name", "r_name"], {"same": same_business("l_name", "r_name", F.col("_tw"))}, prepare={"_tw": tw}).filter("same")
+    cand = on_distinct(cand, ["l_k", "r_k"], {"s": sim_ratio("l_k", "r_k")})
+    best = cand.groupBy(F.col("l_id").alias("id")).agg(F.min(F.struct((-F.col("s")).alias("s"), F.col("r_id").alias("twin"))).alias("m"))
+    return best.select("id", "m.twin")
 
 
 def point_by_name_town(unplaced: DataFrame, places: DataFrame, *, min_ratio=92.0, max_spread=0.002) -> DataFrame:

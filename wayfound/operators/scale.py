@@ -98,6 +98,16 @@ def exact_median(df: DataFrame, by, cols) -> DataFrame:
     return mid.groupBy(*by).agg(*[pick(c, "m").alias("median_" + c) for c in cols], *[pick(c, "total").alias("n_" + c) for c in cols])
 
 
+def on_distinct(df: DataFrame, cols, values: dict[str, Column], prepare: dict[str, Column] | None = None) -> DataFrame:
+    """Adds costly columns computed once per distinct combination of ``cols`` (names repeat: chains, copies), then joined back. ``prepare`` names
+    helper columns computed first, for the value expressions to share."""
+    d = df.select(*cols).distinct()
+    for name, expr in (prepare or {}).items():
+        d = d.withColumn(name, expr)
+    d = d.select(*[F.col(c).alias("_d_" + c) for c in cols], *[v.alias(n) for n, v in values.items()])
+    return df.join(d, [F.col(c).eqNullSafe(F.col("_d_" + c)) for c in cols]).drop(*["_d_" + c for c in cols])
+
+
 def mode_value(df: DataFrame, by, value: str, out: str, n: str | None = None) -> DataFrame:
     """Most frequent non-null value per key, the smallest on ties; ``n`` names an extra count column."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))

@@ -274,9 +274,14 @@ def _pair_rows(spark, sf):
     return r.join(p, (F.col("county_id") == F.col("rc")) & (F.col("id") % 40 == F.col("reg_id") % 40))
 
 
+def _scored(spark, sf, values, prepare=None):
+    """Scores of all pairs, computed once per distinct pair of names."""
+    return scale.on_distinct(_pair_rows(spark, sf), ["a", "b"], values, prepare).select("reg_id", "id", *values)
+
+
 @C.add("sim_ratio", _PAIRS.format(a="a", b="b") + " select reg_id, id, round(s,6) as score from pr join lcs using (a,b)", ["fx_registry", "fx_place"])
 def sim_ratio(spark, sf):
-    return _pair_rows(spark, sf).select("reg_id", "id", F.round(S.sim_ratio("a", "b"), 6).alias("score"))
+    return _scored(spark, sf, {"score": F.round(S.sim_ratio("a", "b"), 6)})
 
 
 _SW = "array_to_string(list_sort(string_split({},' ')),' ')"
@@ -284,22 +289,35 @@ _SW = "array_to_string(list_sort(string_split({},' ')),' ')"
 
 @C.add("sim_token_sort", _PAIRS.format(a=_SW.format("a"), b=_SW.format("b")) + f" select reg_id, id, round(s,6) as score from pr join lcs on lcs.a={_SW.format('pr.a')} and lcs.b={_SW.format('pr.b')}", ["fx_registry", "fx_place"])
 def sim_token_sort(spark, sf):
-    return _pair_rows(spark, sf).select("reg_id", "id", F.round(S.sim_token_sort("a", "b"), 6).alias("score"))
+    return _scored(spark, sf, {"score": F.round(S.sim_token_sort("a", "b"), 6)})
+
+
+@C.add("sim_token_set")
+def sim_token_set(spark, sf):
+    return _scored(spark, sf, {"score": F.round(S.sim_token_set("a", "b"), 4)})
+
+
+@C.add("sim_partial")
+def sim_partial(spark, sf):
+    return _scored(spark, sf, {"score": F.round(S.sim_partial("a", "b"), 4)})
+
+
+_STEMS = lambda: {"sa": T.name_stems("a"), "sb": T.name_stems("b")}
 
 
-for _key, _fn in {"sim_token_set": S.sim_token_set, "sim_partial": S.sim_partial, "name_sim": S.name_sim}.items():
-    C.add(_key)(lambda spark, sf, _fn=_fn: _pair_rows(spark, sf).select("reg_id", "id", F.round(_fn("a", "b"), 4).alias("score")))
+@C.add("name_sim")
+def name_sim(spark, sf):
+    return _scored(spark, sf, {"score": F.round(S.name_sim("a", "b", None, "sa", "sb"), 4)}, _STEMS())
 
 
 @C.add("same_business")
 def same_business(spark, sf):
-    return _pair_rows(spark, sf).select("reg_id", "id", S.same_business("a", "b").alias("same"))
+    return _scored(spark, sf, {"same": S.same_business("a", "b")})
 
 
 @C.add("real_share")
 def real_share(spark, sf):
-    a, b = T.name_stems("a"), T.name_stems("b")
-    return _pair_rows(spark, sf).select("reg_id", "id", S.real_share(a, b).alias("shared"), S.close_words(a, b).alias("close"))
+    return _scored(spark, sf, {"shared": S.real_share("sa", "sb"), "close": S.close_words("sa", "sb")}, _STEMS())
 
 
 @C.add("town_word_set", "select distinct w as word from (select unnest([w, case when length(w)>3 and w like '%S' then substr(w,1,length(w)-1) else w end]) as w from (select unnest(string_split(upper(c_mktsegment),' ')) as w from customer union all select unnest(['AMELIA','BEACHES','ROSA']) as w) where length(w)>=4) where w not in ('BEACHES','BEACH')")
