@@ -274,6 +274,42 @@ def _pair_rows(spark, sf):
     return r.join(p, (F.col("county_id") == F.col("rc")) & (F.col("id") % 40 == F.col("reg_id") % 40))
 
 
+def _SW_SQL(c):
+    return f"array_to_string(list_sort(string_split({c},' ')),' ')"
+
+
+def _lcs(ctes: str, prs: str) -> str:
+    """Common table expressions ending in lcs(a, b, s): similarity of the text pairs of ``prs``."""
+    return f"""with recursive pr as (select r.reg_id as reg_id, p.id as id, p.name as a, {sql_norm('r.name')} as b from fx_registry r join fx_place p on p.county_id=r.county_id and p.id%40=r.reg_id%40),
+ u as (select distinct a, b from pr), {ctes}prs as (select distinct a, b from ({prs})),
+ dp(a,b,i,r) as (select a,b,0, list_transform(range(0,length(b)+1), lambda x: cast(0 as bigint)) from prs union all
+  select a,b,i+1, list_transform(range(1,length(b)+2), lambda k: list_max(list_slice(t,1,k))) from (select a,b,i, list_transform(range(0,length(b)+1), lambda j: case when j=0 then 0 else greatest(r[j+1], r[j]+case when substr(b,j,1)=substr(a,i+1,1) then 1 else 0 end) end) as t from dp where i<length(a))),
+ lcs as (select a,b, 200e0*r[length(b)+1]/greatest(length(a)+length(b),1) as s from dp where i=length(a))"""
+
+
+_WORDS_OF = "list_distinct(string_split({},' '))"
+_TSET = """w as (select a, b, array_to_string(list_sort(list_filter(wa, lambda x: list_contains(wb,x))),' ') as both_, array_to_string(list_sort(list_filter(wa, lambda x: not list_contains(wb,x))),' ') as oa,
+  array_to_string(list_sort(list_filter(wb, lambda x: not list_contains(wa,x))),' ') as ob from (select a, b, list_distinct(string_split(a,' ')) as wa, list_distinct(string_split(b,' ')) as wb from u)),
+ ts as (select *, trim(both_||' '||oa) as ta, trim(both_||' '||ob) as tb from w), """
+_TSET_PRS = "select ta as a, tb as b from ts union all select both_, ta from ts union all select both_, tb from ts"
+_TSET_OUT = """tset as (select ts.a as a, ts.b as b, case when both_<>'' and (oa='' or ob='') then 100e0 else greatest(x.s, case when both_<>'' then y.s else 0 end, case when both_<>'' then z.s else 0 end) end as s from ts
+  join lcs x on x.a=ta and x.b=tb join lcs y on y.a=both_ and y.b=ta join lcs z on z.a=both_ and z.b=tb)"""
+_SIM_PARTIAL = _lcs("""v as (select a, b, case when length(a)<=length(b) then a else b end as sh, case when length(a)<=length(b) then b else a end as lo from u),
+ win as (select a, b, sh, substr(lo, greatest(k,0)+1, least(k+length(sh), length(lo))-greatest(k,0)) as w from (select *, unnest(range(1-length(sh), length(lo))) as k from v)), """, "select sh as a, w as b from win") + \
+    ", best as (select win.a as a, win.b as b, max(s) as s from win join lcs on lcs.a=sh and lcs.b=w group by 1,2) select reg_id, id, round(s,4) as score from pr join best on pr.a=best.a and pr.b=best.b"
+_STEM_CTE = f"st as (select a, b, {sql_stems('a')} as sa, {sql_stems('b')} as sb from u), "
+_FILL = "(" + ",".join("'" + w + "'" for w in V.FILLER) + ")"
+_REAL = _lcs(_STEM_CTE + "wp as (select a, b, x, unnest(sb) as y from (select a, b, unnest(sa) as x, sb from st)), wl as (select * from wp where length(x)>=5 and length(y)>=5), ", "select x as a, y as b from wl") + \
+    f""", cl as (select wl.a as a, wl.b as b, max(s) as s from wl join lcs on lcs.a=x and lcs.b=y group by 1,2)
+ select reg_id, id, list_has_any(list_filter(sa, lambda w: w not in {_FILL}), list_filter(sb, lambda w: w not in {_FILL})) as shared, list_has_any(sa,sb) or coalesce(cl.s,0)>=85 as close from pr join st on pr.a=st.a and pr.b=st.b left join cl on pr.a=cl.a and pr.b=cl.b"""
+_JOIN = "replace({},' ','')"
+_NAME_SIM = _lcs(_STEM_CTE + _TSET, _TSET_PRS + f" union all select a, b from u union all select {_JOIN.format('a')}, {_JOIN.format('b')} from u union all select {_SW_SQL('a')}, {_SW_SQL('b')} from u") + f""", {_TSET_OUT},
+ f as (select u.a as a, u.b as b, j.s as js, r.s as rs, o.s as os, t.s as tss, sa, sb, len(list_filter({_WORDS_OF.format('u.a')}, lambda x: list_contains(string_split(u.b,' '),x))) as nb, len({_WORDS_OF.format('u.a')}) as na, len({_WORDS_OF.format('u.b')}) as nn from u
+  join lcs j on j.a={_JOIN.format('u.a')} and j.b={_JOIN.format('u.b')} join lcs r on r.a=u.a and r.b=u.b join lcs o on o.a={_SW_SQL('u.a')} and o.b={_SW_SQL('u.b')} join tset t on t.a=u.a and t.b=u.b join st on st.a=u.a and st.b=u.b),
+ sc as (select a, b, case when js>=92 then 96 when not list_has_any(sa,sb) and rs<95 then 60 else greatest(case when nb<0.5*least(na,nn)+0.5 or nb<0.4*greatest(na,nn) then least(tss,72) else tss end, rs, os) end as s from f)
+ select reg_id, id, round(s,4) as score from pr join sc on pr.a=sc.a and pr.b=sc.b"""
+
+
 def _scored(spark, sf, values, prepare=None):
     """Scores of all pairs, computed once per distinct pair of names."""
     return scale.on_distinct(_pair_rows(spark, sf), ["a", "b"], values, prepare).select("reg_id", "id", *values)
@@ -292,20 +328,21 @@ def sim_token_sort(spark, sf):
     return _scored(spark, sf, {"score": F.round(S.sim_token_sort("a", "b"), 6)})
 
 
-@C.add("sim_token_set")
+@C.add("sim_token_set", _lcs(_TSET, _TSET_PRS) + ", " + _TSET_OUT + " select reg_id, id, round(s,4) as score from pr join tset on pr.a=tset.a and pr.b=tset.b", ["fx_registry", "fx_place"])
 def sim_token_set(spark, sf):
     return _scored(spark, sf, {"score": F.round(S.sim_token_set("a", "b"), 4)})
 
 
-@C.add("sim_partial")
+@C.add("sim_partial", _SIM_PARTIAL, ["fx_registry", "fx_place"])
 def sim_partial(spark, sf):
     return _scored(spark, sf, {"score": F.round(S.sim_partial("a", "b"), 4)})
 
 
-_STEMS = lambda: {"sa": T.name_stems("a"), "sb": T.name_stems("b")}
+def _STEMS():
+    return {"sa": T.name_stems("a"), "sb": T.name_stems("b")}
 
 
-@C.add("name_sim")
+@C.add("name_sim", _NAME_SIM, ["fx_registry", "fx_place"])
 def name_sim(spark, sf):
     return _scored(spark, sf, {"score": F.round(S.name_sim("a", "b", None, "sa", "sb"), 4)}, _STEMS())
 
@@ -315,11 +352,32 @@ def same_business(spark, sf):
     return _scored(spark, sf, {"same": S.same_business("a", "b")})
 
 
-@C.add("real_share")
+@C.add("real_share", _REAL, ["fx_registry", "fx_place"])
 def real_share(spark, sf):
     return _scored(spark, sf, {"shared": S.real_share("sa", "sb"), "close": S.close_words("sa", "sb")}, _STEMS())
 
 
+@C.add("close_words", _REAL.replace(" select reg_id, id, list_has_any(", " select reg_id, id, close from (select reg_id, id, list_has_any(") + ")", ["fx_registry", "fx_place"])
+def close_words(spark, sf):
+    return _scored(spark, sf, {"close": S.close_words("sa", "sb")}, _STEMS())
+
+
+@C.add("kind_conflict", f"select r.reg_id as reg_id, (len({_KIND_SQL.format('r.name')})>0 and len({_KIND_SQL.format('p.name')})>0 and not list_has_any({_KIND_SQL.format('r.name')},{_KIND_SQL.format('p.name')})) as conflict from fx_registry r join fx_place p on p.id=r.reg_id+5", ["fx_registry", "fx_place"])
+def kind_conflict(spark, sf):
+    r, p = view(spark, sf, "fx_registry").withColumnRenamed("name", "rname"), view(spark, sf, "fx_place")
+    return r.join(p, F.col("id") == F.col("reg_id") + 5).select("reg_id", T.kind_conflict("rname", "name", _KINDS).alias("conflict"))
+
+
+@C.add("url_key", "select page_id, rtrim(regexp_replace(regexp_replace(lower(url),'^[a-z]+://',''),'^www\\.',''),'/') as key from fx_url", ["fx_url"])
+def url_key(spark, sf):
+    return view(spark, sf, "fx_url").select("page_id", U.url_key("url").alias("key"))
+
+
+@C.add("day_number", "select o_orderkey, date_diff('day', date '2000-01-01', cast(o_orderdate as date)) as day_no, strftime(o_orderdate,'%Y-%m-%d') as iso from orders")
+def day_number(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", R.day_number(F.to_date("o_orderdate")).alias("day_no"), R.iso_day("o_orderdate").alias("iso"))
+
+
 @C.add("town_word_set", "select distinct w as word from (select unnest([w, case when length(w)>3 and w like '%S' then substr(w,1,length(w)-1) else w end]) as w from (select unnest(string_split(upper(c_mktsegment),' ')) as w from customer union all select unnest(['AMELIA','BEACHES','ROSA']) as w) where length(w)>=4) where w not in ('BEACHES','BEACH')")
 def town_word_set(spark, sf):
     return S.town_word_rows(table(spark, sf, "customer"), "c_mktsegment", extra=("AMELIA", "BEACHES", "ROSA"))
