@@ -156,6 +156,8 @@ def test_similar_name_pairs_rules(spark):
     r = spark.createDataFrame([(10, "X", ["GULL ROCK"], ["12"], "MAIN AVE", 26.0005, -81.0), (11, "X", ["BLUE MOON"], ["40"], "OAK AVE", 26.0, -81.0), (12, "Y", ["GULL ROCK"], ["12"], "MAIN ST", 26.0, -81.0)], "rid int, c string, keys array<string>, nums array<string>, street string, lat double, lon double")
     got = M.similar_name_pairs(l, r, block="c").collect()
     assert [(x.lid, x.rid, x.rule) for x in got] == [(1, 10, "address")]
+    copies = l.unionByName(l.filter("lid = 1").withColumn("lid", F.lit(7))).unionByName(l.filter("lid = 1").withColumn("lid", F.lit(8)))
+    assert sorted((x.lid, x.rid) for x in M.match_listings(copies, r, block="c").collect()) == [(1, 10), (7, 10), (8, 10)]
 
 
 def test_curated_match_tiers(spark):

@@ -16,10 +16,14 @@ def first_rule(c, rules, default=None) -> Column:
     return F.coalesce(*hits, F.lit(default).cast("string"))
 
 
+MAX_RULES = 10_000
+
+
 def apply_rule_table(df: DataFrame, column: str, rules: DataFrame, out: str) -> DataFrame:
     """First matching rule of a rules table (priority, label, pattern) for each distinct text. Rules are joined as one sorted list per pass,
     so rows are neither multiplied nor moved."""
-    sorted_rules = rules.agg(F.array_sort(F.collect_list(F.struct("priority", "label", "pattern"))).alias("r"))
+    listed = F.array_sort(F.collect_list(F.struct("priority", "label", "pattern")))
+    sorted_rules = rules.agg(F.when(F.count("*") <= MAX_RULES, listed).otherwise(F.raise_error(F.lit(f"more than {MAX_RULES} rules"))).alias("r"))
     j = df.withColumn("_rules", sorted_rules.scalar())
     hit = F.filter("_rules", lambda r: F.call_function("rlike", text(column), r["pattern"]))
     return j.withColumn(out, F.get(hit, 0)["label"]).drop("_rules")

@@ -217,6 +217,17 @@ def similar_name_pairs(left: DataFrame, right: DataFrame, *, block: str, town_wo
     return best.select("lid", "rid", score.alias("score"), rule.alias("rule"), "same").filter(F.col("rule").isNotNull() & F.col("same")).drop("same")
 
 
+def match_listings(left: DataFrame, right: DataFrame, *, block: str, **rules) -> DataFrame:
+    """(lid, rid, score, rule): the best registry row of each listing (a registry row may serve several). Both sides go in as classes of equal
+    rows, so copies neither meet copies nor are scored again; a class's registry id is its smallest."""
+    lk, rk = [block, "k", "nums", "street", "lat", "lon"], [block, "keys", "nums", "street", "lat", "lon"]
+    lc, lm = classes(left, lk, "lid")
+    rc, _ = classes(right, rk, "rid")
+    pairs = similar_name_pairs(lc.withColumnRenamed("cls", "lid"), rc.withColumnRenamed("cls", "rid"), block=block, **rules)
+    best = top_rows(pairs, ["lid"], [F.desc("score"), F.asc("rid")]).withColumnRenamed("lid", "cls")
+    return lm.join(best, "cls").select("lid", "rid", "score", "rule")
+
+
 def curated_match(curated: DataFrame, places: DataFrame, *, addr_score=60.0, town_score=90.0, state_score=95.0, max_number_gap=40) -> DataFrame:
     """Researched rows to places: (cid, pid, tier). Tier 1: one street number and street, similar name, same town or zip. Tier 2: the only
     near-equal name in the town. Tier 3: the only near-equal name anywhere. Tiers 2 and 3 skip chains and rows whose own address is

@@ -69,7 +69,7 @@ def sparse_encode(df: DataFrame, columns, row: str = "row", below: float = 0.05)
     """Long table (column, row, value) of the sparse columns' non-null values."""
     items = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
     cells = df.select(row, F.explode(items).alias("e")).select("e.column", row, "e.value").filter(F.col("value").isNotNull())
-    return cells.join(F.broadcast(sparse_columns(df, columns, below).select("column")), "column", "left_semi")
+    return cells.join(sparse_columns(df, columns, below).select("column"), "column", "left_semi")
 
 
 def sparse_decode(index: DataFrame, cells: DataFrame, columns: dict[str, str], row: str = "row") -> DataFrame:

@@ -5,12 +5,12 @@
                     numbered on its own, and small per-range counts give the offsets.
 * ``running_total`` exact running sum in the same way.
 * ``exact_median``  exact medians from counts per distinct value.
-* ``until_stable``  rounds of an iterative rule, lineage cut with reliable checkpoints after each round.
+* ``on_distinct``   costly columns once per distinct input.
+* ``cut_lineage``   reliable checkpoints between the rounds of an iterative rule and behind stages that are read several times.
 """
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -127,19 +127,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="wayfound-checkpoints-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
-
-
-def until_stable(state: DataFrame, step: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> DataFrame | None:
-    """Repeat ``step(state) -> (accepted, rest)`` until nothing is left; returns all accepted rows. Each round must accept at least one row
-    while any is left."""
-    parts = []
-    rest = cut_lineage(state)
-    while not rest.isEmpty():
-        accepted, remaining = step(rest)
-        accepted = cut_lineage(accepted)
-        parts.append(accepted)
-        rest = cut_lineage(remaining(accepted) if callable(remaining) else remaining)
-    out = parts[0] if parts else None
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out

@@ -13,7 +13,7 @@ def latest_results(spark: SparkSession, sf: str) -> DataFrame:
     last = latest_visit(visits, "key").select("key", lookup(EVENT_GROUP, "disp").alias("grp"))
     who = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
     where = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
-    placed = last.join(who, F.col("key") == F.col("c_custkey"), "left").join(F.broadcast(where), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    placed = last.join(who, F.col("key") == F.col("c_custkey"), "left").join(where, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     return placed.groupBy(F.col("r_name").alias("region")).agg(
         *[F.count_if(F.col("grp") == g).alias(n) for n, g in (("met", 0), ("followup", 1), ("closed", 2))],
         F.count_if(F.col("grp").isNull()).alias("ungrouped"))

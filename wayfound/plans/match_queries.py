@@ -112,6 +112,12 @@ def similar_name_join(spark, sf):
     return M.similar_name_pairs(l, r, block="county_id").select("lid", "rid", F.round("score", 4).alias("score"), "rule")
 
 
+@C.add("match_listings")
+def match_listings(spark, sf):
+    l, r = _keyed(spark, sf)
+    return M.match_listings(l, r, block="county_id").select("lid", "rid", F.round("score", 4).alias("score"), "rule")
+
+
 _EXACT = "with e as (select l.id as lid, r.reg_id as rid, cast(100 - abs(l.id-r.reg_id)%7 as double) as score from fx_place l join fx_registry r on l.county_id=r.county_id and l.name=r.name)"
 
 

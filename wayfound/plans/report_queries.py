@@ -103,11 +103,9 @@ def min_listed_having(spark, sf):
     return S.min_listed(view(spark, sf, "fx_place"), "name", 30)
 
 
-@C.add("dish_frequency", "select item, count(*) as n from (select distinct l_orderkey, lower(p_type) as item from lineitem join part on l_partkey=p_partkey) group by item having count(*)>=2 order by n desc, item limit 10")
+@C.add("dish_frequency", "select item, count(*) as n from (select distinct doc_id, lower(trim(unnest(string_split(text,'; ')))) as item from documents) where item<>'' group by item having count(*)>=2 order by n desc, item limit 10")
 def dish_frequency(spark, sf):
-    j = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    lists = j.groupBy("l_orderkey").agg(F.array_join(F.collect_list("p_type"), "; ").alias("dishes"))
-    return S.dish_frequency(lists, "dishes", top=10)
+    return S.dish_frequency(table(spark, sf, "documents"), "text", top=10)
 
 
 @C.add("collect_link_context", "select source, (select string_agg(n,',' order by n) from (select distinct cast(n_chars%50 as varchar) as n from documents x where x.source=d.source order by n limit 8)) as sizes, (select string_agg(l,',' order by l) from (select distinct lang as l from documents x where x.source=d.source order by l limit 8)) as langs from (select distinct source from documents) d")
