@@ -180,7 +180,7 @@ def delta_encode(spark, sf):
 @C.add("decode_columnar_sparse", f"with {_ROWS} select row, round_even(lat*10000,0)/10000 as lat, round_even(lon*10000,0)/10000 as lon, cast(note_year as bigint) as note_year from rows", ["fx_place"])
 def decode_columnar_sparse(spark, sf):
     rows = _export_rows(spark, sf)
-    coords = N.delta_decode(N.delta_encode(rows, {"lat": 10000, "lon": 10000}), {"lat": 10000, "lon": 10000})
+    coords = N.delta_decode(scale.cut_lineage(N.delta_encode(rows, {"lat": 10000, "lon": 10000})), {"lat": 10000, "lon": 10000})
     cells = N.sparse_encode(rows, ["note_year", "founded"])
     notes = N.sparse_decode(rows, cells, {"note_year": "bigint"}).withColumnRenamed("row", "_r2")
     return coords.join(notes, F.col("row") == F.col("_r2")).drop("_r2")
