@@ -25,15 +25,26 @@ def words(c) -> Column:
     return F.filter(F.split(col(c), " "), lambda w: w != "")
 
 
+def _literal(v) -> str:
+    """A value as SQL text: long literal lists are sent to the engine as one expression, not value by value."""
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{v!r}D" if isinstance(v, float) else str(v).lower() if isinstance(v, bool) else str(v)
+
+
 def str_array(values) -> Column:
     vals = list(values)
-    return F.array(*[F.lit(v) for v in vals]) if vals else F.array().cast("array<string>")
+    return F.expr("array(" + ",".join(_literal(v) for v in vals) + ")") if vals else F.array().cast("array<string>")
+
+
+def one_of(c, values) -> Column:
+    """Is the text one of the listed values?"""
+    return F.array_contains(str_array(values), col(c))
 
 
 def lookup(mapping: dict, key, default=None) -> Column:
     """Literal-map lookup; unknown keys give ``default`` (null when omitted)."""
-    pairs = [F.lit(x) for kv in mapping.items() for x in kv]
-    found = F.try_element_at(F.create_map(*pairs), col(key))
+    found = F.try_element_at(F.expr("map(" + ",".join(_literal(x) for kv in mapping.items() for x in kv) + ")"), col(key))
     return found if default is None else F.coalesce(found, default if isinstance(default, Column) else F.lit(default))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import vocab as V
-from ._col import chain, let, lookup, squeeze, text, words
+from ._col import chain, let, lookup, one_of, squeeze, text, words
 
 _UNIT = (r"\s(?:(?:STE|SUITE|UNIT|APT|PMB|DEPT|TRLR)\b|#|(?:BLDG|BLD|BUILDING|SPACE|SP|SPC|BAY|LOT|KIOSK|FLOOR|FL|FLR|RM|ROOM|STALL|"
          r"SHOP|BOOTH)\s*#?\s*[A-Z]?-?\d).*$")
@@ -45,9 +45,9 @@ def _cut_after_type(w) -> Column:
     """Street words up to the first street type that is not the first word, with one direction after it; at most six."""
     def cut(at):
         after = F.try_element_at(w, at + 1)
-        keep = F.when(at.isNull(), F.size(w)).when(after.isin(*V.DIRECTIONS), at + 1).otherwise(at)
+        keep = F.when(at.isNull(), F.size(w)).when(one_of(after, V.DIRECTIONS), at + 1).otherwise(at)
         return F.array_join(F.slice(w, F.lit(1), F.greatest(F.least(keep, F.lit(6)), F.lit(0))), " ")
-    return let(F.array_min(F.filter(F.transform(w, lambda x, i: F.when(x.isin(*V.STREET_TYPES) & (i > 0), i + 1)), lambda i: i.isNotNull())), cut)
+    return let(F.array_min(F.filter(F.transform(w, lambda x, i: F.when(one_of(x, V.STREET_TYPES) & (i > 0), i + 1)), lambda i: i.isNotNull())), cut)
 
 
 def street_key(c) -> Column:
@@ -57,7 +57,7 @@ def street_key(c) -> Column:
 
 
 def _core(street) -> Column:
-    return F.filter(words(street), lambda w: ~w.isin(*V.DIRECTIONS) & ~w.isin(*V.STREET_TYPES))
+    return F.filter(words(street), lambda w: ~one_of(w, V.DIRECTIONS) & ~one_of(w, V.STREET_TYPES))
 
 
 def core_street(street) -> Column:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 from . import vocab as V
-from ._col import col, str_array, text, words
+from ._col import col, one_of, str_array, text, words
 from .text import kind_conflict, name_stems, norm_name
 
 
@@ -122,7 +122,7 @@ def name_sim(a, b, town_words: Column | None = None, stems_a=None, stems_b=None)
     small, large = F.least(F.size(ours), F.size(theirs)), F.greatest(F.size(ours), F.size(theirs))
     tset = sim_token_set(a, b)
     tset = F.when((n_both < 0.5 * small + 0.5) | (n_both < 0.4 * large), F.least(tset, F.lit(72.0))).otherwise(tset)
-    bare = lambda s: F.array_sort(F.filter(s, lambda w: ~w.isin(*V.FILLER)))
+    bare = lambda s: F.array_sort(F.filter(s, lambda w: ~one_of(w, V.FILLER)))
     town_only = (F.size(F.array_except(shared, town)) == 0) & (F.array_join(bare(sa), " ") != F.array_join(bare(sb), " ")) & (ratio < 95)
     return F.when((joined_a == joined_b) | (_ratio(joined_a, joined_b) >= 92), F.lit(96.0)) \
             .when((F.size(shared) == 0) & (ratio < 95), F.lit(60.0)).when(town_only, F.lit(60.0)) \
@@ -131,7 +131,7 @@ def name_sim(a, b, town_words: Column | None = None, stems_a=None, stems_b=None)
 
 def real_share(stems_a, stems_b, town_words: Column | None = None) -> Column:
     """Do two stem sets share a distinctive word? A town's name counts only when it is the whole name on both sides."""
-    a, b = (F.filter(col(s), lambda w: ~w.isin(*V.FILLER)) for s in (stems_a, stems_b))
+    a, b = (F.filter(col(s), lambda w: ~one_of(w, V.FILLER)) for s in (stems_a, stems_b))
     both = F.array_intersect(a, b)
     whole = (F.size(both) == F.size(F.array_distinct(a))) & (F.size(both) == F.size(F.array_distinct(b)))
     return (F.size(both) > 0) & ((F.size(F.array_except(both, _none(town_words))) > 0) | whole)

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 from . import vocab as V
-from ._col import any_word, chain, col, let, lookup, squeeze, steps, text, words
+from ._col import any_word, chain, col, let, lookup, one_of, squeeze, steps, text, words
 
 ACCENTS, PLAIN = "ÁÀÂÄÉÈÊËÍÌÎÏÓÒÔÖÚÙÛÜÑÇ", "AAAAEEEEIIIIOOOOUUUUNC"
 
@@ -75,14 +75,14 @@ def _cased(w, low, core, first, addr: bool) -> Column:
     always = (r"^(?:bbq|ii|iii|iv|usa|jj|kfc|ihop|tgi|atm|llc|bp|dj|pb|vfw|amvets|ymca|uf|fsu|ucf|usf|fiu|fau|[a-z])$")
     out = F.when(w == "", w)
     if not addr:
-        out = out.when(~first & low.isin(*V.SMALL_WORDS), low)
+        out = out.when(~first & one_of(low, V.SMALL_WORDS), low)
     out = out.when(low == "bj's", F.lit("BJ's")).when(low.isin("a1a", "i-95", "i-4", "i-75", "i-10"), F.upper(w)) \
              .when(core.rlike(always), F.upper(w))
     if addr:
         out = out.when(core.rlike("^(?:ne|nw|se|sw|us|sr|cr)$"), F.upper(w))
     out = out.when(core.rlike("^(?:dj|bj|jj)'s$"), F.concat(F.upper(F.substring(core, 1, 2)), F.substring(core, 3, 100)))
     if not addr:
-        out = out.when(~core.isin(*V.NOT_ACRONYM) & core.rlike("^[b-df-hj-np-tv-xz]{2,4}$") & ~core.rlike(r"(.)\1\1"), F.upper(w))
+        out = out.when(~one_of(core, V.NOT_ACRONYM) & core.rlike("^[b-df-hj-np-tv-xz]{2,4}$") & ~core.rlike(r"(.)\1\1"), F.upper(w))
     return out.when(low.rlike("^mc[a-z]{3}"), F.concat(F.lit("Mc"), _capital(F.substring(low, 3, 10_000)))) \
               .when(low.rlike("^o'[a-z]{2}"), F.concat(F.lit("O'"), _capital(F.substring(low, 3, 10_000)))) \
               .otherwise(_rejoin_capitals(_capital(low)))
@@ -150,9 +150,9 @@ def town_key(c) -> Column:
 
 def name_stems(key, generic=V.GENERIC) -> Column:
     """Distinctive words of a name key: no generic words, plural S dropped from longer words."""
-    own = F.filter(words(key), lambda w: ~w.isin(*generic))
+    own = F.filter(words(key), lambda w: ~one_of(w, generic))
     stems = F.transform(own, lambda w: F.when((F.length(w) > 3) & w.endswith("S"), F.substring(w, F.lit(1), F.length(w) - 1)).otherwise(w))
-    return F.array_distinct(F.filter(stems, lambda w: ~w.isin(*generic)))
+    return F.array_distinct(F.filter(stems, lambda w: ~one_of(w, generic)))
 
 
 def name_kinds(key, kinds=V.KINDS) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import vocab as V
-from ._col import col, let, text
+from ._col import col, let, one_of, text
 
 
 def url_host(c) -> Column:
@@ -32,7 +32,7 @@ def url_registrable_domain(c, aggregators=V.AGGREGATORS, second_level=()) -> Col
     else:
         parts = F.split(host, r"\.")
         dom = F.when(F.size(parts) >= 2, F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), F.lit(2)), "."))
-    return F.when(~dom.isin(*aggregators), dom)
+    return F.when(~one_of(dom, aggregators), dom)
 
 
 def _is_tracking(pair) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import page_rules as P
-from ..functions._col import col, let, text, words
+from ..functions._col import col, let, one_of, text, words
 from ..functions.text import search_normalize
 from ..functions.urls import registrable_domain, url_host, url_key
 from ..functions.vocab import CC_SECOND_LEVEL
@@ -198,7 +198,7 @@ def page_norm(c) -> Column:
 
 
 def distinctive_words(name) -> Column:
-    return F.filter(words(page_norm(name)), lambda w: (F.length(w) >= 4) & ~w.isin(*P.PAGE_GENERIC))
+    return F.filter(words(page_norm(name)), lambda w: (F.length(w) >= 4) & ~one_of(w, P.PAGE_GENERIC))
 
 
 def _site_name(final) -> Column:
@@ -223,7 +223,7 @@ def page_locates(html, final, *, towns, zips, phones, streets, common_towns=())
     town_ok = lambda v: (F.length(v) >= 4) & (~v.isin(*common_towns) if common_towns else F.lit(True))
 
     def street_hit(h, s):
-        n, core = F.regexp_extract(s, r"^(\d+) ", 1), F.get(F.filter(F.slice(F.split(s, " "), 2, 20), lambda w: (F.length(w) >= 3) & ~w.isin(*P.STREET_WORDS)), 0)
+        n, core = F.regexp_extract(s, r"^(\d+) ", 1), F.get(F.filter(F.slice(F.split(s, " "), 2, 20), lambda w: (F.length(w) >= 3) & ~one_of(w, P.STREET_WORDS)), 0)
         return (n != "") & core.isNotNull() & F.call_function("rlike", h, F.concat(F.lit(r"\b"), n, F.lit(r"\s+(?:\w+\s+){0,2}"), core, F.lit(r"\b")))
     return let(hay, lambda h: F.when(F.exists(F.transform(arr(towns), page_norm), lambda v: town_ok(v) & has(h, v)), "town")
                .when(F.exists(arr(zips), lambda z: has(h, F.substring(z, 1, 5))), "zip")

@@ -101,7 +101,8 @@ def exact_median(df: DataFrame, by, cols) -> DataFrame:
 def on_distinct(df: DataFrame, cols, values: dict[str, Column], prepare: dict[str, Column] | None = None) -> DataFrame:
     """Adds costly columns computed once per distinct combination of ``cols`` (names repeat: chains, copies), then joined back. ``prepare`` names
     helper columns computed first, for the value expressions to share."""
-    d = df.select(*cols).distinct()
+    # few bytes, much work per row: an explicit repartition keeps adaptive execution from merging it into one task
+    d = df.select(*cols).distinct().repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     for name, expr in (prepare or {}).items():
         d = d.withColumn(name, expr)
     d = d.select(*[F.col(c).alias("_d_" + c) for c in cols], *[v.alias(n) for n, v in values.items()])

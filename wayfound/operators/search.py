@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions._col import lookup
+from ..functions._col import lookup, one_of
 from ..functions.text import SEARCH_SYNONYMS, TYPE_SYNONYMS, search_normalize, search_normalize_address
 from .directory import Filters, RANKED_GUIDES, TAG_BITS, guide_filter, sort_order, with_sort_columns
 from .scale import cut_lineage, top_rows
@@ -65,7 +65,7 @@ def parse_queries(queries: DataFrame, towns: DataFrame, *, phrases=TAG_PHRASES,
     grams = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(
         F.sequence(F.lit(1), F.least(F.lit(MAX_TOWN_WORDS), n - i)), lambda k: F.struct(
             i.alias("i"), k.alias("k"), F.array_join(F.slice("mapped", i + 1, k), " ").alias("g"), F.coalesce(F.get("mapped", i + k), F.lit("")).alias("next")))))
-    g = q.filter(n > 0).select("query_id", F.explode(grams).alias("x")).select("query_id", "x.*").filter(~F.col("next").isin(*type_abbr))
+    g = q.filter(n > 0).select("query_id", F.explode(grams).alias("x")).select("query_id", "x.*").filter(~one_of("next", type_abbr))
     hit = g.join(towns, F.col("g") == F.col("town_key"))
     best = top_rows(hit, ["query_id"], [F.desc(F.length("g")), F.asc("g"), F.asc("i")]).select(F.col("query_id").alias("_q"), "town", "i", "k")
     q = q.join(best, F.col("query_id") == F.col("_q"), "left").drop("_q")
@@ -74,21 +74,21 @@ def parse_queries(queries: DataFrame, towns: DataFrame, *, phrases=TAG_PHRASES,
          .withColumn("mapped", F.when(F.col("town").isNull(), F.col("mapped")).otherwise(_without("mapped", F.col("i"), F.col("k"))))
     # the rest: stop words go unless they are all there is
     pairs = F.arrays_zip(F.col("raw").alias("raw"), F.col("mapped").alias("mapped"))
-    keep = F.filter(pairs, lambda w: ~w["mapped"].isin(*stop))
+    keep = F.filter(pairs, lambda w: ~one_of(w["mapped"], stop))
     q = q.withColumn("_w", F.when(F.col("tag").isNotNull() | F.col("town").isNotNull() | (F.size(keep) > 0), keep).otherwise(pairs))
     m = F.size("_w")
 
     def needles(w, i):
         token, last = w["raw"], i == m - 1
-        whole = (token.isin(*abbr) & (~last | (F.length(token) > 1))) | ((F.length(token) <= 2) & ~last)
+        whole = (one_of(token, abbr) & (~last | (F.length(token) > 1))) | ((F.length(token) <= 2) & ~last)
         plain = F.concat(F.lit(" "), token, F.when(whole, F.lit(" ")).otherwise(F.lit("")))
         finish = F.filter(F.array(*[F.when(last & (F.length(token) >= 3) & (token != word) & F.startswith(F.lit(word), token), F.lit(f" {short} ")) for word, short in typ.items()]),
                           lambda x: x.isNotNull())
-        return F.when(token.isin(*syn), F.array(F.concat(F.lit(" "), lookup(syn, token), F.lit(" ")), F.concat(F.lit(" "), token))).otherwise(F.concat(F.array(plain), finish))
+        return F.when(one_of(token, syn), F.array(F.concat(F.lit(" "), lookup(syn, token), F.lit(" ")), F.concat(F.lit(" "), token))).otherwise(F.concat(F.array(plain), finish))
     tokens = F.transform("_w", needles)
     a, b = F.get("_w", m - 2), F.get("_w", m - 1)
     glue = F.array(F.concat(F.lit(" "), a["mapped"], F.lit(" "), b["mapped"], F.lit(" ")), F.concat(F.lit(" "), a["raw"], F.lit(" "), b["raw"]))
-    q = q.withColumn("tokens", F.when((m >= 2) & b["mapped"].isin(*type_abbr), F.concat(F.slice(tokens, F.lit(1), m - 2), F.array(glue))).otherwise(tokens))
+    q = q.withColumn("tokens", F.when((m >= 2) & one_of(b["mapped"], type_abbr), F.concat(F.slice(tokens, F.lit(1), m - 2), F.array(glue))).otherwise(tokens))
     return cut_lineage(q.select("query_id", "text", "tag", "tag_stem", "town", "town_needle", "tokens", (F.trim("text") != "").alias("typed")))
 
 
