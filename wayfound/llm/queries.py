@@ -28,6 +28,11 @@ def _op4(spark, sf):
     return judged_pages(_table(spark, sf, "pages"))
 
 
+def _op5(spark, sf):
+    from .lm import language_model_scores
+    return language_model_scores(_table(spark, sf, "documents"))
+
+
 def _op6(spark, sf):
     from .quality import quality_scores
     return quality_scores(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
@@ -43,6 +48,11 @@ def _op8(spark, sf):
     return shard_documents(_table(spark, sf, "documents"))
 
 
+def _op9(spark, sf):
+    from .repeats import repeats_digest
+    return repeats_digest(_table(spark, sf, "documents"))
+
+
 def _op10(spark, sf):
     from .mixing import mix_digest
     return mix_digest(_table(spark, sf, "documents"))
@@ -53,5 +63,5 @@ from .pivot_search import TOPK_SQL  # noqa: E402
 from .url_lists import URL_SQL  # noqa: E402
 
 CATALOG = {"op1_pivot_topk": (_op1, TOPK_SQL), "op2_simhash": (_op2, None),
-           "op3_decontamination": (_op3, None), "op4_url_filters": (_op4, URL_SQL), "op6_quality": (_op6, None), "op7_toxicity": (_op7, None),
-           "op8_sharding": (_op8, None), "op10_mixing": (_op10, MIX_SQL)}
+           "op3_decontamination": (_op3, None), "op4_url_filters": (_op4, URL_SQL), "op5_lm_scoring": (_op5, None), "op6_quality": (_op6, None), "op7_toxicity": (_op7, None),
+           "op8_sharding": (_op8, None), "op9_repeats": (_op9, None), "op10_mixing": (_op10, MIX_SQL)}
