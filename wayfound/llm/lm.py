@@ -21,7 +21,7 @@ SYMBOLS = (CLASSES + 1) * MEMBERS
 TAIL = CLASSES * MEMBERS                            # first tail symbol
 END = 0                                             # the end of a text
 KNOWN = 1 << 17                                     # words whose counts every task holds; all others are joined
-STREAMS, WINDOW, ROUNDS, RATE = 256, 16, 3, 0.01
+STREAMS, WINDOW, LOOK, ROUNDS, RATE = 512, 16, 64, 3, 0.015
 FLUSH = 200_000                                     # distinct words a task counts before it hands them on
 
 
@@ -52,7 +52,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary(NamedTuple):
-    known: dict                 # word -> (symbol, count) for the KNOWN most frequent
+    known: dict                 # word -> its place in the next two, for the KNOWN most frequent
+    symbol: np.ndarray
+    count: np.ndarray
     counts: np.ndarray          # training tokens per symbol
     tail_log: np.ndarray        # log10 of each tail class's smoothed mass
     tokens: int                 # all training tokens, ends included
@@ -64,13 +66,11 @@ def vocabulary(counts: DataFrame, documents: int, known: int = KNOWN) -> Vocabul
     total = counts.agg(F.sum("n"), F.count("*")).first()
     top = counts.orderBy(F.desc("n"), "word").limit(known).collect()
     heads = min(TAIL - 1, len(top))
-    table, per = {}, np.zeros(SYMBOLS)
+    table = {bytes(r["word"]): i for i, r in enumerate(top)}
+    symbol = np.array([i + 1 if i < heads else TAIL + tail_class(w) for w, i in table.items()], np.uint16)
+    count, per = np.array([r["n"] for r in top], np.int64), np.zeros(SYMBOLS)
     per[END] = documents
-    for i, r in enumerate(top):
-        word = bytes(r["word"])
-        table[word] = (i + 1 if i < heads else TAIL + tail_class(word), r["n"])
-        if i < heads:
-            per[i + 1] = r["n"]
+    per[1:heads + 1] = count[:heads]
     least = (top[heads - 1]["n"], bytes(top[heads - 1]["word"])) if heads else (0, b"")
 
     def run(batches):
@@ -86,7 +86,7 @@ def vocabulary(counts: DataFrame, documents: int, known: int = KNOWN) -> Vocabul
     for r in counts.mapInArrow(run, "at long, n double, d double").groupBy("at").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).collect():
         tail_n[r["at"]], tail_d[r["at"]] = r["n"], r["d"]
     per[TAIL:] = tail_n
-    return Vocabulary(table, per, np.log10(tail_n + 0.1 * (tail_d + 1)), int((total[0] or 0) + documents), int(total[1] + (documents > 0)))
+    return Vocabulary(table, symbol, count, per, np.log10(tail_n + 0.1 * (tail_d + 1)), int((total[0] or 0) + documents), int(total[1] + (documents > 0)))
 
 
 def encoded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
@@ -103,18 +103,15 @@ def encoded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
             cols = [[] for _ in range(8)]
             for t in b.column(2):
                 words = t.as_py().lower().split()
-                got = [find(w) for w in words]
+                at = np.fromiter([find(w, -1) for w in words], np.int64, len(words))
                 symbols = np.empty(len(words) + 1, np.uint16)
-                count = np.zeros(len(words))
-                rest: Counter = Counter()
-                for i, g in enumerate(got):
-                    if g is None:
-                        w = words[i]
-                        symbols[i] = TAIL + tail_class(w)
-                        rest[w] += 1
-                    else:
-                        symbols[i], count[i] = g
+                symbols[:-1] = v.symbol[at] if v.count.size else 0
                 symbols[-1] = END
+                count = v.count[at] if v.count.size else np.zeros(len(words), np.int64)
+                rest: Counter = Counter()
+                for i in np.flatnonzero(at < 0).tolist():
+                    rest[words[i]] += 1
+                    symbols[i], count[i] = TAIL + tail_class(words[i]), 0
                 seen = count > 0
                 logs = np.log10(count[seen] + 0.1)
                 tail = symbols[:-1][seen] >= TAIL
@@ -157,8 +154,11 @@ def step(p, h, symbols, keep=None):
 
 
 def _log_softmax(x):
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    """Row-wise, in place. Logits are small here (states lie in -1 to 1), so one maximum for all rows keeps the exponentials in range."""
+    x -= x.max()
+    sums = np.exp(x) @ np.ones((x.shape[1], 1), np.float32)
+    x -= np.log(sums + np.float32(1e-37))
+    return x
 
 
 def log_likelihood(p, states, symbols, grads=None):
@@ -176,7 +176,7 @@ def log_likelihood(p, states, symbols, grads=None):
         grads[2] += states.T @ d
         grads[3] += d.sum(axis=0)
         back = d @ p[2].T
-    order = np.argsort(cls, kind="stable")
+    order = np.argsort(cls.astype(np.uint8), kind="stable")
     edges = np.searchsorted(cls[order], np.arange(CLASSES + 2))
     for c in range(CLASSES + 1):
         at = order[edges[c]:edges[c + 1]]
@@ -331,9 +331,9 @@ def text_scores(p, texts: list[np.ndarray]) -> np.ndarray:
         owner[:load[s], s] = np.repeat(mine, sizes[mine])
         fresh[np.concatenate([[0], np.cumsum(sizes[mine])[:-1]]), s] = True
     out, h = np.zeros(len(texts)), np.zeros((streams, HIDDEN), np.float32)
-    for at in range(0, len(lay), WINDOW):
+    for at in range(0, len(lay), LOOK):
         states, symbols, owners = [], [], []
-        for t in range(at, min(at + WINDOW, len(lay))):
+        for t in range(at, min(at + LOOK, len(lay))):
             on = int(np.searchsorted(-load, -t, "left"))                # streams with more than t symbols
             f = fresh[t, :on]
             h = h[:on]
