@@ -10,10 +10,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_bytes, shuffle_partitions, stage
+from .common import as_bytes, bitmap, in_bitmap, shuffle_partitions, stage
 from .words import groups_of, prefix_sums, run_hash, split_binary
 
 LENGTH, GRAM, PIECE_BYTES = 400, 128, 1 << 20
+ANCHOR_BITS, DOC_BITS = 26, 23            # sizes of the bit maps that thin exchanges, as powers of two
 POSITION = np.uint64((1 << 24) - 1)
 
 
@@ -28,7 +29,7 @@ def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
 
 
 def pieces_of(sums: np.ndarray, lo: int, hi: int, length: int, gram: int):
-    """Pieces of the text at bytes lo .. hi: (start within the text, count, anchor hash). The strings that start at start .. start + count - 1 share the anchor, the
+    """Pieces of the text at bytes lo .. hi: (start within the text, count, anchor's place, its hash). The strings that start at start .. start + count - 1 share the anchor, the
     leftmost run of ``gram`` bytes of least hash inside them; which it is depends on the string alone."""
     n, width = hi - lo - length + 1, length - gram + 1
     at = np.arange(lo, hi - gram + 1)
@@ -40,7 +41,7 @@ def pieces_of(sums: np.ndarray, lo: int, hi: int, length: int, gram: int):
         least = sliding_min((part & ~POSITION) | np.arange(part.size, dtype=np.uint64), width)
         anchor[i:i + least.size] = (least & POSITION).astype(np.int64) + i
     start = np.flatnonzero(np.diff(anchor, prepend=-1))
-    return start, np.diff(np.append(start, n)), h[anchor[start]]
+    return start, np.diff(np.append(start, n)), anchor[start], h[anchor[start]]
 
 
 def _keys(docs: DataFrame) -> DataFrame:
@@ -50,8 +51,8 @@ def _keys(docs: DataFrame) -> DataFrame:
 
 
 def document_pieces(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(doc, h, start, count, anchor, print): the pieces of every document row; print is the hash of a piece's bytes."""
-    kinds = [("doc", pa.int64()), ("h", pa.int64()), ("start", pa.int64()), ("count", pa.int64()), ("anchor", pa.int64()), ("print", pa.int64())]
+    """(doc, h, start, count, at, anchor, print): the pieces of every document row; ``at`` is the anchor's place, print the hash of a piece's bytes."""
+    kinds = [(c, pa.int64()) for c in ("doc", "h", "start", "count", "at", "anchor", "print")]
 
     def run(batches):
         for b in batches:
@@ -63,46 +64,89 @@ def document_pieces(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 for r in range(i, j):
                     lo, hi = int(off[r] - off[i]), int(off[r + 1] - off[i])
                     if hi - lo >= length:
-                        start, count, anchor = pieces_of(sums, lo, hi, length, gram)
-                        out.append((np.full(start.size, doc[r]), np.full(start.size, h[r]), start, count, anchor.view(np.int64),
+                        start, count, at, anchor = pieces_of(sums, lo, hi, length, gram)
+                        out.append((np.full(start.size, doc[r]), np.full(start.size, h[r]), start, count, at, anchor.view(np.int64),
                                     run_hash(sums, start + lo, start + lo + count + length - 1).view(np.int64)))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, (_, t) in zip(zip(*out), kinds)], names=[n for n, _ in kinds])
-    return _keys(docs).select("doc", "h", "text").mapInArrow(run, "doc long, h long, start long, count long, anchor long, print long")
+    return _keys(docs).select("doc", "h", "text").mapInArrow(run, "doc long, h long, start long, count long, at long, anchor long, print long")
+
+
+def flagged(rows: DataFrame, column: str, flags: np.ndarray) -> DataFrame:
+    """Rows whose 64-bit hash in ``column`` is set in the bit map, and a few more."""
+    i = rows.columns.index(column)
+
+    def run(batches):
+        for b in batches:
+            if len(b):
+                yield b.filter(pa.array(in_bitmap(flags, b.column(i).to_numpy().view(np.uint64))))
+    return rows.mapInArrow(run, rows.schema)
 
 
 def judged_pieces(pieces: DataFrame) -> DataFrame:
-    """(doc, h, start, count, state) of the pieces that matter. 'twice': the whole piece occurs again, so all its strings are repeats. 'open': it occurs once, but its anchor
-    stands elsewhere too. 'told': one occurrence of each repeated piece at such an anchor, which open strings may match."""
-    classes = pieces.groupBy("anchor", "print").agg(F.count("*").alias("n"), F.min("doc").alias("speaker"))
-    anchors = classes.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum((F.col("n") == 1).cast("int")).alias("single"))
+    """(doc, h, start, count, at, state) of the pieces (with a flag ``open``) that matter. 'twice': the whole piece occurs again, so all its strings are repeats. 'open': it
+    occurs once, but its anchor stands elsewhere too. 'told': one occurrence of each repeated piece at such an anchor, which open strings may match."""
+    classes = pieces.groupBy("anchor", "print").agg(F.count("*").alias("n"), F.min("doc").alias("speaker"), F.max("open").alias("open"))
+    single = ((F.col("n") == 1) & F.col("open")).cast("int")
+    anchors = classes.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(single).alias("single"))
     shared = anchors.filter("kinds > 1 and single > 0").select(F.col("anchor").alias("_a"), F.lit(True).alias("shared"))
     of_class = classes.join(shared, F.col("anchor") == F.col("_a"), "left").filter("n > 1 or shared")
     of_class = of_class.select(F.col("anchor").alias("_a"), F.col("print").alias("_p"), "n", "speaker", F.coalesce("shared", F.lit(False)).alias("shared"))
     seen = pieces.join(of_class, (F.col("anchor") == F.col("_a")) & (F.col("print") == F.col("_p")))
     told = F.col("shared") & (F.col("doc") == F.col("speaker"))
-    state = F.when(F.col("n") == 1, "open").when(told, "told").otherwise("twice")
-    return seen.select("doc", "h", "start", "count", state.alias("state"))
+    state = F.when((F.col("n") == 1) & F.col("open"), "open").when(told, "told").otherwise("twice")
+    return seen.select("doc", "h", "start", "count", "at", state.alias("state"))
 
 
-def open_strings(docs: DataFrame, pieces: DataFrame, length: int) -> DataFrame:
-    """(key, check, doc, h, at, open) for every string of the 'open' and 'told' pieces: key is its 64-bit hash, check another 32 bits."""
-    listed = pieces.filter("state <> 'twice'").groupBy(F.col("doc").alias("_d"), F.col("h").alias("_h")).agg(
-        F.collect_list(F.struct("start", "count", (F.col("state") == "open").alias("open"))).alias("p"))
-    met = _keys(docs).join(listed, (F.col("doc") == F.col("_d")) & (F.col("h") == F.col("_h"))).select("doc", "h", "text", F.col("p.start").alias("starts"), F.col("p.count").alias("counts"), F.col("p.open").alias("opens"))
+def with_pieces(texts: DataFrame, judged: DataFrame) -> DataFrame:
+    """(doc, h, text, starts, counts, ats, opens) of the texts that have open or told pieces. A bit map of fixed size keeps most others out of the exchange."""
+    listed = judged.filter("state <> 'twice'").groupBy(F.col("doc").alias("_d"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("start", "count", "at", (F.col("state") == "open").alias("open"))).alias("p"))
+    few = flagged(texts.select("doc", "h", "text"), "doc", bitmap(judged.filter("state <> 'twice'").select("doc"), "doc", DOC_BITS))
+    met = few.join(listed, (F.col("doc") == F.col("_d")) & (F.col("h") == F.col("_h")))
+    return met.select("doc", "h", "text", F.col("p.start").alias("starts"), F.col("p.count").alias("counts"), F.col("p.at").alias("ats"), F.col("p.open").alias("opens"))
 
-    def run(batches):
+
+def _each_text(run):
+    """An Arrow function over ``with_pieces`` rows: ``run`` gets doc, h, prefix sums and the four arrays of one text, and returns columns."""
+    def over(batches, names):
         for b in batches:
             raw, off = split_binary(b.column(2))
             for r in range(len(b)):
-                starts, counts, opens = (b.column(c)[r].values.to_numpy(zero_copy_only=False) for c in (3, 4, 5))
-                sums = prefix_sums(raw[off[r]:off[r + 1]])
-                at = np.repeat(starts - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-                key = run_hash(sums, at, at + length)
-                half = run_hash(sums, at, at + length // 2)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array((half >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(np.full(at.size, b.column(0)[r].as_py())),
-                                                  pa.array(np.full(at.size, b.column(1)[r].as_py())), pa.array(at.astype(np.int32)), pa.array(np.repeat(opens, counts))], names=["key", "check", "doc", "h", "at", "open"])
-    return met.mapInArrow(run, "key long, check int, doc long, h long, at int, open boolean")
+                lists = [b.column(c)[r].values.to_numpy(zero_copy_only=False) for c in (3, 4, 5, 6)]
+                cols = run(prefix_sums(raw[off[r]:off[r + 1]]), *lists)
+                n = len(cols[0])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, b.column(0)[r].as_py())), pa.array(np.full(n, b.column(1)[r].as_py())), *[pa.array(c) for c in cols]], names=names)
+    return over
+
+
+def finer_pieces(met: DataFrame, length: int, parts: int = 8, gram: int = GRAM) -> DataFrame:
+    """The open and told pieces cut by the anchor's place inside the string into ``parts`` ranges. All strings of a range share all but few of their bytes, and the hash of these is the
+    new anchor: it leaves open only what agrees in nearly the whole length."""
+    width = -(-(length - gram + 1) // parts)
+
+    def cut(sums, starts, counts, ats, opens):
+        j = np.arange(parts)
+        first = np.maximum(starts[:, None], ats[:, None] - (j * width + width - 1))
+        last = np.minimum(starts[:, None] + counts[:, None] - 1, ats[:, None] - j * width)
+        row, k = np.nonzero(first <= last)
+        a, z = first[row, k], last[row, k]
+        lo, hi = ats[row] - k * width, ats[row] + length - (k * width + width - 1)        # bytes that lie in every string of the range
+        common = run_hash(sums, lo, hi) ^ (k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return a, z - a + 1, ats[row], common.view(np.int64), run_hash(sums, a, z + length).view(np.int64), opens[row]
+    over = _each_text(cut)
+    names = ["doc", "h", "start", "count", "at", "anchor", "print", "open"]
+    return met.mapInArrow(lambda batches: over(batches, names), "doc long, h long, start long, count long, at long, anchor long, print long, open boolean")
+
+
+def open_strings(met: DataFrame, length: int) -> DataFrame:
+    """(key, check, doc, h, at, open) for every string of the pieces: key is its 64-bit hash, check another 32 bits."""
+    def spell(sums, starts, counts, ats, opens):
+        at = np.repeat(starts - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+        half = run_hash(sums, at, at + length // 2)
+        return run_hash(sums, at, at + length).view(np.int64), (half >> np.uint64(32)).astype(np.uint32).view(np.int32), at.astype(np.int32), np.repeat(opens, counts)
+    over = _each_text(spell)
+    spelled = met.mapInArrow(lambda batches: over(batches, ["doc", "h", "key", "check", "at", "open"]), "doc long, h long, key long, check int, at int, open boolean")
+    return spelled.select("key", "check", "doc", "h", "at", "open")
 
 
 class Levels:
@@ -165,11 +209,15 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     if not 0 < gram < length:
         raise ValueError("gram must be shorter than length")
     pieces = stage(document_pieces(docs, length, gram), "pieces")
-    judged = stage(judged_pieces(pieces), "judged")
-    single = matched_strings(open_strings(docs, judged, length)).groupBy("doc", "h").agg(F.collect_list("at").alias("single"))
-    whole = judged.filter("state <> 'open'").groupBy(F.col("doc").alias("_d"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("start", "count")).alias("whole"))
+    again = pieces.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
+    coarse = stage(judged_pieces(flagged(pieces, "anchor", bitmap(again, "anchor", ANCHOR_BITS)).withColumn("open", F.lit(True))), "coarse")
+    met = stage(with_pieces(_keys(docs), coarse), "met")
+    fine = stage(judged_pieces(finer_pieces(met, length, gram=gram)), "fine")
+    single = matched_strings(open_strings(with_pieces(met, fine), length)).groupBy("doc", "h").agg(F.collect_list("at").alias("single"))
+    known = coarse.unionByName(fine).filter("state <> 'open'")
+    whole = known.groupBy(F.col("doc").alias("_d"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("start", "count")).alias("whole"))
     both = whole.join(single, (F.col("doc") == F.col("_d")) & (F.col("h") == F.col("_h")), "full")
-    return both.select(F.coalesce("doc", "_d").alias("doc"), F.coalesce("h", "_h").alias("h"), "whole", "single")
+    return stage(both.select(F.coalesce("doc", "_d").alias("doc"), F.coalesce("h", "_h").alias("h"), "whole", "single"), "repeats")
 
 
 def _flags(n: int, length: int, starts, counts, single) -> np.ndarray:
@@ -187,11 +235,23 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 
     Strings are judged on the input, so every copy of a repeat goes; overlapping occurrences count. Texts shorter than ``length`` and null texts (empty) lose nothing; a repeated row is
     a copy like any other; matches never cross documents. Empty tables give no rows."""
-    found = repeat_spans(docs, length, gram).select(F.col("doc").alias("_d"), F.col("h").alias("_h"), "whole", "single")
+    repeats = repeat_spans(docs, length, gram)
+    found = repeats.select(F.col("doc").alias("_d"), F.col("h").alias("_h"), F.col("whole.start").alias("starts"), F.col("whole.count").alias("counts"), F.col("single").cast("array<bigint>").alias("single"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     none = F.array().cast("array<bigint>")
-    met = _keys(docs).join(found, (F.col("doc") == F.col("_d")) & (F.col("h") == F.col("_h")), "left").select(
-        "doc_id", "text", F.coalesce(F.col("whole.start"), none).alias("starts"), F.coalesce(F.col("whole.count"), none).alias("counts"), F.coalesce(F.col("single").cast("array<bigint>"), none).alias("single"))
+    flags = bitmap(repeats, "doc", DOC_BITS)
+    marked = _keys(docs)
+    i = marked.columns.index("doc")
+
+    def mark(batches):
+        for b in batches:
+            if len(b):
+                yield b.append_column("maybe", pa.array(in_bitmap(flags, b.column(i).to_numpy().view(np.uint64))))
+    marked = marked.mapInArrow(mark, f"doc_id {kind}, doc long, h long, text binary, maybe boolean")
+    # only texts that may have repeats go through the exchange
+    touched = marked.filter("maybe").join(found, (F.col("doc") == F.col("_d")) & (F.col("h") == F.col("_h")), "left")
+    clean = marked.filter("not maybe").select("doc_id", "text", *[F.lit(None).cast("array<bigint>").alias(c) for c in ("starts", "counts", "single")])
+    met = touched.select("doc_id", "text", "starts", "counts", "single").unionByName(clean).select("doc_id", "text", *[F.coalesce(c, none).alias(c) for c in ("starts", "counts", "single")])
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
