@@ -17,7 +17,7 @@ HEADLINE = ["latest_results_by_region", "latest_visit", "current_era", "inspecti
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = (SparkSession.builder.master(f"local[{cpus}]").appName("bench").config("spark.sql.shuffle.partitions", cpus).config("spark.sql.adaptive.enabled", "true")
+    spark = (SparkSession.builder.master(f"local[{cpus}]").appName("bench").config("spark.sql.shuffle.partitions", cpus).config("spark.sql.adaptive.enabled", "true").config("spark.wayfound.scanPartitions", cpus)
              .config("spark.driver.memory", "12g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     CATALOG["value_counts"][0](spark, sf).collect()                 # JVM warm-up

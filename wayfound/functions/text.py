@@ -55,7 +55,7 @@ def repair_mojibake(c) -> Column:
 
 
 def _capital(w) -> Column:
-    return F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 10_000))
+    return F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))
 
 
 def _rejoin_capitals(t) -> Column:
@@ -63,7 +63,7 @@ def _rejoin_capitals(t) -> Column:
     parts = F.regexp_extract_all(t, F.lit(r"(^[^-(.&]+|[-(.&][^-(.&]*)"), F.lit(1))
     return F.array_join(F.transform(parts, lambda p: F.when(
         p.rlike(r"^[-(.&][a-z]"),
-        F.concat(F.substring(p, 1, 1), F.upper(F.substring(p, 2, 1)), F.substring(p, 3, 10_000))).otherwise(p)), "")
+        F.concat(F.substring(p, 1, 1), F.upper(F.substring(p, 2, 1)), F.substr(p, F.lit(3)))).otherwise(p)), "")
 
 
 def _case_word(w, first, addr: bool) -> Column:
@@ -80,11 +80,11 @@ def _cased(w, low, core, first, addr: bool) -> Column:
              .when(core.rlike(always), F.upper(w))
     if addr:
         out = out.when(core.rlike("^(?:ne|nw|se|sw|us|sr|cr)$"), F.upper(w))
-    out = out.when(core.rlike("^(?:dj|bj|jj)'s$"), F.concat(F.upper(F.substring(core, 1, 2)), F.substring(core, 3, 100)))
+    out = out.when(core.rlike("^(?:dj|bj|jj)'s$"), F.concat(F.upper(F.substring(core, 1, 2)), F.substr(core, F.lit(3))))
     if not addr:
         out = out.when(~one_of(core, V.NOT_ACRONYM) & core.rlike("^[b-df-hj-np-tv-xz]{2,4}$") & ~core.rlike(r"(.)\1\1"), F.upper(w))
-    return out.when(low.rlike("^mc[a-z]{3}"), F.concat(F.lit("Mc"), _capital(F.substring(low, 3, 10_000)))) \
-              .when(low.rlike("^o'[a-z]{2}"), F.concat(F.lit("O'"), _capital(F.substring(low, 3, 10_000)))) \
+    return out.when(low.rlike("^mc[a-z]{3}"), F.concat(F.lit("Mc"), _capital(F.substr(low, F.lit(3))))) \
+              .when(low.rlike("^o'[a-z]{2}"), F.concat(F.lit("O'"), _capital(F.substr(low, F.lit(3))))) \
               .otherwise(_rejoin_capitals(_capital(low)))
 
 
@@ -134,7 +134,7 @@ def canon_city(c, fixes=V.TOWN_FIXES) -> Column:
         low = F.lower(w)
         pieces = F.regexp_extract_all(low, F.lit("(^[^-']+|[-'][^-']*)"), F.lit(1))
         up = F.array_join(F.transform(pieces, lambda p: F.when(
-            p.rlike("^[-'][a-z]"), F.concat(F.substring(p, 1, 1), _capital(F.substring(p, 2, 1000)))).otherwise(_capital(p))), "")
+            p.rlike("^[-'][a-z]"), F.concat(F.substring(p, 1, 1), _capital(F.substr(p, F.lit(2))))).otherwise(_capital(p))), "")
         return F.when((i > 0) & low.isin("of", "the", "by", "in", "on", "de", "del", "la"), low).when(w == "ST.", F.lit("St.")).otherwise(up)
     town = let(u, lambda v: F.coalesce(lookup(fixes, F.regexp_replace(v, "[^A-Z]", "")), F.array_join(F.transform(F.split(v, " "), cased), " ")))
     return F.when(F.trim(text(c)) != "", town)
@@ -280,7 +280,7 @@ def tidy_display_name(name, brand=None) -> Column:
 
     def no_promo(n):
         parts = F.split(n, r"\s+[-–]{1,2}\s+|--")
-        rest = F.array_join(F.slice(parts, 2, 1000), " ")
+        rest = F.array_join(F.slice(parts, F.lit(2), F.size(parts)), " ")
         promo = F.trim(rest).rlike(_TAIL) | rest.rlike(r"\b(?:Best|Award|Magazine|Voted|20\d\d)\b")
         return F.when((F.size(parts) > 1) & promo, F.element_at(parts, 1)).otherwise(n)
 

@@ -56,8 +56,8 @@ def url_strip_tracking(c) -> Column:
     s = F.trim(col(c))
     rx = r"^([^?#]*)(\?[^#]*)?(#.*)?$"
     path = F.regexp_extract(s, rx, 1)
-    query = F.substring(F.regexp_extract(s, rx, 2), 2, 1_000_000)
-    frag = F.substring(F.regexp_extract(s, rx, 3), 2, 1_000_000)
+    query = F.substr(F.regexp_extract(s, rx, 2), F.lit(2))
+    frag = F.substr(F.regexp_extract(s, rx, 3), F.lit(2))
     query2 = _kept(query)
     head, tail = F.regexp_extract(frag, r"^(.*)\?([^?]*)$", 1), F.regexp_extract(frag, r"^(.*)\?([^?]*)$", 2)
     routed = frag.contains("?")

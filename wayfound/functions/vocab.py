@@ -49,10 +49,16 @@ TOWN_FIXES = {
     "SUNNYISLES": "Sunny Isles Beach", "LAUDERDALEBYTHESEA": "Lauderdale-by-the-Sea", "LAUDERDALEBYSEA": "Lauderdale-by-the-Sea",
     "PONTEVEDRE": "Ponte Vedra", "PONTEVEDREBEACH": "Ponte Vedra Beach", "INDIANHARBORBEACH": "Indian Harbour Beach",
     "TOWNNCOUNTRY": "Town 'n' Country", "TOWNANDCOUNTRY": "Town 'n' Country", "FORTWALTON": "Fort Walton Beach",
-    "OPALOCKA": "Opa-locka", "OPALOCKS": "Opa-locka", "HOWEYINTHEHILLS": "Howey-in-the-Hills", "STTEAUGUSTINE": "St. Augustine",
-    "WINTERGARDENS": "Winter Garden", "KISSIMEE": "Kissimmee", "HIALIAH": "Hialeah", "DANIA": "Dania Beach",
-    "LAUDERDALEBYTHESE": "Lauderdale-by-the-Sea", "STAUGUSTINEBEAC": "St. Augustine Beach", "STPETERSABURG": "St. Petersburg",
-    "STGEORGEISLAND": "St. George Island",
+    "DAYTONABEACHSHORES": "Daytona Beach Shores", "OPALOCKA": "Opa-locka", "OPALOCKS": "Opa-locka",
+    "HOWEYINTHEHILLS": "Howey-in-the-Hills", "CAPECANAVERAL": "Cape Canaveral", "LAKEBUENAVISTA": "Lake Buena Vista",
+    "ALTAMONTESPRINGS": "Altamonte Springs", "STTEAUGUSTINE": "St. Augustine", "WESTPALMBEACH": "West Palm Beach",
+    "NORTHPALMBEACH": "North Palm Beach", "PALMBEACHGARDENS": "Palm Beach Gardens", "MIAMIBEACH": "Miami Beach",
+    "NORTHMIAMIBEACH": "North Miami Beach", "FORTLAUDERDALE": "Fort Lauderdale", "FORTMYERS": "Fort Myers",
+    "FORTMYERSBEACH": "Fort Myers Beach", "NORTHFORTMYERS": "North Fort Myers", "FORTPIERCE": "Fort Pierce",
+    "FORTWALTONBEACH": "Fort Walton Beach", "FORTMEADE": "Fort Meade", "WINTERGARDENS": "Winter Garden", "KISSIMEE": "Kissimmee",
+    "HIALIAH": "Hialeah", "FORTWHITE": "Fort White", "KEYWEST": "Key West", "KEYLARGO": "Key Largo", "KEYBISCAYNE": "Key Biscayne",
+    "DANIA": "Dania Beach", "LAUDERDALEBYTHESE": "Lauderdale-by-the-Sea", "STAUGUSTINEBEAC": "St. Augustine Beach",
+    "STPETERSABURG": "St. Petersburg", "BELLVIEW": "Bellview", "STGEORGEISLAND": "St. George Island", "PENSACOLABEACH": "Pensacola Beach",
 }
 
 # --- fixed values: street addresses ------------------------------------------------------------------------------------------
@@ -78,8 +84,10 @@ AGGREGATORS = tuple("""
 facebook.com business.site grubhub.com doordash.com ubereats.com yelp.com toasttab.com square.site order.online google.com
 instagram.com menufy.com chownow.com clover.com wixsite.com godaddysites.com squarespace.com weebly.com linktr.ee slicelife.com
 beyondmenu.com seamless.com co.uk wordpress.com tripadvisor.com orderonline.com spoton.com popmenu.com bentobox.com
-chamberofcommerce.com hub.biz restaurantji.com menupix.com allmenus.com zmenu.com opentable.com resy.com exploretock.com wix.com
-yellowpages.com mapquest.com foursquare.com tumblr.com blogspot.com carrd.co square.com linkedin.com twitter.com x.com""".split())
+places.singleplatform.com chamberofcommerce.com hub.biz restaurantji.com menupix.com allmenus.com zmenu.com opentable.com resy.com
+exploretock.com wix.com site123.me webs.com yellowpages.com mapquest.com foursquare.com tumblr.com blogspot.com carrd.co square.com
+toast.site hungerrush.com gloriafood.com mobilebytes.com orderspoon.com revelup.com wordpress.org godaddy.com myshopify.com
+linkedin.com twitter.com x.com""".split())
 TRACKING_NAMES = (r"(?i)^(?:utm[_-].*|gclid|gbraid|wbraid|dclid|fbclid|msclkid|mc_cid|mc_eid|_ga|_gl|_kx|igsh|igshid|mibextid|srsltid|"
                   r"cn_channel|y_source|rwg_token|olonwp|ost_redirect_attribution|cmpid|yext_?.*)$")
 TRACKING_VALUES = {"ref": r"(?i)^(?:google|gmb|gbp|yext|bookmarks)\b", "referrer": r"(?i)^google",

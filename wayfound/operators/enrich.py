@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .fuzzy import near_text_pairs
 from .numbering import pct_rank_avg
 from .scale import exact_median, mode_value, top_rows
-from .spatial import point_in_polygon
+from .spatial import polygons_holding
 
 # fixed values: sales, margin and honor figures
 BASE_SALES = {1: 600_000, 2: 1_000_000, 3: 2_200_000, 4: 3_500_000}
@@ -109,9 +109,11 @@ def icon_score(df: DataFrame, *, honors: str, award: str, oldest: str, founded:
 
 
 def county_assign(df: DataFrame, tiers, *, id: str, license_county: str) -> DataFrame:
-    """Adds county from the license, else from the point; points outside the license's county lose their coordinates."""
-    at = point_in_polygon(df, tiers, id=id).select(F.col(id).alias("_id"), F.col("name").alias("_at"))
-    j = df.join(at, F.col(id) == F.col("_id"), "left")
-    wrong = F.col(license_county).isNotNull() & F.col("_at").isNotNull() & (F.col(license_county) != F.col("_at"))
+    """Adds county from the license, else from the first tier that holds the point. A point loses its coordinates when outlines hold it but none of them, in any tier,
+    is its license's county: outlines overlap near borders."""
+    held = polygons_holding(df.select(id, "lat", "lon", F.col(license_county).alias("_lic")), tiers, id=id)
+    at = held.groupBy(F.col(id).alias("_id")).agg(F.min(F.struct("tier", "name")).alias("_m"), F.collect_set("name").alias("_names"))
+    j = df.join(at, F.col(id) == F.col("_id"), "left").withColumn("_at", F.col("_m.name"))
+    wrong = F.col(license_county).isNotNull() & F.col("_at").isNotNull() & ~F.array_contains("_names", F.col(license_county))
     cols = [F.when(~F.coalesce(wrong, F.lit(False)), F.col(c)).alias(c) if c in ("lat", "lon") else F.col(c) for c in df.columns]
     return j.select(*cols, F.coalesce(F.col(license_county), F.col("_at")).alias("county"))

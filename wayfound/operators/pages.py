@@ -255,9 +255,9 @@ def link_verdict(pages: DataFrame, spam: DataFrame, *, id="page_id", directories
     p = pages.join(first, F.col(id) == F.col("_s"), "left")
     url_d, fin_d = domain_of("url"), domain_of("final")
     is_news = lambda c: (domain_of(c).isin(*news) if news else F.lit(False)) | F.regexp_replace(F.col(c), r"^(?:[a-z]+://)?[^/?#]*", "").rlike(P.ARTICLE)
-    hop = lambda n: F.regexp_extract(text("html"), P.REFRESH, n)
-    target = F.coalesce(F.nullif(hop(1), F.lit("")), F.nullif(hop(2), F.lit("")), F.nullif(hop(3), F.lit("")))
-    leaves = target.rlike("(?i)^http") & ~F.coalesce(domain_of(target).isin(url_d, fin_d), F.lit(False))
+    # every refresh of the page counts, wherever it stands
+    hops = F.concat(*[F.regexp_extract_all(text("html"), F.lit(P.REFRESH), F.lit(n)) for n in (1, 2, 3)])
+    leaves = F.exists(hops, lambda to: to.rlike("(?i)^http") & ~F.coalesce(domain_of(to).isin(url_d, fin_d), F.lit(False)))
     alias = F.try_element_at(F.create_map(*[F.lit(x) for kv in (aliases or {"": ""}).items() for x in kv]), url_d)
     same = (fin_d == url_d) | F.coalesce(fin_d == alias, F.lit(False))
     in_domain = F.exists(distinctive_words("name"), lambda w: _site_name(F.col("final")).contains(w))

@@ -14,9 +14,6 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-MAX_RANGES = 4096
-
-
 def top_rows(df: DataFrame, by, order, n: int = 1, rank: str | None = None) -> DataFrame:
     """First ``n`` rows per key in ``order`` (end it with a unique column)."""
     name = rank or "_rn"
@@ -30,7 +27,7 @@ def keep_first(df: DataFrame, keys, order) -> DataFrame:
 
 
 def _ranges(spark: SparkSession) -> int:
-    return max(2, min(MAX_RANGES, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def split_points(df: DataFrame, key: Column, ranges: int | None = None) -> DataFrame:

@@ -42,9 +42,9 @@ def _inside(lat, lon, ring):
     return crossings % 2 == 1
 
 
-def point_in_polygon(points: DataFrame, tiers: list[DataFrame], *, id="id", lat="lat", lon="lon", grid: float = 0.25) -> DataFrame:
-    """(id, name) of the polygon holding each point; later tiers (wider outlines) only count for points no earlier tier holds. Each tier is a
-    DataFrame(name, ring array<struct<x,y>>). Outlines and points meet on coarse grid cells; unplaced points get no row."""
+def polygons_holding(points: DataFrame, tiers: list[DataFrame], *, id="id", lat="lat", lon="lon", grid: float = 0.25) -> DataFrame:
+    """(id, tier, name) of every polygon that holds a point. Each tier is a DataFrame(name, ring array<struct<x,y>>). Outlines and points meet on coarse
+    grid cells; unplaced points get no row."""
     parts = []
     for no, rings in enumerate(tiers):
         ys, xs = F.transform("ring", lambda p: p["y"]), F.transform("ring", lambda p: p["x"])
@@ -58,7 +58,12 @@ def point_in_polygon(points: DataFrame, tiers: list[DataFrame], *, id="id", lat=
         .withColumn("_gy", F.floor(F.col("_la") / grid)).withColumn("_gx", F.floor(F.col("_lo") / grid))
     hit = pts.join(cells, (F.col("_gy") == F.col("gy")) & (F.col("_gx") == F.col("gx"))
                    & F.col("_la").between(F.col("y0"), F.col("y1")) & F.col("_lo").between(F.col("x0"), F.col("x1")))
-    hit = hit.filter(_inside(F.col("_la"), F.col("_lo"), F.col("ring")))
+    return hit.filter(_inside(F.col("_la"), F.col("_lo"), F.col("ring"))).select(id, "tier", "name")
+
+
+def point_in_polygon(points: DataFrame, tiers: list[DataFrame], *, id="id", lat="lat", lon="lon", grid: float = 0.25) -> DataFrame:
+    """(id, name) of the polygon holding each point; later tiers (wider outlines) only count for points no earlier tier holds."""
+    hit = polygons_holding(points, tiers, id=id, lat=lat, lon=lon, grid=grid)
     return hit.groupBy(id).agg(F.min(F.struct("tier", "name")).alias("m")).select(id, F.col("m.name").alias("name"))
 
 

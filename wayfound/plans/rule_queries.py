@@ -31,10 +31,10 @@ def rule_table(spark, sf):
 
 
 @C.add("brand_validate", """with s as (select id, case when id%4=0 then null else brand end as b, case id%5 when 0 then 'AllThePlaces' when 1 then 'official' else 'meta' end as src, case when id%7=0 then brand else 'none' end as nb, case when id%3=0 then 'x.com' when id%3=1 then 'y.com' end as dom, 'x.com' as own, category from fx_place)
- select id, case when b is null then null when src<>'AllThePlaces' and nb<>b then null when src='official' then b when dom='x.com' then b when dom is not null then null when category='PROMO' then null else b end as brand from s where id%5<>0""", ["fx_place"])
+ select id, case when b is null then null when src<>'AllThePlaces' and nb<>b then null when src='official' then b when dom='x.com' then b when dom is not null then null when category='PROMO' then null else b end as brand from s""", ["fx_place"])
 def brand_validate(spark, sf):
-    p = view(spark, sf, "fx_place").filter("id % 5 <> 0")
-    s = p.select("id", F.when(F.col("id") % 4 != 0, F.col("brand")).alias("b"), F.when(F.col("id") % 5 == 1, "official").otherwise("meta").alias("src"), F.when(F.col("id") % 7 == 0, F.col("brand")).otherwise("none").alias("nb"),
+    p = view(spark, sf, "fx_place")
+    s = p.select("id", F.when(F.col("id") % 4 != 0, F.col("brand")).alias("b"), F.when(F.col("id") % 5 == 0, "AllThePlaces").when(F.col("id") % 5 == 1, "official").otherwise("meta").alias("src"), F.when(F.col("id") % 7 == 0, F.col("brand")).otherwise("none").alias("nb"),
                  F.when(F.col("id") % 3 == 0, "x.com").when(F.col("id") % 3 == 1, "y.com").alias("dom"), F.lit("x.com").alias("own"), "category", F.lit("ECONOMY").alias("bc"), F.lit("ZZ").alias("bk"), F.col("name").alias("nk"), F.lit("").alias("lk"))
     family = {"PROMO": "p", "ECONOMY": "e"}
     ok = K.brand_validate(brand="b", brand_key="bk", name_key="nk", label_key="lk", source="src", own_domain="own", domain="dom", cuisine="category", brand_cuisine="bc", known_cuisine=F.lit(True), name_brand="nb",

@@ -7,15 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 HEAVY = ("part", "customer", "documents", "pages")      # inputs of compute-heavy rules
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt out over the cores when the files give fewer splits than there are cores; a big scan is left as it is (no shuffle)."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    return spread(df) if name in HEAVY else df
+    """A given table. Where the session sets spark.wayfound.scanPartitions (one small file, many cores), inputs of heavy rules are dealt out to so many tasks;
+    without it the scan's own splits stay."""
+    df, n = spark.read.parquet(f"{sf}/{name}.parquet"), spark.conf.get("spark.wayfound.scanPartitions", None)
+    return df.repartition(int(n)) if n and name in HEAVY else df
 
 
 # --- SQL of the views, accepted by Spark and by the checking engine alike

@@ -42,7 +42,7 @@ def norm_name(spark, sf):
 @C.add("repair_mojibake")
 def repair_mojibake(spark, sf):
     d = _docs(spark, sf)
-    broken = F.decode(F.encode(F.concat(F.lit("Café "), F.regexp_replace(F.substring_index("text", " ", 6), "[^A-Za-z ]", ""), F.lit(" &amp; Söhne | best in town")), "UTF-8"), "ISO-8859-1")
+    broken = F.decode(F.encode(F.concat(F.lit("Café "), F.regexp_replace("text", "[^A-Za-z ]", ""), F.lit(" &amp; Söhne | best in town")), "UTF-8"), "ISO-8859-1")
     return d.select("doc_id", T.repair_mojibake(broken).alias("name"))
 
 
@@ -50,7 +50,7 @@ def repair_mojibake(spark, sf):
 def nice_case(spark, sf):
     r = view(spark, sf, "fx_registry").select("reg_id", T.nice_case("name").alias("shown"))
     a = view(spark, sf, "fx_address").select("lic", T.nice_case("addr", addr=True).alias("addr"))
-    return r.join(a, r.reg_id == a.lic, "left").select("reg_id", "shown", "addr")
+    return r.join(a, r.reg_id == a.lic, "full").select("reg_id", "lic", "shown", "addr")
 
 
 @C.add("canon_city", "select c_custkey, case c_custkey%4 when 0 then 'Port St. Lucie' when 1 then 'North Bay Village' when 2 then 'St. Petersburg' else 'Segment '||substr(c_mktsegment,1,1)||lower(substr(c_mktsegment,2)) end as town from customer")

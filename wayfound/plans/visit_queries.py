@@ -17,9 +17,9 @@ def _ok():
 
 
 
-@C.add("license_number", "select l_orderkey, l_linenumber, l_partkey, case when l_linenumber%2=0 then cast(l_partkey as varchar) else concat('sea', cast(l_partkey as varchar)) end as num from lineitem where l_linenumber < 4")
+@C.add("license_number", "select l_orderkey, l_linenumber, l_partkey, case when l_linenumber%2=0 then cast(l_partkey as varchar) else concat('sea', cast(l_partkey as varchar)) end as num from lineitem")
 def license_number(spark, sf):
-    li = table(spark, sf, "lineitem").filter("l_linenumber < 4")
+    li = table(spark, sf, "lineitem")
     lic = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("SEA"), F.col("l_partkey").cast("string"))).otherwise(F.concat(F.lit("sea"), F.col("l_partkey").cast("string")))
     return li.select("l_orderkey", "l_linenumber", "l_partkey", R.license_number(lic).alias("num"))
 
@@ -100,10 +100,10 @@ def _closures(spark, sf):
     return view(spark, sf, "fx_closure").withColumnRenamed("num", "key")
 
 
-@C.add("reopened_since_close", f"""with l as (select key, date, disp from (select *, {_RN} as rn from fx_visit where date <= date '2024-01-26') where rn=1 and disp='error')
+@C.add("reopened_since_close", f"""with l as (select key, date, disp from (select *, {_RN} as rn from fx_visit) where rn=1 and disp='error')
  select l.key, strftime(max(c.reopened), '%Y-%m-%d') as reopened from l left join fx_closure c on c.num=l.key and c.date>=l.date and c.reopened>=c.date group by l.key""", ["fx_visit", "fx_closure"])
 def reopened_since_close(spark, sf):
-    last = V.latest_visit(view(spark, sf, "fx_visit").filter("date <= date'2024-01-26'"), "key").select("key", "date", "disp")
+    last = V.latest_visit(view(spark, sf, "fx_visit"), "key").select("key", "date", "disp")
     out = V.reopened_since_close(last, _closures(spark, sf), "key", F.col("disp") == "error")
     return out.select("key", R.iso_day("reopened").alias("reopened"))
 
