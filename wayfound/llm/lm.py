@@ -62,9 +62,17 @@ class Vocabulary(NamedTuple):
 
 
 def vocabulary(counts: DataFrame, documents: int, known: int = KNOWN) -> Vocabulary:
-    """The ``known`` most frequent words with their counts, and totals over all words."""
+    """The most frequent words with their counts, at most ``known`` of them, and totals over all words. Counts are binned first (64 bins to a doubling), so that only the words of
+    the bins that fit reach the driver, from however many tasks."""
     total = counts.agg(F.sum("n"), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(known).collect()
+    level = F.floor(F.log2("n") * 64)
+    fits, least_level = 0, None
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+        fits += r["count"]
+        if fits > known:
+            break
+        least_level = r["level"]
+    top = [] if least_level is None else sorted(counts.filter(level >= least_level).collect(), key=lambda r: (-r["n"], r["word"]))
     heads = min(TAIL - 1, len(top))
     table = {bytes(r["word"]): i for i, r in enumerate(top)}
     symbol = np.array([i + 1 if i < heads else TAIL + tail_class(w) for w, i in table.items()], np.uint16)
