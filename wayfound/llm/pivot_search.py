@@ -28,8 +28,11 @@ def scaled_vectors(rows: DataFrame, scale: float = 64.0) -> DataFrame:
 
 def choose_pivots(vectors: DataFrame, pivots: int = PIVOTS, sample: int = SAMPLE) -> np.ndarray:
     """Far-apart vectors of a fixed sample (the ``sample`` rows of least hash): each next pivot is the one farthest from those before. Pivots only steer
-    the work; every row is indexed."""
-    drawn = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    the work; every row is indexed. Only the share of the hash range that is expected to hold twice the sample is looked at, so that the rows sent to the
+    driver do not grow with the tasks."""
+    share = min(1.0, 2 * sample / max(1, vectors.count()))
+    least = F.xxhash64("vec_id") <= F.lit(int(-2 ** 63 + share * (2 ** 64 - 2 ** 12)))
+    drawn = vectors.filter(least).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
     if not drawn:
         return np.zeros((1, 1))
     x = padded([r["v"] for r in drawn], max(len(r["v"]) for r in drawn))
@@ -134,42 +137,54 @@ def _better(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def _search(q: Side, rows: np.ndarray, c: Side, floor: np.ndarray, k: int):
-    """Best k of ``c`` for each query row, as far as they reach ``floor`` (a score that k candidates are known to reach)."""
-    dim = max(q.x.shape[1], c.x.shape[1])
-    cx, table = np.pad(c.x, ((0, 0), (0, dim - c.x.shape[1]))), np.ascontiguousarray(c.table.T)
-    first = np.flatnonzero(np.diff(c.block, prepend=-1))
+    """Best k of ``c`` for each query row, as far as they reach ``floor`` (a score that k candidates are known to reach). Candidates are evaluated in tranches of
+    falling bounds until none left can reach the k-th score. Where the bounds leave more than an eighth of the rows open, these are not picked out one by one:
+    the product with all rows of ``c`` is taken for many such queries at once."""
+    dim, n = max(q.x.shape[1], c.x.shape[1]), len(c.ids)
+    qx, cx = np.pad(q.x, ((0, 0), (0, dim - q.x.shape[1]))), np.pad(c.x, ((0, 0), (0, dim - c.x.shape[1])))
+    table, first = np.ascontiguousarray(c.table.T), np.flatnonzero(np.diff(c.block, prepend=-1))
     low, high = np.minimum.reduceat(c.table, first, axis=0), np.maximum.reduceat(c.table, first, axis=0)
-    top_norm, edges = np.maximum.reduceat(c.norm, first), np.append(first, len(c.ids))
+    top_norm, edges = np.maximum.reduceat(c.norm, first), np.append(first, n)
     loose = SLACK * (1 + c.table.max(initial=0))
+    many = []
     for r in rows.tolist():
-        x, d, norm, me = np.pad(q.x[r], (0, dim - q.x.shape[1])), q.table[r], q.norm[r], q.ids[r]
+        d, norm, me, need = q.table[r], q.norm[r], q.ids[r], floor[r]
         slack = loose + SLACK * d.max()
         gap = np.maximum(np.maximum(low - d, d - high).max(axis=1) - slack, 0).astype(float)
-        limit = (norm + top_norm - gap * gap) / 2
-        best_s, best_i, need = np.zeros(0), np.zeros(0, np.int64), floor[r]
-        whole = np.flatnonzero(limit >= need)
+        whole = np.flatnonzero((norm + top_norm - gap * gap) / 2 >= need)
         if not whole.size:
             continue
-        at = np.concatenate([np.arange(edges[b], edges[b + 1]) for b in whole])
-        gap = np.zeros(at.size, np.float32)
+        every = whole.size == first.size
+        at = np.arange(n) if every else np.concatenate([np.arange(edges[b], edges[b + 1]) for b in whole])
+        part, gap, apart = table if every else table[:, at], np.zeros(at.size, np.float32), np.empty(at.size, np.float32)
         for p in range(len(d)):                 # the pivot table, column by column
-            np.maximum(gap, np.abs(table[p][at] - d[p]), out=gap)
+            np.abs(np.subtract(part[p], d[p], out=apart), out=apart)
+            np.maximum(gap, apart, out=gap)
         gap = np.maximum(gap - slack, 0).astype(float)
         bound = (norm + c.norm[at] - gap * gap) / 2
         open_ = np.flatnonzero((bound >= need) & (c.ids[at] != me))
-        order = open_[np.argsort(-bound[open_], kind="stable")]
-        step, done = 4 * k, 0
-        while done < order.size and bound[order[done]] >= need:
-            part = at[order[done:done + step]]
-            s = np.concatenate([best_s, cx[part] @ x])
-            i = np.concatenate([best_i, c.ids[part]])
+        best_s, best_i, step = np.zeros(0), np.zeros(0, np.int64), 4 * k
+        while open_.size:
+            order = np.argpartition(-bound[open_], step) if open_.size > step else np.arange(open_.size)
+            now, later = at[open_[order[:step]]], open_[order[step:]]
+            s, i = np.concatenate([best_s, cx[now] @ qx[r]]), np.concatenate([best_i, c.ids[now]])
             keep = _better(s, i, k)
             best_s, best_i = s[keep], i[keep]
             if len(best_s) == k:
                 need = max(need, best_s[-1])
-            done, step = done + step, step * 2
-        keep = best_s >= floor[r]
-        yield me, best_s[keep], best_i[keep]
+            open_, step = later[bound[later] >= need], step * 2
+            if open_.size > n / 8:
+                many.append((r, need))
+                break
+        else:
+            keep = best_s >= floor[r]
+            yield me, best_s[keep], best_i[keep]
+    for at in range(0, len(many), 256):
+        some = many[at:at + 256]
+        for (r, need), s in zip(some, qx[[r for r, _ in some]] @ cx.T):
+            hit = np.flatnonzero((s >= need) & (c.ids != q.ids[r]))
+            hit = hit[_better(s[hit], c.ids[hit], k)]
+            yield q.ids[r], s[hit], c.ids[hit]
 
 
 def top_k(vectors: DataFrame, k: int = 20, pivots: int = PIVOTS, sample: int = SAMPLE, block: int = BLOCK, chunk: int = CHUNK, group: int = 8) -> DataFrame:
