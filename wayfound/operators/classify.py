@@ -16,17 +16,16 @@ def first_rule(c, rules, default=None) -> Column:
     return F.coalesce(*hits, F.lit(default).cast("string"))
 
 
-MAX_RULES = 10_000
-
-
-def apply_rule_table(df: DataFrame, column: str, rules: DataFrame, out: str) -> DataFrame:
-    """First matching rule of a rules table (priority, label, pattern) for each distinct text. Rules are joined as one sorted list per pass,
-    so rows are neither multiplied nor moved."""
-    listed = F.array_sort(F.collect_list(F.struct("priority", "label", "pattern")))
-    sorted_rules = rules.agg(F.when(F.count("*") <= MAX_RULES, listed).otherwise(F.raise_error(F.lit(f"more than {MAX_RULES} rules"))).alias("r"))
-    j = df.withColumn("_rules", sorted_rules.scalar())
-    hit = F.filter("_rules", lambda r: F.call_function("rlike", text(column), r["pattern"]))
-    return j.withColumn(out, F.get(hit, 0)["label"]).drop("_rules")
+def apply_rule_table(df: DataFrame, column: str, rules: DataFrame, out: str, at_once: int = 1000) -> DataFrame:
+    """First matching rule of a rules table (priority, label, pattern). Rules are dealt into lists of about ``at_once``; every distinct text meets every
+    list, and the least priority found stays, so that any number of rules fits and copies of a text are tested once."""
+    lists = rules.agg(F.greatest(F.ceil(F.count("*") / at_once), F.lit(1)).cast("int")).scalar()
+    dealt = rules.select(F.struct("priority", "label", "pattern").alias("r")).withColumn("_list", F.pmod(F.xxhash64("r.priority", "r.label", "r.pattern"), lists).cast("int")) \
+        .groupBy("_list").agg(F.array_sort(F.collect_list("r")).alias("_rules"))
+    texts = df.select(text(column).alias("_text")).distinct().withColumn("_at", F.explode(F.sequence(F.lit(0), lists - 1)))
+    found = F.get(F.filter("_rules", lambda r: F.call_function("rlike", F.col("_text"), r["pattern"])), 0)
+    hit = texts.join(dealt, F.col("_at") == F.col("_list")).select("_text", found.alias("_hit")).filter(F.col("_hit").isNotNull()).groupBy("_text").agg(F.min("_hit").alias("_hit"))
+    return df.join(hit, text(column) == F.col("_text"), "left").withColumn(out, F.col("_hit.label")).drop("_text", "_hit")
 
 
 def brand_by_rules(name_key, rules, anywhere=()) -> Column:

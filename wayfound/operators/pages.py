@@ -11,7 +11,9 @@ from ..functions.vocab import CC_SECOND_LEVEL
 from .scale import keep_first
 
 _LINK = r"""(?is)<a\b[^>]*\bhref=["'](https?://[^"']+)["'][^>]*>(.*?)</a>"""
-_HIDDEN = r"""(?is)<(div|span|p|section|ul|ol|li|font|aside|marquee|small)\b[^>]*\bstyle\s*=\s*(["'])(.*?)\2[^>]*>(?=([\s\S]{0,20000}))"""
+_MAY_HIDE = "div|span|p|section|ul|ol|li|font|aside|marquee|small"          # elements whose inline style is looked at
+_MARK = rf"(?is)(.*?)(</?(?:{_MAY_HIDE})\b[^>]*>|\z)"
+_STYLE = r"""(?is)\bstyle\s*=\s*(["'])(.*?)\1"""
 _NOSCRIPT = r"(?is)<noscript\b[^>]*>(.*?)</noscript>"
 _TITLE, _DESCRIPTION = r"(?s)<title[^>]*>(.*?)</title>", r"(?s)<meta[^>]+name=.description.[^>]+content=\"([^\"]*)"
 _STYLED_LINK = r"""(?is)<a\b([^>]*\bhref=["']https?://[^"']+["'][^>]*)>"""
@@ -40,7 +42,7 @@ def _judged(links) -> Column:
 
     def judge(l):
         test = lambda field, rxs: F.greatest(*[l[field].rlike(rx) for rx in rxs]) if len(rxs) > 1 else l[field].rlike(rxs[0])
-        said = F.concat(l["href"], F.lit(" :: "), F.substring(F.trim(F.regexp_replace(l["text"], r"\s+", " ")), 1, 120))
+        said = F.concat(l["href"], F.lit(" :: "), F.trim(F.regexp_replace(l["text"], r"\s+", " ")))
         return F.struct(l["href"].alias("href"), l["domain"].alias("domain"), said.alias("said"), *[test(f, rxs).alias(n) for n, (f, rxs) in flags.items()])
     return F.transform(F.filter(links, lambda l: l["away"]), judge)
 
@@ -74,26 +76,37 @@ def page_head(html) -> Column:
     return _head_of(page_text(html))
 
 
-def _element_body(rest, tag) -> Column:
-    """Inner html of an element whose opening tag ends where ``rest`` starts, nesting of the same tag respected."""
-    rx = F.concat(F.lit("(?is)(.*?)(</?"), tag, F.lit(r"\b[^>]*>|\z)"))
-    piece, mark = F.regexp_extract_all(rest, rx, F.lit(1)), F.regexp_extract_all(rest, rx, F.lit(2))
+def _marks(html) -> Column:
+    """The page cut at its open and close marks: array<struct<p, m, tag, d, style>>, p the html before mark m, d the depth it adds to its tag."""
+    cut = F.arrays_zip(*[F.regexp_extract_all(html, F.lit(_MARK), F.lit(n)).alias(c) for n, c in ((1, "p"), (2, "m"))])
+    depth = lambda m: F.when(F.startswith(m, F.lit("</")), -1).when((m == "") | F.endswith(m, F.lit("/>")), 0).otherwise(1)
+    return F.transform(cut, lambda x: F.struct(x["p"].alias("p"), x["m"].alias("m"), F.lower(F.regexp_extract(x["m"], "^</?([A-Za-z]+)", 1)).alias("tag"), depth(x["m"]).alias("d"),
+                                               F.regexp_extract(x["m"], _STYLE, 2).alias("style")))
 
+
+def _element_body(marks, i) -> Column:
+    """Inner html of the element that mark ``i`` opens, nesting of the same tag respected; an element left open reaches the end of the page."""
     def step(acc, x):
-        depth = acc["depth"] + F.when(F.startswith(x["m"], F.lit("</")), -1).when((x["m"] == "") | F.endswith(x["m"], F.lit("/>")), 0).otherwise(1)
-        return F.when(acc["depth"] == 0, acc).otherwise(F.struct(depth.alias("depth"), F.concat(acc["html"], x["p"], F.when(depth == 0, F.lit("")).otherwise(x["m"])).alias("html")))
-    return F.aggregate(F.arrays_zip(piece.alias("p"), mark.alias("m")), F.struct(F.lit(1).alias("depth"), F.lit("").alias("html")), step)["html"]
+        return F.when(acc["depth"] == 0, acc).otherwise(F.struct((acc["depth"] + F.when(x["tag"] == marks[i]["tag"], x["d"]).otherwise(0)).alias("depth"), (acc["n"] + 1).alias("n")))
+
+    def joined(rest):
+        walked = F.aggregate(rest, F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n")), step)
+        return let(walked, lambda w: F.concat(F.array_join(F.transform(F.slice(rest, F.lit(1), F.greatest(w["n"] - 1, F.lit(0))), lambda x: F.concat(x["p"], x["m"])), ""),
+                                              F.coalesce(F.get(rest, w["n"] - 1)["p"], F.lit("")), F.when(w["depth"] == 0, F.lit("")).otherwise(F.coalesce(F.get(rest, w["n"] - 1)["m"], F.lit("")))))
+    return let(F.slice(marks, i + 2, F.size(marks)), joined)
 
 
 def hidden_blocks(html) -> Column:
     """array<struct<kind, html>>: inline-hidden elements ('style:...' off-page, 'ui:...' menus and the like) and noscript blocks."""
-    group = lambda n: F.regexp_extract_all(html, F.lit(_HIDDEN), F.lit(n))
-    found = F.filter(F.arrays_zip(group(1).alias("tag"), group(3).alias("style"), group(4).alias("rest")), lambda x: x["style"].rlike(P.HIDE_STYLE) | x["style"].rlike(P.UI_HIDE))
-    snip = lambda s: F.substring(F.trim(F.regexp_replace(s, r"\s+", " ")), 1, 80)
-    styled = F.transform(found, lambda x: F.struct(F.concat(F.when(x["style"].rlike(P.HIDE_STYLE), F.lit("style:")).otherwise(F.lit("ui:")), snip(x["style"])).alias("kind"),
-                                                   _element_body(x["rest"], x["tag"]).alias("html")))
+    hides = lambda style: style.rlike(P.HIDE_STYLE) | style.rlike(P.UI_HIDE)
+    block = lambda marks, i: let(marks[i]["style"], lambda style: F.struct(
+        F.concat(F.when(style.rlike(P.HIDE_STYLE), F.lit("style:")).otherwise(F.lit("ui:")), F.trim(F.regexp_replace(style, r"\s+", " "))).alias("kind"), _element_body(marks, i).alias("html")))
+    opens = lambda marks: F.filter(F.sequence(F.lit(0), F.size(marks) - 1), lambda i: ~F.startswith(marks[i]["m"], F.lit("</")) & hides(marks[i]["style"]))
     quiet = F.transform(F.regexp_extract_all(html, F.lit(_NOSCRIPT), F.lit(1)), lambda b: F.struct(F.lit("noscript").alias("kind"), b.alias("html")))
-    return F.concat(styled, quiet)
+    # only pages with a hiding style are cut at their marks
+    any_ = F.exists(F.regexp_extract_all(html, F.lit(_STYLE), F.lit(2)), hides)
+    styled = F.when(any_, let(_marks(html), lambda marks: F.transform(opens(marks), lambda i: block(marks, i))))
+    return F.concat(F.coalesce(styled, F.array().cast("array<struct<kind:string,html:string>>")), quiet)
 
 
 def hidden_block_rows(pages: DataFrame, *, id="page_id", url="url", html="html") -> DataFrame:
@@ -114,7 +127,7 @@ def _around(hay, hit, width=150) -> Column:
 
 
 def _rule(name, fires, evidence) -> Column:
-    return F.when(F.coalesce(fires, F.lit(False)), F.struct(F.lit(name).alias("rule"), F.substring(evidence, 1, 360).alias("evidence")))
+    return F.when(F.coalesce(fires, F.lit(False)), F.struct(F.lit(name).alias("rule"), evidence.alias("evidence")))
 
 
 RULE_ORDER = ("spam-text", "betting-words", "injected", "adult-link", "pharma-link", "lottery-link", "farm-link-text", "gambling-link", "foreign-gambling-text", "keyword-spam", "spam-title",
@@ -137,7 +150,7 @@ def page_spam_reasons(pages: DataFrame, *, id="page_id", url="url", html="html",
         open_ui = F.startswith(b["kind"], F.lit("ui:")) | (b["kind"] == "noscript")
         odd = F.filter(b["links"], lambda l: ~l["benign"])
         farm = (F.size(F.array_distinct(F.transform(odd, lambda l: l["domain"]))) >= 3) & ~open_ui
-        told = F.concat(F.lit("["), b["kind"], F.lit("] "), F.array_join(F.transform(F.slice(b["links"], 1, 5), lambda l: l["said"]), "; "))
+        told = F.concat(F.lit("["), b["kind"], F.lit("] "), F.array_join(F.transform(b["links"], lambda l: l["said"]), "; "))
         return F.struct(b["kind"].alias("kind"), told.alias("told"), (F.exists(b["links"], spammy) | farm).alias("bad"), ((F.size(odd) > 0) & ~open_ui & b["kind"].rlike(P.OFFSCREEN_FAR)).alias("far"))
     p = p.withColumn("blocks", F.transform("blocks", weigh))
     # links that are themselves hidden off the page
@@ -158,7 +171,7 @@ def page_spam_reasons(pages: DataFrame, *, id="page_id", url="url", html="html",
                                                                                         "pharma": P.PHARMA_TEXT, "jp": P.JP_SPAM, "indo": P.INDO_GAMING, "lot": P.LOTTERY_4D}.items()]))
     hit, hh, first = (lambda n: F.col("hit." + n)), (lambda n: F.col("head_hit." + n)), (lambda n: F.col("first.`" + n + "`"))
     ctx = lambda hay, n: _around(hay, hit(n))
-    title = F.substring(head, 1, 200)
+    title = head
     twice = lambda n, hay, rx: hit(n).isNotNull() & (F.regexp_count(hay, F.lit(_low(rx))) >= 2)
     link_rule = lambda n: _rule(n, first(n).isNotNull() if firsts[n][0] is None else firsts[n][0] & first(n).isNotNull(), first(n))
     block_rule = lambda n: _rule(n, first(n).isNotNull(), first(n))
@@ -184,12 +197,13 @@ def obfuscated_script(html) -> Column:
     return text(html).rlike(P.OBFUSCATED)
 
 
-def parked_rule(html, final) -> Column:
-    """Name of the rule when the page is parked, for sale, expired, a default server page or a builder's 'not found'; else null."""
+def parked_rule(html, final, short: int = 8000) -> Column:
+    """Name of the rule when the page is parked, for sale, expired, a default server page or a builder's 'not found'; else null. Weak words count only on
+    pages with less visible text than ``short`` characters: a full page may say them in passing."""
     t = page_text(html)
     vis = F.regexp_replace(_visible_of(t), r"\s+", " ")
     return F.when(url_host(final).rlike(P.PARKING_HOSTS), "parking-host").when(t.rlike(P.HOSTING_PLACEHOLDER), "hosting-placeholder") \
-        .when(t.rlike(_low(P.PARKED)), "parked-words").when((F.length(vis) < 8000) & vis.rlike(_low(P.PARKED_EXTRA)), "parked")
+        .when(t.rlike(_low(P.PARKED)), "parked-words").when((F.length(vis) < short) & vis.rlike(_low(P.PARKED_EXTRA)), "parked")
 
 
 def page_norm(c) -> Column:
@@ -205,12 +219,12 @@ def _site_name(final) -> Column:
     return F.regexp_replace(F.regexp_replace(url_host(final), r"\.[^.]*$", ""), "[^a-z0-9]", "")
 
 
-def page_mentions(name, html, final) -> Column:
-    """A distinctive word of the name on the page or in the domain; a name without one must be spelled by the domain."""
+def page_mentions(name, html, final, letters: int = 12) -> Column:
+    """A distinctive word of the name on the page or in the domain; of a name without one, the domain must spell the first ``letters`` letters."""
     page = F.concat(F.lit(" "), page_norm(F.regexp_replace(text(html), r"(?is)<script.*?</script>|<style.*?</style>", " ")), F.lit(" "), page_norm(final), F.lit(" "))
     rest = F.filter(words(page_norm(name)), lambda w: ~w.isin("the", "and", "of", "a"))
     by_word = lambda ws: let(F.struct(page.alias("p"), _site_name(final).alias("d")), lambda x: F.exists(ws, lambda w: x["p"].contains(F.concat(F.lit(" "), w, F.lit(" "))) | x["d"].contains(w)))
-    return let(distinctive_words(name), lambda ws: F.when(F.size(ws) > 0, by_word(ws)).otherwise((F.size(rest) > 0) & _site_name(final).contains(F.substring(F.array_join(rest, ""), 1, 12))))
+    return let(distinctive_words(name), lambda ws: F.when(F.size(ws) > 0, by_word(ws)).otherwise((F.size(rest) > 0) & _site_name(final).contains(F.substring(F.array_join(rest, ""), 1, letters))))
 
 
 def page_locates(html, final, *, towns, zips, phones, streets, common_towns=()) -> Column:
@@ -223,7 +237,7 @@ def page_locates(html, final, *, towns, zips, phones, streets, common_towns=())
     town_ok = lambda v: (F.length(v) >= 4) & (~v.isin(*common_towns) if common_towns else F.lit(True))
 
     def street_hit(h, s):
-        n, core = F.regexp_extract(s, r"^(\d+) ", 1), F.get(F.filter(F.slice(F.split(s, " "), 2, 20), lambda w: (F.length(w) >= 3) & ~one_of(w, P.STREET_WORDS)), 0)
+        n, core = F.regexp_extract(s, r"^(\d+) ", 1), F.get(F.filter(F.slice(F.split(s, " "), F.lit(2), F.size(F.split(s, " "))), lambda w: (F.length(w) >= 3) & ~one_of(w, P.STREET_WORDS)), 0)
         return (n != "") & core.isNotNull() & F.call_function("rlike", h, F.concat(F.lit(r"\b"), n, F.lit(r"\s+(?:\w+\s+){0,2}"), core, F.lit(r"\b")))
     return let(hay, lambda h: F.when(F.exists(F.transform(arr(towns), page_norm), lambda v: town_ok(v) & has(h, v)), "town")
                .when(F.exists(arr(zips), lambda z: has(h, F.substring(z, 1, 5))), "zip")

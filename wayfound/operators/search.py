@@ -19,7 +19,6 @@ TAG_PHRASES = (("cuban sandwiches", "cuban"), ("cuban sandwich", "cuban"), ("cub
                ("grouper sandwich", "grouper"), ("oyster bars", "oyster"), ("oyster bar", "oyster"), ("raw bars", "oyster"), ("raw bar", "oyster"),
                ("fish camps", "fishcamp"), ("fish camp", "fishcamp"))
 STOP_WORDS = ("the", "and", "of", "a", "in", "near", "me")
-MAX_TOWN_WORDS = 6
 
 
 def town_lookup(places: DataFrame, town="city") -> DataFrame:
@@ -62,8 +61,9 @@ def parse_queries(queries: DataFrame, towns: DataFrame, *, phrases=TAG_PHRASES,
          .withColumn("mapped", F.when(F.col("_ph").isNull(), F.col("mapped")).otherwise(_without("mapped", F.col("_at"), F.col("_ph.n"))))
     # town: the longest one named, unless a street type follows it
     n = F.size("mapped")
+    q = q.withColumn("_most", towns.agg(F.max(F.size(F.split("town_key", " ")))).scalar())       # words of the longest town
     grams = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(MAX_TOWN_WORDS), n - i)), lambda k: F.struct(
+        F.sequence(F.lit(1), F.least(F.col("_most"), n - i)), lambda k: F.struct(
             i.alias("i"), k.alias("k"), F.array_join(F.slice("mapped", i + 1, k), " ").alias("g"), F.coalesce(F.get("mapped", i + k), F.lit("")).alias("next")))))
     g = q.filter(n > 0).select("query_id", F.explode(grams).alias("x")).select("query_id", "x.*").filter(~one_of("next", type_abbr))
     hit = g.join(towns, F.col("g") == F.col("town_key"))
