@@ -189,3 +189,13 @@ def test_no_checkpoint_folder_off_local(spark, monkeypatch):
                 get = staticmethod(lambda *_: None)
     with pytest.raises(RuntimeError):
         SC.cut_lineage(Frame())
+
+
+def test_rule_table_of_any_length(spark):
+    """Many lists of rules; the least priority wins across lists, copies and nulls keep their rows."""
+    from wayfound.operators.classify import apply_rule_table
+    rules = spark.range(250).select((250 - F.col("id")).cast("int").alias("priority"), F.concat(F.lit("L"), F.col("id")).alias("label"), F.concat(F.lit("^n"), F.col("id") % 50, F.lit("$")).alias("pattern"))
+    df = spark.createDataFrame([(1, "n7"), (2, "n7"), (3, "n49"), (4, "other"), (5, None)], "id int, name string")
+    want = {1: "L207", 2: "L207", 3: "L249", 4: None, 5: None}
+    assert {r.id: r.label for r in apply_rule_table(df, "name", rules, "label", at_once=20).collect()} == want
+    assert {r.label for r in apply_rule_table(df, "name", rules.limit(0), "label").collect()} == {None}
