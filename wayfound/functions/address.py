@@ -6,6 +6,7 @@ from pyspark.sql import Column, functions as F
 from . import vocab as V
 from ._col import chain, let, lookup, one_of, squeeze, text, words
 
+# fixed values: units, house numbers
 _UNIT = (r"\s(?:(?:STE|SUITE|UNIT|APT|PMB|DEPT|TRLR)\b|#|(?:BLDG|BLD|BUILDING|SPACE|SP|SPC|BAY|LOT|KIOSK|FLOOR|FL|FLR|RM|ROOM|STALL|"
          r"SHOP|BOOTH)\s*#?\s*[A-Z]?-?\d).*$")
 _NUMBERED = r"^(\d+)[A-Z]?(?:\s*-\s*\d+[A-Z]?)?(?:\s+1/2)?\s+(.+)$"
@@ -98,6 +99,7 @@ def street_compat(a, b) -> Column:
             .otherwise((F.size(ca) > 0) & (F.array_join(ca, " ") == F.array_join(cb, " ")) & ~clash(da, db) & ~(clash(ta, tb) & numbered))
 
 
+# fixed values: free words around an address, and the address itself
 _FREE = r"(?i)located in|please|between|next to|inside|back door|entrance|across from"
 _ADDRESS = (r"(?i)((?:\d+[A-Z]?)\s+(?:[NSEW]\.?\s+)?[\w.' ]+?\b(?:St|Street|Ave|Avenue|Dr|Drive|Rd|Road|Blvd|Ln|Lane|Way|Ct|Pl|Hwy|Pkwy|"
             r"Trl|Pike|Cir|Ter)\b\.?(?:\s*(?:#|Ste|Suite|Unit)\s*\w+)?)")

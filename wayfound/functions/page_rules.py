@@ -45,7 +45,9 @@ OFFSCREEN_FAR = r"(?i)(?<![\w-])(?:left|right|top|text-indent)\s*:\s*-\d{4,}(?:p
 OFFSCREEN_POS = (r"(?i)(?<![\w-])(?:left|right|top)\s*:\s*-\d{4,}(?:px|em|rem)|(?<![\w-])(?:left|right|top)\s*:\s*-\d{3,}(?:px|em|rem)[^\"']*position\s*:\s*absolute|"
                  r"position\s*:\s*absolute[^\"']*(?<![\w-])(?:left|right|top)\s*:\s*-\d{3,}(?:px|em|rem)")
 HIDE_STYLE = (r"(?i)(?<![\w-])width\s*:\s*[01](?:px)?\s*(?:;|$|!)|(?<![\w-])height\s*:\s*1px\s*(?:;|$|!)|font-size\s*:\s*0(?:px|em|rem|pt)?\s*(?:;|$|!)|"
-              r"clip\s*:\s*rect\(\s*0|" + OFFSCREEN_FAR[4:] + "|" + OFFSCREEN_POS[4:])
+              r"clip\s*:\s*rect\(\s*0|(?<![\w-])(?:left|right|top|text-indent)\s*:\s*-\d{4,}(?:px|em|rem)|"
+              r"(?<![\w-])(?:left|right|top)\s*:\s*-\d{4,}(?:px|em|rem)|(?<![\w-])(?:left|right|top)\s*:\s*-\d{3,}(?:px|em|rem)[^\"']*position\s*:\s*absolute|"
+              r"position\s*:\s*absolute[^\"']*(?<![\w-])(?:left|right|top)\s*:\s*-\d{3,}(?:px|em|rem)")
 OBFUSCATED = r"(?i)eval\s*\(\s*(?:String\.fromCharCode|atob|unescape|decodeURIComponent|function\s*\(\s*p\s*,\s*a\s*,\s*c\s*,\s*k)"
 BENIGN_HOST = (r"(?i)(?:^|\.)(?:facebook|fb|instagram|twitter|x|tiktok|youtube|youtu|pinterest|linkedin|yelp|tripadvisor|google|goo|googleapis|gstatic|"
                r"googletagmanager|apple|doordash|grubhub|ubereats|uber|postmates|seamless|slicelife|toasttab|toast|square|squareup|squarespace|wix|wixsite|weebly|"
