@@ -63,17 +63,56 @@ def greedy(edges):
     return sorted(out)
 
 
-@pytest.mark.parametrize("seed,tail_rounds", [(1, 99), (2, 1), (3, 0)])
-def test_one_to_one_equals_sequential_greedy(spark, seed, tail_rounds):
+@pytest.fixture
+def stages(monkeypatch):
+    """Counts the stages an iterative rule writes."""
+    seen, cut = [], M.cut_lineage
+    monkeypatch.setattr(M, "cut_lineage", lambda df: (seen.append(1), cut(df))[1])
+    return seen
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_one_to_one_equals_sequential_greedy(spark, seed):
     rng = random.Random(seed)
     edges = list({(rng.randint(1, 25), rng.randint(1, 25)): rng.randint(60, 70) for _ in range(150)}.items())
     edges = [(l, r, float(s)) for (l, r), s in edges]
-    got = M.one_to_one(spark.createDataFrame(edges, "lid int, rid int, score double"), tail_rounds=tail_rounds)
+    got = M.one_to_one(spark.createDataFrame(edges, "lid int, rid int, score double"))
+    assert sorted((r.lid, r.rid) for r in got.collect()) == greedy(edges)
+
+
+def test_a_chain_is_assigned_in_few_rounds(spark, stages):
+    """1,000 edges in a row, each worse than the last: every second one is taken."""
+    edges = [((i + 1) // 2, i // 2, 2000.0 - i) for i in range(1000)]
+    got = M.one_to_one(spark.createDataFrame(edges, "lid int, rid int, score double"))
     assert sorted((r.lid, r.rid) for r in got.collect()) == greedy(edges)
+    assert len(stages) <= 20
+
+
+def test_a_chain_of_classes_hands_on_what_is_left(spark):
+    """Capacities along a chain of classes; the copies' order decides who gets a place."""
+    rng = random.Random(9)
+    nl, nr = [rng.randint(1, 4) for _ in range(13)], [rng.randint(1, 4) for _ in range(13)]
+    first = lambda ns: [sum(ns[:i]) + 1 for i in range(len(ns))]
+    fl, fr = first(nl), first(nr)
+    chain = [((i + 1) // 2, i // 2, 90.0 - i) for i in range(24)]
+    members = lambda ns, f: spark.createDataFrame([(f[c] + j, f[c]) for c, n in enumerate(ns) for j in range(n)], "id int, cls int")
+    got = M.one_to_one_classes(spark.createDataFrame([(fl[a], fr[b], s) for a, b, s in chain], "lid int, rid int, score double"), members(nl, fl), members(nr, fr))
+    used_l, used_r, want = [0] * 13, [0] * 13, []
+    for a, b, _ in chain:
+        while used_l[a] < nl[a] and used_r[b] < nr[b]:
+            want.append((fl[a] + used_l[a], fr[b] + used_r[b]))
+            used_l[a], used_r[b] = used_l[a] + 1, used_r[b] + 1
+    assert sorted((x.lid, x.rid) for x in got.collect()) == sorted(want)
+
+
+def test_a_chain_is_suppressed_in_few_rounds(spark, stages):
+    """1,000 rows, each in conflict with the next: every second one goes, for the row before it."""
+    pairs = M.suppress(spark.createDataFrame([(i, i + 1, i) for i in range(999)], "hi int, lo int, hi_rank int"))
+    assert {r.loser: r.survivor for r in pairs.collect()} == {i: i - 1 for i in range(1, 1000, 2)}
+    assert len(stages) <= 20
 
 
-@pytest.mark.parametrize("tail_rounds", [99, 0])
-def test_copies_are_assigned_as_classes(spark, tail_rounds):
+def test_copies_are_assigned_as_classes(spark):
     """Class assignment equals the greedy walk over all rows; a third of the left rows are copies of one."""
     rng = random.Random(4)
     lcls = [1] * 10 + [rng.choice([11, 12, 13, 14]) for _ in range(20)]
@@ -90,7 +129,7 @@ def test_copies_are_assigned_as_classes(spark, tail_rounds):
         if a not in left and b not in right:
             left.add(a), right.add(b), want.append((a, b))
     mk = lambda d: spark.createDataFrame(list(d.items()), "id int, cls int")
-    got = M.one_to_one_classes(spark.createDataFrame([(a, b, s) for (a, b), s in pairs.items()], "lid int, rid int, score double"), mk(l), mk(r), tail_rounds=tail_rounds)
+    got = M.one_to_one_classes(spark.createDataFrame([(a, b, s) for (a, b), s in pairs.items()], "lid int, rid int, score double"), mk(l), mk(r))
     assert sorted((x.lid, x.rid) for x in got.collect()) == sorted(want)
 
 

@@ -7,8 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.address import core_street, street_compat
 from ..functions.similarity import close_words, name_sim, real_share, same_business, same_key, sim_ratio, sim_token_set
@@ -17,8 +16,6 @@ from .fuzzy import near_text_pairs
 from .scale import cut_lineage, keep_first, on_distinct, ranked, top_rows
 from .spatial import proximity_join
 
-TAIL_ROUNDS, TAIL_EDGES = 8, 100_000
-
 
 def classes(df: DataFrame, keys, id: str) -> tuple[DataFrame, DataFrame]:
     """(class table: keys, cls = smallest id, n), (membership: id, cls)."""
@@ -28,67 +25,77 @@ def classes(df: DataFrame, keys, id: str) -> tuple[DataFrame, DataFrame]:
     return table, member
 
 
+# --- chains ------------------------------------------------------------------------------------------------------------------------
+def settle(nodes: DataFrame) -> DataFrame:
+    """(key, v) of every node that hangs on a settled one through any number of others. Nodes are (key, at, sign, shift, lo, hi): with ``at``
+    null the value is ``shift`` (= lo = hi, sign 0), else it is ``sign * value of at + shift``, held between lo and hi. Nodes that hang on a
+    key that is not in the table stay out.
+
+    Such steps compose to steps of the same form, so pointers double: a chain of n nodes takes about log2 n joins."""
+    cols = ["key", "at", "sign", "shift", "lo", "hi"]
+    now = cut_lineage(nodes.select(*cols))
+    settled, hanging = now.filter(F.col("at").isNull()), now.filter(F.col("at").isNotNull())
+    hold = lambda v: F.greatest("lo", F.least("hi", v))
+    while not hanging.isEmpty():
+        t = settled.unionByName(hanging).select(*[F.col(c).alias("t_" + c) for c in cols])
+        low = F.when(F.col("sign") < 0, F.col("shift") - F.col("t_hi")).otherwise(F.col("shift") + F.col("t_lo"))
+        high = F.when(F.col("sign") < 0, F.col("shift") - F.col("t_lo")).otherwise(F.col("shift") + F.col("t_hi"))
+        step = hanging.join(t, F.col("at") == F.col("t_key")).select(
+            "key", F.col("t_at").alias("at"), (F.col("sign") * F.col("t_sign")).alias("sign"),
+            (F.col("sign") * F.col("t_shift") + F.col("shift")).alias("shift"), hold(low).alias("lo"), hold(high).alias("hi"))
+        step = cut_lineage(step)
+        settled, hanging = settled.unionByName(step.filter(F.col("at").isNull())), step.filter(F.col("at").isNotNull())
+    return settled.select("key", F.col("lo").alias("v"))
+
+
 # --- one-to-one assignment ----------------------------------------------------------------------------------------------------
-def _greedy(batches):
-    """Sequential greedy over a bounded rest of edges."""
-    edges = pd.concat(list(batches), ignore_index=True)
-    edges = edges.sort_values(["score", "lid", "rid"], ascending=[False, True, True])
-    left, right, out = {}, {}, []
-    for lid, rid, score, nl, nr in edges[["lid", "rid", "score", "nl", "nr"]].itertuples(index=False):
-        a, b = left.get(lid, 0), right.get(rid, 0)
-        k = min(nl - a, nr - b)
-        if k > 0:
-            left[lid], right[rid] = a + k, b + k
-            out.append((lid, rid, score, a, b, k))
-    yield pd.DataFrame(out, columns=["lid", "rid", "score", "l0", "r0", "k"])
-
-
-def _assign(edges: DataFrame, tail_rounds: int, tail_edges: int) -> DataFrame | None:
-    """Greedy by (score desc, lid, rid) with capacities nl, nr: rounds accept every edge that is the best left at both its ends. After some
-    rounds a rest of proven small size is finished in order in one task. Accepted edges carry how many places of each end came before."""
-    schema = edges.schema
-    types = {f.name: f.dataType.simpleString() for f in schema}
-    out_ddl = f"lid {types['lid']}, rid {types['rid']}, score double, l0 bigint, r0 bigint, k bigint"
-    spark_cols = ["lid", "rid", "score", "nl", "nr", "lu", "ru"]
-    rest = cut_lineage(edges.withColumn("lu", F.lit(0).cast("bigint")).withColumn("ru", F.lit(0).cast("bigint")).select(*spark_cols))
-    done, rounds = None, 0
+def _assign(edges: DataFrame) -> DataFrame | None:
+    """Greedy by (score desc, lid, rid) with capacities nl, nr. Each round settles every edge that is the best left at both its ends, and every
+    edge with one better edge at its ends, as far as the chain of such edges leads to a best one: it takes what the better one leaves. A
+    chain takes one round, not one round an edge. Accepted edges carry how many places of each end came before."""
+    cols = ["lid", "rid", "score", "nl", "nr", "lu", "ru"]
+    zero = F.lit(0).cast("bigint")
+    rest = cut_lineage(edges.withColumn("lu", zero).withColumn("ru", zero).select(*cols))
+    done = None
     while not rest.isEmpty():
-        if rounds >= tail_rounds and rest.count() <= tail_edges:
-            left = rest.withColumn("nl", F.col("nl") - F.col("lu")).withColumn("nr", F.col("nr") - F.col("ru"))
-            offs = rest.select("lid", "rid", "lu", "ru")
-            tail = left.coalesce(1).mapInPandas(_greedy, out_ddl).join(offs, ["lid", "rid"]) \
-                .select("lid", "rid", "score", (F.col("l0") + F.col("lu")).alias("l0"), (F.col("r0") + F.col("ru")).alias("r0"), "k")
-            tail = cut_lineage(tail)
-            return tail if done is None else done.unionByName(tail)
-        best_l = rest.groupBy("lid").agg(F.min(F.struct((-F.col("score")).alias("s"), "rid")).alias("b")).select("lid", F.col("b.rid").alias("rid"))
-        best_r = rest.groupBy("rid").agg(F.min(F.struct((-F.col("score")).alias("s"), "lid")).alias("b")).select("rid", F.col("b.lid").alias("lid"))
-        mutual = best_l.join(best_r, ["lid", "rid"], "left_semi")
-        take = rest.join(mutual, ["lid", "rid"], "left_semi").withColumn("k", F.least(F.col("nl") - F.col("lu"), F.col("nr") - F.col("ru")))
-        take = cut_lineage(take.select("lid", "rid", "score", F.col("lu").alias("l0"), F.col("ru").alias("r0"), "k"))
-        done = take if done is None else done.unionByName(take)
-        used_l, used_r = take.select("lid", F.col("k").alias("kl")), take.select("rid", F.col("k").alias("kr"))
+        at_l = top_rows(rest, ["lid"], [F.desc("score"), F.asc("rid")], 2, rank="il").withColumn("brid", F.lag("rid").over(W.partitionBy("lid").orderBy("il")))
+        at_r = top_rows(rest, ["rid"], [F.desc("score"), F.asc("lid")], 2, rank="ir").withColumn("blid", F.lag("lid").over(W.partitionBy("rid").orderBy("ir")))
+        top = at_l.join(at_r.select("lid", "rid", "ir", "blid"), ["lid", "rid"]).filter(F.col("il") + F.col("ir") <= 3)
+        left_l, left_r = F.col("nl") - F.col("lu"), F.col("nr") - F.col("ru")
+        best, both = F.col("il") + F.col("ir") == 2, F.least(left_l, left_r)
+        shared, other = F.when(F.col("il") == 2, left_l).otherwise(left_r), F.when(F.col("il") == 2, left_r).otherwise(left_l)
+        at = F.when(F.col("il") == 2, F.struct("lid", F.col("brid").alias("rid"))).when(F.col("ir") == 2, F.struct(F.col("blid").alias("lid"), "rid"))
+        top = cut_lineage(top.select(*cols, F.struct("lid", "rid").alias("key"), at.alias("at"), (F.col("il") == 2).alias("by_l"), F.when(best, 0).otherwise(-1).alias("sign"),
+                                     F.when(best, both).otherwise(shared).alias("shift"), F.when(best, both).otherwise(zero).alias("lo"), F.when(best, both).otherwise(other).alias("hi")))
+        got = settle(top)
+        before = got.select(F.col("key").alias("b_key"), F.col("v").alias("b_v"))
+        take = top.join(got, "key").join(before, F.col("at") == F.col("b_key"), "left")
+        ahead = lambda here: F.when(here, F.coalesce("b_v", zero)).otherwise(zero)
+        take = cut_lineage(take.select("lid", "rid", "score", (F.col("lu") + ahead(F.col("by_l"))).alias("l0"), (F.col("ru") + ahead(~F.col("by_l"))).alias("r0"), F.col("v").alias("k")))
+        accepted = take.filter("k > 0")
+        done = accepted if done is None else done.unionByName(accepted)
+        used_l, used_r = accepted.groupBy("lid").agg(F.sum("k").alias("kl")), accepted.groupBy("rid").agg(F.sum("k").alias("kr"))
         rest = rest.join(used_l, "lid", "left").join(used_r, "rid", "left") \
-            .withColumn("lu", F.col("lu") + F.coalesce("kl", F.lit(0))).withColumn("ru", F.col("ru") + F.coalesce("kr", F.lit(0))) \
-            .filter((F.col("lu") < F.col("nl")) & (F.col("ru") < F.col("nr"))).join(take, ["lid", "rid"], "left_anti").select(*spark_cols)
+            .withColumn("lu", F.col("lu") + F.coalesce("kl", zero)).withColumn("ru", F.col("ru") + F.coalesce("kr", zero)) \
+            .filter((F.col("lu") < F.col("nl")) & (F.col("ru") < F.col("nr"))).join(take, ["lid", "rid"], "left_anti").select(*cols)
         rest = cut_lineage(rest)
-        rounds += 1
     return done
 
 
-def one_to_one(pairs: DataFrame, *, lid="lid", rid="rid", score="score", tail_rounds=TAIL_ROUNDS, tail_edges=TAIL_EDGES) -> DataFrame:
+def one_to_one(pairs: DataFrame, *, lid="lid", rid="rid", score="score") -> DataFrame:
     """Greedy one-to-one assignment in the order (score desc, left id, right id): (lid, rid, score)."""
     edges = pairs.select(F.col(lid).alias("lid"), F.col(rid).alias("rid"), F.col(score).cast("double").alias("score")) \
         .groupBy("lid", "rid").agg(F.max("score").alias("score")).withColumn("nl", F.lit(1).cast("bigint")).withColumn("nr", F.lit(1).cast("bigint"))
-    got = _assign(edges, tail_rounds, tail_edges)
+    got = _assign(edges)
     return edges.select("lid", "rid", "score").limit(0) if got is None else got.select("lid", "rid", "score")
 
 
-def one_to_one_classes(pairs: DataFrame, l_members: DataFrame, r_members: DataFrame, *, tail_rounds=TAIL_ROUNDS, tail_edges=TAIL_EDGES) -> DataFrame:
+def one_to_one_classes(pairs: DataFrame, l_members: DataFrame, r_members: DataFrame) -> DataFrame:
     """One-to-one assignment where copies stand as classes: ``pairs`` (lid, rid, score) hold class ids, ``*_members`` (id, cls) the rows.
     Order: score desc, then smallest left id of the class, smallest right id of the class, then ids within."""
     size = lambda m, c, n: m.groupBy(F.col("cls").alias(c)).agg(F.count("*").alias(n))
     edges = pairs.groupBy("lid", "rid").agg(F.max("score").cast("double").alias("score")).join(size(l_members, "lid", "nl"), "lid").join(size(r_members, "rid", "nr"), "rid")
-    got = _assign(edges, tail_rounds, tail_edges)
+    got = _assign(edges)
     if got is None:
         return edges.select("lid", "rid", "score").limit(0)
     slots = got.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)))
@@ -100,12 +107,22 @@ def one_to_one_classes(pairs: DataFrame, l_members: DataFrame, r_members: DataFr
 # --- ranked suppression --------------------------------------------------------------------------------------------------------
 def suppress(edges: DataFrame) -> DataFrame:
     """Ranked suppression over conflict edges (hi, lo, hi_rank): scanning by rank, a row goes when an already kept row conflicts with it.
-    Returns (loser, survivor), the survivor being the best-ranked kept row in conflict. ``hi_rank`` orders rows, smallest first."""
+    Returns (loser, survivor), the survivor being the best-ranked kept row in conflict. ``hi_rank`` orders rows, smallest first.
+
+    Each round settles the rows without a better one in conflict, every row with a single better one as far as the chain leads to a settled
+    row, and the rows in conflict with a kept one."""
     edges = cut_lineage(edges.select("hi", "lo", "hi_rank").distinct())
     rest, lost = edges, None
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     while not rest.isEmpty():
-        kept = rest.select("hi").distinct().join(rest.select(F.col("lo").alias("hi")).distinct(), "hi", "left_anti")
-        gone = cut_lineage(rest.join(kept, "hi", "left_semi").select(F.col("lo").alias("loser")).distinct())
+        single = rest.groupBy(F.col("lo").alias("key")).agg(F.min("hi").alias("at"), F.max("hi").alias("at_")).filter(F.col("at") == F.col("at_"))
+        first = rest.select(F.col("hi").alias("key")).distinct().join(rest.select(F.col("lo").alias("key")).distinct(), "key", "left_anti")
+        nodes = single.select("key", "at", F.lit(-1).alias("sign"), one.alias("shift"), zero.alias("lo"), one.alias("hi")).unionByName(
+            first.select("key", F.expr("nullif(key, key)").alias("at"), F.lit(0).alias("sign"), one.alias("shift"), one.alias("lo"), one.alias("hi")))
+        known = settle(nodes)
+        kept = known.filter("v = 1").select(F.col("key").alias("hi"))
+        gone = known.filter("v = 0").select(F.col("key").alias("loser")).unionByName(rest.join(kept, "hi", "left_semi").select(F.col("lo").alias("loser"))).distinct()
+        gone = cut_lineage(gone)
         lost = gone if lost is None else lost.unionByName(gone)
         rest = cut_lineage(rest.join(gone, rest["lo"] == gone["loser"], "left_anti").join(gone, rest["hi"] == gone["loser"], "left_anti"))
     if lost is not None:
