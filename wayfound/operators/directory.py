@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.geo import haversine_miles
 from ..functions.text import search_normalize, search_text
-from .scale import top_rows
+from .scale import ranked, top_rows
 
 # fixed values: tag bits of the hand-checked guides
 TAG_BITS = {"cuban": 0, "stonecrab": 1, "grouper": 2, "keys": 3, "oyster": 4, "fishcamp": 5, "latin": 6, "oldest": 7}
@@ -129,29 +129,27 @@ def index_selection() -> Column:
 
 
 # --- orders -----------------------------------------------------------------------------------------------------------------------
-def _name():
-    return [F.asc("sort_key"), F.asc("id")]
-
-
-def sort_order(order: str, here: tuple[float, float] | None = None) -> list[Column]:
-    founded = F.coalesce(F.col("founded"), F.lit(9999)).asc()
+def sort_keys(order: str, here: tuple[float, float] | None = None) -> list[Column]:
+    """Sort keys of an order, all ascending, the id last; without a place to start from, nearest is featured."""
+    name, last = [F.col("sort_key"), F.col("id")], lambda c: [F.col(c).isNull()]
+    founded = F.coalesce(F.col("founded"), F.lit(9999))
     if order == "nearest" and here is not None:
-        return [F.asc_nulls_last("miles"), *_name()]
+        return [*last("miles"), F.col("miles"), *name]
     if order in ("featured", "nearest"):
-        return [F.coalesce(F.col("ip").cast("double"), F.lit(-1.0)).desc(), founded, *_name()]
+        return [-F.coalesce(F.col("ip").cast("double"), F.lit(-1.0)), founded, *name]
     if order == "oldest":
-        return [founded, *_name()]
+        return [founded, *name]
     if order == "iconic":
         bit = lambda b: F.coalesce(F.col("honors"), F.lit(0)).bitwiseAND(F.lit(b)) != 0
         level = F.when(bit(1), 4).when(bit(2), 3).when(bit(4), 2).when(bit(8), 1).otherwise(0)
-        return [F.coalesce(F.col("award"), F.lit(0)).desc(), level.desc(), *_name()]
+        return [-F.coalesce(F.col("award"), F.lit(0)), -level, *name]
     if order == "recent":
-        return [F.desc_nulls_last("insp_date"), *_name()]
+        return [*last("insp_date"), -F.unix_date(F.col("insp_date").cast("date")), *name]
     if order in ("fewest_high", "most_high"):
         rest = F.coalesce(F.col("im"), F.lit(0)) + F.coalesce(F.col("bs"), F.lit(0))
-        few = order == "fewest_high"
-        return [F.asc_nulls_last("hp") if few else F.desc_nulls_last("hp"), rest.asc() if few else rest.desc(), *_name()]
-    return _name()
+        up = lambda c: c if order == "fewest_high" else -c
+        return [*last("hp"), up(F.col("hp")), up(rest) if order == "most_high" else rest, *name]
+    return name
 
 
 def with_sort_columns(df: DataFrame, here: tuple[float, float] | None = None) -> DataFrame:
@@ -159,12 +157,24 @@ def with_sort_columns(df: DataFrame, here: tuple[float, float] | None = None) ->
     return out.withColumn("miles", haversine_miles("lat", "lon", F.lit(float(here[0])), F.lit(float(here[1])))) if here else out
 
 
-def sort_places(df: DataFrame, order: str, here=None, limit: int | None = None, offset: int = 0) -> DataFrame:
-    """Ordered (page of a) list; with a limit Spark keeps only the top rows of each task."""
-    out = with_sort_columns(df, here).orderBy(*sort_order(order, here))
+def in_order(df: DataFrame, keys: list[Column], limit: int | None = None, position: str | None = None) -> DataFrame:
+    """Rows by ascending keys; with a limit Spark keeps only the top rows of each task. ``position`` adds the place from 1: over the rows of the
+    limit, or, without one, over value ranges of the whole table."""
+    if position is None:
+        out = df.orderBy(*keys)
+        return out.limit(limit) if limit is not None else out
+    if limit is None:
+        return ranked(df, [], keys, position)
+    return df.orderBy(*keys).limit(limit).withColumn(position, F.row_number().over(W.orderBy(*keys)))
+
+
+def sort_places(df: DataFrame, order: str, here=None, limit: int | None = None, offset: int = 0, position: str | None = None) -> DataFrame:
+    """Ordered (page of a) list."""
+    out, keys = with_sort_columns(df, here), sort_keys(order, here)
     if offset:
-        out = out.offset(offset)
-    return out.limit(limit) if limit is not None else out
+        out = out.orderBy(*keys).offset(offset)
+        return out.limit(limit) if limit is not None else out
+    return in_order(out, keys, limit, position)
 
 
 def page_rows(df: DataFrame, order: str, page: int, first: int = 100, step: int = 200) -> DataFrame:

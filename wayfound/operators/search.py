@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions._col import lookup, one_of
 from ..functions.text import SEARCH_SYNONYMS, TYPE_SYNONYMS, search_normalize, search_normalize_address
-from .directory import Filters, RANKED_GUIDES, TAG_BITS, guide_filter, sort_order, with_sort_columns
+from .directory import Filters, RANKED_GUIDES, TAG_BITS, guide_filter, in_order, sort_keys, with_sort_columns
 from .scale import cut_lineage, top_rows
 
 PREFIX = 4
+ASKED = ("tag", "tag_stem", "town", "town_needle", "tokens")
 # fixed values: phrases that name a guide, in the order they are looked for; words that carry no meaning
 TAG_PHRASES = (("cuban sandwiches", "cuban"), ("cuban sandwich", "cuban"), ("cubanos", "cuban"), ("cubano", "cuban"), ("cafecito", "cuban"),
                ("ventanita", "cuban"), ("stone crabs", "stonecrab"), ("stone crab", "stonecrab"), ("grouper sandwiches", "grouper"),
@@ -43,9 +44,13 @@ def _words_before(text_, phrase) -> Column:
     return F.size(F.split(F.substring(text_, F.lit(1), F.locate(phrase, text_) if isinstance(phrase, str) else F.call_function("locate", phrase, text_)), " ")) - 2
 
 
-def parse_queries(queries: DataFrame, towns: DataFrame, *, phrases=TAG_PHRASES, synonyms=None, types=None, stop=STOP_WORDS) -> DataFrame:
-    """(query_id, text, tag, tag_stem, town, town_needle, tokens array<array<string>>, typed): what each typed text asks for. The parsed table
-    is a stage of its own, so the searches that use it do not parse again."""
+def parse_queries(queries: DataFrame, towns: DataFrame, **rules) -> DataFrame:
+    """What each typed text asks for (see ``asked``), as a stage of its own, so the searches that use it do not parse again."""
+    return cut_lineage(asked(queries, towns, **rules))
+
+
+def asked(queries: DataFrame, towns: DataFrame, *, phrases=TAG_PHRASES, synonyms=None, types=None, stop=STOP_WORDS) -> DataFrame:
+    """(query_id, text, tag, tag_stem, town, town_needle, tokens array<array<string>>, typed): what each typed text asks for."""
     syn = SEARCH_SYNONYMS if synonyms is None else synonyms
     typ = TYPE_SYNONYMS if types is None else types
     type_abbr, abbr = sorted(set(typ.values())), sorted(set(syn.values()))
@@ -89,7 +94,7 @@ def parse_queries(queries: DataFrame, towns: DataFrame, *, phrases=TAG_PHRASES,
     a, b = F.get("_w", m - 2), F.get("_w", m - 1)
     glue = F.array(F.concat(F.lit(" "), a["mapped"], F.lit(" "), b["mapped"], F.lit(" ")), F.concat(F.lit(" "), a["raw"], F.lit(" "), b["raw"]))
     q = q.withColumn("tokens", F.when((m >= 2) & one_of(b["mapped"], type_abbr), F.concat(F.slice(tokens, F.lit(1), m - 2), F.array(glue))).otherwise(tokens))
-    return cut_lineage(q.select("query_id", "text", "tag", "tag_stem", "town", "town_needle", "tokens", (F.trim("text") != "").alias("typed")))
+    return q.select("query_id", "text", "tag", "tag_stem", "town", "town_needle", "tokens", (F.trim("text") != "").alias("typed"))
 
 
 def nothing_searchable(parsed: DataFrame) -> DataFrame:
@@ -105,6 +110,15 @@ def _all_in(tokens, hay) -> Column:
     return F.forall(tokens, lambda needles: F.exists(needles, lambda x: hay.contains(x)))
 
 
+def _answers(q: dict[str, Column]) -> Column:
+    """Whether a place answers a parsed text, all of it tested."""
+    bit = lookup({t: 1 << b for t, b in TAG_BITS.items()}, q["tag"], 0)
+    named = lambda c: F.coalesce(F.col("name_text").contains(c), F.lit(False))
+    ok_tag = q["tag"].isNull() | (F.coalesce(F.col("tags"), F.lit(0)).bitwiseAND(bit) != 0) | named(q["tag_stem"])
+    ok_town = q["town"].isNull() | F.coalesce(F.col("city") == q["town"], F.lit(False)) | named(q["town_needle"])
+    return ok_tag & ok_town & _all_in(q["tokens"], F.col("search_text"))
+
+
 def search_match(places: DataFrame, parsed: DataFrame) -> DataFrame:
     """(query_id, place_id, name_hit) for every query that asks for something. Places carry id, city, tags, search_text, name_text."""
     word = lambda c: F.concat(F.lit("w:"), F.substring(_first_word(c), 1, PREFIX))
@@ -117,10 +131,7 @@ def search_match(places: DataFrame, parsed: DataFrame) -> DataFrame:
     tags = F.array_compact(F.array(*[F.when(F.coalesce(F.col("tags"), F.lit(0)).bitwiseAND(F.lit(1 << b)) != 0, F.lit("g:" + t)) for t, b in TAG_BITS.items()]))
     city = F.array_compact(F.array(F.concat(F.lit("c:"), F.col("city"))))
     p = places.select(F.col("id").alias("place_id"), "city", "tags", "search_text", "name_text", F.explode(F.array_distinct(F.concat(starts, tags, city))).alias("key"))
-    bit = lookup({t: 1 << b for t, b in TAG_BITS.items()}, "tag", 0)
-    ok_tag = F.col("tag").isNull() | (F.coalesce(F.col("tags"), F.lit(0)).bitwiseAND(bit) != 0) | F.coalesce(F.col("name_text").contains(F.col("tag_stem")), F.lit(False))
-    ok_town = F.col("town").isNull() | F.coalesce(F.col("city") == F.col("town"), F.lit(False)) | F.coalesce(F.col("name_text").contains(F.col("town_needle")), F.lit(False))
-    hit = q.join(p, F.col("probe") == F.col("key")).filter(ok_tag & ok_town & _all_in("tokens", F.col("search_text")))
+    hit = q.join(p, F.col("probe") == F.col("key")).filter(_answers({c: F.col(c) for c in ASKED}))
     return hit.select("query_id", "place_id", ((F.size("tokens") > 0) & _all_in("tokens", F.col("name_text"))).alias("name_hit")).distinct()
 
 
@@ -131,22 +142,30 @@ def name_first(hits: DataFrame) -> DataFrame:
     return hits.join(n, F.col("query_id") == F.col("_q")).withColumn("lead", lead).drop("_q", "n", "named")
 
 
-def guide_query(places: DataFrame, guide: str, filters: Filters, text: str, order: str, here=None, towns: DataFrame | None = None, limit: int | None = None) -> DataFrame:
-    """The composed directory query: guide, filters, search, sort, name matches first. One plan; with ``limit`` a top-k."""
-    spark = places.sparkSession
+def guide_query(places: DataFrame, guide: str, filters: Filters, text: str, order: str, here=None, towns: DataFrame | None = None, limit: int | None = None,
+                position: str | None = None) -> DataFrame:
+    """The composed directory query: guide, filters, search, sort, name matches first. The one typed text is parsed to a one-row value, and
+    places are tested row by row: one scan without an exchange before the order. ``position`` names a column for the place in it."""
     base = places.filter(guide_filter(guide) & filters.condition())
     if guide == "nearme" and here is None:
-        return base.limit(0)
+        base = base.limit(0)
     base = with_sort_columns(base, here)
-    keys = sort_order(order, here)
+    keys = sort_keys(order, here)
     if not text.strip():
-        out = base.orderBy(*keys)
-        return out.limit(limit) if limit is not None else out
-    parsed = parse_queries(spark.createDataFrame([(1, text)], "query_id int, text string"), towns if towns is not None else town_lookup(places))
-    hits = search_match(base, parsed)
-    hits = hits.withColumn("lead", F.lit(1)) if guide in RANKED_GUIDES else name_first(hits)
-    out = base.join(hits.select("place_id", "lead"), F.col("id") == F.col("place_id")).orderBy("lead", *keys).drop("place_id", "lead")
-    return out.limit(limit) if limit is not None else out
+        return in_order(base, keys, limit, position)
+    typed = places.sparkSession.range(1).select(F.lit(1).alias("query_id"), F.lit(text).alias("text"))
+    ask = asked(typed, towns if towns is not None else town_lookup(places)).select(F.struct(*ASKED).alias("q")).scalar()
+    q = {c: F.col("_ask")[c] for c in ASKED}
+    something = (F.size(q["tokens"]) > 0) | q["town"].isNotNull() | q["tag"].isNotNull()
+    found = base.withColumn("_ask", ask).filter(something & _answers(q)).withColumn("_named", (F.size(q["tokens"]) > 0) & _all_in(q["tokens"], F.col("name_text"))).drop("_ask")
+    if position is not None and limit is None:
+        found = cut_lineage(found)                      # numbering the whole list reads it three times
+    if guide in RANKED_GUIDES:
+        return in_order(found, keys, limit, position).drop("_named")
+    # name matches lead only when they are some but not all of the rows
+    some = found.agg(((F.count_if("_named") > 0) & (F.count_if("_named") < F.count("*"))).alias("some")).scalar()
+    found = found.withColumn("_lead", ~(F.col("_named") & some))
+    return in_order(found, [F.col("_lead"), *keys], limit, position).drop("_named", "_lead")
 
 
 def elsewhere_count(places: DataFrame, guide: str, filters: Filters, hits: DataFrame, few: int = 5) -> DataFrame:

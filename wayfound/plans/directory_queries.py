@@ -1,7 +1,7 @@
 """Registered queries over the directory: guides, filters, search, orders."""
 from pyspark.sql import functions as F
 
-from ..operators import directory as D, scale, search as Q
+from ..operators import directory as D, search as Q
 from ..operators.visits import latest_visit
 from .latest_results import EVENT_GROUP
 from ..functions._col import lookup
@@ -85,13 +85,13 @@ _ORDERS = {
     "sort_fewest_high_priority": ("fewest_high", "hp asc nulls last, coalesce(im,0)+coalesce(bs,0), sort_key, id"),
 }
 for _key, (_order, _sql) in _ORDERS.items():
-    q(_key, f"select id from (select id from d order by {_sql} limit 200)")(
-        lambda spark, sf, _order=_order: D.sort_places(places(spark, sf), _order, limit=200).select("id"))
+    q(_key, f"select id, row_number() over (order by {_sql}) as pos from d order by pos limit 200")(
+        lambda spark, sf, _order=_order: D.sort_places(places(spark, sf), _order, limit=200, position="pos").select("id", "pos"))
 
 
-@q("sort_nearest", "select id, round(mi,4) as miles from (select id, sort_key, 2*3958.8*asin(sqrt(least(1, pow(sin(radians(26.3e0-lat)/2),2)+cos(radians(lat))*cos(radians(26.3e0))*pow(sin(radians(-84.7e0-lon)/2),2)))) as mi from d order by mi nulls last, sort_key, id limit 200)")
+@q("sort_nearest", "select id, round(mi,4) as miles, row_number() over (order by mi nulls last, sort_key, id) as pos from (select id, sort_key, 2*3958.8*asin(sqrt(least(1, pow(sin(radians(26.3e0-lat)/2),2)+cos(radians(lat))*cos(radians(26.3e0))*pow(sin(radians(-84.7e0-lon)/2),2)))) as mi from d order by mi nulls last, sort_key, id limit 200)")
 def sort_nearest(spark, sf):
-    return D.sort_places(places(spark, sf), "nearest", (26.3, -84.7), limit=200).select("id", F.round("miles", 4).alias("miles"))
+    return D.sort_places(places(spark, sf), "nearest", (26.3, -84.7), limit=200, position="pos").select("id", F.round("miles", 4).alias("miles"), "pos")
 
 
 @q("page_rows", "select id from (select id, row_number() over (order by sort_key, id) as rn from d) where rn>300 and rn<=500")
@@ -201,5 +201,4 @@ def elsewhere_count(spark, sf):
 @q("guide_query", "select id, row_number() over (order by lead, sort_key, id) as pos from (select id, sort_key, case when contains(' '||lower(name),' ring') then 0 else 1 end as lead from d where not venue and tier>0 and (award>0 or jbf is not null) and contains(' '||lower(name)||' '||lower(cuisine),' ring'))")
 def guide_query(spark, sf):
     p = D.with_search_columns(places(spark, sf))
-    out = Q.guide_query(p, "honors", D.Filters(confirmed_only=True), "ring", "name")
-    return scale.ranked(out.select("id", "sort_key"), [], ["sort_key", "id"], "pos").select("id", "pos")
+    return Q.guide_query(p, "honors", D.Filters(confirmed_only=True), "ring", "name", position="pos").select("id", "pos")
