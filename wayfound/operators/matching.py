@@ -31,9 +31,9 @@ def settle(nodes: DataFrame) -> DataFrame:
     null the value is ``shift`` (= lo = hi, sign 0), else it is ``sign * value of at + shift``, held between lo and hi. Nodes that hang on a
     key that is not in the table stay out.
 
-    Such steps compose to steps of the same form, so pointers double: a chain of n nodes takes about log2 n joins."""
+    The table is read several times: write it before. Such steps compose to steps of the same form, so pointers double: a chain of n nodes takes about log2 n joins."""
     cols = ["key", "at", "sign", "shift", "lo", "hi"]
-    now = cut_lineage(nodes.select(*cols))
+    now = nodes.select(*cols)
     settled, hanging = now.filter(F.col("at").isNull()), now.filter(F.col("at").isNotNull())
     hold = lambda v: F.greatest("lo", F.least("hi", v))
     while not hanging.isEmpty():
@@ -119,7 +119,7 @@ def suppress(edges: DataFrame) -> DataFrame:
         first = rest.select(F.col("hi").alias("key")).distinct().join(rest.select(F.col("lo").alias("key")).distinct(), "key", "left_anti")
         nodes = single.select("key", "at", F.lit(-1).alias("sign"), one.alias("shift"), zero.alias("lo"), one.alias("hi")).unionByName(
             first.select("key", F.expr("nullif(key, key)").alias("at"), F.lit(0).alias("sign"), one.alias("shift"), one.alias("lo"), one.alias("hi")))
-        known = settle(nodes)
+        known = settle(cut_lineage(nodes))
         kept = known.filter("v = 1").select(F.col("key").alias("hi"))
         gone = known.filter("v = 0").select(F.col("key").alias("loser")).unionByName(rest.join(kept, "hi", "left_semi").select(F.col("lo").alias("loser"))).distinct()
         gone = cut_lineage(gone)

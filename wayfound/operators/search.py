@@ -144,7 +144,7 @@ def name_first(hits: DataFrame) -> DataFrame:
 
 def guide_query(places: DataFrame, guide: str, filters: Filters, text: str, order: str, here=None, towns: DataFrame | None = None, limit: int | None = None,
                 position: str | None = None) -> DataFrame:
-    """The composed directory query: guide, filters, search, sort, name matches first. The one typed text is parsed to a one-row value, and
+    """The composed directory query: guide, filters, search, sort, name matches first. The one typed text is parsed first, and
     places are tested row by row: one scan without an exchange before the order. ``position`` names a column for the place in it."""
     base = places.filter(guide_filter(guide) & filters.condition())
     if guide == "nearme" and here is None:
@@ -154,10 +154,12 @@ def guide_query(places: DataFrame, guide: str, filters: Filters, text: str, orde
     if not text.strip():
         return in_order(base, keys, limit, position)
     typed = places.sparkSession.range(1).select(F.lit(1).alias("query_id"), F.lit(text).alias("text"))
-    ask = asked(typed, towns if towns is not None else town_lookup(places)).select(F.struct(*ASKED).alias("q")).scalar()
-    q = {c: F.col("_ask")[c] for c in ASKED}
-    something = (F.size(q["tokens"]) > 0) | q["town"].isNotNull() | q["tag"].isNotNull()
-    found = base.withColumn("_ask", ask).filter(something & _answers(q)).withColumn("_named", (F.size(q["tokens"]) > 0) & _all_in(q["tokens"], F.col("name_text"))).drop("_ask")
+    row = asked(typed, towns if towns is not None else town_lookup(places)).first()                # one row, as long as the typed text
+    if not (row["tokens"] or row["town"] is not None or row["tag"] is not None):
+        return in_order(base.limit(0), keys, limit, position)
+    q = {c: F.lit(row[c]).cast("string") for c in ASKED if c != "tokens"}
+    q["tokens"] = F.array(*[F.array(*[F.lit(n) for n in needles]) for needles in row["tokens"]]).cast("array<array<string>>")
+    found = base.filter(_answers(q)).withColumn("_named", _all_in(q["tokens"], F.col("name_text")) if row["tokens"] else F.lit(False))
     if position is not None and limit is None:
         found = cut_lineage(found)                      # numbering the whole list reads it three times
     if guide in RANKED_GUIDES:

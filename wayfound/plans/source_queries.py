@@ -150,7 +150,8 @@ def _events(spark, sf):
 @C.add("stream_dedupe_visits", "select user_id, day, arg_max(event_type, event_id) as event_type, max(event_id) as event_id from (select *, strftime(ts,'%Y-%m-%d') as day from events) group by 1,2")
 def stream_dedupe_visits(spark, sf):
     e = _events(spark, sf).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    return _run(spark, ST.dedupe_visits(e, keys=["user_id", "day"], time="ts", delivery="event_id", fields=["event_type", "event_id"]), ["user_id", "day"])
+    got = _run(spark, ST.dedupe_visits(e, keys=["user_id", "day"], time="ts", delivery="event_id", fields=["event_type", "event_id"]), ["user_id", "day", "period"])
+    return ST.merged_visits(got, keys=["user_id", "day"], fields=["event_type", "event_id"])
 
 
 @C.add("stream_publication_lag", "select event_id from events where cast(ts as date)<=date '2024-01-20'")
@@ -161,13 +162,15 @@ def stream_publication_lag(spark, sf):
 @C.add("stream_latest_state", "select user_id, arg_max(event_type, (ts, event_id)) as event_type, count(*) as visits, arg_max(event_type, (ts, event_id))<>'error' as in_era from events group by 1")
 def stream_latest_state(spark, sf):
     s = ST.latest_state(_events(spark, sf), key="user_id", time="ts", order=["ts", "event_id"], ok=F.col("event_type") != "error", fields=["event_type"])
-    return _run(spark, s, ["user_id"])
+    return ST.merged_state(_run(spark, s, ["user_id", "period"]), key="user_id")
 
 
 @C.add("stream_verdict_ttl", "select cast(user_id as varchar) as url, case when arg_max(event_type,(date_trunc('second',ts), event_id))='error' then 'expired' else 'fresh' end as state from (select *, row_number() over (partition by user_id, date_trunc('second',ts) order by event_id) as rn from events) where rn=1 group by 1")
 def stream_verdict_ttl(spark, sf):
     v = _events(spark, sf).select(F.col("user_id").cast("string").alias("url"), (F.col("event_type") == "view").alias("ok"), F.when(F.col("event_type") == "error", 2).otherwise(3).alias("v"), F.col("ts").alias("at"))
-    return _run(spark, ST.verdict_ttl(v, rules=3), ["url"]).select("url", "state")
+    stored = _run(spark, ST.verdict_ttl(v), ["url", "period"])
+    newest = stored.agg(F.timestamp_seconds(F.max("at_"))).scalar()
+    return ST.verdicts_at(stored, now=newest, rules=3).select("url", "state")
 
 
 @C.add("stream_mention_counts", _MC.replace("from fx_review) where", "from (select documents.doc_id as doc_id, source as gmap_id, text, cast(n_chars%5 as double) as rating from documents)) where"))

@@ -2,14 +2,13 @@
 
 ``run_to_table`` runs a streaming query over what has arrived (availableNow) in update mode: every micro-batch appends its changed rows with
 the batch number, and readers take the newest row per key.
+
+Rules whose keys live for ever (a visit, an entity, a link) keep state per key and period of event time, which the watermark ends; a reader
+merges the periods of a key (``merged_visits``, ``merged_state``, ``verdicts_at``).
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.scale import keep_first
 from ..operators.stats import mention_counts
@@ -39,9 +38,20 @@ def _time(df: DataFrame, column: str, delay: str) -> DataFrame:
     return df.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, delay)
 
 
-def dedupe_visits(visits: DataFrame, *, keys, time: str, delivery: str, fields, delay="7 days") -> DataFrame:
-    """One row per visit key; the latest delivery wins."""
-    return _time(visits, time, delay).groupBy(*keys).agg(F.max_by(F.struct(*fields), F.col(delivery)).alias("v")).select(*keys, "v.*")
+def _by_period(df: DataFrame, time: str, period: str, delay: str, keys):
+    """Groups by period of event time and keys; the period comes out as ``period``."""
+    return _time(df, time, delay).groupBy(F.window(time, period).alias("_w"), *keys)
+
+
+def dedupe_visits(visits: DataFrame, *, keys, time: str, delivery: str, fields, period="1 day", delay="7 days") -> DataFrame:
+    """(keys, period, sent, fields): per visit key and period the latest delivery. ``merged_visits`` gives one row per key."""
+    g = _by_period(visits, time, period, delay, keys).agg(F.max_by(F.struct(*fields), F.col(delivery)).alias("v"), F.max(delivery).alias("sent"))
+    return g.select(*keys, F.col("_w.start").alias("period"), "sent", "v.*")
+
+
+def merged_visits(stored: DataFrame, *, keys, fields) -> DataFrame:
+    """One row per visit key from the newest rows per key and period; the latest delivery wins."""
+    return stored.groupBy(*keys).agg(F.max_by(F.struct(*fields), "sent").alias("v")).select(*keys, "v.*")
 
 
 def dedupe_first(visits: DataFrame, *, keys, time: str, delay="7 days") -> DataFrame:
@@ -54,45 +64,34 @@ def publication_lag(events: DataFrame, *, time: str, fetched: str, lag_days: int
     return events.filter(F.to_date(time) <= F.date_sub(F.lit(fetched).cast("date"), lag_days))
 
 
-def latest_state(visits: DataFrame, *, key: str, time: str, order, ok: Column, fields) -> DataFrame:
-    """Per key the latest visit and the latest foreign one; the current era is empty when the latest visit is foreign."""
+def latest_state(visits: DataFrame, *, key: str, time: str, order, ok: Column, fields, period="1 day", delay="7 days") -> DataFrame:
+    """(key, period, last, pos, foreign, visits): per key and period the latest visit and the latest foreign one, for ``merged_state``."""
     pos = F.struct(*[F.col(c) for c in order])
-    v = visits.withColumn(time, F.col(time).cast("timestamp"))
-    s = v.groupBy(key).agg(F.max_by(F.struct(*fields), pos).alias("last"), F.max(pos).alias("p"), F.max(F.when(~ok, pos)).alias("foreign"), F.count("*").alias("visits"))
+    g = _by_period(visits, time, period, delay, [key]).agg(F.max_by(F.struct(*fields), pos).alias("last"), F.max(pos).alias("pos"), F.max(F.when(~ok, pos)).alias("foreign"), F.count("*").alias("visits"))
+    return g.select(key, F.col("_w.start").alias("period"), "last", "pos", "foreign", "visits")
+
+
+def merged_state(stored: DataFrame, *, key: str) -> DataFrame:
+    """Per key the latest visit and the number of visits; the current era is empty when the latest visit is foreign."""
+    s = stored.groupBy(key).agg(F.max_by("last", "pos").alias("last"), F.max("pos").alias("p"), F.max("foreign").alias("foreign"), F.sum("visits").alias("visits"))
     return s.select(key, "last.*", "visits", (F.col("foreign").isNull() | (F.col("p") > F.col("foreign"))).alias("in_era"))
 
 
-def verdict_ttl(verdicts: DataFrame, *, rules: int, days: int = 45, time="at", delay="1 day") -> DataFrame:
-    """(url, ok, at_, state): 'fresh' when a verdict arrives under the current rules, 'expired' when it is too old or made under older rules."""
-    keep_s = days * 86400
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            at, ok = state.get
-            state.remove()
-            yield pd.DataFrame({"url": [key[0]], "ok": [ok], "at_": [at], "state": ["expired"]})
-            return
-        newest = None
-        for rows in batches:
-            top = rows.sort_values(["s", "ok"]).iloc[-1]
-            if newest is None or (top["s"], top["ok"]) > (newest["s"], newest["ok"]):
-                newest = top
-        at, ok = int(newest["s"]), bool(newest["ok"])
-        if state.exists and at < state.get[0]:
-            return
-        live, due = int(newest["v"]) == rules, (at + keep_s) * 1000
-        if live and due > state.getCurrentWatermarkMs():
-            state.update((at, ok))
-            state.setTimeoutTimestamp(due)
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame({"url": [key[0]], "ok": [ok], "at_": [at], "state": ["fresh" if live else "expired"]})
-    return _time(verdicts, time, delay).withColumn("s", F.unix_timestamp(time)).groupBy("url").applyInPandasWithState(
-        step, "url string, ok boolean, at_ bigint, state string", "at_ bigint, ok boolean", "update", GroupStateTimeout.EventTimeTimeout)
+def verdict_ttl(verdicts: DataFrame, *, time="at", period="1 day", delay="1 day") -> DataFrame:
+    """(url, period, at_, ok, v): per link and period the newest verdict (the better one on ties) and the rules it was made under."""
+    g = _by_period(verdicts.withColumn("_s", F.unix_timestamp(time)), time, period, delay, ["url"]).agg(F.max(F.struct(F.col("_s").alias("at_"), "ok", "v")).alias("last"))
+    return g.select("url", F.col("_w.start").alias("period"), "last.*")
+
+
+def verdicts_at(stored: DataFrame, *, now, rules: int, days: int = 45) -> DataFrame:
+    """(url, ok, at_, state) on reading: 'fresh' for a verdict under the current rules that is not due at ``now``, else 'expired'."""
+    s = stored.groupBy("url").agg(F.max(F.struct("at_", "ok", "v")).alias("m")).select("url", "m.*")
+    live = (F.col("v") == rules) & (F.col("at_") + days * 86400 > F.unix_timestamp(now))
+    return s.select("url", "ok", "at_", F.when(live, F.lit("fresh")).otherwise(F.lit("expired")).alias("state"))
 
 
 def mention_counts_stream(reviews: DataFrame, patterns: dict[str, str], *, by: str, prefilter: str | None = None) -> DataFrame:
-    """Running mention counts as reviews arrive; the batch rule itself."""
+    """Running mention counts as reviews arrive; the batch rule itself. State is one row of counts per place and does not expire."""
     return mention_counts(reviews, patterns, by=by, prefilter=prefilter)
 
 
