@@ -5,6 +5,8 @@ Manhattan distance of two such vectors is never more than the Hamming distance o
 every link; the true distance is then checked."""
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -92,12 +94,12 @@ def near_duplicate_digest(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, words: int = 3, most: int = 3) -> DataFrame:
-    """One document of each group of near-duplicates, the one of least (doc_id, text hash); ids count before null. Rows that repeat both id and text
+def keep_one(docs: DataFrame, words: int = 3, most: int = 3, groups=None) -> DataFrame:
+    """One document of each group of near-duplicates (or of ``groups``, a function of (docs, words) that gives doc_id and component), the one of least (doc_id, text hash); ids count before null. Rows that repeat both id and text
     are copies, of which one stays; rows that share an id but not the text are judged apart. Columns are those of ``docs``."""
     cols = docs.columns
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("h"))
-    found = near_duplicates(docs.select(key.alias("doc_id"), "text"), words, most)
+    found = (groups or partial(near_duplicates, most=most))(docs.select(key.alias("doc_id"), "text"), words)
     kept = found.filter(F.col("doc_id") == F.col("component")).groupBy(F.col("doc_id").alias("_key")).agg(F.count("*").alias("_n"))
     kept = stage(kept.select(F.col("_key.id").alias("_id"), F.col("_key.h").alias("_h"), "_n"), "kept")
     keyed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
