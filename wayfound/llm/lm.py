@@ -8,6 +8,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections import Counter
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -20,8 +21,8 @@ MEMBERS, CLASSES, HIDDEN = 32, 32, 16               # 32 classes of 32 frequent
 SYMBOLS = (CLASSES + 1) * MEMBERS
 TAIL = CLASSES * MEMBERS                            # first tail symbol
 END = 0                                             # the end of a text
-KNOWN = 1 << 17                                     # words whose counts every task holds; all others are joined
-STREAMS, WINDOW, LOOK, ROUNDS, RATE = 512, 16, 64, 3, 0.015
+KNOWN = 1 << 18                                     # words whose counts every task holds; all others are joined
+STREAMS, SCORED, WINDOW, LOOK, ROUNDS, RATE = 512, 512, 16, 32, 3, 0.015       # texts side by side in training and in scoring
 FLUSH = 200_000                                     # distinct words a task counts before it hands them on
 
 
@@ -111,15 +112,16 @@ def encoded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
             cols = [[] for _ in range(8)]
             for t in b.column(2):
                 words = t.as_py().lower().split()
-                at = np.fromiter([find(w, -1) for w in words], np.int64, len(words))
+                at = np.fromiter(map(find, words, repeat(-1)), np.int64, len(words))
                 symbols = np.empty(len(words) + 1, np.uint16)
                 symbols[:-1] = v.symbol[at] if v.count.size else 0
                 symbols[-1] = END
                 count = v.count[at] if v.count.size else np.zeros(len(words), np.int64)
-                rest: Counter = Counter()
-                for i in np.flatnonzero(at < 0).tolist():
-                    rest[words[i]] += 1
-                    symbols[i], count[i] = TAIL + tail_class(words[i]), 0
+                unknown = np.flatnonzero(at < 0)
+                others = [words[i] for i in unknown.tolist()]
+                rest = Counter(others)
+                symbols[unknown] = TAIL + np.fromiter(map(tail_class, others), np.int64, len(others))
+                count[unknown] = 0
                 seen = count > 0
                 logs = np.log10(count[seen] + 0.1)
                 tail = symbols[:-1][seen] >= TAIL
@@ -147,61 +149,74 @@ def initial(counts: np.ndarray, seed: int = 11) -> list[np.ndarray]:
 
 
 def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def step(p, h, symbols, keep=None):
     """One gated step for all streams; ``keep`` collects what backpropagation needs."""
-    g, u = p[0][symbols], h @ p[1]
+    g, u = np.take(p[0], symbols, axis=0), h @ p[1]
     zr = _sigmoid(g[:, :2 * HIDDEN] + u[:, :2 * HIDDEN])
     z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-    n = np.tanh(g[:, 2 * HIDDEN:] + r * u[:, 2 * HIDDEN:])
+    n = r * u[:, 2 * HIDDEN:]
+    n += g[:, 2 * HIDDEN:]
+    np.tanh(n, out=n)
     if keep is not None:
         keep.append((h, z, r, n, u[:, 2 * HIDDEN:]))
-    return n + z * (h - n)
+    new = h - n
+    new *= z
+    new += n
+    return new
 
 
-def _log_softmax(x):
-    """Row-wise, in place. Logits are small here (states lie in -1 to 1), so one maximum for all rows keeps the exponentials in range."""
+def _exponentials(x):
+    """Exponentials of the rows, less one maximum for all (logits are small here: states lie in -1 to 1), and their sums; ``x`` is shifted in place."""
     x -= x.max()
-    sums = np.exp(x) @ np.ones((x.shape[1], 1), np.float32)
-    x -= np.log(sums + np.float32(1e-37))
-    return x
+    e = np.exp(x)
+    return e, e @ np.ones(x.shape[1], x.dtype) + x.dtype.type(1e-37)
 
 
 def log_likelihood(p, states, symbols, grads=None):
-    """Natural log probability of each symbol after its state; with ``grads`` (a list of zeros like p) also adds the gradients of the negative mean and returns that of the states."""
-    cls, member = symbols // MEMBERS, symbols % MEMBERS
-    lc = _log_softmax(states @ p[2] + p[3])
-    rows = np.arange(symbols.size)
-    out = lc[rows, cls]
-    back = None
-    if grads is not None:
-        scale = np.float32(1 / symbols.size)
-        d = np.exp(lc)
-        d[rows, cls] -= 1
-        d *= scale
-        grads[2] += states.T @ d
-        grads[3] += d.sum(axis=0)
-        back = d @ p[2].T
+    """Natural log probability of each symbol after its state; with ``grads`` (a list of zeros like p) also adds the gradients of the negative mean and returns that of the states.
+
+    Rows are put in order of their class once, so that every class layer is one product over neighbouring rows."""
+    cls = symbols // MEMBERS
     order = np.argsort(cls.astype(np.uint8), kind="stable")
-    edges = np.searchsorted(cls[order], np.arange(CLASSES + 2))
-    for c in range(CLASSES + 1):
-        at = order[edges[c]:edges[c + 1]]
-        if not at.size:
-            continue
-        s = states[at]
-        lm = _log_softmax(s @ p[4][c] + p[5][c])
-        k = np.arange(at.size)
-        out[at] += lm[k, member[at]]
-        if grads is not None:
-            d = np.exp(lm)
-            d[k, member[at]] -= 1
-            d *= scale
-            grads[4][c] += s.T @ d
-            grads[5][c] += d.sum(axis=0)
-            back[at] += d @ p[4][c].T
-    return out, back
+    cls, member, s = cls[order], symbols[order] % MEMBERS, np.take(states, order, axis=0)
+    edges = np.searchsorted(cls, np.arange(CLASSES + 2))
+    runs = [(c, slice(edges[c], edges[c + 1])) for c in range(CLASSES + 1) if edges[c + 1] > edges[c]]
+    lc = s @ p[2]
+    lc += p[3]
+    lm = np.empty((cls.size, MEMBERS), lc.dtype)
+    for c, at in runs:
+        np.matmul(s[at], p[4][c], out=lm[at])
+        lm[at] += p[5][c]
+    rows = np.arange(cls.size)
+    ec, sc = _exponentials(lc)
+    em, sm = _exponentials(lm)
+    out = np.empty(cls.size, lc.dtype)
+    out[order] = lc[rows, cls] + lm[rows, member] - np.log(sc) - np.log(sm)
+    if grads is None:
+        return out, None
+    scale = lc.dtype.type(1 / cls.size)
+    ec *= (scale / sc)[:, None]
+    ec[rows, cls] -= scale
+    em *= (scale / sm)[:, None]
+    em[rows, member] -= scale
+    grads[2] += s.T @ ec
+    ones = np.ones(cls.size, lc.dtype)
+    grads[3] += ones @ ec
+    mine = ec @ p[2].T
+    for c, at in runs:
+        grads[4][c] += s[at].T @ em[at]
+        grads[5][c] += ones[at] @ em[at]
+        mine[at] += em[at] @ p[4][c].T
+    place = np.empty_like(order)
+    place[order] = rows
+    return out, np.take(mine, place, axis=0)
 
 
 def _streams(symbols: np.ndarray, starts: np.ndarray, streams: int):
@@ -241,22 +256,32 @@ class Trainer:
         use = valid.ravel()
         flat = np.concatenate(states)
         _, back = log_likelihood(p, flat if use.all() else flat[use], lay.ravel()[use], grads)
-        full = np.zeros_like(flat)
-        full[use] = back
-        full = full.reshape(len(lay), -1, HIDDEN)
-        dh, gates = np.zeros_like(h), [None] * len(lay)
+        if not use.all():
+            full = np.zeros_like(flat)
+            full[use] = back
+            back = full
+        full = back.reshape(len(lay), -1, HIDDEN)
+        dh, gates = np.zeros_like(h), np.empty((len(lay), len(h), 3 * HIDDEN), h.dtype)
+        du = np.empty((len(h), 3 * HIDDEN), h.dtype)
         for i in range(len(lay) - 1, -1, -1):
             before, z, r, n, un = keep[i]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before - n) * z * (1 - z)
-            dr = dn * un * r * (1 - r)
-            du = np.concatenate([dz, dr, dn * r], axis=1)
-            gates[i] = np.concatenate([dz, dr, dn], axis=1)
+            g = gates[i]
+            dn, rest = g[:, 2 * HIDDEN:], 1 - z
+            np.multiply(dh, rest, out=dn)
+            dn *= 1 - n * n
+            rest *= z
+            rest *= dh
+            np.multiply(rest, before - n, out=g[:, :HIDDEN])
+            np.multiply(dn * un, r * (1 - r), out=g[:, HIDDEN:2 * HIDDEN])
+            du[:, :2 * HIDDEN] = g[:, :2 * HIDDEN]
+            np.multiply(dn, r, out=du[:, 2 * HIDDEN:])
             grads[1] += before.T @ du
-            dh = dh * z + du @ p[1].T + full[i]
+            dh *= z
+            dh += du @ p[1].T
+            dh += full[i]
             if fresh[i].any():
-                dh = np.where(fresh[i][:, None], np.float32(0), dh)
-        flat_s, flat_g = lay.ravel(), np.concatenate(gates)
+                dh[fresh[i]] = 0
+        flat_s, flat_g = lay.ravel(), gates.reshape(-1, 3 * HIDDEN)
         order = np.argsort(flat_s.astype(np.uint16), kind="stable")
         s = flat_s[order]
         first = np.flatnonzero(np.diff(s, prepend=-1))
@@ -289,7 +314,7 @@ def train(texts: DataFrame, p: list[np.ndarray], rounds: int = ROUNDS, fan: int
     """One pass over all training texts in ``rounds`` growing parts. In each, every task trains on its own texts from the same start; the results are averaged by their tokens, first in at
     most ``fan`` tasks, then on the driver, so what reaches it does not grow with the data."""
     spark = texts.sparkSession
-    part = F.pmod(F.xxhash64("row"), F.lit((1 << rounds) - 1))
+    part = F.pmod(F.xxhash64("doc_id", "symbols"), F.lit((1 << rounds) - 1))
     for r in range(rounds):
         sent = spark.sparkContext.broadcast(p)
         rate = RATE / (1 + r)
@@ -323,7 +348,7 @@ def train(texts: DataFrame, p: list[np.ndarray], rounds: int = ROUNDS, fan: int
 def text_scores(p, texts: list[np.ndarray]) -> np.ndarray:
     """log10 probability of each text's symbols. Texts are laid end to end in streams of near equal length; a state starts anew with each text and is carried across windows within it."""
     sizes = np.array([t.size for t in texts])
-    streams = int(min(STREAMS, len(texts)))
+    streams = int(min(SCORED, len(texts)))
     order, lists = np.argsort(-sizes, kind="stable"), [[] for _ in range(streams)]
     heap = [(0, s) for s in range(streams)]
     for i in order.tolist():
@@ -333,27 +358,28 @@ def text_scores(p, texts: list[np.ndarray]) -> np.ndarray:
     load = np.array([sizes[x].sum() for x in lists])
     rank = np.argsort(-load, kind="stable")                             # streams by length, so that those still running are the first ones
     lists, load = [lists[s] for s in rank], load[rank]
-    lay, owner, fresh = (np.zeros((int(load[0]), streams), t) for t in (np.uint16, np.int32, bool))
-    for s, mine in enumerate(lists):
-        lay[:load[s], s] = np.concatenate([texts[i] for i in mine])
-        owner[:load[s], s] = np.repeat(mine, sizes[mine])
-        fresh[np.concatenate([[0], np.cumsum(sizes[mine])[:-1]]), s] = True
+    laid = [i for mine in lists for i in mine]                          # all texts, stream by stream; windows are cut from here, so memory follows the symbols
+    flat = np.concatenate([texts[i] for i in laid])
+    owner = np.repeat(np.array(laid, np.int32), sizes[laid])
+    fresh = np.zeros(flat.size, bool)
+    fresh[np.cumsum(sizes[laid]) - sizes[laid]] = True
+    first = np.cumsum(load) - load
     out, h = np.zeros(len(texts)), np.zeros((streams, HIDDEN), np.float32)
-    for at in range(0, len(lay), LOOK):
-        states, symbols, owners = [], [], []
-        for t in range(at, min(at + LOOK, len(lay))):
+    for at in range(0, int(load[0]), LOOK):
+        states, places = [], []
+        for t in range(at, min(at + LOOK, int(load[0]))):
             on = int(np.searchsorted(-load, -t, "left"))                # streams with more than t symbols
-            f = fresh[t, :on]
+            place = first[:on] + t
             h = h[:on]
+            f = fresh[place]
             if f.any():
                 h = np.where(f[:, None], np.float32(0), h)
-            s = lay[t, :on].astype(np.int64)
             states.append(h)
-            symbols.append(s)
-            owners.append(owner[t, :on])
-            h = step(p, h, s)
-        logs, _ = log_likelihood(p, np.concatenate(states), np.concatenate(symbols))
-        out += np.bincount(np.concatenate(owners), weights=logs, minlength=len(texts))
+            places.append(place)
+            h = step(p, h, flat[place])
+        places = np.concatenate(places)
+        logs, _ = log_likelihood(p, np.concatenate(states), flat[places].astype(np.int64))
+        out += np.bincount(owner[places], weights=logs, minlength=len(texts))
     return out / np.log(10)
 
 
