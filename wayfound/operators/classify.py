@@ -5,8 +5,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions._col import col, lookup, text
 from ..functions.similarity import sim_token_set
-from .scale import top_rows
+from .scale import cut_lineage, top_rows
 from .spatial import proximity_join
+from .stats import group_mode
 
 
 def first_rule(c, rules, default=None) -> Column:
@@ -35,6 +36,62 @@ def brand_by_rules(name_key, rules, anywhere=()) -> Column:
     return F.coalesce(first_rule(k, rules), *[F.when(k.contains("/"), first_rule(part(i), rules)) for i in range(3)], *([first_rule(k, anywhere)] if anywhere else []))
 
 
+def label_closure(taxonomy: DataFrame) -> DataFrame:
+    """(label, ancestor, steps) of a taxonomy (label, parent): every label with itself (0 steps) and all labels above it, in rounds that double the steps followed. Rounds end
+    when nothing is added; a circle in the parents is followed once around."""
+    edges = taxonomy.filter("parent is not null and label <> parent").select("label", F.col("parent").alias("ancestor")).distinct()
+    labels = taxonomy.select("label").unionByName(taxonomy.select(F.col("parent").alias("label"))).filter("label is not null").distinct()
+    pairs = cut_lineage(labels.select("label", F.col("label").alias("ancestor"), F.lit(0).alias("steps")).unionByName(edges.withColumn("steps", F.lit(1))))
+    size = -1
+    while size != (size := pairs.count()):
+        up = pairs.select(F.col("label").alias("_l"), F.col("ancestor").alias("_a"), F.col("steps").alias("_s"))
+        longer = pairs.join(up, F.col("ancestor") == F.col("_l")).select("label", F.col("_a").alias("ancestor"), (F.col("steps") + F.col("_s")).alias("steps"))
+        pairs = cut_lineage(longer.groupBy("label", "ancestor").agg(F.min("steps").alias("steps")))
+    return pairs
+
+
+def cuisine_cascade(df: DataFrame, *, id: str, name_key: str, raw_name: str, label: str, categories: str, kind: str, brand: str, name_rules, category_rules, label_cuisine: DataFrame,
+                    taxonomy: DataFrame | None = None, cafe_labels=(), cafe_word: str = "CAF[EÉ]", cafe="Coffee & Café", cafe_categories: str = "Coffee|Cafe", kind_cuisine: dict | None = None,
+                    chain_cuisine: dict | None = None, weak=("Bar & Pub",), other="American & Other") -> DataFrame:
+    """(id, cuisine, stage): the kind of food of every place, decided by the first stage that can tell.
+
+    1 name: the first name rule (label, pattern) on the name key, rules for the cuisines in ``weak`` left out; 2 taxonomy: the cuisine of the place's taxonomy label, or of its nearest ancestor in
+    ``taxonomy`` (label, parent) that ``label_cuisine`` (label, cuisine) names; 3 weak name rules; 4 categories (an array, in order): the first category that a category
+    rule matches decides, by its first rule; 5 the word for a café in the raw name of a place without categories; else ``other``. Then the overrides: a label of
+    ``cafe_labels`` doesn't make a café where the first category is something else (decided again without label and raw name); a place left at ``other`` takes the
+    cuisine of its ``kind``; places of a brand take the brand's stated cuisine or else its commonest one, ``other`` counting only where there is no more (ties: the
+    first by name). Patterns are short lists that are parameters; label, brand and rule joins are by equal keys."""
+    strong, weaker = [r for r in name_rules if r[0] not in weak], [r for r in name_rules if r[0] in weak]
+    known = label_cuisine.select(F.col("label").alias("ancestor"), F.col("cuisine").alias("_c"))
+    if taxonomy is not None:
+        near = label_closure(taxonomy).join(known, "ancestor")
+        known_at = near.groupBy(F.col("label").alias("_label")).agg(F.min_by("_c", F.struct("steps", "ancestor")).alias("_by_label"))
+        stated = known.select(F.col("ancestor").alias("_label"), F.col("_c").alias("_own"))
+        by_label = known_at.join(stated, "_label", "full").select("_label", F.coalesce("_own", "_by_label").alias("_by_label"))
+    else:
+        by_label = known.select(F.col("ancestor").alias("_label"), F.col("_c").alias("_by_label"))
+    j = df.join(by_label, F.col(label) == F.col("_label"), "left")
+    cats = F.filter(F.coalesce(F.col(categories), F.array().cast("array<string>")), lambda x: F.coalesce(F.trim(x) != "", F.lit(False)))
+    of_category = lambda x: F.coalesce(*[F.when(x.rlike(rx), F.lit(c)) for c, rx in category_rules], F.lit(None).cast("string"))
+    by_category = F.get(F.filter(F.transform(cats, of_category), lambda x: x.isNotNull()), 0)
+    none = F.lit(None).cast("string")
+    by_name, by_weak = first_rule(name_key, strong) if strong else none, first_rule(name_key, weaker) if weaker else none
+    by_word = F.when((F.size(cats) == 0) & F.upper(text(raw_name)).rlike(rf"(?<![\p{{L}}\p{{N}}_]){cafe_word}(?![\p{{L}}\p{{N}}_])"), F.lit(cafe))
+    stages = [("name", by_name), ("taxonomy", F.col("_by_label")), ("weak name", by_weak), ("category", by_category), ("word", by_word), ("none", F.lit(other))]
+    pick = lambda parts: F.coalesce(*[F.when(c.isNotNull(), F.struct(c.alias("cuisine"), F.lit(n).alias("stage"))) for n, c in parts])
+    first = F.get(cats, 0)
+    again = F.col(label).isin(*cafe_labels) & (F.col("_p.cuisine") == cafe) & first.isNotNull() & ~first.rlike(cafe_categories) if cafe_labels else F.lit(False)
+    j = j.withColumn("_p", pick(stages))
+    j = j.withColumn("_p", F.when(again, pick([s for s in (("name", first_rule(name_key, name_rules)), stages[3], stages[5])])).otherwise(F.col("_p")))
+    by_kind = lookup(kind_cuisine, kind) if kind_cuisine else none
+    j = j.withColumn("_p", F.when((F.col("_p.cuisine") == other) & by_kind.isNotNull(), F.struct(by_kind.alias("cuisine"), F.lit("kind").alias("stage"))).otherwise(F.col("_p")))
+    slim = j.select(id, F.col(brand).alias("_brand"), F.col("_p.cuisine").alias("cuisine"), F.col("_p.stage").alias("stage"))
+    chains = group_mode(slim.filter(F.col("_brand").isNotNull()), ["_brand"], "cuisine", "_chain", ignore=F.col("cuisine") == other).withColumnRenamed("_brand", "_b")
+    stated = lookup(chain_cuisine, "_brand") if chain_cuisine else none
+    out = slim.join(chains, F.col("_brand") == F.col("_b"), "left").withColumn("_to", F.coalesce(stated, "_chain"))
+    return out.select(id, F.coalesce("_to", "cuisine").alias("cuisine"), F.when(F.col("_to").isNotNull(), F.lit("brand")).otherwise(F.col("stage")).alias("stage"))
+
+
 def brand_validate(*, brand, brand_key, name_key, label_key, source, own_domain, domain, cuisine, brand_cuisine, known_cuisine, name_brand, core_ratio, partial, label_set,
                    label_partial, family: dict, feeds=("AllThePlaces", "DAC")) -> Column:
     """The brand when the row really is one of its places, else null: by feed, name relation, own domain, exact core name, and cuisine family.

@@ -4,6 +4,7 @@
 * ``ranked``        exact row number per group (or over the whole table) without one task per group: rows go to value ranges, each range is
                     numbered on its own, and small per-range counts give the offsets.
 * ``running_total`` exact running sum in the same way.
+* ``carried``       the last value before each row, per key, in the same way.
 * ``exact_median``  exact medians from counts per distinct value.
 * ``on_distinct``   costly columns once per distinct input.
 * ``cut_lineage``   reliable checkpoints between the rounds of an iterative rule and behind stages that are read several times.
@@ -76,6 +77,19 @@ def running_total(df: DataFrame, by, order, weight, out: str) -> DataFrame:
     return _with_offsets(df, list(by), order, F.coalesce(F.col(weight), F.lit(0)), out, running=True)
 
 
+def carried(df: DataFrame, by, order, value: str, out: str) -> DataFrame:
+    """Adds the last non-null ``value`` at or before each row in ascending ``order``, per key. A hot key is spread over value ranges; what holds at a range's start comes
+    from the last values of the ranges before it, one row per key and range. ``df`` is read several times: cut its lineage first."""
+    ranged = in_ranges(df, [*by, *order])
+    keys = [*by, "_range"]
+    ends = ranged.groupBy(*keys).agg(F.max(F.when(F.col(value).isNotNull(), F.struct(*[F.col(c) for c in order], F.col(value).alias("_v")))).alias("_last"))
+    before = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    carry = ends.select(*[F.col(k).alias("c_" + k) for k in keys], F.last("_last._v", True).over(before).alias("_carry"))
+    joined = ranged.join(carry, [F.col(k).eqNullSafe(F.col("c_" + k)) for k in keys])
+    inside = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return joined.withColumn(out, F.coalesce(F.last(value, True).over(inside), F.col("_carry"))).drop("_range", "_carry", *["c_" + k for k in keys])
+
+
 def exact_median(df: DataFrame, by, cols) -> DataFrame:
     """Exact median of each column per key, from counts per distinct value. Columns come back as ``median_<col>``; ``n_<col>`` is the
     number of values."""

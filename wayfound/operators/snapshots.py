@@ -1,7 +1,7 @@
 """Snapshot manifests: content hashes per shard, differences, versions, guards, retention."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def _row_text(columns) -> Column:
@@ -66,6 +66,62 @@ def verify(man: DataFrame, actual: DataFrame) -> DataFrame:
     return j.select("shard", F.explode(F.array_compact(F.array(*checks))).alias("problem"))
 
 
+def file_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, bytes, sha256, rows, generated) of every JSON file of a published folder, read by the executors: a document with an array under ``rows`` counts its items, null where it doesn't
+    parse."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder)
+    doc = F.decode("content", "UTF-8")
+    parsed = F.when(F.try_parse_json(doc).isNotNull(), doc)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"),
+                        F.json_array_length(F.get_json_object(parsed, "$.rows")).cast("long").alias("rows"), F.get_json_object(parsed, "$.generated").alias("generated"))
+
+
+def digest_tree(files: DataFrame, fan: int = 256) -> DataFrame:
+    """(level, node, digest) of a tree over (file, sha256): level 0 digests the files of each of ``fan`` buckets in the order of their names, level 1 the buckets. Two copies are equal where
+    level 1 is; otherwise only buckets that differ need a look."""
+    leaf = files.select(F.pmod(F.crc32(F.col("file").cast("binary")), F.lit(fan)).cast("int").alias("node"), F.concat_ws(":", "file", "sha256").alias("line"))
+    low = leaf.groupBy("node").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("digest")).select(F.lit(0).alias("level"), "node", "digest")
+    line = F.concat_ws(":", F.lpad(F.col("node").cast("string"), 6, "0"), "digest")
+    top = low.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest")).select(F.lit(1).alias("level"), F.lit(0).alias("node"), "digest")
+    return low.unionByName(top)
+
+
+def verify_published(head: DataFrame, entries: DataFrame, stored: DataFrame, previous: DataFrame, *, schema: int, main: str = "places", max_file: int = 32 << 20, max_files: int = 400,
+                     max_total: int = 256 << 20, version: str = r"^(\d{4}-\d{2}-\d{2})\.(\d+)$", name: str = "^[a-z]+(?:-[a-z0-9]+)*$") -> DataFrame:
+    """(file, problem) for a published folder that does not hold what its manifest says; nothing where all is well.
+
+    ``head``: the manifest's one row (schema, version, records_through, min_build); ``entries``: its files (name, path, sha256, bytes, rows); ``stored``: what the folder holds, from
+    ``file_digests``; ``previous``: the paths (name, path) of the copy before, which readers part way through an update still need.
+    Checked: schema number, version "<records_through>.<n>", a real day, least build; names, paths that carry the digest's first 12 letters, missing files, digest, length, caps, rows,
+    the main file's day; previous files present and true to their names; files that nobody names. All comparisons are joins by path; sums are added up by Spark."""
+    of = lambda file, text_, when: F.when(F.coalesce(when, F.lit(True)), F.struct(F.lit(file).cast("string").alias("file") if isinstance(file, str) else file.alias("file"), F.lit(text_).alias("problem")))
+    listed = lambda df, checks: df.select(F.explode(F.array_compact(F.array(*checks))).alias("_p")).select("_p.*")
+    day, number = F.regexp_extract("version", version, 1), F.regexp_extract("version", version, 2).try_cast("long")
+    real = F.coalesce(F.col("records_through").rlike(r"^\d{4}-\d{2}-\d{2}$") & F.col("records_through").try_cast("date").isNotNull(), F.lit(False))
+    heads = listed(head, [of("manifest", "unknown schema", F.col("schema") != schema), of("manifest", "records_through is no day", ~real),
+                          of("manifest", "version is not <day>.<n>", (day != F.col("records_through")) | (day == "") | number.isNull() | (number < 1)),
+                          of("manifest", "least build is below 1", F.col("min_build") < 1)])
+    good_name, sha = F.coalesce(F.col("name").rlike(name), F.lit(False)), F.lower(F.col("sha256"))
+    good_path = F.coalesce(sha.rlike("^[0-9a-f]{64}$") & (F.col("path") == F.concat("name", F.lit("-"), F.substring(sha, 1, 12), F.lit(".json"))), F.lit(False))
+    here = stored.select(F.col("file").alias("_file"), F.col("bytes").alias("_bytes"), F.col("sha256").alias("_sha"), F.col("rows").alias("_rows"), F.col("generated").alias("_generated"))
+    j = entries.withColumn("_well", good_name & good_path).join(here, F.col("path") == F.col("_file"), "left").withColumn("_through", head.select("records_through").scalar())
+    there = F.col("_well") & F.col("_file").isNotNull()
+    file = F.coalesce("path", "name")
+    entry = listed(j, [of(file, "bad name", ~good_name), of(file, "path does not carry the digest", good_name & ~good_path), of(file, "missing", F.col("_well") & F.col("_file").isNull()),
+                       of(file, "digest differs", there & (F.col("_sha") != sha)), of(file, "bytes differ", there & ~F.col("_bytes").eqNullSafe(F.col("bytes"))),
+                       of(file, "too large", there & (F.col("_bytes") > max_file)), of(file, "does not parse", there & F.col("_rows").isNull()),
+                       of(file, "rows differ", there & F.col("_rows").isNotNull() & ~F.col("_rows").eqNullSafe(F.col("rows"))),
+                       of(file, "generated on another day", there & (F.col("name") == main) & ~F.col("_generated").eqNullSafe(F.col("_through")))])
+    sums = j.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(there, F.col("_bytes"))), F.lit(0)).alias("b"), F.count_if(F.col("name") == main).alias("m"))
+    whole = listed(sums, [of("manifest", "no files", F.col("n") == 0), of("manifest", "too many files", F.col("n") > max_files), of("manifest", "too large in all", F.col("b") > max_total), of("manifest", "no main file", F.col("m") == 0)])
+    p = previous.select("path").distinct().join(here, F.col("path") == F.col("_file"), "left")
+    old = listed(p, [of(F.col("path"), "the previous copy's file is missing", F.col("_file").isNull()),
+                     of(F.col("path"), "the previous copy's content is not its name's", F.col("_file").isNotNull() & (F.regexp_extract("path", r"-([0-9a-f]{12})\.json$", 1) != F.substring("_sha", 1, 12)))])
+    named = entries.select(F.col("path").alias("_file")).unionByName(previous.select(F.col("path").alias("_file"))).filter("_file is not null").distinct()
+    stray = here.join(named, "_file", "left_anti").filter("_file <> 'manifest.json'").select(F.col("_file").alias("file"), F.lit("no manifest names it").alias("problem"))
+    return heads.unionByName(entry).unionByName(whole).unionByName(old).unionByName(stray)
+
+
 def retention(current: DataFrame, previous: DataFrame, stored: DataFrame) -> DataFrame:
     """Stored files that neither the current nor the previous manifest names."""
     return stored.join(current.select("file").unionByName(previous.select("file")).distinct(), "file", "left_anti")

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions._col import text
-from .scale import mode_value, top_rows
+from .scale import mode_value, ranked, top_rows
 
 
 def group_mode(df: DataFrame, by, value: str, out: str = "mode", ignore: Column | None = None) -> DataFrame:
@@ -130,12 +130,52 @@ def collect_context(df: DataFrame, key: str, columns, n: int = 8) -> DataFrame:
     return out
 
 
-def ordered_distinct(df: DataFrame, key: str, order: str, value: str, out: str) -> DataFrame:
-    """Distinct values per key in order of first appearance."""
+def ordered_distinct(df: DataFrame, key: str, order: str, value: str, out: str, n: int | None = None) -> DataFrame:
+    """Distinct values per key in order of first appearance. With ``n`` the first n of them: values are counted once per key, and every task hands on at most
+    n rows of a key, so a key with very many values stays small; ``ordered_rest`` gives the others as rows."""
     first = df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.min(order).alias("_o"))
+    if n is not None:
+        first = top_rows(first, [key], [F.asc("_o"), F.asc(value)], n)
     return first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_o", value))).alias("_a")).select(key, F.transform("_a", lambda x: x[value]).alias(out))
 
 
+def ordered_rest(df: DataFrame, key: str, order: str, value: str, n: int) -> DataFrame:
+    """(key, value, place): the distinct values behind the first ``n`` of each key with their place in the order, as rows of their own."""
+    first = df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.min(order).alias("_o"))
+    return ranked(first, [key], ["_o", value, key], "place").filter(F.col("place") > n).select(key, value, "place")
+
+
+def merge_facts(df: DataFrame, keys, *, least=(), best: dict[str, list] | None = None, lists: dict[str, int] | None = None) -> DataFrame:
+    """One row per key with merged facts: the least of each column of ``least``, the value of each ``best`` column from the row with the greatest order columns, and for each
+    column of ``lists`` its first n distinct values in ascending order with how many there are (``<column>_n``).
+
+    All of it is added up on the map side: lists pass on at most n values of a key from every task, so a key with a third of the rows costs no more than others. Null values
+    are left out; a key without values has an empty list."""
+    keys = list(keys)
+    aggs = [F.min(c).alias(c) for c in least] + [F.max_by(c, F.struct(*order)).alias(c) for c, order in (best or {}).items()]
+    out = df.groupBy(*keys).agg(*(aggs or [F.count("*").alias("_rows")]))
+    for c, n in (lists or {}).items():
+        values = df.filter(F.col(c).isNotNull()).select(*keys, c).distinct()
+        count = values.groupBy(*keys).agg(F.count("*").alias(c + "_n"))
+        some = top_rows(values, keys, [F.asc(c)], n).groupBy(*keys).agg(F.array_sort(F.collect_list(c)).alias(c))
+        both = count.join(some, [count[k].eqNullSafe(some[k]) for k in keys]).select(*[count[k].alias("_k_" + k) for k in keys], c, c + "_n")
+        empty = F.array().cast(some.schema[c].dataType)
+        out = out.join(both, [F.col(k).eqNullSafe(F.col("_k_" + k)) for k in keys], "left").withColumns({c: F.coalesce(c, empty), c + "_n": F.coalesce(c + "_n", F.lit(0))}) \
+                 .drop(*["_k_" + k for k in keys])
+    return out.drop("_rows")
+
+
+def grouped_report(df: DataFrame, dims, measures: dict[str, Column], *, sets="cube", unknown: str = "unknown", total: str = "all") -> DataFrame:
+    """Measures for combinations of the dimensions in one pass: ``sets`` is "cube", "rollup" or a list of lists of dimensions. ``level`` is the grouping id: a bit for
+    each dimension that is summed over, the last dimension lowest. A missing value of the data comes out as ``unknown``, a dimension that is summed over as ``total``."""
+    dims = list(dims)
+    named = df.withColumns({d: F.coalesce(F.col(d).cast("string"), F.lit(unknown)) for d in dims})
+    groups = named.cube(*dims) if sets == "cube" else named.rollup(*dims) if sets == "rollup" else named.groupingSets([[F.col(d) for d in s] for s in sets], *dims)
+    over = [F.grouping(d).alias("_g_" + d) for d in dims]
+    out = groups.agg(F.grouping_id().alias("level"), *over, *[m.alias(n) for n, m in measures.items()])
+    return out.select(*[F.when(F.col("_g_" + d) == 1, F.lit(total)).otherwise(F.col(d)).alias(d) for d in dims], "level", *measures)
+
+
 def ungrouped_values(df: DataFrame, column: str, codes: DataFrame) -> DataFrame:
     """Values in the data that the code table lacks, with counts."""
     n = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))

@@ -117,5 +117,28 @@ def scan_json_variant(spark: SparkSession, path, item: str, *, wrappers=("places
     return d.filter(F.col("ok") & F.col("items").isNotNull()).select("file", F.explode("items").alias("i")).select("file", "i.*"), d.filter(~F.col("ok") | F.col("items").isNull()).select("file")
 
 
+def scan_json_quarantine(spark: SparkSession, path, item: str, *, wrappers=("places", "restaurants"), required=(), whole_files=True) -> tuple[DataFrame, DataFrame]:
+    """(items, quarantine) of JSON documents that are a list of items or an object with the list under a wrapper name. Items carry their file and their place in it
+    (``row``, from 0). The quarantine has one line (file, row, reason, text) for each document that can't be used (row null) and each item that can't: 'empty', 'not JSON',
+    'neither list nor wrapped list', 'not an object', 'a field has another type', 'without <field>'. Every document and every item stands on exactly one side.
+
+    Items are split as they were written and parsed one by one, so a bad item costs itself only."""
+    docs = spark.read.text(path, wholetext=whole_files).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("doc"))
+    ok = F.try_parse_json("doc").isNotNull()
+    wrapped = F.from_json("doc", "struct<" + ",".join(f"{w}:string" for w in wrappers) + ">")
+    body = F.when(F.startswith("doc", F.lit("[")), F.col("doc")).otherwise(F.coalesce(*[F.when(F.trim(wrapped[w]).startswith("["), wrapped[w]) for w in wrappers]))
+    reason = F.when(F.coalesce(F.col("doc"), F.lit("")) == "", "empty").when(~ok, "not JSON").when(body.isNull(), "neither list nor wrapped list")
+    judged = docs.withColumn("reason", reason).withColumn("body", F.when(reason.isNull(), body))
+    one = judged.filter("reason is null").select("file", F.posexplode(F.from_json("body", "array<string>")).alias("row", "text"))
+    parsed = one.withColumn("i", F.from_json("text", f"struct<{item}, _bad string>", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}))
+    why = F.when(~F.coalesce(F.startswith(F.trim("text"), F.lit("{")), F.lit(False)), "not an object").when(F.col("i._bad").isNotNull(), "a field has another type")
+    for field in required:
+        why = why.when(F.col(f"i.{field}").isNull(), f"without {field}")
+    parsed = parsed.withColumn("reason", why)
+    items = parsed.filter("reason is null").select("file", "row", "i.*").drop("_bad")
+    bad = judged.filter("reason is not null").select("file", F.lit(None).cast("int").alias("row"), "reason", F.col("doc").alias("text"))
+    return items, bad.unionByName(parsed.filter("reason is not null").select("file", "row", "reason", "text"))
+
+
 def clean_text_columns(df: DataFrame, columns) -> DataFrame:
     return df.select(*[fix_encoding(text(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
