@@ -151,5 +151,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Documents without any window of an item; columns as they are."""
     found, _ = occurrences(docs, items.filter("item_id is not null"))
     bad = found.filter("win is not null").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).distinct()
-    keyed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    return keyed.join(bad, keyed["doc_id"].eqNullSafe(F.col("_d")) & (F.col("_text_hash") == F.col("_h")), "left_anti").select(*docs.columns)
+    keyed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_text"))          # columns of any name
+    return keyed.join(bad, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_text") == F.col("_h")), "left_anti").select("_row.*")

@@ -56,12 +56,12 @@ def with_copies(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: fl
 
 def mix_sources(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: every document ``copies`` times, with its own columns only."""
-    cols = docs.columns
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    slim = with_copies(docs, keep=[F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_key")], **how)
+    key = F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    slim = with_copies(docs.select("doc_id", "text", "source"), keep=[key.alias("_key")], **how)
     counts = slim.groupBy("_key", F.col("source").alias("_source")).agg(F.max("copies").alias("copies"))
-    joined = keyed.join(counts, (keyed["_key"] == counts["_key"]) & F.col("source").cast("string").eqNullSafe(F.col("_source")))
-    return joined.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[joined[c] for c in cols])
+    keyed = docs.select(F.struct("*").alias("_row"), key.alias("_of"), F.col("source").cast("string").alias("_from"))                # columns of any name
+    joined = keyed.join(counts, (F.col("_of") == F.col("_key")) & F.col("_from").eqNullSafe(F.col("_source"))).filter("copies > 0")
+    return joined.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:

@@ -12,18 +12,20 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import shuffle_partitions, stage
 
-PIVOTS, SAMPLE, BLOCK, CHUNK, LIMIT = 32, 4096, 1024, 8192, float(1 << 22)
+PIVOTS, SAMPLE, BLOCK, CHUNK = 32, 4096, 1024, 8192
+WIDE, APART = float(1 << 52), 4096          # squared length from which sums may pass 2**53, and rows of a meeting of such vectors
 SLACK = 1e-5                        # distances are kept in float32; bounds are loosened by more than their rounding
 
 
 def scaled_vectors(rows: DataFrame, scale: float = 64.0) -> DataFrame:
-    """(vec_id, v array<double>): components floor(scale * x). Null vectors and vectors with a null or non-finite component (or one beyond 2**22 after
-    scaling, whose products would not stay exact) take no part, nor do null ids; of rows that repeat an id the least vector stays."""
+    """(vec_id, v array<double>): components floor(scale * x). Null vectors and vectors with a null or non-finite component take no part, nor do null ids; all other rows do,
+    rows that repeat an id too. Other columns are left out."""
     x = lambda e: e.cast("double") * scale
-    sound = F.forall(F.col("embedding"), lambda e: F.coalesce((F.abs(x(e)) < LIMIT) & ~F.isnan(x(e)), F.lit(False)))
+    sound = F.forall(F.col("embedding"), lambda e: F.coalesce((F.abs(x(e)) < float("inf")) & ~F.isnan(x(e)), F.lit(False)))
     kept = rows.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(sound)
-    kept = kept.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda e: F.floor(x(e)).cast("double")).alias("v"))
-    return kept.groupBy("vec_id").agg(F.min("v").alias("v"))
+    # floor() gives whole numbers of 64 bits; from 2**52 on every double is whole already
+    whole = lambda e: F.when(F.abs(x(e)) < WIDE, F.floor(x(e)).cast("double")).otherwise(x(e))
+    return kept.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", whole).alias("v"))
 
 
 def choose_pivots(vectors: DataFrame, pivots: int = PIVOTS, sample: int = SAMPLE) -> np.ndarray:
@@ -64,40 +66,40 @@ def _flat(v: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return v.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lengths)])
 
 
-BLOCKS = "ids binary, dim int, data binary, table binary, extra binary"
+BLOCKS = "ids binary, dim int, data binary, table binary, extra binary, rows binary"
 
 
 def _packed(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [("ids", pa.binary()), ("dim", pa.int32()), ("data", pa.binary()), ("table", pa.binary()), ("extra", pa.binary())]
+    kinds = [("ids", pa.binary()), ("dim", pa.int32()), ("data", pa.binary()), ("table", pa.binary()), ("extra", pa.binary()), ("rows", pa.binary())]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
 
 
 def blocks(vectors: DataFrame, pivots: np.ndarray, block: int = BLOCK) -> DataFrame:
-    """Rows of (vec_id, v, asks) packed into blocks of near vectors: ids, dim, data (int32 numbers), table (float32 distances to the pivots) and extra (the
-    ``asks`` flags), all but dim as bytes. Vectors are ordered by nearest pivot and the distance to it in one range exchange, then cut; ids break ties, so
+    """Rows of (vec_id, v, asks, _row) packed into blocks of near vectors: ids, dim, data (int32 numbers), table (float32 distances to the pivots) extra (the
+    ``asks`` flags) and rows (the rows' own numbers), all but dim as bytes. Vectors are ordered by nearest pivot and the distance to it in one range exchange, then cut; ids break ties, so
     that copies spread."""
     def measure(batches):
         for b in batches:
             flat, off = _flat(b.column(1))
             d = distances(padded([flat[i:j] for i, j in zip(off[:-1], off[1:])], max([1, *np.diff(off)])), pivots)
             near = d.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(near)), near])], names=["vec_id", "v", "asks", "cell", "far"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(near)), near])], names=["vec_id", "v", "asks", "_row", "cell", "far"])
 
     def pack(batches):
         for b in batches:
-            ids, asks = b.column(0).to_numpy(), b.column(2).to_numpy(zero_copy_only=False)
+            ids, asks, own = b.column(0).to_numpy(), b.column(2).to_numpy(zero_copy_only=False), b.column(3).to_numpy()
             flat, off = _flat(b.column(1))
             out = []
             for at in range(0, len(ids), block):
                 rows = range(at, min(len(ids), at + block))
                 x = padded([flat[off[i]:off[i + 1]] for i in rows], max([1, *(off[i + 1] - off[i] for i in rows)]))
-                out.append((ids[rows].tobytes(), x.shape[1], x.astype(np.int32).tobytes(), distances(x, pivots).tobytes(), asks[rows].astype(bool).tobytes()))
+                out.append((ids[rows].tobytes(), x.shape[1], x.astype(np.int32).tobytes(), distances(x, pivots).tobytes(), asks[rows].astype(bool).tobytes(), own[rows].tobytes()))
             if out:
                 yield _packed(out)
-    measured = vectors.select("vec_id", "v", "asks").mapInArrow(measure, "vec_id long, v array<double>, asks boolean, cell int, far float")
-    order = ["cell", "far", "vec_id"]
+    measured = vectors.select("vec_id", "v", "asks", "_row").mapInArrow(measure, "vec_id long, v array<double>, asks boolean, _row long, cell int, far float")
+    order = ["cell", "far", "vec_id", "_row"]
     placed = measured.repartitionByRange(shuffle_partitions(vectors.sparkSession), *order).sortWithinPartitions(*order)
-    return placed.select("vec_id", "v", "asks").mapInArrow(pack, BLOCKS)
+    return placed.select("vec_id", "v", "asks", "_row").mapInArrow(pack, BLOCKS)
 
 
 def own_block_scores(packed: DataFrame, k: int) -> DataFrame:
@@ -111,9 +113,9 @@ def own_block_scores(packed: DataFrame, k: int) -> DataFrame:
                 if not at.size:
                     continue
                 scores = side.x[at] @ side.x.T
-                scores[np.arange(at.size), at] = -np.inf
+                scores[side.ids[at][:, None] == side.ids] = -np.inf
                 floor = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(at.size, -np.inf)
-                out.append((side.ids[at].tobytes(), one["dim"], side.x[at].astype(np.int32).tobytes(), side.table[at].tobytes(), floor.tobytes()))
+                out.append((side.ids[at].tobytes(), one["dim"], side.x[at].astype(np.int32).tobytes(), side.table[at].tobytes(), floor.tobytes(), side.rows[at].tobytes()))
             if out:
                 yield _packed(out)
     return packed.select(*[c.split()[0] for c in BLOCKS.split(", ")]).mapInArrow(run, BLOCKS)
@@ -125,7 +127,7 @@ class Side:
     def __init__(self, rows: pd.DataFrame):
         dims = rows["dim"].tolist()
         dim = max([1, *dims])
-        self.ids = np.concatenate([np.frombuffer(x, np.int64) for x in rows["ids"]])
+        self.ids, self.rows = (np.concatenate([np.frombuffer(x, np.int64) for x in rows[c]]) for c in ("ids", "rows"))
         self.block = np.concatenate([np.full(len(x) // 8, i) for i, x in enumerate(rows["ids"])])
         self.x = np.concatenate([np.pad(np.frombuffer(x, np.int32).reshape(-1, d).astype(float), ((0, 0), (0, dim - d))) for x, d in zip(rows["data"], dims)])
         self.table = np.concatenate([np.frombuffer(x, np.float32).reshape(len(i) // 8, -1) for x, i in zip(rows["table"], rows["ids"])])
@@ -178,29 +180,56 @@ def _search(q: Side, rows: np.ndarray, c: Side, floor: np.ndarray, k: int):
                 break
         else:
             keep = best_s >= floor[r]
-            yield me, best_s[keep], best_i[keep]
+            yield r, best_s[keep], best_i[keep]
     for at in range(0, len(many), 256):
         some = many[at:at + 256]
         for (r, need), s in zip(some, qx[[r for r, _ in some]] @ cx.T):
             hit = np.flatnonzero((s >= need) & (c.ids != q.ids[r]))
             hit = hit[_better(s[hit], c.ids[hit], k)]
-            yield q.ids[r], s[hit], c.ids[hit]
+            yield r, s[hit], c.ids[hit]
+
+
+def exact_meetings(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(_row, query_id, vec_id, score) with the ``k`` best rows of each meeting, in whole numbers of any size: for the vectors whose products are too large for doubles. Chunks of
+    queries meet groups of rows, both of about APART rows. Scores beyond 64 bits come out as the nearest 64-bit number."""
+    n_chunks, n_groups = (max(1, -(-x.count() // APART)) for x in (queries, rows))
+    every, part = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))), lambda n: F.pmod(F.xxhash64("_row"), F.lit(n)).cast("int")
+    left = queries.select("_row", "vec_id", "v").withColumn("chunk", part(n_chunks)).withColumn("grp", every(n_groups))
+    right = rows.select("_row", "vec_id", "v").withColumn("grp", part(n_groups)).withColumn("chunk", every(n_chunks))
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
+
+    def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(c):
+            dim = max(1, max(map(len, c["v"])), max(map(len, q["v"])))
+            table = np.array([[int(x) for x in v] + [0] * (dim - len(v)) for v in c["v"]], object)
+            ids = c["vec_id"].to_numpy()
+            for row, me, v in zip(q["_row"], q["vec_id"], q["v"]):
+                scores = np.clip(table[:, :len(v)] @ np.array([int(x) for x in v], object) if len(v) else np.zeros(len(ids), object), -2 ** 63, 2 ** 63 - 1).astype(np.int64)
+                at = np.flatnonzero(ids != me)
+                at = at[np.lexsort((ids[at], ~scores[at]))[:k]]
+                out.append(pd.DataFrame({"_row": row, "query_id": me, "vec_id": ids[at], "score": scores[at]}))
+        return pd.concat(out) if out else pd.DataFrame({"_row": [], "query_id": [], "vec_id": [], "score": []}).astype(np.int64)
+    return left.groupBy("chunk", "grp").cogroup(right.groupBy("chunk", "grp")).applyInPandas(meet, "_row long, query_id long, vec_id long, score long")
 
 
 def top_k(vectors: DataFrame, k: int = 20, pivots: int = PIVOTS, sample: int = SAMPLE, block: int = BLOCK, chunk: int = CHUNK, group: int = 8) -> DataFrame:
-    """(query_id, rank, vec_id, score) for every row whose ``asks`` holds, against all other rows of (vec_id, v, asks), ids being unique: the ``k`` greatest inner
-    products, ties to the smaller vec_id; all, if there are fewer. Shorter vectors count as filled with zeros; empty tables give no rows.
+    """(query_id, rank, vec_id, score) for every row whose ``asks`` holds, against all rows of another id of (vec_id, v, asks): the ``k`` greatest inner
+    products, ties to the smaller vec_id; all, if there are fewer. Rows that repeat an id each ask and are each found. Shorter vectors count as filled with zeros; empty tables give
+    no rows.
 
     Every block first searches itself for its own queries, which gives each a score that k rows are known to reach. Then chunks of queries meet groups of
     blocks; only what reaches that score goes on to the last ranking, at most k rows per query and group and mostly far fewer. A meeting holds about
-    ``chunk`` queries and ``group`` blocks, at every size of the table."""
-    held = stage(vectors, "vectors")
+    ``chunk`` queries and ``group`` blocks, at every size of the table. Vectors whose products could pass 2**53 (and so be rounded) meet all others apart, in whole numbers."""
+    long = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x) >= WIDE
+    everything = stage(vectors.withColumn("_row", F.monotonically_increasing_id()).withColumn("_wide", long), "vectors")
+    held, wide = everything.filter("not _wide"), everything.filter("_wide")
     packed = stage(blocks(held, choose_pivots(held, pivots, sample), block), "blocks")
     asked = stage(own_block_scores(packed, k), "asked")
     n_blocks, n_asked = packed.count(), asked.agg(F.coalesce(F.sum(F.length("ids") / 8), F.lit(0))).first()[0]
     n_groups, n_chunks = max(1, -(-n_blocks // group)), max(1, -(-int(n_asked) // chunk))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    part = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int")
+    part = lambda n: F.pmod(F.xxhash64("rows"), F.lit(n)).cast("int")
     left = asked.withColumn("chunk", part(n_chunks)).withColumn("grp", every(n_groups))
     right = packed.withColumn("grp", part(n_groups)).withColumn("chunk", every(n_chunks))
 
@@ -209,11 +238,13 @@ def top_k(vectors: DataFrame, k: int = 20, pivots: int = PIVOTS, sample: int = S
         if len(q) and len(c):
             a, b = Side(q), Side(c)
             floor = np.concatenate([np.frombuffer(x, float) for x in q["extra"]])
-            found = [pd.DataFrame({"query_id": me, "vec_id": i, "score": s.astype(np.int64)}) for me, s, i in _search(a, np.arange(len(a.ids)), b, floor, k)]
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype(np.int64)
+            found = [pd.DataFrame({"_row": a.rows[r], "query_id": a.ids[r], "vec_id": i, "score": s.astype(np.int64)}) for r, s, i in _search(a, np.arange(len(a.ids)), b, floor, k)]
+        return pd.concat(found) if found else pd.DataFrame({"_row": [], "query_id": [], "vec_id": [], "score": []}).astype(np.int64)
 
-    met = left.groupBy("chunk", "grp").cogroup(right.groupBy("chunk", "grp")).applyInPandas(meet, "query_id long, vec_id long, score long")
-    line = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    met = left.groupBy("chunk", "grp").cogroup(right.groupBy("chunk", "grp")).applyInPandas(meet, "_row long, query_id long, vec_id long, score long")
+    if wide.count():
+        met = met.unionByName(exact_meetings(wide.filter("asks"), everything, k)).unionByName(exact_meetings(held.filter("asks"), wide, k))
+    line = W.partitionBy("_row").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(line)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

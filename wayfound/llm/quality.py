@@ -5,6 +5,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import as_bytes, id_remainder, stage
@@ -178,11 +179,11 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame, decide: float = 0.7) ->
     told = labels.filter(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("label"))
     stats = stage(document_statistics(docs).withColumn("held_out", held), "statistics")
     model = fit(stats.filter(~F.col("held_out")).join(told, F.col("doc_id") == F.col("_id")).select("label", "f"), decide=decide)
-    names = docs.columns
+    names, at = docs.columns, [c.lower() for c in docs.columns].index("text")
 
     def run(batches):
         for b in batches:
-            raw, off = split_binary(b.column(len(names)))
+            raw, off = split_binary(pc.fill_null(b.column(at).cast(pa.string()), "").cast(pa.binary()))
             keep = np.concatenate([model.score(statistics(raw[off[i]:off[j]], off[i:j + 1] - off[i])) >= decide for i, j in groups_of(off)]) if len(b) else np.zeros(0, bool)
             yield b.select(list(range(len(names)))).filter(pa.array(keep))
-    return docs.withColumn("_bytes", as_bytes(F.col("text"))).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -97,13 +97,13 @@ def near_duplicate_digest(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, words: int = 3, most: int = 3, groups=None) -> DataFrame:
     """One document of each group of near-duplicates (or of ``groups``, a function of (docs, words) that gives doc_id and component), the one of least (doc_id, text hash); ids count before null. Rows that repeat both id and text
     are copies, of which one stays; rows that share an id but not the text are judged apart. Columns are those of ``docs``."""
-    cols = docs.columns
-    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("h"))
+    text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), text_hash.alias("h"))
     found = (groups or partial(near_duplicates, most=most))(docs.select(key.alias("doc_id"), "text"), words)
     kept = found.filter(F.col("doc_id") == F.col("component")).groupBy(F.col("doc_id").alias("_key")).agg(F.count("*").alias("_n"))
     kept = stage(kept.select(F.col("_key.id").alias("_id"), F.col("_key.h").alias("_h"), "_n"), "kept")
-    keyed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    on = (F.col("_text_hash") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    keyed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), text_hash.alias("_text"))          # columns of any name
+    on = (F.col("_text") == F.col("_h")) & F.col("_doc").eqNullSafe(F.col("_id"))
     single = keyed.join(kept.filter("_n = 1"), on, "left_semi")
-    many = keyed.join(kept.filter("_n > 1"), on, "left_semi").dropDuplicates(["doc_id", "_text_hash"])
-    return single.unionByName(many).select(*cols)
+    many = keyed.join(kept.filter("_n > 1"), on, "left_semi").dropDuplicates(["_doc", "_text"])
+    return single.unionByName(many).select("_row.*")

@@ -57,16 +57,17 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     The most specific active entry decides; at the same key 'allow' beats 'block', then the first list name. A url without a host or a null day is
     'unlisted'. Verdicts are found once per distinct host, section and day and joined back, so repeated urls cost nothing; empty tables give
     empty or unlisted results."""
-    seen = captures.withColumn("_host", host_of(F.col("url"))).withColumn("_section", F.when(F.col("_host").isNotNull(), section_of(F.col("url"))))
-    sites = seen.filter("_host is not null and day is not null").select("_host", "_section", F.col("day").alias("_day")).distinct()
+    seen = captures.select(F.struct("*").alias("_row"), host_of(F.col("url")).alias("_host"), F.col("url").alias("_url"), F.col("day").alias("_on"))            # columns of any name
+    seen = seen.withColumn("_section", F.when(F.col("_host").isNotNull(), section_of(F.col("_url"))))
+    sites = seen.filter("_host is not null and _on is not null").select("_host", "_section", F.col("_on").alias("_day")).distinct()
     keys = sites.withColumn("_k", F.explode(url_keys(F.col("_host"), F.col("_section")))).select("_host", "_section", "_day", F.col("_k.key").alias("key"), F.col("_k.rank").alias("rank"))
     active = active_entries(keys.select("key", F.col("_day").alias("day")), validity_intervals(entries)).withColumnRenamed("day", "_day")
     order = F.struct((-F.col("rank")).alias("r"), F.col("action").alias("a"), F.col("list").alias("l"), F.col("key").alias("k"), F.col("valid_from").alias("f"))
     verdicts = keys.join(active, ["key", "_day"]).groupBy("_host", "_section", "_day").agg(F.min(order).alias("_best"), F.count("*").alias("_n"))
     verdicts = verdicts.select(*[F.col(c).alias("v" + c) for c in ("_host", "_section", "_day")], "_best", "_n")
-    on = (F.col("_host") == F.col("v_host")) & (F.col("_section") == F.col("v_section")) & (F.col("day") == F.col("v_day"))
+    on = (F.col("_host") == F.col("v_host")) & (F.col("_section") == F.col("v_section")) & (F.col("_on") == F.col("v_day"))
     out = seen.join(verdicts, on, "left")
-    return out.select(*[seen[c] for c in captures.columns], F.col("_host").alias("host"), F.coalesce("_best.a", F.lit("unlisted")).alias("verdict"), F.col("_best.k").alias("list_key"),
+    return out.select("_row.*", F.col("_host").alias("host"), F.coalesce("_best.a", F.lit("unlisted")).alias("verdict"), F.col("_best.k").alias("list_key"),
                       F.col("_best.l").alias("list_name"), F.col("_best.f").alias("active_from"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_active"))
 
 
