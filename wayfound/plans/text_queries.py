@@ -175,9 +175,9 @@ def stable_id(spark, sf):
     return n.select("id", F.concat("h", F.repeat(F.lit("x"), (F.col("rn") - 1).cast("int"))).alias("sid"))
 
 
-@C.add("search_normalize", "select doc_id, md5(trim(regexp_replace(translate(replace(replace(replace(lower(strip_accents(text)),'''',''),'’',''),'`',''),'&','&'), '[^\\p{L}\\p{N}]+', ' ', 'g'))) as s from (select doc_id, text from documents where not contains(text,'&'))")
+@C.add("search_normalize", "select doc_id, md5(trim(regexp_replace(replace(replace(replace(replace(regexp_replace(lower(strip_accents(text)), '\\b([a-z0-9])\\s*&\\s*([a-z0-9])\\b', '\\1\\2', 'g'),'&',' and '),'''',''),'’',''),'`',''), '[^\\p{L}\\p{N}]+', ' ', 'g'))) as s from documents")
 def search_normalize(spark, sf):
-    return _docs(spark, sf).filter(~F.col("text").contains("&")).select("doc_id", F.md5(T.search_normalize("text")).alias("s"))
+    return _docs(spark, sf).select("doc_id", F.md5(T.search_normalize("text")).alias("s"))
 
 
 @C.add("search_text", "select id, ' '||lower(name)||' '||regexp_replace(lower(brand),'[^a-z0-9]+',' ','g')||' county '||county_id||' '||(id%90+1)||' sw 8th st ' as s from fx_place", ["fx_place"])

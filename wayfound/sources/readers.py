@@ -123,7 +123,7 @@ def scan_json_quarantine(spark: SparkSession, path, item: str, *, wrappers=("pla
     'neither list nor wrapped list', 'not an object', 'a field has another type', 'without <field>'. Every document and every item stands on exactly one side.
 
     Items are split as they were written and parsed one by one, so a bad item costs itself only."""
-    docs = spark.read.text(path, wholetext=whole_files).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("doc"))
+    docs = spark.read.text(path, wholetext=whole_files).select(F.col("_metadata.file_path").alias("file"), F.btrim("value", F.lit(" \t\r\n")).alias("doc"))
     ok = F.try_parse_json("doc").isNotNull()
     wrapped = F.from_json("doc", "struct<" + ",".join(f"{w}:string" for w in wrappers) + ">")
     body = F.when(F.startswith("doc", F.lit("[")), F.col("doc")).otherwise(F.coalesce(*[F.when(F.trim(wrapped[w]).startswith("["), wrapped[w]) for w in wrappers]))

@@ -21,7 +21,7 @@ class _Latest(StatefulProcessor):
     def init(self, handle) -> None:
         self.state = handle.getValueState("latest", "pos string, value string, foreign string, visits long")
 
-    def handleInputRows(self, key, rows, timers):
+    def handleInputRows(self, key, rows, timerValues):
         pos, value, foreign, visits = self.state.get() if self.state.exists() else (None, None, None, 0)
         for r in rows:
             visits += 1
@@ -54,7 +54,7 @@ class _Verdicts(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle, self.state = handle, handle.getValueState("verdict", "at long, ok boolean, v int")
 
-    def handleInputRows(self, key, rows, timers):
+    def handleInputRows(self, key, rows, timerValues):
         had = self.state.get() if self.state.exists() else None
         best = had
         for r in rows:
@@ -69,7 +69,7 @@ class _Verdicts(StatefulProcessor):
                 self.handle.registerTimer(best[0] + self.hold)
         yield Row(url=key[0], at_=best[0], ok=best[1], state="fresh" if best[2] == self.rules else "expired")
 
-    def handleExpiredTimer(self, key, timers, expired):
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         if self.state.exists():
             at, ok, _ = self.state.get()
             self.state.clear()
