@@ -19,13 +19,13 @@ SLACK = 1e-5                        # distances are kept in float32; bounds are
 
 def scaled_vectors(rows: DataFrame, scale: float = 64.0) -> DataFrame:
     """(vec_id, v array<double>): components floor(scale * x). Null vectors and vectors with a null or non-finite component take no part, nor do null ids; all other rows do,
-    rows that repeat an id too. Other columns are left out."""
+    different vectors of one id too. Rows that are equal in both count once; other columns are left out."""
     x = lambda e: e.cast("double") * scale
     sound = F.forall(F.col("embedding"), lambda e: F.coalesce((F.abs(x(e)) < float("inf")) & ~F.isnan(x(e)), F.lit(False)))
     kept = rows.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(sound)
     # floor() gives whole numbers of 64 bits; from 2**52 on every double is whole already
     whole = lambda e: F.when(F.abs(x(e)) < WIDE, F.floor(x(e)).cast("double")).otherwise(x(e))
-    return kept.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", whole).alias("v"))
+    return kept.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", whole).alias("v")).distinct()
 
 
 def choose_pivots(vectors: DataFrame, pivots: int = PIVOTS, sample: int = SAMPLE) -> np.ndarray:
@@ -254,7 +254,7 @@ def nearest_vectors(embeddings: DataFrame, k: int = 20, every: int = 20) -> Data
 
 
 TOPK_SQL = """
-with ok as (select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as v from embeddings
+with ok as (select distinct vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as v from embeddings
   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score from ok q join ok c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
