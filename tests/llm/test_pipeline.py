@@ -27,7 +27,7 @@ def test_stages_keep_columns_and_take_effect(spark):
 def test_query_equals_sql(spark, key):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     norm = lambda v: repr(round(v, 6)) if isinstance(v, float) else str(v)
     fn, sql = CATALOG[key]
