@@ -1,7 +1,7 @@
 """Word-start search over places for a table of queries.
 
-A query becomes needles (word starts). Places list the first letters of their words; an equal-prefix join on each query's longest needle finds
-candidates and the full test runs on those only, so neither side is crossed with the other.
+A query becomes needles (word starts). An inverted index with posting counts tells the rarest part of each query; its postings are the candidates and
+the full test runs on those only, so neither side is crossed with the other.
 """
 from __future__ import annotations
 
@@ -12,7 +12,6 @@ from ..functions.text import SEARCH_SYNONYMS, TYPE_SYNONYMS, search_normalize, s
 from .directory import Filters, RANKED_GUIDES, TAG_BITS, guide_filter, in_order, sort_keys, with_sort_columns
 from .scale import cut_lineage, top_rows
 
-PREFIX = 4
 ASKED = ("tag", "tag_stem", "town", "town_needle", "tokens")
 # fixed values: phrases that name a guide, in the order they are looked for; words that carry no meaning
 TAG_PHRASES = (("cuban sandwiches", "cuban"), ("cuban sandwich", "cuban"), ("cubanos", "cuban"), ("cubano", "cuban"), ("cafecito", "cuban"),
@@ -102,10 +101,6 @@ def nothing_searchable(parsed: DataFrame) -> DataFrame:
     return parsed.filter(F.col("typed") & (F.size("tokens") == 0) & F.col("town").isNull() & F.col("tag").isNull())
 
 
-def _first_word(needle) -> Column:
-    return F.element_at(F.split(F.trim(needle), " "), 1)
-
-
 def _all_in(tokens, hay) -> Column:
     return F.forall(tokens, lambda needles: F.exists(needles, lambda x: hay.contains(x)))
 
@@ -119,19 +114,52 @@ def _answers(q: dict[str, Column]) -> Column:
     return ok_tag & ok_town & _all_in(q["tokens"], F.col("search_text"))
 
 
-def search_match(places: DataFrame, parsed: DataFrame) -> DataFrame:
-    """(query_id, place_id, name_hit) for every query that asks for something. Places carry id, city, tags, search_text, name_text."""
-    word = lambda c: F.concat(F.lit("w:"), F.substring(_first_word(c), 1, PREFIX))
-    longest = F.element_at(F.array_sort(F.transform("tokens", lambda t: F.struct((-F.length(t[0])).alias("n"), t.alias("t")))), 1)["t"]
-    by_place = F.array_compact(F.array(F.concat(F.lit("c:"), F.col("town")), F.when(F.col("town_needle").isNotNull(), word(F.col("town_needle")))))
-    by_tag = F.array_compact(F.array(F.concat(F.lit("g:"), F.col("tag")), F.when(F.col("tag_stem").isNotNull(), word(F.col("tag_stem")))))
-    probes = F.when(F.size("tokens") > 0, F.transform(longest, word)).when(F.col("town").isNotNull(), by_place).when(F.col("tag").isNotNull(), by_tag)
-    q = parsed.filter(probes.isNotNull()).withColumn("probe", F.explode(F.array_distinct(probes)))
-    starts = F.flatten(F.transform(F.split(F.trim("search_text"), " "), lambda w: F.transform(F.sequence(F.lit(1), F.least(F.length(w), F.lit(PREFIX))), lambda k: F.concat(F.lit("w:"), F.substring(w, F.lit(1), k)))))
+def search_index(places: DataFrame) -> DataFrame:
+    """Postings (key, place_id): ``w:`` words of the search text, ``c:`` the town, ``g:`` guides. Slim, built once for any number of searches."""
+    words = F.transform(F.filter(F.split("search_text", " "), lambda w: w != ""), lambda w: F.concat(F.lit("w:"), w))
     tags = F.array_compact(F.array(*[F.when(F.coalesce(F.col("tags"), F.lit(0)).bitwiseAND(F.lit(1 << b)) != 0, F.lit("g:" + t)) for t, b in TAG_BITS.items()]))
     city = F.array_compact(F.array(F.concat(F.lit("c:"), F.col("city"))))
-    p = places.select(F.col("id").alias("place_id"), "city", "tags", "search_text", "name_text", F.explode(F.array_distinct(F.concat(starts, tags, city))).alias("key"))
-    hit = q.join(p, F.col("probe") == F.col("key")).filter(_answers({c: F.col(c) for c in ASKED}))
+    keys = F.concat(F.coalesce(words, F.array().cast("array<string>")), tags, city)
+    return places.select(F.col("id").alias("place_id"), F.explode(F.array_distinct(keys)).alias("key"))
+
+
+def _needles(parsed: DataFrame) -> DataFrame:
+    """(query_id, part, needle, whole): what a place must hold, by parts of the text that must all be met and ways to meet a part."""
+    def word(c):
+        t = F.trim(c)
+        return F.struct(F.concat(F.lit("w:"), F.element_at(F.split(t, " "), 1)).alias("needle"), (F.endswith(c, F.lit(" ")) | t.contains(" ")).alias("whole"))
+    exact = lambda kind, c: F.struct(F.concat(F.lit(kind), c).alias("needle"), F.lit(True).alias("whole"))
+    side = lambda kind, c, text: F.when(F.col(c).isNotNull(), F.array_compact(F.array(exact(kind, F.col(c)), F.when(F.col(text).isNotNull(), word(F.col(text))))))
+    parts = F.concat(F.transform("tokens", lambda t: F.transform(t, word)), F.array_compact(F.array(side("c:", "town", "town_needle"), side("g:", "tag", "tag_stem"))))
+    return parsed.select("query_id", F.posexplode(parts).alias("part", "ways")).select("query_id", "part", F.explode("ways").alias("w")).select("query_id", "part", "w.*").distinct()
+
+
+def search_match(places: DataFrame, parsed: DataFrame, index: DataFrame | None = None, most: int = 1 << 16) -> DataFrame:
+    """(query_id, place_id, name_hit) for every query that asks for something. Places carry id (unique), city, tags, search_text, name_text.
+
+    The words of the index are counted; each query is sent to the postings of its rarest part only, and texts are joined back for those candidates, so a query
+    costs at most the places that hold its rarest part. Postings of a word with more than ``most`` places are met in slices of about that many."""
+    index = cut_lineage(search_index(places)) if index is None else index
+    words = index.groupBy(F.col("key").alias("word")).agg(F.count("*").alias("n"))
+    asked_for = cut_lineage(_needles(parsed))
+    starts = asked_for.filter(~F.col("whole")).select("needle").distinct()
+    longest = F.coalesce(starts.agg(F.max(F.length("needle"))).scalar(), F.lit(3))
+    begun = words.filter(F.startswith("word", F.lit("w:"))).withColumn("most", longest) \
+        .withColumn("k", F.explode(F.sequence(F.lit(3), F.greatest(F.lit(3), F.least(F.length("word"), "most"))))) \
+        .select("word", "n", F.substring("word", F.lit(1), F.col("k")).alias("needle"))
+    found = words.select(F.col("word").alias("needle"), F.lit(True).alias("whole"), "word", "n") \
+        .unionByName(begun.join(starts, "needle", "left_semi").select("needle", F.lit(False).alias("whole"), "word", "n"))
+    held = found.groupBy("needle", "whole").agg(F.sum("n").alias("n"))
+    cost = asked_for.join(held, ["needle", "whole"], "left").groupBy("query_id", "part").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    rarest = cost.groupBy("query_id").agg(F.min(F.struct("n", "part")).alias("m")).select("query_id", "m.part")
+    slices = F.floor(F.col("n") / F.lit(most)) + 1
+    probes = asked_for.join(rarest, ["query_id", "part"]).join(found, ["needle", "whole"]).select("query_id", "word", "n").distinct() \
+        .join(parsed.select("query_id", *ASKED), "query_id").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)))
+    often = words.filter(F.col("n") > most).select(F.col("word").alias("key"), slices.alias("slices"))
+    posts = index.join(often, "key", "left").select("place_id", F.col("key").alias("word"), F.coalesce(F.pmod(F.xxhash64("place_id"), "slices"), F.lit(0)).alias("slice"))
+    hit = probes.join(posts, ["word", "slice"]).drop("word", "slice", "n")
+    texts = places.select(F.col("id").alias("place_id"), "city", "tags", "search_text", "name_text")
+    hit = hit.join(texts, "place_id").filter(_answers({c: F.col(c) for c in ASKED}))
     return hit.select("query_id", "place_id", ((F.size("tokens") > 0) & _all_in("tokens", F.col("name_text"))).alias("name_hit")).distinct()
 
 
