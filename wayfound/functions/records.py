@@ -111,3 +111,48 @@ def distance_text(miles) -> Column:
 
 def tier_label(tier, licensed) -> Column:
     return F.when(col(licensed), F.lit("Licensed")).when(col(tier) == 1, F.lit("Confirmed listing")).otherwise(F.lit("Map listing"))
+
+
+# fixed values: what the labels of a place say
+HONOR_LABELS = ((1, "America's Classic"), (2, "James Beard winner"), (4, "James Beard finalist"), (8, "James Beard semifinalist"))
+GROUP_HONOR = "James Beard (restaurateur)"
+AWARD_LABELS = ("MICHELIN Recommended", "Bib Gourmand", "1 MICHELIN Star", "2 MICHELIN Stars", "3 MICHELIN Stars")
+GUIDE_CHIPS = ((1, "Cuban & cafecito"), (2, "Stone crab"), (4, "Grouper & seafood"), (8, "Keys classic"), (16, "Oyster bar"), (32, "Fish camp"), (64, "Latin & Caribbean"))
+OLDEST_BIT, CHAIN_MIN = 128, 5
+KNOWN_BY = {"research": "On our hand-checked list (checked against a 2025 or 2026 source). The open map data didn't list it as a place to eat, so it's placed from its own map listing or street address.",
+            "official": "From Florida's list of current food service licenses (DBPR). The open map data didn't have it, so its location comes from the license's street address.",
+            "matched": "Matched to a current Florida DBPR food service license.",
+            "confirmed": "A high-confidence listing in Overture's open map data.",
+            "listing": "A single listing in Overture's open map data, so it may be closed or misfiled.",
+            "rate": " Checked against Florida's restaurant licenses statewide, listings like this matched a current license %s of the time.",
+            "checked": " It's also on our hand-checked list, checked against a 2025 or 2026 source."}
+
+
+def honor_label(flags, honors=None) -> Column:
+    """The best honor of ``flags`` (see ``honor_flags``); with ``honors`` the group honor where the place has no own one. Null: none."""
+    own = F.coalesce(*[F.when(col(flags).bitwiseAND(F.lit(bit)) != 0, F.lit(label)) for bit, label in HONOR_LABELS])
+    return own if honors is None else F.coalesce(own, F.when(col(honors).isNotNull(), F.lit(GROUP_HONOR)))
+
+
+def place_chips(*, award, flags, honors, hand_checked, tags, founded, chain_n, tier, partner=None, most: int | None = None) -> Column:
+    """Chips of a place in the order they are shown: award, honor, guides and founding year of hand-checked places, ``partner`` text, chain, bare listing."""
+    has = lambda c: F.coalesce(col(c), F.lit(0))
+    checked = F.coalesce(col(hand_checked), F.lit(False))
+    bit = lambda b: has(tags).bitwiseAND(F.lit(b)) != 0
+    bare = (col(tier) == 0) & (has(flags) == 0) & (has(award) == 0) & ~checked
+    chips = [F.when(has(award).between(1, len(AWARD_LABELS)), F.get(F.array(*[F.lit(x) for x in AWARD_LABELS]), has(award).cast("int") - 1)), honor_label(has(flags), honors),
+             *[F.when(checked & bit(b), F.lit(label)) for b, label in GUIDE_CHIPS],
+             F.when(checked & bit(OLDEST_BIT), F.concat(F.lit("Since "), col(founded).cast("string"))), partner if partner is not None else F.lit(None).cast("string"),
+             F.when(has(chain_n) >= CHAIN_MIN, F.concat(F.lit("Chain · "), col(chain_n).cast("string"))), F.when(bare, F.lit("Listing only"))]
+    shown = F.array_compact(F.array(*chips))
+    return shown if most is None else F.slice(shown, 1, most)
+
+
+def how_we_know(source, tier, hand_checked, rate_text, texts=None) -> Column:
+    """What a place rests on. ``tier`` 2 licensed, 1 confirmed, 0 listing; ``rate_text`` the measured match rate of listings like it, null where unknown."""
+    t = {k: F.lit(v) for k, v in (texts or KNOWN_BY).items()}
+    before, after = (texts or KNOWN_BY)["rate"].split("%s")
+    rate = F.coalesce(F.concat(F.lit(before), col(rate_text), F.lit(after)), F.lit(""))
+    listed = F.concat(F.when(col(tier) == 1, t["confirmed"]).otherwise(t["listing"]), rate, F.when(col(hand_checked), t["checked"]).otherwise(""))
+    src = F.coalesce(col(source), F.lit(""))
+    return F.when(src == "research", t["research"]).when((col(tier) == 2) & (src == "official"), t["official"]).when(col(tier) == 2, t["matched"]).otherwise(listed)

@@ -108,12 +108,13 @@ def icon_score(df: DataFrame, *, honors: str, award: str, oldest: str, founded:
     return j.withColumn("icon", F.when(honored, score)).drop("_lr", "_pct")
 
 
-def county_assign(df: DataFrame, tiers, *, id: str, license_county: str) -> DataFrame:
+def county_assign(df: DataFrame, tiers, *, id: str, license_county: str, regions: DataFrame | None = None) -> DataFrame:
     """Adds county from the license, else from the first tier that holds the point. A point loses its coordinates when outlines hold it but none of them, in any tier,
-    is its license's county: outlines overlap near borders."""
+    is its license's county: outlines overlap near borders. With ``regions`` (county, region; one row a county) the county's region is added too."""
     held = polygons_holding(df.select(id, "lat", "lon", F.col(license_county).alias("_lic")), tiers, id=id)
     at = held.groupBy(F.col(id).alias("_id")).agg(F.min(F.struct("tier", "name")).alias("_m"), F.collect_set("name").alias("_names"))
     j = df.join(at, F.col(id) == F.col("_id"), "left").withColumn("_at", F.col("_m.name"))
     wrong = F.col(license_county).isNotNull() & F.col("_at").isNotNull() & ~F.array_contains("_names", F.col(license_county))
     cols = [F.when(~F.coalesce(wrong, F.lit(False)), F.col(c)).alias(c) if c in ("lat", "lon") else F.col(c) for c in df.columns]
-    return j.select(*cols, F.coalesce(F.col(license_county), F.col("_at")).alias("county"))
+    out = j.select(*cols, F.coalesce(F.col(license_county), F.col("_at")).alias("county"))
+    return out if regions is None else out.join(regions.select("county", "region"), "county", "left").select(*out.columns, "region")

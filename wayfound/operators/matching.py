@@ -304,6 +304,24 @@ def point_by_name_town(unplaced: DataFrame, places: DataFrame, *, min_ratio=92.0
         .filter(F.col("spread") < max_spread).drop("spread")
 
 
+def place_unplaced(unplaced: DataFrame, places: DataFrame, cached: DataFrame, **rules) -> DataFrame:
+    """(id, address, lat, lon, placed_by) for every unplaced row (id unique): the geocoder's cached point of its ``address`` comes first, then the spot of the near-equal
+    names in its town (``point_by_name_town``, for rows without a cached point only), else nothing. ``cached`` carries (address, lat, lon); entries without a
+    point count as absent, and of several points of an address the least stays. placed_by is 'cache', 'listing' or null."""
+    known = cached.filter(F.col("address").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull()).groupBy(F.col("address").alias("_a")) \
+        .agg(F.min(F.struct("lat", "lon")).alias("_hit"))
+    asked = unplaced.join(known, F.col("address") == F.col("_a"), "left").drop("_a")
+    found = point_by_name_town(asked.filter(F.col("_hit").isNull()).drop("_hit", "address"), places, **rules).select(F.col("id").alias("_i"), F.struct("lat", "lon").alias("_spot"))
+    by = F.when(F.col("_hit").isNotNull(), "cache").when(F.col("_spot").isNotNull(), "listing")
+    at = F.coalesce("_hit", "_spot")
+    return asked.join(found, F.col("id") == F.col("_i"), "left").select("id", "address", at["lat"].alias("lat"), at["lon"].alias("lon"), by.alias("placed_by"))
+
+
+def geocode_todo(placed: DataFrame) -> DataFrame:
+    """(address) of rows that still have no point: what the geocoder is to be asked next, each once."""
+    return placed.filter(F.col("placed_by").isNull() & F.col("address").isNotNull()).select("address").distinct()
+
+
 def flag_closed_twin(df: DataFrame, *, id: str, name_key: str, closed: str, bare_key: str, dlat=0.0015, dlon=0.002, min_score=90.0) -> DataFrame:
     """Adds ``closed_twin``: closed itself, or near a closed listing with (nearly) the same name. ``bare_key`` is the closed listing's name
     key without the closing words. Copies at one spot count once."""

@@ -102,7 +102,10 @@ def nothing_searchable(parsed: DataFrame) -> DataFrame:
 
 
 def _all_in(tokens, hay) -> Column:
-    return F.forall(tokens, lambda needles: F.exists(needles, lambda x: hay.contains(x)))
+    """Every part of ``tokens`` has a needle in ``hay``; parts of none are met. The length names ``hay`` outside the lambda too: a join condition that
+    names it only inside can be pushed to the side without it."""
+    toks = F.col(tokens) if isinstance(tokens, str) else tokens
+    return F.when(F.size(toks) == 0, True).when(F.length(hay) >= 0, F.forall(toks, lambda needles: F.exists(needles, lambda x: hay.contains(x))))
 
 
 def _answers(q: dict[str, Column]) -> Column:
@@ -157,10 +160,11 @@ def search_match(places: DataFrame, parsed: DataFrame, index: DataFrame | None =
         .join(parsed.select("query_id", *ASKED), "query_id").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)))
     often = words.filter(F.col("n") > most).select(F.col("word").alias("key"), slices.alias("slices"))
     posts = index.join(often, "key", "left").select("place_id", F.col("key").alias("word"), F.coalesce(F.pmod(F.xxhash64("place_id"), "slices"), F.lit(0)).alias("slice"))
-    hit = probes.join(posts, ["word", "slice"]).drop("word", "slice", "n")
+    # each candidate once; the aggregate also keeps the test of the texts out of the reordering of the joins below it
+    hit = probes.join(posts, ["word", "slice"]).groupBy("query_id", "place_id").agg(*[F.first(c).alias(c) for c in ASKED])
     texts = places.select(F.col("id").alias("place_id"), "city", "tags", "search_text", "name_text")
     hit = hit.join(texts, "place_id").filter(_answers({c: F.col(c) for c in ASKED}))
-    return hit.select("query_id", "place_id", ((F.size("tokens") > 0) & _all_in("tokens", F.col("name_text"))).alias("name_hit")).distinct()
+    return hit.select("query_id", "place_id", ((F.size("tokens") > 0) & _all_in("tokens", F.col("name_text"))).alias("name_hit"))
 
 
 def name_first(hits: DataFrame) -> DataFrame:

@@ -7,29 +7,53 @@ from ..functions.geo import cell, cell_sizes, neighbor_cells, planar_m
 from .scale import top_rows
 
 
-def proximity_join(left: DataFrame, right: DataFrame, *, radius_m: float, lat="lat", lon="lon", block=()) -> DataFrame:
+DENSE = 1 << 16             # rows of one side in one cell that a single task meets
+
+
+def _cell_join(l: DataFrame, r: DataFrame, keys: list[tuple[str, str]], most: int) -> DataFrame:
+    """Inner join on pairs of (left, right) cell columns. Cells are counted on both sides; where a side has more than ``most`` rows it is cut into slices by a hash
+    of the row and the other side's rows go to each of them, so no task meets more than about ``most`` rows of either side for one cell. Rows that are equal
+    in every column share a slice. Columns named ``_cell*`` are used inside."""
+    def counted(df, cols, n):
+        return df.groupBy(*[F.col(c).alias(f"_cell{i}") for i, c in enumerate(cols)]).agg(F.count("*").alias("_n")).filter(F.col("_n") > most) \
+            .select(*[f"_cell{i}" for i in range(len(cols))], F.ceil(F.col("_n") / F.lit(most)).alias(n))
+    names = [f"_cell{i}" for i in range(len(keys))]
+    dense = counted(l, [a for a, _ in keys], "_cell_l").join(counted(r, [b for _, b in keys], "_cell_r"), names, "full")
+
+    def sliced(df, cols, own, other):
+        spread = F.xxhash64(*[F.col(c) for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind])
+        known = [F.col(c) == F.col(n) for c, n in zip(cols, names)]
+        mine = df.withColumn("_cell_h", spread).join(dense, known, "left").drop(*names)
+        mine = mine.withColumn("_cell_own", F.coalesce(F.pmod("_cell_h", own), F.lit(0)))
+        return mine.withColumn("_cell_other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(other), F.lit(1)) - 1))).drop("_cell_h", "_cell_l", "_cell_r")
+    a = sliced(l, [x for x, _ in keys], "_cell_l", "_cell_r").withColumnsRenamed({"_cell_own": "_cell_a", "_cell_other": "_cell_b"})
+    b = sliced(r, [x for _, x in keys], "_cell_r", "_cell_l").withColumnsRenamed({"_cell_own": "_cell_d", "_cell_other": "_cell_c"})
+    on = [F.col(x) == F.col(y) for x, y in keys] + [F.col("_cell_a") == F.col("_cell_c"), F.col("_cell_b") == F.col("_cell_d")]
+    return a.join(b, on).drop("_cell_a", "_cell_b", "_cell_c", "_cell_d")
+
+
+def proximity_join(left: DataFrame, right: DataFrame, *, radius_m: float, lat="lat", lon="lon", block=(), most: int = DENSE) -> DataFrame:
     """All pairs within the radius as (l_*, r_*, dist_m). The right side is laid on its nine cells and met by an equal-cell join, so only
-    rows of touching cells are compared. ``block`` adds columns that must be equal too; the more selective, the fewer comparisons."""
+    rows of touching cells are compared. ``block`` adds columns that must be equal too; the more selective, the fewer comparisons. Cells with more than
+    ``most`` rows are met in slices."""
     h, w = cell_sizes(radius_m)
     l = left.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(*[F.col(c).alias("l_" + c) for c in left.columns])
     l = l.withColumn("_cy", cell("l_" + lat, h)).withColumn("_cx", cell("l_" + lon, w))
     r = right.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(*[F.col(c).alias("r_" + c) for c in right.columns],
-                                                                            F.explode(neighbor_cells(lat, lon, radius_m)).alias("_c"))
-    on = (F.col("_cy") == F.col("_c.cy")) & (F.col("_cx") == F.col("_c.cx"))
-    for b in block:
-        on = on & (F.col("l_" + b) == F.col("r_" + b))
+                                                                            F.explode(neighbor_cells(lat, lon, radius_m)).alias("_c")).select("*", "_c.cy", "_c.cx").drop("_c")
     d = planar_m("l_" + lat, "l_" + lon, "r_" + lat, "r_" + lon)
-    return l.join(r, on).withColumn("dist_m", d).filter(F.col("dist_m") <= radius_m).drop("_cy", "_cx", "_c")
+    met = _cell_join(l, r, [("_cy", "cy"), ("_cx", "cx"), *[("l_" + b, "r_" + b) for b in block]], most)
+    return met.withColumn("dist_m", d).filter(F.col("dist_m") <= radius_m).drop("_cy", "_cx", "cy", "cx")
 
 
-def box_join(left: DataFrame, right: DataFrame, *, dlat: float, dlon: float, lat="lat", lon="lon") -> DataFrame:
-    """All pairs with |dlat| and |dlon| strictly inside the box."""
+def box_join(left: DataFrame, right: DataFrame, *, dlat: float, dlon: float, lat="lat", lon="lon", most: int = DENSE) -> DataFrame:
+    """All pairs with |dlat| and |dlon| strictly inside the box; dense cells as in ``proximity_join``."""
     l = left.select(*[F.col(c).alias("l_" + c) for c in left.columns]).withColumn("_cy", cell("l_" + lat, dlat)).withColumn("_cx", cell("l_" + lon, dlon))
     cy, cx = cell(lat, dlat), cell(lon, dlon)
     around = F.array(*[F.struct((cy + i).alias("cy"), (cx + j).alias("cx")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    r = right.select(*[F.col(c).alias("r_" + c) for c in right.columns], F.explode(around).alias("_c"))
+    r = right.select(*[F.col(c).alias("r_" + c) for c in right.columns], F.explode(around).alias("_c")).select("*", "_c.cy", "_c.cx").drop("_c")
     close = (F.abs(F.col("l_" + lat) - F.col("r_" + lat)) < dlat) & (F.abs(F.col("l_" + lon) - F.col("r_" + lon)) < dlon)
-    return l.join(r, (F.col("_cy") == F.col("_c.cy")) & (F.col("_cx") == F.col("_c.cx"))).filter(close).drop("_cy", "_cx", "_c")
+    return _cell_join(l, r, [("_cy", "cy"), ("_cx", "cx")], most).filter(close).drop("_cy", "_cx", "cy", "cx")
 
 
 def _inside(lat, lon, ring):

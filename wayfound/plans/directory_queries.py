@@ -1,7 +1,8 @@
 """Registered queries over the directory: guides, filters, search, orders."""
 from pyspark.sql import functions as F
 
-from ..operators import directory as D, search as Q
+from ..functions import records as R
+from ..operators import directory as D, joins as J, search as Q
 from ..operators.visits import latest_visit
 from .latest_results import EVENT_GROUP
 from ..functions._col import lookup
@@ -202,3 +203,27 @@ def elsewhere_count(spark, sf):
 def guide_query(spark, sf):
     p = D.with_search_columns(places(spark, sf))
     return Q.guide_query(p, "honors", D.Filters(confirmed_only=True), "ring", "name", position="pos").select("id", "pos")
+
+
+# --- labels -----------------------------------------------------------------------------------------------------------------------
+def _said(text):
+    return "'" + text.replace("'", "''") + "'"
+
+
+_HONOR_SQL = "case " + " ".join(f"when honors&{b}<>0 then {_said(label)}" for b, label in R.HONOR_LABELS) + f" when jbf is not null then {_said(R.GROUP_HONOR)} end"
+_CHIPS_SQL = "list_filter([" + ", ".join([f"case award {' '.join(f'when {i} then {_said(x)}' for i, x in enumerate(R.AWARD_LABELS, 1))} end", _HONOR_SQL,
+    *[f"case when hc and tags&{b}<>0 then {_said(label)} end" for b, label in R.GUIDE_CHIPS], f"case when hc and tags&{R.OLDEST_BIT}<>0 then 'Since '||founded end",
+    f"case when chain_n>={R.CHAIN_MIN} then 'Chain · '||chain_n end", "case when tier=0 and honors=0 and award=0 and not hc then 'Listing only' end"]) + "], lambda x: x is not null)"
+_KNOW_SQL = f"""case when brand='Brand#11' then {_said(R.KNOWN_BY['research'])} when tier=2 and brand='Brand#12' then {_said(R.KNOWN_BY['official'])} when tier=2 then {_said(R.KNOWN_BY['matched'])}
+ else case when tier=1 then {_said(R.KNOWN_BY['confirmed'])} else {_said(R.KNOWN_BY['listing'])} end||coalesce(replace({_said(R.KNOWN_BY['rate'])}, '%s', cast(cast(round_even(rate*100,0) as int) as varchar)||'%'),'')||case when hc then {_said(R.KNOWN_BY['checked'])} else '' end end"""
+
+
+@q("place_labels", f", rt as (select cuisine as c, avg(case when tier=2 then 1e0 else 0e0 end) as rate from d where cuisine<>'PROMO' group by cuisine) select id, {_HONOR_SQL} as honor, array_to_string({_CHIPS_SQL},'; ') as chips, array_to_string(({_CHIPS_SQL})[1:4],'; ') as first_chips, {_KNOW_SQL} as known from d left join rt on cuisine=c")
+def place_labels(spark, sf):
+    p = places(spark, sf)
+    rates = p.filter("cuisine <> 'PROMO'").groupBy("cuisine").agg(F.avg((F.col("tier") == 2).cast("double")).alias("rate"))
+    j = J.calibration_lookup(p, rates, "cuisine")
+    src = F.when(F.col("brand") == "Brand#11", "research").when(F.col("brand") == "Brand#12", "official").otherwise("meta")
+    chips = R.place_chips(award="award", flags="honors", honors="jbf", hand_checked="hc", tags="tags", founded="founded", chain_n="chain_n", tier="tier")
+    return j.select("id", R.honor_label("honors", "jbf").alias("honor"), F.array_join(chips, "; ").alias("chips"), F.array_join(F.slice(chips, 1, 4), "; ").alias("first_chips"),
+                    R.how_we_know(src, "tier", "hc", "rate_text").alias("known"))

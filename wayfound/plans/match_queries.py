@@ -6,7 +6,7 @@ from ..functions._col import lookup
 from ..operators import joins as J, matching as M, scale, spatial as SP
 from ..operators.numbering import union_all
 from .tables import Catalog, ring_table, table, view
-from .text_queries import sql_norm
+from .text_queries import lcs_of, sql_norm
 
 C = Catalog()
 
@@ -225,13 +225,46 @@ def calibration_lookup(spark, sf):
     return J.calibration_lookup(p.select("id", "category"), rates, "category").select("id", "rate_text")
 
 
-@C.add("point_by_name_town")
+_NAMED = lcs_of(f"select distinct p.name as a, {sql_norm('r.name')} as b from fx_registry r join fx_place p on p.county_id=r.county_id")
+
+
+@C.add("point_by_name_town", _NAMED + f""" select r.reg_id as id, arg_min(p.lat,p.id) as lat, arg_min(p.lon,p.id) as lon from fx_registry r join fx_place p on p.county_id=r.county_id
+ join lcs on lcs.a=p.name and lcs.b={sql_norm('r.name')} where s>=92 group by r.reg_id having max(p.lat)-min(p.lat)<0.02""", ["fx_registry", "fx_place"])
 def point_by_name_town(spark, sf):
     p = _place(spark, sf).select(F.col("id").alias("pid"), F.col("county_id").alias("town"), F.col("name").alias("k"), F.lit(None).cast("string").alias("num"), "lat", "lon")
     u = view(spark, sf, "fx_registry").select(F.col("reg_id").alias("id"), F.col("county_id").alias("town"), T.norm_name("name").alias("k"), F.lit(None).cast("string").alias("num"))
     return M.point_by_name_town(u, p, max_spread=0.02)
 
 
+_PLACED = _NAMED + f""", u as (select reg_id as id, county_id as town, {sql_norm('name')} as k, case when reg_id%2=0 then reg_id%7 end as num, case when reg_id%5<>0 then (reg_id%900+1)||' Main St, Town '||county_id end as address from fx_registry),
+ g as (select (lic%900+1)||' Main St, Town '||(lic%25) as address, min(case when lic%4<>0 then struct_pack(la := lat, lo := lon) end) as at from fx_address group by 1),
+ n as (select u.id as id, arg_min(p.lat,p.id) as lat, arg_min(p.lon,p.id) as lon from u join fx_place p on p.county_id=u.town join lcs on lcs.a=p.name and lcs.b=u.k
+  where s>=92 and (num is null or p.id%11=0 or num=p.id%7) group by u.id having max(p.lat)-min(p.lat)<0.02),
+ f as (select u.id as id, u.address as address, case when g.at is not null then g.at.la else n.lat end as lat, case when g.at is not null then g.at.lo else n.lon end as lon,
+  case when g.at is not null then 'cache' when n.id is not null then 'listing' end as placed_by from u left join g on u.address=g.address left join n on u.id=n.id)"""
+
+
+def _placed(spark, sf):
+    r, p = F.col("reg_id"), F.col("id")
+    line = lambda n, town: F.concat((n % 900 + 1).cast("string"), F.lit(" Main St, Town "), town.cast("string"))
+    u = view(spark, sf, "fx_registry").select(r.alias("id"), F.col("county_id").alias("town"), T.norm_name("name").alias("k"), F.when(r % 2 == 0, (r % 7).cast("string")).alias("num"),
+                                              F.when(r % 5 != 0, line(r, F.col("county_id"))).alias("address"))
+    places = _place(spark, sf).select(p.alias("pid"), F.col("county_id").alias("town"), F.col("name").alias("k"), F.when(p % 11 != 0, (p % 7).cast("string")).alias("num"), "lat", "lon")
+    known = F.col("lic") % 4 != 0
+    cached = view(spark, sf, "fx_address").select(line(F.col("lic"), F.col("lic") % 25).alias("address"), F.when(known, F.col("lat")).alias("lat"), F.when(known, F.col("lon")).alias("lon"))
+    return M.place_unplaced(u, places, cached, max_spread=0.02)
+
+
+@C.add("place_unplaced", _PLACED + " select id, address, lat, lon, placed_by from f", ["fx_registry", "fx_place", "fx_address"])
+def place_unplaced(spark, sf):
+    return _placed(spark, sf)
+
+
+@C.add("geocode_todo", _PLACED + " select distinct address from f where placed_by is null and address is not null", ["fx_registry", "fx_place", "fx_address"])
+def geocode_todo(spark, sf):
+    return M.geocode_todo(_placed(spark, sf))
+
+
 @C.add("flag_closed_twin", """with c as (select name, lat, lon from fx_place where hc) select id, (hc or exists (select 1 from c where c.name=p.name and abs(c.lat-p.lat)<0.0015 and abs(c.lon-p.lon)<0.002)) as closed_twin
  from (select id, hc, lat, lon, name from fx_place) p""", ["fx_place"])
 def flag_closed_twin(spark, sf):

@@ -224,6 +224,15 @@ def county_and_region_assign(spark, sf):
     return E.county_assign(p, _tiers(spark, sf), id="id", license_county="lic").select("id", "county", F.col("lat").isNotNull().alias("placed"))
 
 
+@C.add("region_assign", f"with {_TIERS}, l as (select id, case when id%4=0 then 'NATION_'||(id%25) when id%4=1 then 'NATION_3' end as lic from fx_place), k as (select l.id as id, coalesce(l.lic, c.name) as county from l left join c on l.id=c.id) "
+       "select k.id as id, k.county as county, r.r_name as region from k left join nation n on n.n_name=k.county left join region r on r.r_regionkey=n.n_regionkey", ["fx_place", "fx_polygon"])
+def region_assign(spark, sf):
+    i = F.col("id")
+    p = view(spark, sf, "fx_place").withColumn("lic", F.when(i % 4 == 0, F.concat(F.lit("NATION_"), (i % 25).cast("string"))).when(i % 4 == 1, F.lit("NATION_3")))
+    regions = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("county"), F.col("r_name").alias("region"))
+    return E.county_assign(p, _tiers(spark, sf), id="id", license_county="lic", regions=regions).select("id", "county", "region")
+
+
 @C.add("split_same_name_town", """with s as (select 'T'||(id%40) as town, 'C'||county_id as county, lat, lon from fx_place), m as (select town, county, median(lat) as la, median(lon) as lo, count(*) as n from s group by 1,2), b as (select * from (select *, row_number() over (partition by town order by n desc, county) as rn from m) where rn=1)
  select m.town as town, m.county as county, m.town||' ('||m.county||' Co.)' as new_town from m join b on m.town=b.town where sqrt(pow((m.la-b.la)*111,2)+pow((m.lo-b.lo)*99,2))>40""", ["fx_place"])
 def split_same_name_town(spark, sf):

@@ -261,7 +261,8 @@ def unique_anchor(spark, sf):
 
 
 # --- similarity -----------------------------------------------------------------------------------------------------------------
-_PAIRS = f"""with recursive pr as (select r.reg_id as reg_id, p.id as id, p.name as a, {sql_norm('r.name')} as b from fx_registry r join fx_place p on p.county_id=r.county_id and p.id%40=r.reg_id%40),
+_PAIRS = f"""with recursive pr as (select r.county_id as county_id, p.a as a, r.b as b, r.n*p.n as pairs from (select county_id, {sql_norm('name')} as b, count(*) as n from fx_registry group by 1,2) r
+  join (select county_id, name as a, count(*) as n from fx_place group by 1,2) p on p.county_id=r.county_id),
  prs as (select distinct {{a}} as a, {{b}} as b from pr),
  dp(a,b,i,r) as (select a,b,0, list_transform(range(0,length(b)+1), lambda x: cast(0 as bigint)) from prs union all
   select a,b,i+1, list_transform(range(1,length(b)+2), lambda k: list_max(list_slice(t,1,k))) from (select a,b,i, list_transform(range(0,length(b)+1), lambda j: case when j=0 then 0 else greatest(r[j+1], r[j]+case when substr(b,j,1)=substr(a,i+1,1) then 1 else 0 end) end) as t from dp where i<length(a))),
@@ -269,9 +270,18 @@ _PAIRS = f"""with recursive pr as (select r.reg_id as reg_id, p.id as id, p.name
 
 
 def _pair_rows(spark, sf):
-    r = view(spark, sf, "fx_registry").select("reg_id", F.col("county_id").alias("rc"), T.norm_name("name").alias("b"))
-    p = view(spark, sf, "fx_place").select("id", "county_id", F.col("name").alias("a"))
-    return r.join(p, (F.col("county_id") == F.col("rc")) & (F.col("id") % 40 == F.col("reg_id") % 40))
+    """Every pair of a registry name and a place name of one county, once, with the number of row pairs it stands for."""
+    r = view(spark, sf, "fx_registry").groupBy(F.col("county_id").alias("rc"), T.norm_name("name").alias("b")).agg(F.count("*").alias("nr"))
+    p = view(spark, sf, "fx_place").groupBy("county_id", F.col("name").alias("a")).agg(F.count("*").alias("np"))
+    return r.join(p, F.col("county_id") == F.col("rc")).select("county_id", "a", "b", (F.col("nr") * F.col("np")).alias("pairs"))
+
+
+def lcs_of(prs: str) -> str:
+    """Common table expressions ending in lcs(a, b, s): similarity of the text pairs (a, b) of ``prs``."""
+    return f"""with recursive prs as ({prs}),
+ dp(a,b,i,r) as (select a,b,0, list_transform(range(0,length(b)+1), lambda x: cast(0 as bigint)) from prs union all
+  select a,b,i+1, list_transform(range(1,length(b)+2), lambda k: list_max(list_slice(t,1,k))) from (select a,b,i, list_transform(range(0,length(b)+1), lambda j: case when j=0 then 0 else greatest(r[j+1], r[j]+case when substr(b,j,1)=substr(a,i+1,1) then 1 else 0 end) end) as t from dp where i<length(a))),
+ lcs as (select a,b, 200e0*r[length(b)+1]/greatest(length(a)+length(b),1) as s from dp where i=length(a))"""
 
 
 def _SW_SQL(c):
@@ -280,7 +290,8 @@ def _SW_SQL(c):
 
 def _lcs(ctes: str, prs: str) -> str:
     """Common table expressions ending in lcs(a, b, s): similarity of the text pairs of ``prs``."""
-    return f"""with recursive pr as (select r.reg_id as reg_id, p.id as id, p.name as a, {sql_norm('r.name')} as b from fx_registry r join fx_place p on p.county_id=r.county_id and p.id%40=r.reg_id%40),
+    return f"""with recursive pr as (select r.county_id as county_id, p.a as a, r.b as b, r.n*p.n as pairs from (select county_id, {sql_norm('name')} as b, count(*) as n from fx_registry group by 1,2) r
+  join (select county_id, name as a, count(*) as n from fx_place group by 1,2) p on p.county_id=r.county_id),
  u as (select distinct a, b from pr), {ctes}prs as (select distinct a, b from ({prs})),
  dp(a,b,i,r) as (select a,b,0, list_transform(range(0,length(b)+1), lambda x: cast(0 as bigint)) from prs union all
   select a,b,i+1, list_transform(range(1,length(b)+2), lambda k: list_max(list_slice(t,1,k))) from (select a,b,i, list_transform(range(0,length(b)+1), lambda j: case when j=0 then 0 else greatest(r[j+1], r[j]+case when substr(b,j,1)=substr(a,i+1,1) then 1 else 0 end) end) as t from dp where i<length(a))),
@@ -296,26 +307,26 @@ _TSET_OUT = """tset as (select ts.a as a, ts.b as b, case when both_<>'' and (oa
   join lcs x on x.a=ta and x.b=tb join lcs y on y.a=both_ and y.b=ta join lcs z on z.a=both_ and z.b=tb)"""
 _SIM_PARTIAL = _lcs("""v as (select a, b, case when length(a)<=length(b) then a else b end as sh, case when length(a)<=length(b) then b else a end as lo from u),
  win as (select a, b, sh, substr(lo, greatest(k,0)+1, least(k+length(sh), length(lo))-greatest(k,0)) as w from (select *, unnest(range(1-length(sh), length(lo))) as k from v)), """, "select sh as a, w as b from win") + \
-    ", best as (select win.a as a, win.b as b, max(s) as s from win join lcs on lcs.a=sh and lcs.b=w group by 1,2) select reg_id, id, round(s,4) as score from pr join best on pr.a=best.a and pr.b=best.b"
+    ", best as (select win.a as a, win.b as b, max(s) as s from win join lcs on lcs.a=sh and lcs.b=w group by 1,2) select county_id, pr.a as a, pr.b as b, pairs, round(s,4) as score from pr join best on pr.a=best.a and pr.b=best.b"
 _STEM_CTE = f"st as (select a, b, {sql_stems('a')} as sa, {sql_stems('b')} as sb from u), "
 _FILL = "(" + ",".join("'" + w + "'" for w in V.FILLER) + ")"
 _REAL = _lcs(_STEM_CTE + "wp as (select a, b, x, unnest(sb) as y from (select a, b, unnest(sa) as x, sb from st)), wl as (select * from wp where length(x)>=5 and length(y)>=5), ", "select x as a, y as b from wl") + \
     f""", cl as (select wl.a as a, wl.b as b, max(s) as s from wl join lcs on lcs.a=x and lcs.b=y group by 1,2)
- select reg_id, id, list_has_any(list_filter(sa, lambda w: w not in {_FILL}), list_filter(sb, lambda w: w not in {_FILL})) as shared, list_has_any(sa,sb) or coalesce(cl.s,0)>=85 as close from pr join st on pr.a=st.a and pr.b=st.b left join cl on pr.a=cl.a and pr.b=cl.b"""
+ select county_id, pr.a as a, pr.b as b, pairs, list_has_any(list_filter(sa, lambda w: w not in {_FILL}), list_filter(sb, lambda w: w not in {_FILL})) as shared, list_has_any(sa,sb) or coalesce(cl.s,0)>=85 as close from pr join st on pr.a=st.a and pr.b=st.b left join cl on pr.a=cl.a and pr.b=cl.b"""
 _JOIN = "replace({},' ','')"
 _NAME_SIM = _lcs(_STEM_CTE + _TSET, _TSET_PRS + f" union all select a, b from u union all select {_JOIN.format('a')}, {_JOIN.format('b')} from u union all select {_SW_SQL('a')}, {_SW_SQL('b')} from u") + f""", {_TSET_OUT},
  f as (select u.a as a, u.b as b, j.s as js, r.s as rs, o.s as os, t.s as tss, sa, sb, len(list_filter({_WORDS_OF.format('u.a')}, lambda x: list_contains(string_split(u.b,' '),x))) as nb, len({_WORDS_OF.format('u.a')}) as na, len({_WORDS_OF.format('u.b')}) as nn from u
   join lcs j on j.a={_JOIN.format('u.a')} and j.b={_JOIN.format('u.b')} join lcs r on r.a=u.a and r.b=u.b join lcs o on o.a={_SW_SQL('u.a')} and o.b={_SW_SQL('u.b')} join tset t on t.a=u.a and t.b=u.b join st on st.a=u.a and st.b=u.b),
  sc as (select a, b, case when js>=92 then 96 when not list_has_any(sa,sb) and rs<95 then 60 else greatest(case when nb<0.5*least(na,nn)+0.5 or nb<0.4*greatest(na,nn) then least(tss,72) else tss end, rs, os) end as s from f)
- select reg_id, id, round(s,4) as score from pr join sc on pr.a=sc.a and pr.b=sc.b"""
+ select county_id, pr.a as a, pr.b as b, pairs, round(s,4) as score from pr join sc on pr.a=sc.a and pr.b=sc.b"""
 
 
 def _scored(spark, sf, values, prepare=None):
-    """Scores of all pairs, computed once per distinct pair of names."""
-    return scale.on_distinct(_pair_rows(spark, sf), ["a", "b"], values, prepare).select("reg_id", "id", *values)
+    """Scores of all pairs, computed once per distinct pair of names; a county's pairs grow with its names, not with its rows."""
+    return scale.on_distinct(_pair_rows(spark, sf), ["a", "b"], values, prepare).select("county_id", "a", "b", "pairs", *values)
 
 
-@C.add("sim_ratio", _PAIRS.format(a="a", b="b") + " select reg_id, id, round(s,6) as score from pr join lcs using (a,b)", ["fx_registry", "fx_place"])
+@C.add("sim_ratio", _PAIRS.format(a="a", b="b") + " select county_id, pr.a as a, pr.b as b, pairs, round(s,6) as score from pr join lcs using (a,b)", ["fx_registry", "fx_place"])
 def sim_ratio(spark, sf):
     return _scored(spark, sf, {"score": F.round(S.sim_ratio("a", "b"), 6)})
 
@@ -323,12 +334,12 @@ def sim_ratio(spark, sf):
 _SW = "array_to_string(list_sort(string_split({},' ')),' ')"
 
 
-@C.add("sim_token_sort", _PAIRS.format(a=_SW.format("a"), b=_SW.format("b")) + f" select reg_id, id, round(s,6) as score from pr join lcs on lcs.a={_SW.format('pr.a')} and lcs.b={_SW.format('pr.b')}", ["fx_registry", "fx_place"])
+@C.add("sim_token_sort", _PAIRS.format(a=_SW.format("a"), b=_SW.format("b")) + f" select county_id, pr.a as a, pr.b as b, pairs, round(s,6) as score from pr join lcs on lcs.a={_SW.format('pr.a')} and lcs.b={_SW.format('pr.b')}", ["fx_registry", "fx_place"])
 def sim_token_sort(spark, sf):
     return _scored(spark, sf, {"score": F.round(S.sim_token_sort("a", "b"), 6)})
 
 
-@C.add("sim_token_set", _lcs(_TSET, _TSET_PRS) + ", " + _TSET_OUT + " select reg_id, id, round(s,4) as score from pr join tset on pr.a=tset.a and pr.b=tset.b", ["fx_registry", "fx_place"])
+@C.add("sim_token_set", _lcs(_TSET, _TSET_PRS) + ", " + _TSET_OUT + " select county_id, pr.a as a, pr.b as b, pairs, round(s,4) as score from pr join tset on pr.a=tset.a and pr.b=tset.b", ["fx_registry", "fx_place"])
 def sim_token_set(spark, sf):
     return _scored(spark, sf, {"score": F.round(S.sim_token_set("a", "b"), 4)})
 
@@ -357,7 +368,7 @@ def real_share(spark, sf):
     return _scored(spark, sf, {"shared": S.real_share("sa", "sb"), "close": S.close_words("sa", "sb")}, _STEMS())
 
 
-@C.add("close_words", _REAL.replace(" select reg_id, id, list_has_any(", " select reg_id, id, close from (select reg_id, id, list_has_any(") + ")", ["fx_registry", "fx_place"])
+@C.add("close_words", _REAL.replace(" select county_id, pr.a as a,", " select county_id, a, b, pairs, close from (select county_id, pr.a as a,") + ")", ["fx_registry", "fx_place"])
 def close_words(spark, sf):
     return _scored(spark, sf, {"close": S.close_words("sa", "sb")}, _STEMS())
 
