@@ -111,14 +111,14 @@ def test_contamination_equals_brute_force(spark, docs, rows, none):
     words = [ALNUM_WORD.findall(low(r[1])) for r in rows]
     of = lambda i, a, b: b" ".join(words[i][a:b]).decode()
     full = [i for i, w in enumerate(words) if len(w) > 60]
-    items = [(10, of(full[0], 5, 30)), (9, of(full[0], 5, 30).upper() + "!"), (11, of(full[1], 0, 10)), (12, "one two"), (13, "one"), (14, ""), (15, None), (16, "zz yy xx ww vv"), (17, of(full[2], 3, 40)), (None, "one")]
+    items = [(10, of(full[0], 5, 30)), (9, of(full[0], 5, 30).upper() + "!"), (11, of(full[1], 0, 10)), (12, "one two"), (13, "one"), (14, ""), (15, None), (16, "zz yy xx ww vv"), (17, of(full[2], 3, 40)), (None, "one"), (None, of(full[3], 2, 30))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = collections.Counter(map(tuple, decontaminate.contamination_digest(docs, bench).collect()))
     windows = collections.defaultdict(set)
     for i, t in items:
         w = ALNUM_WORD.findall(low(t))
-        for a in range(max(1, len(w) - 9) if w and i is not None else 0):
-            windows[tuple(w[a:a + 10])].add(str(i))
+        for a in range(max(1, len(w) - 9) if w else 0):
+            windows[tuple(w[a:a + 10])] |= {str(i)} if i is not None else set()               # an item without id marks words but has no name
     want = collections.Counter()
     for r, w in zip(rows, words):
         hit, found = set(), set()

@@ -115,7 +115,7 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle
     same = F.slice("hit.around", F.greatest(start - F.col("hit.from") + 1, F.lit(1)), F.size("words")) == F.col("words")
     joined = rows.join(prefix, "token", "left").withColumn("ok", F.coalesce(fits & same, F.lit(False))).filter("i = 0 or ok")
     out = joined.select("doc_id", "h", "n_words", F.when(F.col("ok"), start).alias("at"), F.when(F.col("ok"), F.size("words")).alias("len"), F.when(F.col("ok"), F.col("win")).alias("win"))
-    return stage(out, "occurrences"), wins.select("win", "item").distinct()
+    return stage(out, "occurrences"), wins.filter("item is not null").select("win", "item").distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
@@ -123,8 +123,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     items (sorted texts of item ids).
 
     Null texts have no words; items without words have no window; a document whose row is repeated is counted once and returned as often as it
-    stands; empty tables give no hits. Null item ids take no part."""
-    found, of_item = occurrences(docs, items.filter("item_id is not null"), window, shingle, bits)
+    stands; empty tables give no hits. Words inside a window of an item without id are hit like any others; the item has no id to list and is not counted in ``items``."""
+    found, of_item = occurrences(docs, items, window, shingle, bits)
     key = ["doc_id", "h"]
     base = found.filter("win is null").groupBy(*key).agg(F.max("n_words").alias("n_words"), F.count("*").alias("copies"))
     hits = found.filter("win is not null").select(*key, "at", "len", "win").distinct()
@@ -134,7 +134,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     runs = ends.withColumn("_run", F.sum(fresh.cast("int")).over(line)).groupBy(*key, "_run").agg(F.min("at").alias("at"), F.max("end").alias("end"))
     spans = runs.groupBy(*key).agg(F.sum(F.col("end") - F.col("at")).cast("long").alias("n_hit"), F.array_sort(F.collect_list(F.struct("at", "end"))).alias("spans"))
     named = hits.select(*key, "win").distinct().join(of_item, "win").groupBy(*key).agg(F.array_sort(F.collect_set("item")).alias("items"))
-    tell = spans.join(named, (spans["doc_id"].eqNullSafe(named["doc_id"])) & (spans["h"] == named["h"])).select(
+    tell = spans.join(named, (spans["doc_id"].eqNullSafe(named["doc_id"])) & (spans["h"] == named["h"]), "left").select(
         spans["doc_id"].alias("_d"), spans["h"].alias("_h"), "n_hit", "spans", "items")
     out = base.join(tell, base["doc_id"].eqNullSafe(F.col("_d")) & (base["h"] == F.col("_h")), "left")
     out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
@@ -148,8 +148,8 @@ def contamination_digest(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Documents without any window of an item; columns as they are."""
-    found, _ = occurrences(docs, items.filter("item_id is not null"))
+    """Documents without any window of an item, with or without id; columns as they are. Null texts have no words and stay."""
+    found, _ = occurrences(docs, items)
     bad = found.filter("win is not null").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).distinct()
     keyed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_text"))          # columns of any name
     return keyed.join(bad, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_text") == F.col("_h")), "left_anti").select("_row.*")
