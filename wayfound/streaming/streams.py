@@ -15,9 +15,11 @@ from ..operators.stats import mention_counts
 
 
 def read_stream(spark: SparkSession, folder: str, file: str, *, files_per_trigger: int | None = None) -> DataFrame:
-    """Parquet files of a folder as a stream, with the schema of the files already there."""
-    r = spark.readStream.schema(spark.read.parquet(f"{folder}/{file}").schema).option("pathGlobFilter", file)
-    return (r.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else r).parquet(folder)
+    """Parquet data of a folder as a stream, with the schema of what is already there: one file, the files that the pattern ``file`` finds, or a table that is itself a
+    folder of files."""
+    r = spark.readStream.schema(spark.read.parquet(f"{folder}/{file}").schema)
+    pattern = file if any(c in file for c in "*?[{") else f"[{file[0]}]{file[1:]}"          # a pattern finds a file and a folder alike
+    return (r.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else r).parquet(f"{folder}/{pattern}")
 
 
 def run_to_table(stream: DataFrame, table: str, checkpoint: str, *, mode: str = "update") -> None:
