@@ -252,22 +252,29 @@ def curated_match(curated: DataFrame, places: DataFrame, *, addr_score=60.0, tow
     street, town, zip); towns are comparable keys."""
     c = curated.withColumn("ck", F.explode("names")).filter(F.col("ck") != "")
     pc = places.select(*[F.col(x).alias("p_" + x) for x in ("pid", "k", "num", "nums", "street", "town", "zip")])
-    a = c.withColumn("no", F.explode("nums")).withColumn("core", core_street("street"))
-    b = pc.withColumn("p_no", F.explode("p_nums")).withColumn("p_core", core_street("p_street"))
+    # equal names at one address meet as one row on both sides; the least place id stands for its row
+    asked = ["ck", "no", "street", "town", "zip"]
+    a = c.withColumn("no", F.explode("nums")).select("cid", *asked).distinct()
+    a, a_rows = a.select(*asked).distinct().withColumn("core", core_street("street")), a
+    b = pc.withColumn("p_no", F.explode("p_nums")).groupBy("p_k", "p_no", "p_street", "p_town", "p_zip").agg(F.min("p_pid").alias("p_pid")).withColumn("p_core", core_street("p_street"))
     here = (F.coalesce("town", F.lit("")) == "") & (F.coalesce("zip", F.lit("")) == "") | (F.col("town") == F.col("p_town")) | (F.col("zip") == F.col("p_zip"))
     t1 = a.join(b, (F.col("no") == F.col("p_no")) & (F.col("core") == F.col("p_core"))).filter(here & street_compat("street", "p_street"))
-    t1 = t1.withColumn("score", sim_token_set("ck", "p_k")).filter(F.col("score") >= addr_score) \
-        .groupBy("cid", F.col("p_pid").alias("pid")).agg(F.max("score").alias("score"))
+    t1 = on_distinct(t1, ["ck", "p_k"], {"score": sim_token_set("ck", "p_k")}).filter(F.col("score") >= addr_score)
+    t1 = top_rows(t1, asked, [F.desc("score"), F.asc("p_pid")]).select(*[F.col(x).alias("_" + x) for x in asked], F.col("p_pid").alias("pid"), "score")
+    t1 = a_rows.join(t1, [F.col(x).eqNullSafe(F.col("_" + x)) for x in asked])
     t1 = top_rows(t1, ["cid"], [F.desc("score"), F.asc("pid")]).select("cid", "pid", F.lit(1).alias("tier"))
     free = c.filter(~F.coalesce("chain", F.lit(False))).join(t1.select("cid"), "cid", "left_anti")
     near_here = near_text_pairs(free, places.withColumnRenamed("k", "pk"), "ck", "pk", town_score, block=["town"])
     near_all = near_text_pairs(free, places.withColumnRenamed("k", "pk"), "ck", "pk", state_score)
+    # of the places of one name only the first and the last id and the first one's address count
+    named = lambda keys: pc.groupBy(*keys).agg(F.min("p_pid").alias("p_pid"), F.max("p_pid").alias("p_max"), F.min_by(F.struct("p_num", "p_street"), "p_pid").alias("_at")) \
+        .select(*keys, "p_pid", "p_max", "_at.*")
     h2 = free.join(near_here.select(F.col("town").alias("_t"), "l_text", "r_text"), (F.col("town") == F.col("_t")) & (F.col("ck") == F.col("l_text"))) \
-        .join(pc, (F.col("p_town") == F.col("_t")) & (F.col("p_k") == F.col("r_text"))).withColumn("tier", F.lit(2))
-    h3 = free.join(near_all.select("l_text", "r_text"), F.col("ck") == F.col("l_text")).join(pc, F.col("p_k") == F.col("r_text")).withColumn("tier", F.lit(3))
-    cols = ["cid", "tier", "p_pid", "num", "street", "p_num", "p_street"]
+        .join(named(["p_town", "p_k"]), (F.col("p_town") == F.col("_t")) & (F.col("p_k") == F.col("r_text"))).withColumn("tier", F.lit(2))
+    h3 = free.join(near_all.select("l_text", "r_text"), F.col("ck") == F.col("l_text")).join(named(["p_k"]), F.col("p_k") == F.col("r_text")).withColumn("tier", F.lit(3))
+    cols = ["cid", "tier", "p_pid", "p_max", "num", "street", "p_num", "p_street"]
     hits = h2.select(*cols).unionByName(h3.select(*cols)).groupBy("cid", "tier").agg(
-        F.min("p_pid").alias("pid"), F.max("p_pid").alias("pmax"), F.min_by(F.struct("num", "street", "p_num", "p_street"), "p_pid").alias("at"))
+        F.min("p_pid").alias("pid"), F.max("p_max").alias("pmax"), F.min_by(F.struct("num", "street", "p_num", "p_street"), "p_pid").alias("at"))
     first = top_rows(hits, ["cid"], [F.asc("tier")]).filter(F.col("pid") == F.col("pmax"))
     known = F.col("at.num").isNotNull() & F.col("at.p_num").isNotNull() & F.col("at.street").isNotNull() & F.col("at.p_street").isNotNull()
     gap = F.abs(F.col("at.num").try_cast("bigint") - F.col("at.p_num").try_cast("bigint"))
@@ -280,17 +287,25 @@ def hand_checked_twin(unlicensed: DataFrame, licensed: DataFrame, *, near_m=150.
     business by name; the closest name wins. Both carry (id, name, k, num, street, county, lat, lon)."""
     l, r = (d.select("id", "name", "k", "num", "street", "county", "lat", "lon") for d in (unlicensed, licensed))
     pre = lambda d, p: d.select(*[F.col(c).alias(p + c) for c in d.columns])
-    here = F.col("l_county").isNull() | (F.col("l_county") == F.col("r_county"))
-    at = pre(l, "l_").join(pre(r, "r_"), (F.col("l_num") == F.col("r_num")) & (F.col("l_street") == F.col("r_street")) & here)
-    near = proximity_join(l, r, radius_m=near_m).drop("dist_m").filter(here)
-    cand = at.unionByName(near)
-    gap = F.abs(F.col("l_num").try_cast("bigint") - F.col("r_num").try_cast("bigint"))
-    cand = cand.filter(~F.coalesce(street_compat("l_street", "r_street") & (gap > max_number_gap), F.lit(False)))
     tw = town_words if town_words is not None else F.array().cast("array<string>")
-    cand = on_distinct(cand, ["l_name", "r_name"], {"same": same_business("l_name", "r_name", F.col("_tw"))}, prepare={"_tw": tw}).filter("same")
-    cand = on_distinct(cand, ["l_k", "r_k"], {"s": sim_ratio("l_k", "r_k")})
-    best = cand.groupBy(F.col("l_id").alias("id")).agg(F.min(F.struct((-F.col("s")).alias("s"), F.col("r_id").alias("twin"))).alias("m"))
-    return best.select("id", "m.twin")
+
+    def closest(cand, by):
+        gap = F.abs(F.col("l_num").try_cast("bigint") - F.col("r_num").try_cast("bigint"))
+        cand = cand.filter(~F.coalesce(street_compat("l_street", "r_street") & (gap > max_number_gap), F.lit(False)))
+        cand = on_distinct(cand, ["l_name", "r_name"], {"same": same_business("l_name", "r_name", F.col("_tw"))}, prepare={"_tw": tw}).filter("same")
+        cand = on_distinct(cand, ["l_k", "r_k"], {"s": sim_ratio("l_k", "r_k")})
+        return cand.groupBy(*by).agg(F.min(F.struct((-F.col("s")).alias("s"), F.col("r_id").alias("twin"))).alias("m"))
+    # at an address rows of one name meet as one row on both sides; the least id stands for the licensed ones
+    attrs = ["name", "k", "num", "street", "county"]
+    la = pre(l.select(*attrs).distinct(), "l_")
+    ra = pre(r.groupBy(*attrs).agg(F.min(F.struct("id")).alias("m")).select(*attrs, "m.id"), "r_")
+    same = (F.col("l_num") == F.col("r_num")) & (F.col("l_street") == F.col("r_street"))
+    at = la.join(ra, same & (F.col("l_county") == F.col("r_county"))).unionByName(la.filter(F.col("l_county").isNull()).join(ra, same))
+    at = closest(at, ["l_" + x for x in attrs])
+    at = l.join(at, [F.col(x).eqNullSafe(F.col("l_" + x)) for x in attrs]).select("id", "m")
+    near = proximity_join(l, r, radius_m=near_m).filter(F.col("l_county").isNull() | (F.col("l_county") == F.col("r_county")))
+    near = closest(near, ["l_id"]).select(F.col("l_id").alias("id"), "m")
+    return at.unionByName(near).groupBy("id").agg(F.min("m").alias("m")).select("id", "m.twin")
 
 
 def point_by_name_town(unplaced: DataFrame, places: DataFrame, *, min_ratio=92.0, max_spread=0.002) -> DataFrame:
