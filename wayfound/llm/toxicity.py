@@ -9,11 +9,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import as_bytes, id_remainder
+from .common import as_bytes, id_remainder, stage
 from .words import NOT_ALNUM, Words, prefix_sums, run_hash, split_binary, groups_of, words_of
 
 BUCKETS, DIM, FILTERS, WIDTHS, STEMS = 1 << 16, 8, 8, (1, 2, 3), (4, 5, 6)
-SAMPLE, LONGEST, EPOCHS, BATCH = 4000, 1 << 15, 3, 64
+EPOCHS, BATCH, WORDS = 3, 64, 1 << 17
+EDGE, BINS = 64.0, 1 << 15          # bins of logits
 # fixed values: frequent function words by language
 FUNCTION_WORDS = {"en": "the and of to in is that for with this was are", "de": "der die das und ist nicht ein eine den mit von zu", "fr": "le les des et est une dans pour que sur du au",
                   "es": "el los las del y en con por una no se que"}
@@ -99,16 +100,16 @@ def logits(net: Network, buckets: np.ndarray, first: np.ndarray) -> np.ndarray:
     return pooled(net, embed(net, buckets), first) @ net.out + net.bias
 
 
-def train(docs: list[np.ndarray], y: np.ndarray, language: np.ndarray, seed: int = 7, epochs: int = EPOCHS) -> Network:
-    """Fits a network to word buckets per document. The first embedding dimension starts as the log odds of a bucket's presence in toxic documents, the rest small and
-    random; then Adam steps on the logistic loss. One row in four is kept aside to set the thresholds."""
+def blank() -> Network:
+    return Network(np.zeros((BUCKETS, DIM), np.float32), [np.zeros((w, DIM, FILTERS), np.float32) for w in WIDTHS], [np.zeros(FILTERS, np.float32) for _ in WIDTHS],
+                   np.zeros(len(WIDTHS) * FILTERS, np.float32), -1.0, np.zeros(len(LANGUAGES)), 1.0)
+
+
+def start(seen: np.ndarray, n: np.ndarray, seed: int = 7) -> Network:
+    """A network before its first step, from the documents of each class that hold a bucket (``seen``) and all of them (``n``). The first embedding dimension starts as the
+    log odds of a bucket's presence in toxic documents, the rest small and random."""
     rng = np.random.default_rng(seed)
-    seen = np.zeros((2, BUCKETS))
-    aside = np.arange(len(docs)) % 4 == 3
-    for b, t, a in zip(docs, y, aside):
-        if not a:
-            seen[int(t), np.unique(b)] += 1
-    n = np.maximum(np.bincount(y[~aside].astype(int), minlength=2), 1)[:, None]
+    n = np.maximum(n, 1)[:, None]
     odds = np.log((seen[1] + 0.2) / (n[1] + 0.4)) - np.log((seen[0] + 0.2) / (n[0] + 0.4))
     odds = np.where(seen.sum(axis=0) >= 2, np.clip(odds, -3, 6), 0.0)
     table = (rng.normal(0, 0.05, (BUCKETS, DIM))).astype(np.float32)
@@ -116,72 +117,77 @@ def train(docs: list[np.ndarray], y: np.ndarray, language: np.ndarray, seed: int
     kernels = [rng.normal(0, 0.2, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
     for k in kernels:
         k[0, 0, :FILTERS // 2] = np.linspace(0.5, 1.5, FILTERS // 2)
-    net = Network(table, kernels, [np.zeros(FILTERS, np.float32) for _ in WIDTHS], np.full(len(WIDTHS) * FILTERS, 0.2, np.float32), -1.0, np.zeros(len(LANGUAGES)), 1.0)
+    return Network(table, kernels, [np.zeros(FILTERS, np.float32) for _ in WIDTHS], np.full(len(WIDTHS) * FILTERS, 0.2, np.float32), -1.0, np.zeros(len(LANGUAGES)), 1.0)
+
+
+def parameters(net: Network) -> np.ndarray:
+    """All that training moves, as one vector."""
+    return np.concatenate([net.table.ravel(), *[k.ravel() for k in net.kernels], *[b.ravel() for b in net.biases], net.out.ravel(), [net.bias]]).astype(np.float32)
+
+
+def with_parameters(net: Network, flat: np.ndarray) -> Network:
+    at, out = 0, []
+    for p in [net.table, *net.kernels, *net.biases, net.out]:
+        out.append(flat[at:at + p.size].reshape(p.shape).astype(np.float32))
+        at += p.size
+    return net._replace(table=out[0], kernels=out[1:1 + len(WIDTHS)], biases=out[1 + len(WIDTHS):1 + 2 * len(WIDTHS)], out=out[-1], bias=float(flat[at]))
+
+
+def train(net: Network, batches, share: float) -> Network:
+    """Adam steps on the logistic loss over batches (word buckets per document, labels); the classes weigh alike, ``share`` being that of class 1 in all rows."""
+    net = with_parameters(net, parameters(net))                 # its own copy
     params = [net.table, *net.kernels, *net.biases, net.out]
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    bias, steps = np.float32(-1.0), 0
-    mine = np.flatnonzero(~aside)
-    weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3))
-    for _ in range(epochs):
-        for at in np.array_split(rng.permutation(mine), max(1, len(mine) // BATCH)):
-            if not at.size:
-                continue
-            steps += 1
-            buckets = np.concatenate([docs[i] for i in at])
-            first = np.concatenate([[0], np.cumsum([len(docs[i]) for i in at])])
-            net = net._replace(bias=bias)
-            e = embed(net, buckets)
-            best, places = pooled(net, e, first, where=True)
-            z = best @ net.out + bias
-            g = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[at]) * weight[at] / len(at)).astype(np.float32)
-            gout = best.T @ g
-            gbest = g[:, None] * net.out[None, :]
-            gk, gb, ge = [np.zeros_like(k) for k in net.kernels], [], {}
-            rows_at, rows_g = [], []
-            for wi, (width, kernel, place) in enumerate(zip(WIDTHS, net.kernels, places)):
-                r, f = np.nonzero(place >= 0)
-                p, gv = place[r, f], gbest[r, wi * FILTERS + f]
-                gb.append(np.bincount(f, weights=gv, minlength=FILTERS).astype(np.float32))
-                for j in range(width):
-                    ok = p + j < first[r + 1]
-                    np.add.at(gk[wi].transpose(0, 2, 1)[j], f[ok], gv[ok, None] * e[p[ok] + j])
-                    rows_at.append(p[ok] + j)
-                    rows_g.append(gv[ok, None] * kernel[j].T[f[ok]])
-            gt_at = buckets[np.concatenate(rows_at)].ravel()
-            gt = np.repeat(np.concatenate(rows_g), buckets.shape[1], axis=0)
-            touched, inverse = np.unique(gt_at, return_inverse=True)
-            gsum = np.zeros((touched.size, DIM), np.float32)
-            np.add.at(gsum, inverse, gt)
-            lr = 0.01
-            for i, (p, grad) in enumerate(zip(params, [gsum, *gk, *gb, gout])):
-                m, v = state[i]
-                where = touched if i == 0 else slice(None)
-                m[where] = 0.9 * m[where] + 0.1 * grad
-                v[where] = 0.99 * v[where] + 0.01 * grad * grad
-                p[where] -= lr * m[where] / (np.sqrt(v[where]) + 1e-6)
-            bias -= np.float32(lr * g.sum() * 4)
-    net = net._replace(bias=float(bias))
-    return calibrate(net, docs, y, language, aside)
-
-
-def calibrate(net: Network, docs, y, language, aside) -> Network:
-    """Per language the logit that parts the rows set aside with the fewest balanced errors; with fewer than 20 rows of a class, that of all languages."""
-    at = np.flatnonzero(aside)
-    if not at.size:
-        return net
-    z = np.concatenate([logits(net, np.concatenate([docs[i] for i in part]), np.concatenate([[0], np.cumsum([len(docs[i]) for i in part])])) for part in np.array_split(at, max(1, at.size // 256))])
-    t, lang = y[at], language[at]
-
-    def cut(z, t):
-        order = np.argsort(z)
-        zs, ts = z[order], t[order]
-        wrong = np.concatenate([[0], np.cumsum(ts == 1)]) / max((ts == 1).sum(), 1) + ((ts == 0).sum() - np.concatenate([[0], np.cumsum(ts == 0)])) / max((ts == 0).sum(), 1)
+    bias = np.float32(net.bias)
+    for docs, y in batches:
+        weight = np.where(y == 1, 0.5 / max(share, 1e-3), 0.5 / max(1 - share, 1e-3))
+        buckets = np.concatenate(docs)
+        first = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+        net = net._replace(bias=bias)
+        e = embed(net, buckets)
+        best, places = pooled(net, e, first, where=True)
+        z = best @ net.out + bias
+        g = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight / len(y)).astype(np.float32)
+        gout = best.T @ g
+        gbest = g[:, None] * net.out[None, :]
+        gk, gb = [np.zeros_like(k) for k in net.kernels], []
+        rows_at, rows_g = [], []
+        for wi, (width, kernel, place) in enumerate(zip(WIDTHS, net.kernels, places)):
+            r, f = np.nonzero(place >= 0)
+            p, gv = place[r, f], gbest[r, wi * FILTERS + f]
+            gb.append(np.bincount(f, weights=gv, minlength=FILTERS).astype(np.float32))
+            for j in range(width):
+                ok = p + j < first[r + 1]
+                np.add.at(gk[wi].transpose(0, 2, 1)[j], f[ok], gv[ok, None] * e[p[ok] + j])
+                rows_at.append(p[ok] + j)
+                rows_g.append(gv[ok, None] * kernel[j].T[f[ok]])
+        gt_at = buckets[np.concatenate(rows_at)].ravel()
+        gt = np.repeat(np.concatenate(rows_g), buckets.shape[1], axis=0)
+        touched, inverse = np.unique(gt_at, return_inverse=True)
+        gsum = np.zeros((touched.size, DIM), np.float32)
+        np.add.at(gsum, inverse, gt)
+        lr = 0.01
+        for i, (p, grad) in enumerate(zip(params, [gsum, *gk, *gb, gout])):
+            m, v = state[i]
+            where = touched if i == 0 else slice(None)
+            m[where] = 0.9 * m[where] + 0.1 * grad
+            v[where] = 0.99 * v[where] + 0.01 * grad * grad
+            p[where] -= lr * m[where] / (np.sqrt(v[where]) + 1e-6)
+        bias -= np.float32(lr * g.sum() * 4)
+    return net._replace(bias=float(bias))
+
+
+def calibrate(net: Network, counted: np.ndarray) -> Network:
+    """Per language the logit that parts the rows set aside with the fewest balanced errors; with fewer than 20 rows of a class, that of all languages. ``counted`` holds
+    their numbers by language, class and bin of the logit."""
+    def cut(c):
+        n = np.maximum(c.sum(axis=1), 1)
+        wrong = np.concatenate([[0], np.cumsum(c[1])]) / n[1] + (c[0].sum() - np.concatenate([[0], np.cumsum(c[0])])) / n[0]
         best = np.flatnonzero(wrong <= wrong.min() + 1e-9)
-        edge = np.concatenate([[zs[0] - 1], (zs[1:] + zs[:-1]) / 2, [zs[-1] + 1]])
-        return float(edge[best[0]] + edge[best[-1]]) / 2
-    enough = lambda m: (t[m] == 1).sum() >= 20 and (t[m] == 0).sum() >= 20
-    overall = cut(z, t) if (t == 1).any() and (t == 0).any() else 0.0
-    return net._replace(cuts=np.array([cut(z[lang == k], t[lang == k]) if enough(lang == k) else overall for k in range(len(LANGUAGES))]))
+        return float(best[0] + best[-1]) / BINS * EDGE - EDGE
+    every = counted.sum(axis=0)
+    overall = cut(every) if every[0].any() and every[1].any() else 0.0
+    return net._replace(cuts=np.array([cut(c) if (c.sum(axis=1) >= 20).all() else overall for c in counted]))
 
 
 def score_words(net: Network, w: Words) -> np.ndarray:
@@ -189,38 +195,123 @@ def score_words(net: Network, w: Words) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z * net.slope, -35, 35)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Network:
-    """Learns from at most ``sample`` labelled rows of each class with at most ``longest`` bytes of text (the rows of least hash); everything else covers all rows."""
-    told = labels.filter(F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("label"))
-    # ids and sizes first: the texts of the sample alone travel
-    sizes = docs.select("doc_id", F.octet_length(F.coalesce(F.col("text"), F.lit(""))).alias("_n")).filter(F.col("_n") <= longest)
-    known = sizes.join(told.distinct(), F.col("doc_id") == F.col("_id")).select("_id", "label").distinct()
-    picked = [known.filter(F.col("label") == k).orderBy(F.xxhash64("_id"), "_id").limit(sample) for k in (0, 1)]
-    chosen = picked[0].unionByName(picked[1])
-    rows = docs.filter(F.octet_length(F.coalesce(F.col("text"), F.lit(""))) <= longest).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).groupBy("doc_id", "label").agg(F.min(as_bytes(F.col("text"))).alias("text"))          # an id that repeats teaches with one of its texts
-    table = rows.toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")]).combine_chunks()
-    y = table.column("label").to_numpy().astype(float)
-    if not len(y) or len(set(y.tolist())) < 2:
-        return Network(np.zeros((BUCKETS, DIM), np.float32), [np.zeros((w, DIM, FILTERS), np.float32) for w in WIDTHS], [np.zeros(FILTERS, np.float32) for _ in WIDTHS], np.zeros(len(WIDTHS) * FILTERS, np.float32),
-                       1.0 if len(y) and y.mean() > 0.5 else -1.0, np.zeros(len(LANGUAGES)), 1.0)
-    words, language = [], []
-    for chunk in table.column("text").chunks:
-        raw, off = split_binary(chunk)
-        for i, j in groups_of(off):
-            w = words_of(raw[off[i]:off[j]], off[i:j + 1] - off[i], NOT_ALNUM)
-            b = word_buckets(w).astype(np.int32)
-            words += [b[w.first[r]:w.first[r + 1]] for r in range(j - i)]
-            language.append(language_of(w))
-    return train(words, y, np.concatenate(language))
-
-
-def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, decide: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+def labelled_words(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(label, language, aside, words binary) of every labelled row: buckets of the whole text, 16 bits each. One row in four is kept aside to set the thresholds. An id that
+    repeats teaches with one of its texts."""
+    told = labels.filter(F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("label")).distinct()
+    rows = docs.join(told, F.col("doc_id") == F.col("_id")).groupBy("doc_id", "label").agg(F.min(as_bytes(F.col("text"))).alias("text"))
+    rows = rows.select("label", F.xxhash64("doc_id").alias("h"), "text").sortWithinPartitions("h").select("label", (F.pmod("h", F.lit(4)) == 3).alias("aside"), "text")
+
+    def run(batches):
+        for b in batches:
+            raw, off = split_binary(b.column(2))
+            for i, j in groups_of(off):
+                w = words_of(raw[off[i]:off[j]], off[i:j + 1] - off[i], NOT_ALNUM)
+                buckets = word_buckets(w).astype(np.uint16)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(language_of(w).astype(np.int32)),
+                                                  pa.array([buckets[w.first[r]:w.first[r + 1]].tobytes() for r in range(j - i)], pa.binary())], names=["label", "aside", "language", "words"])
+    return rows.mapInArrow(run, "label int, aside boolean, language int, words binary")
+
+
+def _buckets(words) -> np.ndarray:
+    return np.frombuffer(words.as_py(), np.uint16).reshape(-1, 1 + len(STEMS)).astype(np.int32)
+
+
+def _groups(batches):
+    """Documents and labels, at most BATCH documents and about WORDS words at a time."""
+    docs, y, n = [], [], 0
+    for b in batches:
+        for label, words in zip(b.column("label").to_pylist(), b.column("words")):
+            docs.append(_buckets(words))
+            y.append(float(label))
+            n += len(docs[-1])
+            if len(docs) == BATCH or n >= WORDS:
+                yield docs, np.array(y)
+                docs, y, n = [], [], 0
+    if docs:
+        yield docs, np.array(y)
+
+
+def _presence(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Documents of each class that hold a bucket, and all of each class; at most two numbers a bucket reach the driver."""
+    def run(batches):
+        seen = np.zeros((2, BUCKETS + 1), np.int64)
+        for docs, y in _groups(batches):
+            for d, t in zip(docs, y):
+                seen[int(t), np.unique(d)] += 1
+                seen[int(t), BUCKETS] += 1
+        k, at = np.nonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(seen[k, at])], names=["k", "at", "n"])
+    found = rows.select("label", "words").mapInArrow(run, "k int, at int, n long").groupBy("k", "at").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros((2, BUCKETS + 1))
+    seen[found.column("k").to_numpy(), found.column("at").to_numpy()] = found.column("n").to_numpy()
+    return seen[:, :BUCKETS], seen[:, BUCKETS]
+
+
+def _epoch(rows: DataFrame, net: Network, share: float) -> Network:
+    """Every task takes steps over its rows from the same network; the results are averaged by rows, summed by Spark in pieces: one network reaches the driver."""
+    sent = rows.sparkSession.sparkContext.broadcast(net)
+    piece = 1 << 12
+
+    def run(batches):
+        n = 0
+
+        def counted():
+            nonlocal n
+            for docs, y in _groups(batches):
+                n += len(y)
+                yield docs, y
+        flat = parameters(train(sent.value, counted(), share))
+        if n:
+            flat = flat.astype(float) * n
+            at = range(0, flat.size, piece)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(at), dtype=np.int32)), pa.array(np.full(len(at), n)), pa.array([flat[i:i + piece] for i in at], pa.list_(pa.float64()))], names=["at", "n", "v"])
+
+    def summed(key, parts):
+        v = sum(x.values.to_numpy() for x in parts.column("v")) / sum(parts.column("n").to_pylist())
+        return pa.table({"at": pa.array([key[0].as_py()], pa.int32()), "v": pa.array([v], pa.list_(pa.float64()))})
+    parts = rows.select("label", "words").mapInArrow(run, "at int, n long, v array<double>").groupBy("at").applyInArrow(summed, "at int, v array<double>").toArrow().sort_by("at")
+    return with_parameters(net, np.concatenate([x.values.to_numpy() for x in parts.column("v")]))
+
+
+def _cuts(rows: DataFrame, net: Network) -> Network:
+    sent = rows.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches):
+        for b in batches:
+            for some in range(0, b.num_rows, BATCH):
+                part = b.slice(some, BATCH)
+                docs = [_buckets(w) for w in part.column("words")]
+                z = logits(sent.value, np.concatenate(docs), np.concatenate([[0], np.cumsum([len(d) for d in docs])]))
+                at = np.clip(((z + EDGE) / (2 * EDGE) * BINS).astype(int), 0, BINS - 1)
+                yield pa.RecordBatch.from_arrays([part.column("language"), part.column("label"), pa.array(at.astype(np.int32))], names=["language", "label", "at"])
+    found = rows.select("language", "label", "words").mapInArrow(run, "language int, label int, at int").groupBy("language", "label", "at").agg(F.count("*").alias("n")).toArrow()
+    counted = np.zeros((len(LANGUAGES), 2, BINS))
+    counted[tuple(found.column(c).to_numpy() for c in ("language", "label", "at"))] = found.column("n").to_numpy()
+    return calibrate(net, counted)
+
+
+def fit(docs: DataFrame, labels: DataFrame, epochs: int = EPOCHS) -> Network:
+    """Learns from the whole texts of all labelled rows: counts, epochs and thresholds are passes of tasks over them, and what reaches the driver has a fixed size."""
+    rows = stage(labelled_words(docs, labels), "words")
+    seen, n = _presence(rows.filter("not aside"))
+    every = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(every) < 2:
+        return blank()._replace(bias=1.0 if every.get(1) else -1.0)
+    net = start(seen, n)
+    for _ in range(epochs):
+        if n.sum():
+            net = _epoch(rows.filter("not aside"), net, every[1] / (every[0] + every[1]))
+    return _cuts(rows.filter("aside"), net)
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, decide: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted for every row; learns from rows of ``labels`` (doc_id, toxic 0 or 1) that are not held out.
 
     Whole texts are scored; null and empty texts get the score of no words at all. Null or other labels are left out; ids that repeat get one row per document
     row. Without labels of both classes all scores are alike."""
     held = F.coalesce(held_out if held_out is not None else id_remainder(F.col("doc_id"), 5) == 0, F.lit(False))
-    net = fit(docs.filter(~held), labels, sample)
+    net = fit(docs.filter(~held), labels)
     sent = docs.sparkSession.sparkContext.broadcast(net)                # a fixed size: BUCKETS x DIM numbers
     kind = docs.schema["doc_id"].dataType.simpleString()
 
