@@ -120,7 +120,11 @@ def calibration_lookup(df: DataFrame, rates: DataFrame, on) -> DataFrame:
 
 
 def best_match_left(pairs: DataFrame, lid="lid", rid="rid", score="score") -> DataFrame:
-    """At most one right row per left row (a right row may serve several): best score, then smallest ids."""
+    """At most one right row per left row (a right row may serve several): best score, then smallest ids. Pairs are counted down to one per left row and
+    score as they come, so no task sorts or keeps all pairs of a row; pairs with further columns keep them and are ranked as they are."""
+    if set(pairs.columns) == {lid, rid, score}:
+        best = pairs.groupBy(lid, score).agg(F.min(rid).alias("_r"), F.bool_or(F.col(rid).isNull()).alias("_none"))
+        pairs = best.select(lid, F.when(~F.col("_none"), F.col("_r")).alias(rid), score).select(*pairs.columns)
     return top_rows(pairs, [lid], [F.desc(score), F.asc(rid)])
 
 
