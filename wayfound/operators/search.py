@@ -157,13 +157,13 @@ def search_match(places: DataFrame, parsed: DataFrame, index: DataFrame | None =
     rarest = cost.groupBy("query_id").agg(F.min(F.struct("n", "part")).alias("m")).select("query_id", "m.part")
     slices = F.floor(F.col("n") / F.lit(most)) + 1
     probes = asked_for.join(rarest, ["query_id", "part"]).join(found, ["needle", "whole"]).select("query_id", "word", "n").distinct() \
-        .join(parsed.select("query_id", *ASKED), "query_id").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)))
+        .withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)))
     often = words.filter(F.col("n") > most).select(F.col("word").alias("key"), slices.alias("slices"))
     posts = index.join(often, "key", "left").select("place_id", F.col("key").alias("word"), F.coalesce(F.pmod(F.xxhash64("place_id"), "slices"), F.lit(0)).alias("slice"))
-    # each candidate once; the aggregate also keeps the test of the texts out of the reordering of the joins below it
-    hit = probes.join(posts, ["word", "slice"]).groupBy("query_id", "place_id").agg(*[F.first(c).alias(c) for c in ASKED])
+    # each candidate once, ids alone; the aggregate also keeps the test of the texts out of the reordering of the joins below it
+    hit = probes.join(posts, ["word", "slice"]).select("query_id", "place_id").distinct().repartition(int(places.sparkSession.conf.get("spark.sql.shuffle.partitions")), "place_id")
     texts = places.select(F.col("id").alias("place_id"), "city", "tags", "search_text", "name_text")
-    hit = hit.join(texts, "place_id").filter(_answers({c: F.col(c) for c in ASKED}))
+    hit = hit.join(texts, "place_id").join(parsed.select("query_id", *ASKED), "query_id").filter(_answers({c: F.col(c) for c in ASKED}))
     return hit.select("query_id", "place_id", ((F.size("tokens") > 0) & _all_in("tokens", F.col("name_text"))).alias("name_hit"))
 
 
