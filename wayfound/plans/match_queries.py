@@ -47,8 +47,10 @@ def semi_coverage(spark, sf):
 
 
 def _addr(spark, sf):
-    a = view(spark, sf, "fx_address").select("lic", "zip", "lat", "lon", "addr", A.street_key("addr").alias("k"))
-    return a.select("lic", "zip", "lat", "lon", "addr", F.col("k.num").alias("num"), F.col("k.street").alias("street"), A.core_street("k.street").alias("core"))
+    a = scale.on_distinct(view(spark, sf, "fx_address").select("lic", "zip", "lat", "lon", "addr"), ["addr"], {"k": A.street_key("addr")})
+    a = a.select("lic", "zip", "lat", "lon", "addr", F.col("k.num").alias("num"), F.col("k.street").alias("street"))
+    # written once: filters on the keys would otherwise be inferred for every row, keys computed again
+    return scale.cut_lineage(scale.on_distinct(a, ["street"], {"core": A.core_street("street")}))
 
 
 _STREET = "case lic%6 when 0 then 'NW 27 AVE' when 1 then 'NW 27 AVE' when 2 then 'MAIN ST' when 3 then 'MAIN ST' when 4 then 'US 301 N' else 'SR 70' end"
