@@ -133,7 +133,7 @@ def with_parameters(net: Network, flat: np.ndarray) -> Network:
     return net._replace(table=out[0], kernels=out[1:1 + len(WIDTHS)], biases=out[1 + len(WIDTHS):1 + 2 * len(WIDTHS)], out=out[-1], bias=float(flat[at]))
 
 
-def train(net: Network, batches, share: float) -> Network:
+def take_steps(net: Network, batches, share: float) -> Network:
     """Adam steps on the logistic loss over batches (word buckets per document, labels); the classes weigh alike, ``share`` being that of class 1 in all rows."""
     net = with_parameters(net, parameters(net))                 # its own copy
     params = [net.table, *net.kernels, *net.biases, net.out]
@@ -261,7 +261,7 @@ def _epoch(rows: DataFrame, net: Network, share: float) -> Network:
             for docs, y in _groups(batches):
                 n += len(y)
                 yield docs, y
-        flat = parameters(train(sent.value, counted(), share))
+        flat = parameters(take_steps(sent.value, counted(), share))
         if n:
             flat = flat.astype(float) * n
             at = range(0, flat.size, piece)
@@ -274,7 +274,8 @@ def _epoch(rows: DataFrame, net: Network, share: float) -> Network:
     return with_parameters(net, np.concatenate([x.values.to_numpy() for x in parts.column("v")]))
 
 
-def _cuts(rows: DataFrame, net: Network) -> Network:
+def _logits(rows: DataFrame, net: Network, languages: int) -> np.ndarray:
+    """Rows by language, class and bin of the logit."""
     sent = rows.sparkSession.sparkContext.broadcast(net)
 
     def run(batches):
@@ -286,23 +287,38 @@ def _cuts(rows: DataFrame, net: Network) -> Network:
                 at = np.clip(((z + EDGE) / (2 * EDGE) * BINS).astype(int), 0, BINS - 1)
                 yield pa.RecordBatch.from_arrays([part.column("language"), part.column("label"), pa.array(at.astype(np.int32))], names=["language", "label", "at"])
     found = rows.select("language", "label", "words").mapInArrow(run, "language int, label int, at int").groupBy("language", "label", "at").agg(F.count("*").alias("n")).toArrow()
-    counted = np.zeros((len(LANGUAGES), 2, BINS))
+    counted = np.zeros((languages, 2, BINS))
     counted[tuple(found.column(c).to_numpy() for c in ("language", "label", "at"))] = found.column("n").to_numpy()
-    return calibrate(net, counted)
+    return counted
 
 
-def fit(docs: DataFrame, labels: DataFrame, epochs: int = EPOCHS) -> Network:
-    """Learns from the whole texts of all labelled rows: counts, epochs and thresholds are passes of tasks over them, and what reaches the driver has a fixed size."""
-    rows = stage(labelled_words(docs, labels), "words")
-    seen, n = _presence(rows.filter("not aside"))
-    every = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if len(every) < 2:
-        return blank()._replace(bias=1.0 if every.get(1) else -1.0)
+class Labelled:
+    """The table of ``labelled_words``; its length is the number of its rows."""
+
+    def __init__(self, table: DataFrame, rows: int):
+        self.table, self.rows = table, rows
+
+    def __len__(self) -> int:
+        return self.rows
+
+
+def train(docs: Labelled, y: dict[int, int], language: list[str], epochs: int = EPOCHS) -> Network:
+    """Counts, epochs and the thresholds of each language as passes of tasks over all rows; ``y`` holds the rows of each class."""
+    mine = docs.table.filter("not aside")
+    seen, n = _presence(mine)
     net = start(seen, n)
-    for _ in range(epochs):
-        if n.sum():
-            net = _epoch(rows.filter("not aside"), net, every[1] / (every[0] + every[1]))
-    return _cuts(rows.filter("aside"), net)
+    for _ in range(epochs if n.sum() else 0):
+        net = _epoch(mine, net, y[1] / (y[0] + y[1]))
+    return calibrate(net, _logits(docs.table.filter("aside"), net, len(language)))
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Network:
+    """Learns from the whole texts of all labelled rows; what reaches the driver has a fixed size."""
+    table = stage(labelled_words(docs, labels), "words")
+    y = {r["label"]: r["n"] for r in table.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(y) < 2:
+        return blank()._replace(bias=1.0 if y.get(1) else -1.0)
+    return train(Labelled(table, sum(y.values())), y, LANGUAGES)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, decide: float = 0.5) -> DataFrame:
