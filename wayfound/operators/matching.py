@@ -311,12 +311,18 @@ def hand_checked_twin(unlicensed: DataFrame, licensed: DataFrame, *, near_m=150.
 def point_by_name_town(unplaced: DataFrame, places: DataFrame, *, min_ratio=92.0, max_spread=0.002) -> DataFrame:
     """(id, lat, lon) for unplaced rows whose near-equal names in the town lie at one spot. Both carry (town, k, num); places lat, lon."""
     p = near_text_pairs(unplaced, places.withColumnRenamed("k", "pk"), "k", "pk", min_ratio, block=["town"])
-    pl = places.select(F.col("town").alias("p_town"), F.col("k").alias("p_k"), F.col("num").alias("p_num"), "lat", "lon", F.col("pid"))
-    hit = unplaced.join(p.select(F.col("town").alias("_t"), "l_text", "r_text"), (F.col("town") == F.col("_t")) & (F.col("k") == F.col("l_text"))) \
+    # equal names and numbers of a town meet as one row on both sides: of the places count the first one's point and the edges, and these add up
+    def merged(d, by, pid, lat, lon, low, high):
+        return d.groupBy(*by).agg(F.min_by(lat, pid).alias("lat"), F.min_by(lon, pid).alias("lon"), F.min(pid).alias("pid"), F.min(low).alias("low"), F.max(high).alias("high"))
+    pl = merged(places, ["town", "k", "num"], "pid", "lat", "lon", "lat", "lat").select(F.col("town").alias("p_town"), F.col("k").alias("p_k"), F.col("num").alias("p_num"), "lat", "lon", "pid", "low", "high")
+    asked = unplaced.select("town", "k", "num").distinct()
+    hit = asked.join(p.select(F.col("town").alias("_t"), "l_text", "r_text"), (F.col("town") == F.col("_t")) & (F.col("k") == F.col("l_text"))) \
         .join(pl, (F.col("p_town") == F.col("_t")) & (F.col("p_k") == F.col("r_text")))
     hit = hit.filter(~F.coalesce(F.col("num") != F.col("p_num"), F.lit(False)))
-    return hit.groupBy("id").agg(F.min_by("lat", "pid").alias("lat"), F.min_by("lon", "pid").alias("lon"), (F.max("lat") - F.min("lat")).alias("spread")) \
-        .filter(F.col("spread") < max_spread).drop("spread")
+    hit = merged(hit, ["town", "k", "num"], "pid", "lat", "lon", "low", "high").withColumnsRenamed({"town": "_t", "k": "_k", "num": "_n"})
+    found = unplaced.select("id", "town", "k", "num").join(hit, (F.col("town") == F.col("_t")) & (F.col("k") == F.col("_k")) & F.col("num").eqNullSafe(F.col("_n")))
+    found = merged(found, ["id"], "pid", "lat", "lon", "low", "high")
+    return found.filter(F.col("high") - F.col("low") < max_spread).select("id", "lat", "lon")
 
 
 def place_unplaced(unplaced: DataFrame, places: DataFrame, cached: DataFrame, **rules) -> DataFrame:
