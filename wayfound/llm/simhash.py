@@ -5,8 +5,6 @@ Manhattan distance of two such vectors is never more than the Hamming distance o
 every link; the true distance is then checked."""
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -95,11 +93,15 @@ def near_duplicate_digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = 3, most: int = 3, groups=None) -> DataFrame:
-    """One document of each group of near-duplicates (or of ``groups``, a function of (docs, words) that gives doc_id and component), the one of least (doc_id, text hash); ids count before null. Rows that repeat both id and text
-    are copies, of which one stays; rows that share an id but not the text are judged apart. Columns are those of ``docs``."""
+    """One document of each group of near-duplicates, the one of least (doc_id, text hash); ids count before null. ``groups``, a function of (docs, words, groups of the fingerprints)
+    that gives doc_id and component, checks these groups and adds what fingerprints miss. Rows that repeat both id and text are copies, of which one stays; rows that share an id but
+    not the text are judged apart. Columns are those of ``docs``."""
     text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), text_hash.alias("h"))
-    found = (groups or partial(near_duplicates, most=most))(docs.select(key.alias("doc_id"), "text"), words)
+    slim = docs.select(key.alias("doc_id"), "text")
+    found = near_duplicates(slim, words, most).select("doc_id", "component")
+    if groups:
+        found = groups(slim, words, found)
     kept = found.filter(F.col("doc_id") == F.col("component")).groupBy(F.col("doc_id").alias("_key")).agg(F.count("*").alias("_n"))
     kept = stage(kept.select(F.col("_key.id").alias("_id"), F.col("_key.h").alias("_h"), "_n"), "kept")
     keyed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), text_hash.alias("_text"))          # columns of any name
