@@ -31,3 +31,27 @@ def test_places_of_one_name_in_a_town(spark):
     far = p.withColumn("lat", F.when(F.col("num") == "2", F.col("lat") + F.col("pid") % 4).otherwise(F.col("lat")))
     assert {r.id % 3 for r in M.point_by_name_town(u.drop("address"), far).collect()} == {1}
     assert M.geocode_todo(M.place_unplaced(u, p, spark.createDataFrame([], "address string, lat double, lon double"))).count() == 0
+
+
+def test_merge_same_town_close_meets_few_rows_of_a_dense_town(spark, monkeypatch):
+    import random
+    rng = random.Random(22)
+    rows = [(i, rng.choice("AB"), "T", rng.randint(1, 4), rng.choice([True, False, False, None]), 26 + rng.randint(0, 40) * 0.001, -81 + rng.randint(0, 40) * 0.001) for i in range(500)]
+    rows += [(900, "C", "T", 1, False, 26.0, -81.0), (900, "D", "T", 3, False, 26.0, -81.0), (901, "C", "T", 2, False, 26.0, -81.0), (902, "D", "T", 1, False, 26.0, -81.0), (None, "D", "T", 1, False, 26.0, -81.0)]
+    df = spark.createDataFrame(rows, "id int, name string, town string, rank int, lic boolean, lat double, lon double")
+    edges = []
+    inner = M.suppress
+    monkeypatch.setattr(M, "suppress", lambda e: (edges.append(e.count()), inner(e))[1])
+    monkeypatch.setattr(M, "FIRST_RANKS", 64)
+    got = {r.loser: r.survivor for r in M.merge_same_town_close(df, id="id", name="name", town="town", rank="rank", licensed="lic", radius_m=800.0).collect()}
+    want, kept = {}, []
+    for r in sorted(rows[:500], key=lambda r: (-r[3], r[0])):
+        hit = next((k for k in kept if k[1] == r[1] and not (k[4] is not False and r[4] is not False)
+                    and (((k[5] - r[5]) * 111000) ** 2 + ((k[6] - r[6]) * 99000) ** 2) ** 0.5 < 800), None)
+        if hit is None:
+            kept.append(r)
+        else:
+            want[r[0]] = hit[0]
+    assert {k: v for k, v in got.items() if k < 900} == want
+    assert {k: v for k, v in got.items() if k >= 900} == {900: 901}         # 902 stays: what stood over it is gone
+    assert sum(edges) < 4 * len(rows)

@@ -174,13 +174,59 @@ def merge_same_address(df: DataFrame, *, keys, rank_order, id: str) -> DataFrame
     return keep_first(df.filter(full), keys, [*rank_order, F.asc(id)]).unionByName(df.filter(~F.coalesce(full, F.lit(False))))
 
 
+def _close_conflicts(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
+    """Pairs (l_*, r_*) in one ``name_town`` closer than the radius, never two licensed ones."""
+    p = proximity_join(left, right, radius_m=radius_m, block=["name_town"])
+    return p.filter(~(F.col("l_lic") & F.col("r_lic")) & (F.col("dist_m") < radius_m))
+
+
+def _close_losers(rows: DataFrame, radius_m: float) -> DataFrame:
+    """(loser, survivor) of rows (id, name_town, r, lic, lat, lon), smallest (r, id) first, with every pair in conflict as an edge."""
+    p = _close_conflicts(rows, rows, radius_m).filter((F.col("l_r") < F.col("r_r")) | ((F.col("l_r") == F.col("r_r")) & (F.col("l_id") < F.col("r_id"))))
+    return suppress(p.select(F.col("l_id").alias("hi"), F.col("r_id").alias("lo"), F.struct(F.col("l_r").alias("r"), F.col("l_id").alias("i")).alias("hi_rank")))
+
+
+FIRST_RANKS = 128           # ranks of a name in a town that are settled first; each further part is as large as all before it
+
+
 def merge_same_town_close(df: DataFrame, *, id: str, name: str, town: str, rank: str, licensed: str, radius_m=400.0) -> DataFrame:
-    """(loser, survivor) among rows with one name in one town closer than the radius, never two licensed ones; the better rank stays."""
-    d = df.filter((F.col(name) != "") & F.col(town).isNotNull()).select(F.col(id).alias("id"), F.concat_ws("\u0001", name, town).alias("name_town"),
-                                                                        F.col(rank).alias("rk"), F.col(licensed).alias("lic"), "lat", "lon")
-    p = proximity_join(d, d, radius_m=radius_m, block=["name_town"]).filter((F.col("l_rk") > F.col("r_rk")) | ((F.col("l_rk") == F.col("r_rk")) & (F.col("l_id") < F.col("r_id"))))
-    p = p.filter(~(F.col("l_lic") & F.col("r_lic")) & (F.col("dist_m") < radius_m))
-    return suppress(p.select(F.col("l_id").alias("hi"), F.col("r_id").alias("lo"), F.struct((-F.col("l_rk")).alias("r"), F.col("l_id").alias("i")).alias("hi_rank")))
+    """(loser, survivor) among rows with one name in one town closer than the radius, never two licensed ones; the better rank stays.
+
+    Rows are settled in rank order, in parts that double: a part's kept rows first take what they suppress out of all later parts, so a row meets
+    few others however dense a town is. Names whose ids repeat or are null hang together through them and are settled with all their pairs."""
+    d = df.filter((F.col(name) != "") & F.col(town).isNotNull() & F.col(rank).isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull()) \
+        .select(F.col(id).alias("id"), F.concat_ws("\u0001", name, town).alias("name_town"), (-F.col(rank)).alias("r"), F.coalesce(F.col(licensed), F.lit(True)).alias("lic"), "lat", "lon").distinct()
+    d = cut_lineage(d)
+    twice = d.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1 or id is null").select(F.col("id").alias("_id"))
+    knotted = cut_lineage(d.join(twice, F.col("id").eqNullSafe(F.col("_id")), "left_semi").select(F.col("name_town").alias("_nt")).distinct())
+    plain = F.col("name_town") == F.col("_nt")
+    lost = _close_losers(d.join(knotted, plain, "left_semi"), radius_m) if not knotted.isEmpty() else None
+    d = d.join(knotted, plain, "left_anti")
+    # of the rows of one spot that are all licensed or all not only the best can suppress others; it stands for them
+    spot = ["name_town", "lat", "lon", "lic"]
+    top = d.groupBy(*spot).agg(F.min(F.struct("r", "id")).alias("b")).select(*spot, "b.r", "b.id")
+    part = F.when(F.col("no") <= FIRST_RANKS, 0).otherwise(F.ceil(F.log2(F.col("no") / F.lit(FIRST_RANKS)))).cast("int")
+    rest = cut_lineage(ranked(cut_lineage(top), ["name_town"], ["r", "id"], "no").withColumn("part", part).drop("no"))
+    best, at = rest, 0
+    settled = None
+    while not rest.isEmpty():
+        mine, later = rest.filter(F.col("part") <= at), rest.filter(F.col("part") > at)
+        gone = cut_lineage(_close_losers(mine, radius_m))
+        settled = gone if settled is None else settled.unionByName(gone)
+        if not later.isEmpty():
+            kept = mine.join(gone, F.col("id") == F.col("loser"), "left_anti")
+            met = _close_conflicts(later, kept, radius_m).groupBy(F.col("l_id").alias("loser")).agg(F.min(F.struct("r_r", "r_id")).alias("m"))
+            gone = cut_lineage(met.select("loser", F.col("m.r_id").alias("survivor")))
+            settled = settled.unionByName(gone)
+            later = cut_lineage(later.join(gone, F.col("id") == F.col("loser"), "left_anti"))
+        rest, at = later, at + 1
+    if settled is not None:
+        stands = best.select(F.col("id").alias("top"), *[F.col(c).alias("_" + c) for c in spot])
+        of = d.join(stands, [F.col(c) == F.col("_" + c) for c in spot]).join(settled, F.col("top") == F.col("loser"), "left")
+        by = F.coalesce("survivor", F.when((F.col("id") != F.col("top")) & ~F.col("lic"), F.col("top")))
+        of = of.select(F.col("id").alias("loser"), by.alias("survivor")).filter(F.col("survivor").isNotNull())
+        lost = of if lost is None else lost.unionByName(of)
+    return lost if lost is not None else d.select(F.col("id").alias("loser"), F.col("id").alias("survivor")).limit(0)
 
 
 def coalesce_merged(survivors: DataFrame, losers: DataFrame, pairs: DataFrame, *, id: str, flags=(), facts=(), order=None) -> DataFrame:
