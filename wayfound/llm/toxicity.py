@@ -9,12 +9,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import as_bytes, id_remainder, stage
+from .common import as_bytes, bitmap, id_remainder, in_bitmap, stage
 from .words import NOT_ALNUM, Words, prefix_sums, run_hash, split_binary, groups_of, words_of
 
 BUCKETS, DIM, FILTERS, WIDTHS, STEMS = 1 << 16, 8, 8, (1, 2, 3), (4, 5, 6)
 EPOCHS, BATCH, WORDS = 3, 64, 1 << 17
 EDGE, BINS = 64.0, 1 << 15          # bins of logits
+LABEL_BITS = 26                     # size of the bit map of labelled ids, as a power of two
 # fixed values: frequent function words by language
 FUNCTION_WORDS = {"en": "the and of to in is that for with this was are", "de": "der die das und ist nicht ein eine den mit von zu", "fr": "le les des et est une dans pour que sur du au",
                   "es": "el los las del y en con por una no se que"}
@@ -195,11 +196,26 @@ def score_words(net: Network, w: Words) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z * net.slope, -35, 35)))
 
 
+def _maybe_told(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """The rows whose id may be labelled, so that few others go through the exchange; a bit map of fixed size tells. Ids of two types are left to the join."""
+    kind = docs.schema["doc_id"].dataType
+    if kind != told.schema["_id"].dataType or kind.typeName() in ("float", "double"):
+        return docs
+    flags = docs.sparkSession.sparkContext.broadcast(bitmap(told.select(F.xxhash64("_id").alias("h")), "h", LABEL_BITS))
+
+    def run(batches):
+        for b in batches:
+            if len(b):
+                yield b.filter(pa.array(in_bitmap(flags.value, b.column(2).to_numpy().view(np.uint64))))
+    rows = docs.withColumn("_h", F.xxhash64("doc_id"))
+    return rows.mapInArrow(run, rows.schema).drop("_h")
+
+
 def labelled_words(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(label, language, aside, words binary) of every labelled row: buckets of the whole text, 16 bits each. One row in four is kept aside to set the thresholds. An id that
     repeats teaches with one of its texts."""
     told = labels.filter(F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("label")).distinct()
-    rows = docs.join(told, F.col("doc_id") == F.col("_id")).groupBy("doc_id", "label").agg(F.min(as_bytes(F.col("text"))).alias("text"))
+    rows = _maybe_told(docs.select("doc_id", "text"), told).join(told, F.col("doc_id") == F.col("_id")).groupBy("doc_id", "label").agg(F.min(as_bytes(F.col("text"))).alias("text"))
     rows = rows.select("label", F.xxhash64("doc_id").alias("h"), "text").sortWithinPartitions("h").select("label", (F.pmod("h", F.lit(4)) == 3).alias("aside"), "text")
 
     def run(batches):
@@ -248,8 +264,9 @@ def _presence(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return seen[:, :BUCKETS], seen[:, BUCKETS]
 
 
-def _epoch(rows: DataFrame, net: Network, share: float) -> Network:
-    """Every task takes steps over its rows from the same network; the results are averaged by rows, summed by Spark in pieces: one network reaches the driver."""
+def _epoch(rows: DataFrame, net: Network, share: float, total: int) -> Network:
+    """Every task takes steps over its rows from the same network; the results are averaged by rows (``total`` in all), summed by Spark in pieces: one network reaches the
+    driver. A task sends only the numbers that it moved."""
     sent = rows.sparkSession.sparkContext.broadcast(net)
     piece = 1 << 12
 
@@ -262,16 +279,26 @@ def _epoch(rows: DataFrame, net: Network, share: float) -> Network:
                 n += len(y)
                 yield docs, y
         flat = parameters(take_steps(sent.value, counted(), share))
-        if n:
-            flat = flat.astype(float) * n
-            at = range(0, flat.size, piece)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(at), dtype=np.int32)), pa.array(np.full(len(at), n)), pa.array([flat[i:i + piece] for i in at], pa.list_(pa.float64()))], names=["at", "n", "v"])
+        moved = flat != parameters(sent.value)
+        at = [i for i in range(0, flat.size, piece) if moved[i:i + piece].any()]
+        if at:
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(at) // piece, pa.int32()), pa.array(np.full(len(at), n)), pa.array([np.packbits(moved[i:i + piece]).tobytes() for i in at], pa.binary()),
+                                              pa.array([flat[i:i + piece][moved[i:i + piece]] for i in at], pa.list_(pa.float32()))], names=["at", "n", "moved", "v"])
 
     def summed(key, parts):
-        v = sum(x.values.to_numpy() for x in parts.column("v")) / sum(parts.column("n").to_pylist())
-        return pa.table({"at": pa.array([key[0].as_py()], pa.int32()), "v": pa.array([v], pa.list_(pa.float64()))})
-    parts = rows.select("label", "words").mapInArrow(run, "at int, n long, v array<double>").groupBy("at").applyInArrow(summed, "at int, v array<double>").toArrow().sort_by("at")
-    return with_parameters(net, np.concatenate([x.values.to_numpy() for x in parts.column("v")]))
+        i = key[0].as_py() * piece
+        old = parameters(sent.value)[i:i + piece].astype(float)
+        new, rest = np.zeros(old.size), np.full(old.size, float(total))
+        for n, bits, v in zip(parts.column("n").to_pylist(), parts.column("moved").to_pylist(), parts.column("v")):
+            moved = np.unpackbits(np.frombuffer(bits, np.uint8), count=old.size).astype(bool)
+            new[moved] += v.values.to_numpy().astype(float) * n
+            rest[moved] -= n
+        return pa.table({"at": pa.array([key[0].as_py()], pa.int32()), "v": pa.array([(new + rest * old) / total], pa.list_(pa.float64()))})
+    parts = rows.select("label", "words").mapInArrow(run, "at int, n long, moved binary, v array<float>").groupBy("at").applyInArrow(summed, "at int, v array<double>").toArrow()
+    flat = parameters(net).astype(float)
+    for at, v in zip(parts.column("at").to_pylist(), parts.column("v")):
+        flat[at * piece:(at + 1) * piece] = v.values.to_numpy()
+    return with_parameters(net, flat)
 
 
 def _logits(rows: DataFrame, net: Network, languages: int) -> np.ndarray:
@@ -308,7 +335,7 @@ def train(docs: Labelled, y: dict[int, int], language: list[str], epochs: int =
     seen, n = _presence(mine)
     net = start(seen, n)
     for _ in range(epochs if n.sum() else 0):
-        net = _epoch(mine, net, y[1] / (y[0] + y[1]))
+        net = _epoch(mine, net, y[1] / (y[0] + y[1]), int(n.sum()))
     return calibrate(net, _logits(docs.table.filter("aside"), net, len(language)))
 
 
