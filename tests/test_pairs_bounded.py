@@ -55,3 +55,21 @@ def test_merge_same_town_close_meets_few_rows_of_a_dense_town(spark, monkeypatch
     assert {k: v for k, v in got.items() if k < 900} == want
     assert {k: v for k, v in got.items() if k >= 900} == {900: 901}         # 902 stays: what stood over it is gone
     assert sum(edges) < 4 * len(rows)
+
+
+def test_match_listings_meets_few_rows_of_a_dense_county(spark, monkeypatch):
+    import random
+    from wayfound.operators.scale import top_rows
+    rng = random.Random(1)
+    names = ["GULL ROCK", "GULL ROCKS GRILL", "HARBOR SUN", "BLUE MOON", "GULL", "SUN HARBOR CAFE"]
+    spot = lambda: (None if rng.random() < 0.05 else 26 + rng.random() * 0.05, -81 + rng.random() * 0.05)
+    place = lambda n: (rng.sample(["12", "14", "16"], rng.randint(1, 2)), rng.choice(["MAIN ST", "MAIN AVE", "N", "OAK AVE"]), *spot()) if n < 120 else (["1"], "ELM ST", 27 + rng.random() * 0.01, -81 + rng.random() * 0.01)
+    l = spark.createDataFrame([(i, "X" if i < 120 else "D", rng.choice(names) if i < 120 else "GULL ROCK", *place(i)) for i in range(420)], "lid int, c string, k string, nums array<string>, street string, lat double, lon double")
+    r = spark.createDataFrame([(i, "X" if i < 120 else "D", rng.sample(names, 2) if i < 120 else ["GULL ROCK"], *place(i)) for i in range(420)], "rid int, c string, keys array<string>, nums array<string>, street string, lat double, lon double")
+    best = top_rows(M.similar_name_pairs(l, r, block="c"), ["lid"], [F.desc("score"), F.asc("rid")]).collect()
+    met, join = [], M.proximity_join
+    monkeypatch.setattr(M, "proximity_join", lambda *a, **k: (lambda p: (met.append(p.count()), p)[1])(join(*a, **k)))
+    monkeypatch.setattr(M, "similar_name_pairs", None)                       # no step makes all pairs
+    got = M.match_listings(l, r, block="c").collect()
+    assert {(x.lid, x.rid, round(x.score, 6), x.rule) for x in got} == {(x.lid, x.rid, round(x.score, 6), x.rule) for x in best} and len(got) == len(best) > 300
+    assert sum(met) < 300 * 300 / 3

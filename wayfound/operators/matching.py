@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.address import core_street, street_compat
+from ..functions.geo import cell, cell_sizes, neighbor_cells
 from ..functions.similarity import close_words, name_sim, real_share, same_business, same_key, sim_ratio, sim_token_set
 from ..functions.text import kind_conflict, name_stems
 from .fuzzy import near_text_pairs
@@ -280,14 +281,87 @@ def similar_name_pairs(left: DataFrame, right: DataFrame, *, block: str, town_wo
     return best.select("lid", "rid", score.alias("score"), rule.alias("rule"), "same").filter(F.col("rule").isNotNull() & F.col("same")).drop("same")
 
 
-def match_listings(left: DataFrame, right: DataFrame, *, block: str, **rules) -> DataFrame:
-    """(lid, rid, score, rule): the best registry row of each listing (a registry row may serve several). Both sides go in as classes of equal
-    rows, so copies neither meet copies nor are scored again; a class's registry id is its smallest."""
-    lk, rk = [block, "k", "nums", "street", "lat", "lon"], [block, "keys", "nums", "street", "lat", "lon"]
-    lc, lm = classes(left, lk, "lid")
-    rc, _ = classes(right, rk, "rid")
-    pairs = similar_name_pairs(lc.withColumnRenamed("cls", "lid"), rc.withColumnRenamed("cls", "rid"), block=block, **rules)
-    best = top_rows(pairs, ["lid"], [F.desc("score"), F.asc("rid")]).withColumnRenamed("lid", "cls")
+def _named_pairs(met: DataFrame, town_words) -> DataFrame:
+    """(lk, keys, s, shared) of the pairs (lk, keys) that can be one business; every pair of names is scored once."""
+    t = town_words if town_words is not None else F.array().cast("array<string>")
+    one = on_distinct(met.withColumn("rk", F.explode("keys")), ["lk", "rk"], {
+        "s": name_sim("lk", "rk", F.col("_tw"), "_sl", "_sr"), "conflict": kind_conflict("lk", "rk"), "same": same_key("lk", "rk", F.col("_tw")),
+        "share": real_share("_sl", "_sr", F.col("_tw")) | close_words(F.array_except("_sl", "_tw"), F.array_except("_sr", "_tw"))},
+        prepare={"_tw": t, "_sl": name_stems("lk"), "_sr": name_stems("rk")})
+    both = one.groupBy("lk", "keys").agg(F.max("s").alias("s"), F.bool_and("conflict").alias("c"), F.bool_or("same").alias("same"), F.bool_or("share").alias("share"))
+    return both.filter("same").select("lk", "keys", "s", F.coalesce(F.col("share") & ~F.col("c"), F.lit(False)).alias("shared"))
+
+
+def match_listings(left: DataFrame, right: DataFrame, *, block: str, town_words=None, addr_score=75.0, near_m=150.0, near_score=88.0, close_m=60.0, close_score=80.0,
+                   addr_max_m=2000.0) -> DataFrame:
+    """(lid, rid, score, rule): the best registry row of each listing (a registry row may serve several) by the rules of ``similar_name_pairs``.
+    Both sides go in as classes of equal rows, so copies neither meet copies nor are scored again; a class's registry id is its smallest.
+
+    Names are scored once. Listings then look around in growing circles, and only as long as a name farther away could still score higher
+    than what they hold, so a listing meets few rows however dense a county is."""
+    lc, lm = classes(left.filter(F.col("k") != ""), [block, "k", "nums", "street", "lat", "lon"], "lid")
+    l = cut_lineage(lc.select(F.col("cls").alias("lid"), F.col(block).alias("b"), F.col("k").alias("lk"), "nums", "street", "lat", "lon"))
+    r = cut_lineage(right.groupBy(F.col(block).alias("b"), "keys", "nums", "street", "lat", "lon").agg(F.min("rid").alias("rid")))
+    core = F.coalesce(core_street("street"), F.concat(F.lit("="), F.col("street")))     # streets without a core word can only agree as whole texts
+    at = ["b", "no", "core"]
+    la = l.withColumn("no", F.explode("nums")).withColumn("core", core).drop("nums").filter(F.col("core").isNotNull()).distinct()
+    ra = r.withColumn("no", F.explode("nums")).withColumn("core", core).filter(F.col("core").isNotNull()).groupBy(*at, "street", "keys", "lat", "lon").agg(F.min("rid").alias("rid"))
+    la, ra = cut_lineage(la), cut_lineage(ra)
+    spots = cut_lineage(r.groupBy("b", "keys", "lat", "lon").agg(F.min("rid").alias("rid")))
+    # names that meet: at an address; in a county of few names all of them, else those of touching cells
+    meet = lambda x, y, by: x.select(*by, "lk").distinct().join(y.select(*by, "keys").distinct(), by).select("lk", "keys")
+    size = lambda d, name, n: d.groupBy("b").agg(F.countDistinct(name).alias(n), F.count("*").alias(n + "_rows"))
+    few = size(l, "lk", "nl").join(size(spots, "keys", "nr"), "b").filter("nl * nr <= 16 * (nl_rows + nr_rows)").select("b")
+    h, w = cell_sizes(near_m)
+    lz = l.join(few, "b", "left_anti").select("b", "lk", cell("lat", h).alias("cy"), cell("lon", w).alias("cx"))
+    rz = spots.join(few, "b", "left_anti").select("b", "keys", F.explode(neighbor_cells("lat", "lon", near_m)).alias("c")).select("b", "keys", "c.cy", "c.cx")
+    met = meet(la, ra, at).unionByName(meet(l.join(few, "b", "left_semi"), spots, ["b"])).unionByName(meet(lz, rz, ["b", "cy", "cx"])).distinct()
+    names = cut_lineage(_named_pairs(met, town_words))
+    street = lambda d, name: d.select(*at, F.col("street").alias(name)).distinct()
+    streets = street(la, "ls").join(street(ra, "rs"), at).select("ls", "rs").distinct().filter(street_compat("ls", "rs"))
+    streets = cut_lineage(streets.select(F.col("ls").alias("l_street"), F.col("rs").alias("r_street")))
+    same_addr, s, dist = F.col("same_addr"), F.col("s"), F.col("dist")
+    rule = F.when(same_addr & ((s >= addr_score) | F.col("shared")), F.lit("address")).when((dist <= near_m) & (s >= near_score), F.lit("near")) \
+        .when((dist <= close_m) & (s >= close_score) & F.col("shared"), F.lit("close"))
+    score = s + F.when(same_addr, F.lit(15)).otherwise(F.lit(0)) - dist / 20
+    first = lambda p, by: p.withColumn("rule", rule).filter(F.col("rule").isNotNull()).groupBy(*by).agg(F.min(F.struct((-score).alias("minus"), "rid", "rule")).alias("m"))
+    better = lambda p: p.groupBy("lid").agg(F.min("m").alias("m"))
+    # rows without a place count as near their address: by name and address alone
+    no_spot = F.col("lat").isNull() | F.col("lon").isNull()
+    pre = lambda d, p: d.select(*[F.col(c).alias(p + c) for c in d.columns])
+    ask = ["b", "no", "core", "street", "lk"]
+
+    def unplaced(some_l, some_r):
+        x, y = pre(some_l.select(*ask).distinct(), "l_"), pre(some_r.groupBy(*at, "street", "keys").agg(F.min("rid").alias("rid")), "r_")
+        p = x.join(y, [F.col("l_" + c) == F.col("r_" + c) for c in at]).join(streets, ["l_street", "r_street"])
+        p = p.select(*["l_" + c for c in ask], F.col("l_lk").alias("lk"), F.col("r_keys").alias("keys"), F.col("r_rid").alias("rid"), F.lit(40.0).alias("dist"), F.lit(40.0 <= addr_max_m).alias("same_addr"))
+        got = first(p.join(names, ["lk", "keys"]), ["l_" + c for c in ask])
+        return some_l.join(got, [F.col(c) == F.col("l_" + c) for c in ask]).select("lid", "m")
+    best = cut_lineage(better(unplaced(la, ra.filter(no_spot)).unionByName(unplaced(la.filter(no_spot), ra))))
+    top = names.groupBy("lk").agg(F.max("s").alias("most"))
+
+    def rings(rows, best, reach, bonus, look):
+        rows, done = rows.filter(~no_spot).join(top, "lk"), None
+        for far in [x for x in (40.0, 160.0, 640.0) if x < reach] + [reach]:
+            hold = best.select(F.col("lid").alias("_lid"), (-F.col("m.minus")).alias("held"))
+            open_ = rows.join(hold, F.col("lid") == F.col("_lid"), "left").filter(F.col("held").isNull() | (F.col("most") + F.lit(bonus - (done or 0.0) / 20) >= F.col("held"))).drop("_lid", "held", "most")
+            got = look(open_, far)
+            got = got if done is None else got.filter(dist > done)
+            best = cut_lineage(better(first(got, ["lid"]).select("lid", "m").unionByName(best)))
+            done = far
+        return best
+
+    def at_address(rows, far):
+        p = proximity_join(rows, ra.filter(~no_spot), radius_m=far, block=at).join(streets, ["l_street", "r_street"])
+        return p.select(F.col("l_lid").alias("lid"), F.col("l_lk").alias("lk"), F.col("r_keys").alias("keys"), F.col("r_rid").alias("rid"), F.col("dist_m").alias("dist"), (F.col("dist_m") <= addr_max_m).alias("same_addr")) \
+            .join(names, ["lk", "keys"])
+
+    def nearby(rows, far):
+        p = proximity_join(rows.join(names.filter(s >= min(near_score, close_score)), "lk"), spots, radius_m=far, block=["b", "keys"])
+        return p.select(F.col("l_lid").alias("lid"), F.col("r_rid").alias("rid"), F.col("l_s").alias("s"), F.col("l_shared").alias("shared"), F.col("dist_m").alias("dist"), F.lit(False).alias("same_addr"))
+    best = rings(la.select("lid", *at, "street", "lk", "lat", "lon"), best, float(max(addr_max_m, near_m, close_m)), 15.0, at_address)
+    best = rings(l.select("lid", "b", "lk", "lat", "lon"), best, float(near_m), 0.0, nearby)
+    best = best.select(F.col("lid").alias("cls"), F.col("m.rid").alias("rid"), (-F.col("m.minus")).alias("score"), F.col("m.rule").alias("rule"))
     return lm.join(best, "cls").select("lid", "rid", "score", "rule")
 
 
