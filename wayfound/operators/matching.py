@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.address import core_street, street_compat
@@ -14,8 +15,8 @@ from ..functions.geo import cell, cell_sizes, neighbor_cells
 from ..functions.similarity import close_words, name_sim, real_share, same_business, same_key, sim_ratio, sim_token_set
 from ..functions.text import kind_conflict, name_stems
 from .fuzzy import near_text_pairs
-from .scale import cut_lineage, keep_first, on_distinct, ranked, top_rows
-from .spatial import proximity_join
+from .scale import components, cut_lineage, keep_first, on_distinct, ranked, top_rows
+from .spatial import DENSE, _cell_join, proximity_join
 
 
 def classes(df: DataFrame, keys, id: str) -> tuple[DataFrame, DataFrame]:
@@ -50,8 +51,8 @@ def settle(nodes: DataFrame) -> DataFrame:
 
 
 # --- one-to-one assignment ----------------------------------------------------------------------------------------------------
-def _assign(edges: DataFrame) -> DataFrame | None:
-    """Greedy by (score desc, lid, rid) with capacities nl, nr. Each round settles every edge that is the best left at both its ends, and every
+def _assign_rounds(edges: DataFrame) -> DataFrame | None:
+    """``_assign`` in rounds over all edges. Each round settles every edge that is the best left at both its ends, and every
     edge with one better edge at its ends, as far as the chain of such edges leads to a best one: it takes what the better one leaves. A
     chain takes one round, not one round an edge. Accepted edges carry how many places of each end came before."""
     cols = ["lid", "rid", "score", "nl", "nr", "lu", "ru"]
@@ -83,6 +84,46 @@ def _assign(edges: DataFrame) -> DataFrame | None:
     return done
 
 
+PART = 1 << 20              # edges that hang together which a single task walks through
+
+
+def _walk(batches):
+    """Edges sorted by part and order, taken one after the other; what is used is remembered for one part at a time."""
+    used_l, used_r, now = {}, {}, None
+    for batch in batches:
+        keep, l0, r0, took = [], [], [], []
+        for i, (root, lid, rid, nl, nr) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("root", "lid", "rid", "nl", "nr")))):
+            if root != now:
+                used_l, used_r, now = {}, {}, root
+            a, b = used_l.get(lid, 0), used_r.get(rid, 0)
+            k = min(nl - a, nr - b)
+            if k > 0:
+                used_l[lid], used_r[rid] = a + k, b + k
+                keep.append(i), l0.append(a), r0.append(b), took.append(k)
+        rows = batch.select(["lid", "rid", "score"]).take(pa.array(keep, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*rows.columns, *[pa.array(x, pa.int64()) for x in (l0, r0, took)]], names=["lid", "rid", "score", "l0", "r0", "k"])
+
+
+def _assign(edges: DataFrame) -> DataFrame | None:
+    """Greedy by (score desc, lid, rid) with capacities nl, nr. Accepted edges carry how many places of each end came before (l0, r0) and how many they take (k).
+
+    Edges that hang together through their ends are one part, and parts do not touch each other: a task walks through the sorted edges of its parts. Parts
+    of more than ``PART`` edges are settled in rounds."""
+    edges = cut_lineage(edges.filter(F.col("lid").isNotNull() & F.col("rid").isNotNull()).select("lid", "rid", "score", "nl", "nr"))
+    if edges.isEmpty():
+        return None
+    node = lambda c: F.xxhash64(F.lit(c), F.col(c))           # equal hashes only join two parts
+    roots = components(edges.select(node("lid").alias("a"), node("rid").alias("b")), cut_lineage)
+    placed = cut_lineage(edges.withColumn("node", node("lid")).join(roots.hint("merge"), "node").drop("node"))
+    large = placed.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > PART).select("root")
+    kinds = dict(edges.dtypes)
+    sorted_ = placed.join(large, "root", "left_anti").repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "root") \
+        .sortWithinPartitions("root", F.desc("score"), "lid", "rid")
+    done = cut_lineage(sorted_.mapInArrow(_walk, f"lid {kinds['lid']}, rid {kinds['rid']}, score double, l0 bigint, r0 bigint, k bigint"))
+    rest = _assign_rounds(placed.join(large, "root", "left_semi").drop("root"))
+    return done if rest is None else done.unionByName(rest.select(*done.columns))
+
+
 def one_to_one(pairs: DataFrame, *, lid="lid", rid="rid", score="score") -> DataFrame:
     """Greedy one-to-one assignment in the order (score desc, left id, right id): (lid, rid, score)."""
     edges = pairs.select(F.col(lid).alias("lid"), F.col(rid).alias("rid"), F.col(score).cast("double").alias("score")) \
@@ -292,6 +333,48 @@ def _named_pairs(met: DataFrame, town_words) -> DataFrame:
     return both.filter("same").select("lk", "keys", "s", F.coalesce(F.col("share") & ~F.col("c"), F.lit(False)).alias("shared"))
 
 
+def _meet(left: DataFrame, right: DataFrame, l_name: str, r_name: str, by) -> DataFrame:
+    return left.select(*by, l_name).distinct().join(right.select(*by, r_name).distinct(), by).select(l_name, r_name)
+
+
+def names_met(left: DataFrame, right: DataFrame, l_name: str, r_name: str, *, radius_m: float, block: str | None = None) -> DataFrame:
+    """Pairs (l_name, r_name) of names, at least all that stand within the radius in one block somewhere: in a block of few names all of them, else those
+    of touching cells. Pairs may repeat."""
+    b = block or "_all"
+    left, right = (left, right) if block else (left.withColumn(b, F.lit(0)), right.withColumn(b, F.lit(0)))
+    size = lambda d, name, n: d.groupBy(b).agg(F.countDistinct(name).alias(n), F.count("*").alias(n + "_rows"))
+    few = size(left, l_name, "nl").join(size(right, r_name, "nr"), b).filter("nl * nr <= 16 * (nl_rows + nr_rows)").select(b)
+    h, w = cell_sizes(radius_m)
+    lz = left.join(few, b, "left_anti").select(b, l_name, cell("lat", h).alias("cy"), cell("lon", w).alias("cx"))
+    rz = right.join(few, b, "left_anti").select(b, r_name, F.explode(neighbor_cells("lat", "lon", radius_m)).alias("c")).select(b, r_name, "c.cy", "c.cx")
+    return _meet(left.join(few, b, "left_semi"), right, l_name, r_name, [b]).unionByName(_meet(lz, rz, l_name, r_name, [b, "cy", "cx"]))
+
+
+def _numbered(df: DataFrame, cols, id: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with the number of their combination of ``cols``, table of the combinations); nulls are values."""
+    table = cut_lineage(df.select(*cols).distinct().withColumn(id, F.monotonically_increasing_id()))
+    return df.join(table.select(*[F.col(c).alias("_n_" + c) for c in cols], id), [F.col(c).eqNullSafe(F.col("_n_" + c)) for c in cols]).drop(*["_n_" + c for c in cols]), table
+
+
+def near_named(left: DataFrame, right: DataFrame, score: Callable, *, radius_m: float, min_score: float) -> DataFrame:
+    """Pairs (l_*, r_*, s, dist_m) of both sides (name, lat, lon, ...) within the radius whose names score ``min_score`` or more. Names that may meet are scored
+    first, each pair once, and rows meet on an agreeing name and their cells: rows with other names are never paired."""
+    (l, ln), (r, rn) = _numbered(left, ["name"], "ln"), _numbered(right, ["name"], "rn")
+    met = names_met(l, r, "ln", "rn", radius_m=radius_m).distinct()
+    met = met.join(ln.withColumnRenamed("name", "name_l"), "ln").join(rn.withColumnRenamed("name", "name_r"), "rn")
+    # few bytes, much work per row: as in on_distinct
+    met = met.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    named = cut_lineage(met.select("ln", "rn", score("name_l", "name_r").alias("s")).filter(F.col("s") >= min_score))
+    return proximity_join(l.join(named, "ln").drop("ln"), r, radius_m=radius_m, block=["rn"]).drop("l_rn", "r_rn").withColumnRenamed("l_s", "s")
+
+
+def _streets_met(la: DataFrame, ra: DataFrame, at) -> DataFrame:
+    """(l_street, r_street) of the streets that meet by ``at`` and denote one street; each pair is judged once."""
+    street = lambda d, name: d.select(*at, F.col("street").alias(name)).distinct()
+    streets = street(la, "ls").join(street(ra, "rs"), at).select("ls", "rs").distinct().filter(street_compat("ls", "rs"))
+    return cut_lineage(streets.select(F.col("ls").alias("l_street"), F.col("rs").alias("r_street")))
+
+
 def match_listings(left: DataFrame, right: DataFrame, *, block: str, town_words=None, addr_score=75.0, near_m=150.0, near_score=88.0, close_m=60.0, close_score=80.0,
                    addr_max_m=2000.0) -> DataFrame:
     """(lid, rid, score, rule): the best registry row of each listing (a registry row may serve several) by the rules of ``similar_name_pairs``.
@@ -308,18 +391,9 @@ def match_listings(left: DataFrame, right: DataFrame, *, block: str, town_words=
     ra = r.withColumn("no", F.explode("nums")).withColumn("core", core).filter(F.col("core").isNotNull()).groupBy(*at, "street", "keys", "lat", "lon").agg(F.min("rid").alias("rid"))
     la, ra = cut_lineage(la), cut_lineage(ra)
     spots = cut_lineage(r.groupBy("b", "keys", "lat", "lon").agg(F.min("rid").alias("rid")))
-    # names that meet: at an address; in a county of few names all of them, else those of touching cells
-    meet = lambda x, y, by: x.select(*by, "lk").distinct().join(y.select(*by, "keys").distinct(), by).select("lk", "keys")
-    size = lambda d, name, n: d.groupBy("b").agg(F.countDistinct(name).alias(n), F.count("*").alias(n + "_rows"))
-    few = size(l, "lk", "nl").join(size(spots, "keys", "nr"), "b").filter("nl * nr <= 16 * (nl_rows + nr_rows)").select("b")
-    h, w = cell_sizes(near_m)
-    lz = l.join(few, "b", "left_anti").select("b", "lk", cell("lat", h).alias("cy"), cell("lon", w).alias("cx"))
-    rz = spots.join(few, "b", "left_anti").select("b", "keys", F.explode(neighbor_cells("lat", "lon", near_m)).alias("c")).select("b", "keys", "c.cy", "c.cx")
-    met = meet(la, ra, at).unionByName(meet(l.join(few, "b", "left_semi"), spots, ["b"])).unionByName(meet(lz, rz, ["b", "cy", "cx"])).distinct()
+    met = _meet(la, ra, "lk", "keys", at).unionByName(names_met(l, spots, "lk", "keys", radius_m=near_m, block="b")).distinct()
     names = cut_lineage(_named_pairs(met, town_words))
-    street = lambda d, name: d.select(*at, F.col("street").alias(name)).distinct()
-    streets = street(la, "ls").join(street(ra, "rs"), at).select("ls", "rs").distinct().filter(street_compat("ls", "rs"))
-    streets = cut_lineage(streets.select(F.col("ls").alias("l_street"), F.col("rs").alias("r_street")))
+    streets = _streets_met(la, ra, at)
     same_addr, s, dist = F.col("same_addr"), F.col("s"), F.col("dist")
     rule = F.when(same_addr & ((s >= addr_score) | F.col("shared")), F.lit("address")).when((dist <= near_m) & (s >= near_score), F.lit("near")) \
         .when((dist <= close_m) & (s >= close_score) & F.col("shared"), F.lit("close"))

@@ -142,9 +142,8 @@ def one_to_one_match(spark, sf):
     r = view(spark, sf, "fx_registry").select(F.col("reg_id").alias("id"), T.norm_name("name").alias("name"), "lat", "lon")
     lc, lm = M.classes(l, ["name", "lat", "lon"], "id")
     rc, rm = M.classes(r, ["name", "lat", "lon"], "id")
-    near = SP.proximity_join(lc, rc, radius_m=200.0)
-    scored = near.select(F.col("l_cls").alias("lid"), F.col("r_cls").alias("rid"), (S.sim_token_set("l_name", "r_name") - F.col("dist_m") / 25).alias("score"), S.sim_token_set("l_name", "r_name").alias("s"))
-    pairs = scale.cut_lineage(scored.filter("s >= 75").drop("s"))
+    pairs = scale.cut_lineage(M.near_named(lc, rc, S.sim_token_set, radius_m=200.0, min_score=75.0).select(
+        F.col("l_cls").alias("lid"), F.col("r_cls").alias("rid"), (F.col("s") - F.col("dist_m") / 25).alias("score")))
     return M.one_to_one_classes(pairs, scale.cut_lineage(lm), scale.cut_lineage(rm)).select("lid", "rid", F.round("score", 4).alias("score"))
 
 
