@@ -290,10 +290,83 @@ def similar_name_pairs(left: DataFrame, right: DataFrame, *, block: str, town_wo
     ``k``, nums, street, lat, lon), right (rid, block, keys array, nums, street, lat, lon).
 
     A pair counts at one street address with similar or shared distinctive names, near with near-equal names, or very close with similar and
-    shared names, and only if the names can be one business."""
-    tw = town_words
-    l = left.filter(F.col("k") != "").select("lid", F.col(block).alias("l_b"), F.col("k").alias("lk"), F.col("nums").alias("l_nums"), F.col("street").alias("l_street"), "lat", "lon")
-    r = right.select("rid", F.col(block).alias("r_b"), "keys", F.col("nums").alias("r_nums"), F.col("street").alias("r_street"), "lat", "lon")
+    shared names, and only if the names can be one business.
+
+    Names are scored once, streets judged once; rows then meet on an agreeing (address, name) or (block, name) and their cells, so rows that nothing
+    speaks for are never paired and no pair is exchanged. Rows that share an id count together and are paired by ``_pairs_of_repeated``."""
+    limits = dict(addr_score=addr_score, near_m=near_m, near_score=near_score, close_m=close_m, close_score=close_score, addr_max_m=addr_max_m)
+    l = left.filter((F.col("k") != "") & F.col(block).isNotNull()).select("lid", F.col(block).alias("b"), F.col("k").alias("lk"), "nums", "street", "lat", "lon")
+    r = right.filter(F.col(block).isNotNull()).select("rid", F.col(block).alias("b"), "keys", "nums", "street", "lat", "lon")
+    l, r = cut_lineage(l.distinct()), cut_lineage(r.distinct())
+    many = lambda d, id: cut_lineage(d.groupBy(id).agg(F.count("*").alias("n")).filter("n > 1").select(F.col(id).alias("_id")))
+    l_many, r_many = many(l, "lid"), many(r, "rid")
+    some_l, some_r = not l_many.isEmpty(), not r_many.isEmpty()
+    of = lambda d, id, ids, how: d.join(ids, F.col(id).eqNullSafe(F.col("_id")), how)
+    one_l, one_r = of(l, "lid", l_many, "left_anti") if some_l else l, of(r, "rid", r_many, "left_anti") if some_r else r
+    out = _pairs_of_single(one_l, one_r, town_words=town_words, **limits)
+    if some_l:
+        out = out.unionByName(_pairs_of_repeated(of(l, "lid", l_many, "left_semi"), r, town_words=town_words, **limits))
+    return out.unionByName(_pairs_of_repeated(one_l, of(r, "rid", r_many, "left_semi"), town_words=town_words, **limits)) if some_r else out
+
+
+def _rated(p: DataFrame, *, addr_score, near_m, near_score, close_m, close_score, addr_max_m) -> DataFrame:
+    """(lid, rid, score, rule) of the pairs (lid, rid, s, shared, same_addr, dist) that a rule takes."""
+    same_addr, s, dist = F.col("same_addr"), F.col("s"), F.col("dist")
+    rule = F.when(same_addr & ((s >= addr_score) | F.col("shared")), F.lit("address")).when((dist <= near_m) & (s >= near_score), F.lit("near")) \
+        .when((dist <= close_m) & (s >= close_score) & F.col("shared"), F.lit("close"))
+    score = s + F.when(same_addr, F.lit(15)).otherwise(F.lit(0)) - dist / 20
+    return p.select("lid", "rid", score.alias("score"), rule.alias("rule")).filter(F.col("rule").isNotNull())
+
+
+def _address_core(street):
+    """Core words of a street; streets without one (a bare direction or type) can only agree as whole texts."""
+    return F.coalesce(core_street(street), F.concat(F.lit("="), F.col(street)))
+
+
+def _pairs_of_single(l: DataFrame, r: DataFrame, *, town_words, **limits) -> DataFrame:
+    """Pairs of written rows (lid, b, lk, nums, street, lat, lon) and (rid, b, keys, nums, street, lat, lon) whose ids stand once."""
+    near_m, addr_max_m = float(limits["near_m"]), limits["addr_max_m"]
+    far = float(max(addr_max_m, near_m, limits["close_m"]))
+    at = ["b", "no", "core"]
+    # rows with several numbers may meet at more than one: the least common one stands for the pair
+    several = F.when(F.size(F.array_distinct("nums")) > 1, F.col("nums")).alias("nums")
+    door = lambda d, *cols: d.select(*cols, "b", "street", "lat", "lon", several, F.explode(F.array_distinct("nums")).alias("no")) \
+        .withColumn("core", _address_core("street")).filter(F.col("core").isNotNull() & F.col("no").isNotNull())
+    la, ra = door(l, "lid", "lk"), door(r, "rid", "keys")
+    met = _meet(la, ra, "lk", "keys", at).unionByName(names_met(l, r, "lk", "keys", radius_m=near_m, block="b")).distinct()
+    names = cut_lineage(_named_pairs(met, town_words))
+    # what is asked for and what is told at an address, each numbered once, and which of them agree
+    ask, tell = [*at, "street", "lk"], [*at, "street", "keys"]
+    numbered = lambda d, cols, id: cut_lineage(d.select(*cols).distinct().withColumn(id, F.monotonically_increasing_id()))
+    q, t = numbered(la, ask, "qid"), numbered(ra, tell, "tid")
+    fit = names.filter((F.col("s") >= min(limits["addr_score"], limits["near_score"])) | F.col("shared"))
+    agree = q.withColumnRenamed("street", "l_street").join(t.withColumnRenamed("street", "r_street"), at).join(_streets_met(la, ra, at), ["l_street", "r_street"])
+    agree = cut_lineage(agree.join(fit, ["lk", "keys"]).select("qid", "tid", "s", "shared"))
+    asked = la.join(q, ask).select("qid", "lid", "lat", "lon", "nums", "no").join(agree, "qid").select("tid", "lid", "s", "shared", "lat", "lon", "nums", F.when(F.col("nums").isNotNull(), F.col("no")).alias("no"))
+    told = ra.join(t, tell).select("tid", "rid", "lat", "lon", "nums")
+    first = F.coalesce(F.col("l_no") == F.array_min(F.array_intersect("l_nums", "r_nums")), F.lit(True))
+
+    def at_address(p, dist):
+        return _rated(p.filter(first).select(F.col("l_lid").alias("lid"), F.col("r_rid").alias("rid"), F.col("l_s").alias("s"), F.col("l_shared").alias("shared"), (dist <= addr_max_m).alias("same_addr"), dist.alias("dist")), **limits)
+    out = at_address(proximity_join(asked, told, radius_m=far, block=["tid"]), F.col("dist_m"))
+    # rows without a place count as near their address
+    no_spot = F.col("lat").isNull() | F.col("lon").isNull()
+    pre = lambda d, p: d.select(*[F.col(c).alias(p + c) for c in d.columns])
+    for some_l, some_r, rows in ((asked.filter(no_spot), told, l), (asked.filter(~no_spot), told.filter(no_spot), r)):
+        if not rows.filter(no_spot).isEmpty():
+            out = out.unionByName(at_address(_cell_join(pre(some_l, "l_"), pre(some_r, "r_"), [("l_tid", "r_tid")], DENSE), F.lit(40.0)))
+    # near rows of agreeing names that do not share the address, where they are paired already
+    near = proximity_join(l.join(names.filter(F.col("s") >= min(limits["near_score"], limits["close_score"])), "lk"), r, radius_m=near_m, block=["b", "keys"])
+    share = F.arrays_overlap("l_nums", "r_nums") & (_address_core("l_street") == _address_core("r_street")) & street_compat("l_street", "r_street")
+    near = near.filter(~F.coalesce(share, F.lit(False)))
+    near = near.select(F.col("l_lid").alias("lid"), F.col("r_rid").alias("rid"), F.col("l_s").alias("s"), F.col("l_shared").alias("shared"), F.lit(False).alias("same_addr"), F.col("dist_m").alias("dist"))
+    return out.unionByName(_rated(near, **limits))
+
+
+def _pairs_of_repeated(l: DataFrame, r: DataFrame, *, town_words, **limits) -> DataFrame:
+    """As ``_pairs_of_single`` for ids that stand several times: all candidates are worked out and those of an id pair count together."""
+    l, r = l.withColumnsRenamed({"b": "l_b", "nums": "l_nums", "street": "l_street"}), r.withColumnsRenamed({"b": "r_b", "nums": "r_nums", "street": "r_street"})
+    near_m, addr_max_m, tw = limits["near_m"], limits["addr_max_m"], town_words
     cols = ["lid", "rid", "lk", "keys", "same_addr", "dist"]
     la = l.withColumn("no", F.explode("l_nums")).withColumn("l_core", core_street("l_street")).select("lid", "lk", "l_b", "no", "l_core", "l_street", F.col("lat").alias("l_lat"), F.col("lon").alias("l_lon"))
     ra = r.withColumn("no", F.explode("r_nums")).withColumn("r_core", core_street("r_street")).select("rid", "keys", "r_b", F.col("no").alias("r_no"), "r_core", "r_street", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
@@ -314,12 +387,8 @@ def similar_name_pairs(left: DataFrame, right: DataFrame, *, block: str, town_wo
         prepare={"_tw": t, "_sl": name_stems("lk"), "_sr": name_stems("rk")})
     best = one.groupBy("lid", "rid").agg(F.max("same_addr").alias("same_addr"), F.min("dist").alias("dist"), F.max("s").alias("s"),
                                          F.bool_and("conflict").alias("all_conflict"), F.bool_or("same").alias("same"), F.bool_or("share").alias("share"))
-    shared = F.col("share") & ~F.col("all_conflict")
-    rule = F.when(F.col("same_addr") & ((F.col("s") >= addr_score) | shared), F.lit("address")) \
-        .when((F.col("dist") <= near_m) & (F.col("s") >= near_score), F.lit("near")) \
-        .when((F.col("dist") <= close_m) & (F.col("s") >= close_score) & shared, F.lit("close"))
-    score = F.col("s") + F.when(F.col("same_addr"), F.lit(15)).otherwise(F.lit(0)) - F.col("dist") / 20
-    return best.select("lid", "rid", score.alias("score"), rule.alias("rule"), "same").filter(F.col("rule").isNotNull() & F.col("same")).drop("same")
+    best = best.withColumn("shared", F.coalesce(F.col("share") & ~F.col("all_conflict"), F.lit(False)))
+    return _rated(best.filter("same"), **limits)
 
 
 def _named_pairs(met: DataFrame, town_words) -> DataFrame:
