@@ -60,3 +60,27 @@ def test_work_on_names_at_one_address_does_not_grow_with_rows(spark, monkeypatch
         r = spark.createDataFrame([(100 + i, "c1", [names[i % 2]], ["1"], "MAIN ST", 26.0, -80.0 + i * 1e-5) for i in range(n)], RIGHT)
         assert M.similar_name_pairs(l, r, block="county").count() == n * n // 2
     assert len(seen) == 2 and seen[0] == seen[1] <= 4
+
+
+def _twin_rows(spark, n, first, rng):
+    names = ["OYSTER BARN", "OYSTER BAR", "OYSTER BARNS", "OAK GRILL", "OAK GRIL", "PELICAN DINER", None]
+    def row(i):
+        name = rng.choice(names)
+        return (first + i, name, name, rng.choice(["1", "2", "90", None]), rng.choice(["MAIN ST", "N MAIN ST", "OAK AVE", None]), rng.choice(["c1", "c1", "c2", None]), rng.choice([None] + [26.0 + rng.randint(0, 20) * 5e-4] * 9), -80.0 + rng.randint(0, 4) * 4e-4)
+    return spark.createDataFrame([row(i) for i in range(n)], "id long, name string, k string, num string, street string, county string, lat double, lon double")
+
+
+def test_near_twins_by_falling_likeness_equal_all_pairs(spark, monkeypatch):
+    rng = random.Random(7)
+    l, r = _twin_rows(spark, 50, 0, rng), _twin_rows(spark, 60, 100, rng)
+    pre = lambda d, p: d.select(*[F.col(c).alias(p + c) for c in d.columns])
+    pairs = pre(l, "l_").crossJoin(pre(r, "r_")).withColumn("dist", F.sqrt(F.pow((F.col("l_lat") - F.col("r_lat")) * 111000, 2) + F.pow((F.col("l_lon") - F.col("r_lon")) * 99000, 2)))
+    gap = F.abs(F.col("l_num").cast("int") - F.col("r_num").cast("int"))
+    pairs = pairs.filter((F.col("l_county").isNull() | (F.col("l_county") == F.col("r_county"))) & ((F.col("dist") <= 150) | (F.col("l_num") == F.col("r_num")) & (F.col("l_street") == F.col("r_street"))))
+    pairs = pairs.filter(~F.coalesce(M.street_compat("l_street", "r_street") & (gap > 40), F.lit(False))).withColumn("same", S.same_business("l_name", "r_name")).filter("same")
+    want = pairs.withColumn("s", S.sim_ratio("l_k", "r_k")).groupBy("l_id").agg(F.min(F.struct((-F.col("s")).alias("s"), F.col("r_id").alias("twin"))).alias("m"))
+    want = {x["l_id"]: x["m"]["twin"] for x in want.collect()}
+    blocks, plain = [], M.proximity_join
+    monkeypatch.setattr(M, "proximity_join", lambda *a, **k: (blocks.append(k.get("block", ())), plain(*a, **k))[1])
+    assert {x["id"]: x["twin"] for x in M.hand_checked_twin(l, r).collect()} == want
+    assert blocks and all("rn" in b for b in blocks)           # rows of other names never meet

@@ -547,28 +547,63 @@ def curated_match(curated: DataFrame, places: DataFrame, *, addr_score=60.0, tow
 
 def hand_checked_twin(unlicensed: DataFrame, licensed: DataFrame, *, near_m=150.0, max_number_gap=40, town_words=None) -> DataFrame:
     """(id, twin): a hand-checked row without a license and its licensed twin at the same street address or near, in one county, the same
-    business by name; the closest name wins. Both carry (id, name, k, num, street, county, lat, lon)."""
+    business by name; the closest name wins. Both carry (id, name, k, num, street, county, lat, lon).
+
+    Names are judged once. Rows look for near twins by falling likeness of the names, in parts that double, and only until they have one, so a row meets
+    few others however dense a county is."""
     l, r = (d.select("id", "name", "k", "num", "street", "county", "lat", "lon") for d in (unlicensed, licensed))
     pre = lambda d, p: d.select(*[F.col(c).alias(p + c) for c in d.columns])
     tw = town_words if town_words is not None else F.array().cast("array<string>")
+    gap = F.abs(F.col("l_num").try_cast("bigint") - F.col("r_num").try_cast("bigint"))
+    fits = ~F.coalesce((gap > max_number_gap) & street_compat("l_street", "r_street"), F.lit(False))
 
-    def closest(cand, by):
-        gap = F.abs(F.col("l_num").try_cast("bigint") - F.col("r_num").try_cast("bigint"))
-        cand = cand.filter(~F.coalesce(street_compat("l_street", "r_street") & (gap > max_number_gap), F.lit(False)))
-        cand = on_distinct(cand, ["l_name", "r_name"], {"same": same_business("l_name", "r_name", F.col("_tw"))}, prepare={"_tw": tw}).filter("same")
-        cand = on_distinct(cand, ["l_k", "r_k"], {"s": sim_ratio("l_k", "r_k")})
-        return cand.groupBy(*by).agg(F.min(F.struct((-F.col("s")).alias("s"), F.col("r_id").alias("twin"))).alias("m"))
+    def judged(pairs):
+        pairs = on_distinct(pairs, ["l_name", "r_name"], {"same": same_business("l_name", "r_name", F.col("_tw"))}, prepare={"_tw": tw}).filter("same")
+        return on_distinct(pairs, ["l_k", "r_k"], {"s": sim_ratio("l_k", "r_k")})
+    closest = lambda cand, s, by: cand.groupBy(*by).agg(F.min(F.struct((-F.col(s)).alias("s"), F.col("r_id").alias("twin"))).alias("m"))
     # at an address rows of one name meet as one row on both sides; the least id stands for the licensed ones
     attrs = ["name", "k", "num", "street", "county"]
     la = pre(l.select(*attrs).distinct(), "l_")
     ra = pre(r.groupBy(*attrs).agg(F.min(F.struct("id")).alias("m")).select(*attrs, "m.id"), "r_")
     same = (F.col("l_num") == F.col("r_num")) & (F.col("l_street") == F.col("r_street"))
     at = la.join(ra, same & (F.col("l_county") == F.col("r_county"))).unionByName(la.filter(F.col("l_county").isNull()).join(ra, same))
-    at = closest(at, ["l_" + x for x in attrs])
-    at = l.join(at, [F.col(x).eqNullSafe(F.col("l_" + x)) for x in attrs]).select("id", "m")
-    near = proximity_join(l, r, radius_m=near_m).filter(F.col("l_county").isNull() | (F.col("l_county") == F.col("r_county")))
-    near = closest(near, ["l_id"]).select(F.col("l_id").alias("id"), "m")
-    return at.unionByName(near).groupBy("id").agg(F.min("m").alias("m")).select("id", "m.twin")
+    at = closest(judged(at.filter(fits)), "s", ["l_" + x for x in attrs])
+    out = l.join(at, [F.col(x).eqNullSafe(F.col("l_" + x)) for x in attrs]).select("id", "m")
+    # near: rows of equal values are one row on both sides
+    spot = [*attrs, "lat", "lon"]
+    placed = lambda d: d.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    (ls, ln), (rs, rn) = _numbered(placed(l).select(*spot).distinct(), ["name", "k"], "ln"), _numbered(placed(r).groupBy(*spot).agg(F.min(F.struct("id")).alias("m")).select(*spot, "m.id"), ["name", "k"], "rn")
+    ls, rs = cut_lineage(ls.withColumn("no", F.monotonically_increasing_id())), cut_lineage(rs.select("id", "rn", "num", "street", "county", "lat", "lon"))
+    free = F.col("county").isNull()                      # such rows meet those of any county
+    some_free = not ls.filter(free).isEmpty()
+    met = names_met(ls, rs, "ln", "rn", radius_m=near_m, block="county")
+    met = met.unionByName(names_met(ls.filter(free), rs, "ln", "rn", radius_m=near_m)) if some_free else met
+    met = met.distinct().join(pre(ln, "l_").withColumnRenamed("l_ln", "ln"), "ln").join(pre(rn, "r_").withColumnRenamed("r_rn", "rn"), "rn")
+    rank = F.rank().over(W.partitionBy("ln").orderBy(F.desc_nulls_first("s")))
+    named = cut_lineage(judged(met).select("ln", "rn", "s").withColumn("part", F.ceil(F.log2(rank)).cast("int")))
+    last, right_rows = named.agg(F.max("part")).first()[0], rs.count()
+    open_, done = ls.select("no", "ln", "num", "street", "county", "lat", "lon"), None
+    for part in range(0 if last is None else last + 1):
+        now = named.filter(F.col("part") == part).select("ln", "rn", "s")
+        asks = open_.groupBy("ln").agg(F.count("*").alias("n")).join(now, "ln").agg(F.sum("n")).first()[0]
+        if not asks:
+            continue
+        ask = open_.join(now, "ln").drop("ln")
+
+        def meet(some, block):
+            if asks >= right_rows:
+                return proximity_join(some, rs, radius_m=near_m, block=block)
+            p = proximity_join(rs, some, radius_m=near_m, block=block)          # the smaller side is laid on its nine cells
+            return p.withColumnsRenamed({c: ("r" if c[0] == "l" else "l") + c[1:] for c in p.columns if c[:2] in ("l_", "r_")})
+        found = meet(ask, ["county", "rn"]).select("l_no", "l_s", "l_num", "l_street", "r_id", "r_num", "r_street")
+        found = found.unionByName(meet(ask.filter(free), ["rn"]).select(*found.columns)) if some_free else found
+        found = cut_lineage(closest(found.filter(fits), "l_s", ["l_no"]))
+        done = found if done is None else done.unionByName(found)
+        open_ = cut_lineage(open_.join(found, F.col("no") == F.col("l_no"), "left_anti"))
+    if done is not None:
+        near = ls.join(done, F.col("no") == F.col("l_no")).select(*[F.col(x).alias("l_" + x) for x in spot], "m")
+        out = out.unionByName(l.join(near, [F.col(x).eqNullSafe(F.col("l_" + x)) for x in spot]).select("id", "m"))
+    return out.groupBy("id").agg(F.min("m").alias("m")).select("id", "m.twin")
 
 
 def point_by_name_town(unplaced: DataFrame, places: DataFrame, *, min_ratio=92.0, max_spread=0.002) -> DataFrame:
