@@ -594,7 +594,7 @@ def hand_checked_twin(unlicensed: DataFrame, licensed: DataFrame, *, near_m=150.
             if asks >= right_rows:
                 return proximity_join(some, rs, radius_m=near_m, block=block)
             p = proximity_join(rs, some, radius_m=near_m, block=block)          # the smaller side is laid on its nine cells
-            return p.withColumnsRenamed({c: ("r" if c[0] == "l" else "l") + c[1:] for c in p.columns if c[:2] in ("l_", "r_")})
+            return p.select(*[F.col(c).alias({"l_": "r_", "r_": "l_"}.get(c[:2], c[:2]) + c[2:]) for c in p.columns])
         found = meet(ask, ["county", "rn"]).select("l_no", "l_s", "l_num", "l_street", "r_id", "r_num", "r_street")
         found = found.unionByName(meet(ask.filter(free), ["rn"]).select(*found.columns)) if some_free else found
         found = cut_lineage(closest(found.filter(fits), "l_s", ["l_no"]))
